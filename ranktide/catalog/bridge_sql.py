@@ -140,6 +140,44 @@ registry_docs AS (
   FROM (SELECT *, p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 3) AS base FROM part) x
 )"""
 
+# Flat form of the nested advisory documents: one row per (order, line item).
+VIEWS["nested_flat"] = """
+nested_flat AS (
+  SELECT
+    'GHSA-' || o_orderkey AS id,
+    o_orderkey AS page_pos,
+    CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS vuln_pos,
+    CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'Issue in order ' || o_orderkey END AS summary,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium'
+         WHEN '4-NOT SPECIFIED' THEN 'MEDIUM' ELSE 'low' END AS severity,
+    CASE WHEN o_orderkey % 11 = 0 THEN '2001-01-01T00:00:00Z' END AS withdrawn_at,
+    strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS published_at,
+    CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'https://github.com/cust/order-' || o_orderkey END AS source_code_location,
+    'https://example.org/GHSA-' || o_orderkey AS ref,
+    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) / 10.0::DOUBLE END AS legacy_score,
+    CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 90 AS DOUBLE) / 10.0::DOUBLE END AS v3_score,
+    CASE WHEN o_orderkey % 2 = 0 THEN 0.0::DOUBLE ELSE CAST(o_orderkey % 70 AS DOUBLE) / 10.0::DOUBLE END AS v4_score,
+    CASE WHEN l_linestatus = 'F' THEN 'NPM' WHEN l_returnflag = 'N' THEN 'pip' ELSE 'npm' END AS eco,
+    CASE WHEN l_suppkey % 17 = 0 THEN '' ELSE 'part-' || l_partkey END AS pkg_name,
+    '< ' || l_linenumber || '.0.0' AS vrange,
+    CASE WHEN l_returnflag = 'A' THEN l_linenumber || '.0.1' END AS fixed,
+    bool_or(l_returnflag = 'A') OVER (PARTITION BY o_orderkey) AS doc_has_fix
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
+
+VIEWS["repo_meta_docs"] = """
+repo_meta_docs AS (
+  SELECT
+    'https://github.com/org' || (p_partkey % 97) || '/part-' || p_partkey AS repo_url,
+    CASE WHEN p_partkey % 23 = 0 THEN '{"errors": [{"message": "rate limited"}]}'
+         ELSE '{"data": {"repository": {"isArchived": ' || CASE WHEN p_size % 10 = 0 THEN 'true' ELSE 'false' END
+              || ', "defaultBranchRef": {"target": {"oid": "sha' || p_partkey || '"}}, "pullRequests": {"nodes": ['
+              || CASE WHEN p_partkey % 19 = 0 THEN '' ELSE '{"mergedAt": "' || strftime(last_ship, '%Y-%m-%dT%H:%M:%S') || 'Z"}' END
+              || ']}}}}' END AS doc
+  FROM (SELECT l_partkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_partkey) g
+  JOIN part ON g.l_partkey = part.p_partkey
+)"""
+
 # Dependencies between views (a view may read earlier ones).
 DEPENDS: dict[str, list[str]] = {}
 

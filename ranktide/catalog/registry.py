@@ -37,6 +37,7 @@ def register(key: str, sql: str | None = None, doc: str = ""):
 def load_all() -> dict[str, Entry]:
     # Importing the modules fills REGISTRY.
     from ranktide.catalog import (  # noqa: F401
+        q_advisories,
         q_marts,
     )
 

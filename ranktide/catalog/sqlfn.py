@@ -65,7 +65,7 @@ def band_score(band: str) -> str:
 
 
 def is_native(to_purls: str) -> str:
-    return f"coalesce(len(list_filter({to_purls}, p -> contains(p, '<native>'))) > 0, FALSE)"
+    return f"coalesce(len(list_filter({to_purls}, lambda p: contains(p, '<native>'))) > 0, FALSE)"
 
 
 def repl_severity(axis: str, native: str) -> str:
@@ -74,3 +74,53 @@ def repl_severity(axis: str, native: str) -> str:
 
 def r6(x: str) -> str:
     return f"round({x}, 6)"
+
+
+# ---- semver ---------------------------------------------------------------------------
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def parse_version(v: str) -> str:
+    core = f"split_part(split_part({strip_ws(f'ltrim({v}, {chr(39)}v{chr(39)})')}, '-', 1), '+', 1)"
+    parts = f"string_split({core}, '.')"
+    ok = f"list_bool_and(list_transform({parts}, lambda q: regexp_matches(q, '^\\s*[0-9]+\\s*$')))"
+    return f"(CASE WHEN {core} <> '' AND {ok} THEN list_transform({parts}, lambda q: CAST({strip_ws('q')} AS DECIMAL(38,0))) END)"
+
+
+def version_cmp(a: str, b: str) -> str:
+    n = f"greatest(len({a}), len({b}))"
+    pa = f"list_resize({a}, {n}, CAST(0 AS DECIMAL(38,0)))"
+    pb = f"list_resize({b}, {n}, CAST(0 AS DECIMAL(38,0)))"
+    return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {pa} < {pb} THEN -1 WHEN {pa} > {pb} THEN 1 ELSE 0 END)"
+
+
+_OPS = ("<=", ">=", "<", ">", "=")
+_SAT = {"<": "< 0", "<=": "<= 0", ">": "> 0", ">=": ">= 0", "=": "= 0"}
+
+
+def _clause_code(c: str, target: str) -> str:
+    whens = []
+    for op in _OPS:
+        bound = parse_version(f"substr({c}, {len(op) + 1})")
+        cmp_ = version_cmp(target, bound)
+        whens.append(
+            f"WHEN starts_with({c}, '{op}') THEN (CASE WHEN {bound} IS NULL THEN -1 WHEN {cmp_} {_SAT[op]} THEN 1 ELSE 0 END)"
+        )
+    return "(CASE " + " ".join(whens) + " ELSE -1 END)"
+
+
+def version_in_range(version: str, rng: str) -> str:
+    target = parse_version(version)
+    clauses = f"list_filter(list_transform(string_split({rng}, ','), lambda c: {strip_ws('c')}), lambda c: c <> '')"
+    codes = f"list_transform({clauses}, lambda c: {_clause_code('c', target)})"
+    first_bad = f"list_filter({codes}, lambda x: x <> 1)[1]"
+    return (
+        f"(CASE WHEN {target} IS NULL OR {rng} IS NULL THEN NULL WHEN {first_bad} IS NULL THEN TRUE"
+        f" WHEN {first_bad} = 0 THEN FALSE ELSE NULL END)"
+    )
+
+
+def render_version(parts: str) -> str:
+    return f"array_to_string(list_transform({parts}, lambda q: CAST(q AS VARCHAR)), '.')"

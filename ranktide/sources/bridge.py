@@ -228,3 +228,69 @@ def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"name": "part-'), _s(k), F.lit('", "dist-tags": {"latest": "'), ver, F.lit('", "next": "99.0.0"}}')
     )
     return pa.select(F.concat(F.lit("part-"), _s(k)).alias("name"), doc.alias("doc"))
+
+
+def nested_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advisory documents (REST shape): one per order, its line items as affected packages.
+
+    The per-order ``collect_list`` is bounded by the line items of one order.
+    """
+    li = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"
+    )
+    od = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    j = li.join(od, li.l_orderkey == od.o_orderkey)
+    vuln = F.struct(
+        F.col("l_linenumber").alias("pos"),
+        F.col("l_partkey").alias("pk"),
+        F.col("l_suppkey").alias("sk"),
+        F.struct(
+            F.when(F.col("l_linestatus") == "F", "NPM").when(F.col("l_returnflag") == "N", "pip").otherwise("npm").alias("ecosystem"),
+            F.when(F.col("l_suppkey") % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("part-"), _s("l_partkey"))).alias("name"),
+        ).alias("package"),
+        F.concat(F.lit("< "), _s("l_linenumber"), F.lit(".0.0")).alias("vulnerable_version_range"),
+        F.when(F.col("l_returnflag") == "A", F.concat(_s("l_linenumber"), F.lit(".0.1"))).alias("first_patched_version"),
+    )
+    g = j.groupBy("o_orderkey", "o_orderdate", "o_orderpriority").agg(F.array_sort(F.collect_list(vuln)).alias("vs"))
+    o = F.col("o_orderkey")
+    sev = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", "critical").when(F.col("o_orderpriority") == "2-HIGH", "high")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", "medium").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "MEDIUM")
+        .otherwise("low")
+    )
+    return g.select(
+        F.concat(F.lit("GHSA-"), _s(o)).alias("ghsa_id"),
+        F.when(o % 9 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Issue in order "), _s(o))).alias("summary"),
+        sev.alias("severity"),
+        F.when(o % 11 == 0, F.lit("2001-01-01T00:00:00Z")).alias("withdrawn_at"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
+        F.when(o % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("https://github.com/cust/order-"), _s(o))).alias("source_code_location"),
+        F.array(F.concat(F.lit("https://example.org/GHSA-"), _s(o))).alias("references"),
+        F.struct(F.when(o % 5 == 0, F.lit(None).cast("double")).otherwise((o % 100).cast("double") / 10.0).alias("score")).alias("cvss"),
+        F.struct(
+            F.struct(F.when(o % 3 == 0, F.lit(None).cast("double")).otherwise((o % 90).cast("double") / 10.0).alias("score")).alias("cvss_v3"),
+            F.struct(F.when(o % 2 == 0, F.lit(0.0)).otherwise((o % 70).cast("double") / 10.0).alias("score")).alias("cvss_v4"),
+        ).alias("cvss_severities"),
+        F.transform("vs", lambda v: v.dropFields("pos", "pk", "sk")).alias("vulnerabilities"),
+        o.alias("page_pos"),
+    )
+
+
+def repo_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository metadata responses (GraphQL shape) per part repository; some are errors."""
+    li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate")
+    pa = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    g = li.groupBy("l_partkey").agg(F.max("l_shipdate").alias("last_ship"))
+    j = g.join(pa, g.l_partkey == pa.p_partkey)
+    p = F.col("p_partkey")
+    node = F.when(p % 19 == 0, F.lit("")).otherwise(
+        F.concat(F.lit('{"mergedAt": "'), F.date_format("last_ship", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"}'))
+    )
+    ok_doc = F.concat(
+        F.lit('{"data": {"repository": {"isArchived": '),
+        F.when(F.col("p_size") % 10 == 0, F.lit("true")).otherwise(F.lit("false")),
+        F.lit(', "defaultBranchRef": {"target": {"oid": "sha'), _s(p),
+        F.lit('"}}, "pullRequests": {"nodes": ['), node, F.lit("]}}}}"),
+    )
+    doc = F.when(p % 23 == 0, F.lit('{"errors": [{"message": "rate limited"}]}')).otherwise(ok_doc)
+    return j.select(part_repo("p_partkey").alias("repo_url"), doc.alias("doc"))

@@ -178,6 +178,20 @@ repo_meta_docs AS (
   JOIN part ON g.l_partkey = part.p_partkey
 )"""
 
+VIEWS["dependents_cache"] = """
+dependents_cache AS (
+  SELECT 'npm' AS system, 'part-' || user_id AS name, wk AS iso_week,
+         coalesce(list(struct_pack(name := 'evt-' || event_id, purl := 'pkg:npm/evt-' || event_id,
+                                   repo_url := CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'https://github.com/evt/evt-' || event_id END,
+                                   lifetime_downloads := CAST(floor(value) AS BIGINT)) ORDER BY rn)
+                  FILTER (WHERE event_type = 'purchase'), []) AS payload,
+         max(ts) AS written_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, wk ORDER BY (event_type = 'purchase') DESC, value DESC, event_id) AS rn
+        FROM (SELECT *, strftime(ts, '%G-W%V') AS wk FROM events))
+  WHERE rn <= 5
+  GROUP BY user_id, wk
+)"""
+
 # Dependencies between views (a view may read earlier ones).
 DEPENDS: dict[str, list[str]] = {}
 

@@ -57,11 +57,6 @@ def win_dedupe_first(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> Da
     return latest_per_key(df, keys, [F.col(seq).asc()])
 
 
-def win_dedupe_easiest(replacements: DataFrame, score_col: str = "effort_score", seq: str = "seq") -> DataFrame:
-    """Per from-package keep the easiest replacement; ties keep the earlier one."""
-    return latest_per_key(replacements, ["from_purl"], [F.col(score_col).desc(), F.col(seq).asc()])
-
-
 def running_depth(df: DataFrame, doc_keys: Sequence[str], line_col: str, delta_col: str, out: str = "depth_before") -> DataFrame:
     """Brace depth *before* each line: running sum of (opens - closes) over earlier lines."""
     w = Window.partitionBy(*doc_keys).orderBy(line_col).rowsBetween(Window.unboundedPreceding, -1)

@@ -294,3 +294,40 @@ def repo_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     doc = F.when(p % 23 == 0, F.lit('{"errors": [{"message": "rate limited"}]}')).otherwise(ok_doc)
     return j.select(part_repo("p_partkey").alias("repo_url"), doc.alias("doc"))
+
+
+def dependents_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly dependents cache rows from events: key (system, name, ISO week).
+
+    Payload = the week's purchase events of a user, best five by value (an empty
+    list when the user made none that week: still a cache hit). The top-5 is
+    taken with a ranking window before ``collect_list``, so no group is unbounded.
+    """
+    from ranktide.functions.dates import iso_week
+    from ranktide.operators.windows import top_k_per_group
+
+    ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = ev.withColumn("wk", iso_week("ts"))
+    top = top_k_per_group(
+        ev, ["user_id", "wk"],
+        [(F.col("event_type") == "purchase").desc(), F.col("value").desc(), F.col("event_id").asc()], 5, rank_col="rn",
+    )
+    e = F.col("event_id")
+    item = F.struct(
+        F.col("rn"),
+        F.concat(F.lit("evt-"), _s(e)).alias("name"),
+        F.concat(F.lit("pkg:npm/evt-"), _s(e)).alias("purl"),
+        F.when(e % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("https://github.com/evt/evt-"), _s(e))).alias("repo_url"),
+        F.floor("value").cast("bigint").alias("lifetime_downloads"),
+    )
+    g = top.groupBy("user_id", "wk").agg(
+        F.sort_array(F.collect_list(F.when(F.col("event_type") == "purchase", item))).alias("p"),
+        F.max("ts").alias("written_at"),
+    )
+    return g.select(
+        F.lit("npm").alias("system"),
+        F.concat(F.lit("part-"), _s("user_id")).alias("name"),
+        F.col("wk").alias("iso_week"),
+        F.transform("p", lambda x: x.dropFields("rn")).alias("payload"),
+        F.col("written_at"),
+    )

@@ -152,7 +152,9 @@ nested_flat AS (
          WHEN '4-NOT SPECIFIED' THEN 'MEDIUM' ELSE 'low' END AS severity,
     CASE WHEN o_orderkey % 11 = 0 THEN '2001-01-01T00:00:00Z' END AS withdrawn_at,
     strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS published_at,
-    CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'https://github.com/cust/order-' || o_orderkey END AS source_code_location,
+    CASE WHEN o_orderkey % 4 = 0 THEN ''
+         ELSE 'https://github.com/org' || (min(l_partkey) OVER (PARTITION BY o_orderkey) % 97) || '/part-'
+              || min(l_partkey) OVER (PARTITION BY o_orderkey) END AS source_code_location,
     'https://example.org/GHSA-' || o_orderkey AS ref,
     CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) / 10.0::DOUBLE END AS legacy_score,
     CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 90 AS DOUBLE) / 10.0::DOUBLE END AS v3_score,

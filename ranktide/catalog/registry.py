@@ -40,6 +40,7 @@ def load_all() -> dict[str, Entry]:
         q_advisories,
         q_fanout,
         q_marts,
+        q_pipeline,
     )
 
     return REGISTRY

@@ -124,3 +124,17 @@ def version_in_range(version: str, rng: str) -> str:
 
 def render_version(parts: str) -> str:
     return f"array_to_string(list_transform({parts}, lambda q: CAST(q AS VARCHAR)), '.')"
+
+
+def purl_name(p: str) -> str:
+    q = f"(CASE WHEN starts_with({p}, 'pkg:npm/') THEN substr({p}, 9) ELSE {p} END)"
+    return f"(CASE WHEN starts_with({q}, 'pkg:github/') THEN substr({q}, 12) ELSE {q} END)"
+
+
+def uuid5(name: str) -> str:
+    h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))"
+    variant = f"lower(printf('%x', (CAST(('0x' || substr({h}, 17, 1)) AS INTEGER) & 3) | 8))"
+    return (
+        f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant}"
+        f" || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))"
+    )

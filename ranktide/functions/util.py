@@ -23,3 +23,12 @@ def ts_ntz(value: str) -> Column:
 def r6(c) -> Column:
     """Round a double to 6 places for cross-engine comparison."""
     return F.round(as_col(c), 6)
+
+
+def let(value, fn) -> Column:
+    """Bind ``value`` once and build ``fn(value)``: keeps expression trees linear in size.
+
+    (``transform`` over a one-element array is the only expression-level binding
+    Spark SQL offers; it is evaluated per row without any shuffle.)
+    """
+    return F.get(F.transform(F.array(as_col(value)), fn), 0)

@@ -40,4 +40,5 @@ def join_fanout_dependents(ranked: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("lifetime_downloads").alias("dep_lifetime_downloads"),
         F.col("rank").alias("dep_rank"), F.col("tier"),
         *[F.col(c) for c in ("axis", "effort", "to_purls", "manifest", "manifest_line", "effort_score") if c in ranked.columns],
+        *([F.col("downloads_weekly").alias("from_downloads")] if "downloads_weekly" in ranked.columns else []),
     )

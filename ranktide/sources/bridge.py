@@ -251,7 +251,9 @@ def nested_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("< "), _s("l_linenumber"), F.lit(".0.0")).alias("vulnerable_version_range"),
         F.when(F.col("l_returnflag") == "A", F.concat(_s("l_linenumber"), F.lit(".0.1"))).alias("first_patched_version"),
     )
-    g = j.groupBy("o_orderkey", "o_orderdate", "o_orderpriority").agg(F.array_sort(F.collect_list(vuln)).alias("vs"))
+    g = j.groupBy("o_orderkey", "o_orderdate", "o_orderpriority").agg(
+        F.array_sort(F.collect_list(vuln)).alias("vs"), F.min("l_partkey").alias("min_part")
+    )
     o = F.col("o_orderkey")
     sev = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "critical").when(F.col("o_orderpriority") == "2-HIGH", "high")
@@ -264,7 +266,7 @@ def nested_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
         sev.alias("severity"),
         F.when(o % 11 == 0, F.lit("2001-01-01T00:00:00Z")).alias("withdrawn_at"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
-        F.when(o % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("https://github.com/cust/order-"), _s(o))).alias("source_code_location"),
+        F.when(o % 4 == 0, F.lit("")).otherwise(part_repo(F.col("min_part"))).alias("source_code_location"),
         F.array(F.concat(F.lit("https://example.org/GHSA-"), _s(o))).alias("references"),
         F.struct(F.when(o % 5 == 0, F.lit(None).cast("double")).otherwise((o % 100).cast("double") / 10.0).alias("score")).alias("cvss"),
         F.struct(

@@ -103,7 +103,7 @@ _SAT = {"<": "< 0", "<=": "<= 0", ">": "> 0", ">=": ">= 0", "=": "= 0"}
 def _clause_code(c: str, target: str) -> str:
     whens = []
     for op in _OPS:
-        bound = parse_version(f"substr({c}, {len(op) + 1})")
+        bound = parse_version(strip_ws(f"substr({c}, {len(op) + 1})"))
         cmp_ = version_cmp(target, bound)
         whens.append(
             f"WHEN starts_with({c}, '{op}') THEN (CASE WHEN {bound} IS NULL THEN -1 WHEN {cmp_} {_SAT[op]} THEN 1 ELSE 0 END)"

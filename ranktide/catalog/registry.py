@@ -38,6 +38,8 @@ def load_all() -> dict[str, Entry]:
     # Importing the modules fills REGISTRY.
     from ranktide.catalog import (  # noqa: F401
         q_advisories,
+        q_audits,
+        q_briefs,
         q_fanout,
         q_marts,
         q_pipeline,

@@ -42,3 +42,78 @@ def join_fanout_dependents(ranked: DataFrame, edges: DataFrame) -> DataFrame:
         *[F.col(c) for c in ("axis", "effort", "to_purls", "manifest", "manifest_line", "effort_score") if c in ranked.columns],
         *([F.col("downloads_weekly").alias("from_downloads")] if "downloads_weekly" in ranked.columns else []),
     )
+
+
+# ---- verification of fan-out candidates -----------------------------------------------------
+
+KEEP_CASES = ("no_repo", "unknown", "monorepo", "direct")
+
+
+def flt_direct_dep_verdicts(fan: DataFrame, verdicts: DataFrame | None, names: DataFrame | None) -> DataFrame:
+    """Attach the five-way case to every (replacement, dependent) candidate.
+
+    no repo URL -> keep; unknown manifest -> keep; not a JS project -> drop;
+    monorepo without lockfile -> keep; otherwise keep iff the from-package is a
+    direct dependency (a join against the exploded direct-dependency table).
+    ``verdicts is None`` means verification is disabled: every candidate is kept.
+    """
+    from_name = purl_name("from_purl")
+    x = fan.withColumn("__from_name", from_name)
+    if verdicts is None:
+        return x.withColumn("dep_case", F.lit("unverified")).withColumn("keep", F.lit(True)).drop("__from_name")
+    v = verdicts.select(F.col("repo_url").alias("__vu"), F.col("verdict"))
+    n = names.select(F.col("repo_url").alias("__nu"), F.col("name").alias("__nn"), F.lit(True).alias("__present"))
+    j = x.join(v, x.dep_repo_url == v["__vu"], "left")
+    j = j.join(n, (j.dep_repo_url == n["__nu"]) & (j["__from_name"] == n["__nn"]), "left")
+    case = (
+        F.when(F.coalesce(F.col("dep_repo_url"), F.lit("")) == "", F.lit("no_repo"))
+        .when(F.col("verdict").isNull() | (F.col("verdict") == "unknown"), F.lit("unknown"))
+        .when(F.col("verdict") == "not_js", F.lit("not_js"))
+        .when(F.col("verdict") == "monorepo", F.lit("monorepo"))
+        .when(F.coalesce(F.col("__present"), F.lit(False)), F.lit("direct"))
+        .otherwise(F.lit("transitive"))
+    )
+    return (
+        j.withColumn("dep_case", case)
+        .withColumn("keep", F.col("dep_case").isin(*KEEP_CASES))
+        .drop("__vu", "__nu", "__nn", "__present", "verdict", "__from_name")
+    )
+
+
+def flt_direct_dep(fan: DataFrame, verdicts: DataFrame | None, names: DataFrame | None) -> DataFrame:
+    return flt_direct_dep_verdicts(fan, verdicts, names).where("keep")
+
+
+def agg_filter_counters(cases: DataFrame) -> DataFrame:
+    """kept / dropped / unknown / monorepo / not_js counters of the direct-dependency filter."""
+    c = F.col("dep_case")
+    return cases.agg(
+        F.count_if(F.col("keep")).cast("bigint").alias("kept"),
+        F.count_if(~F.col("keep")).cast("bigint").alias("dropped"),
+        F.count_if(c.isin("no_repo", "unknown")).cast("bigint").alias("unknown"),
+        F.count_if(c == "monorepo").cast("bigint").alias("monorepo"),
+        F.count_if(c == "not_js").cast("bigint").alias("not_js"),
+    )
+
+
+def join_locations(cases: DataFrame, files: DataFrame) -> DataFrame:
+    """(dep_purl, from_purl) -> declared locations, for candidates kept as direct dependencies."""
+    from ranktide.sources.manifests import man_dep_locations
+
+    direct = cases.where(F.col("dep_case") == "direct").select(
+        "dep_purl", "from_purl", F.col("dep_repo_url").alias("repo_url"), purl_name("from_purl").alias("name")
+    )
+    locs = man_dep_locations(direct.select("repo_url", "name").distinct(), files)
+    return direct.join(locs, ["repo_url", "name"]).select("dep_purl", "from_purl", "locations")
+
+
+def pipe_fanout(fan: DataFrame, files: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Verified fan-out pairs, their locations (or None) and the filter's cases."""
+    from ranktide.sources.manifests import man_direct_deps
+
+    if files is None:
+        cases = flt_direct_dep_verdicts(fan, None, None)
+        return cases.where("keep"), None, cases
+    verdicts, names = man_direct_deps(files)
+    cases = flt_direct_dep_verdicts(fan, verdicts, names)
+    return cases.where("keep"), join_locations(cases, files), cases

@@ -333,3 +333,170 @@ def dependents_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("p", lambda x: x.dropFields("rn")).alias("payload"),
         F.col("written_at"),
     )
+
+
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed repository files per order repo: (owner, repo, repo_url, path, status, text).
+
+    ``package.json`` lists the order's line items as dependencies (odd line
+    numbers runtime, even dev); returned ('R') items are left out (transitive
+    only). Some repos are monorepos with a ``pnpm-lock.yaml`` (importers block),
+    some answer 404 / 500, some hold malformed or non-object JSON. The three
+    root lockfiles are probed with HEAD-style statuses. Per-order collects are
+    bounded by the line items of one order.
+    """
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    g = li.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("items")
+    )
+    o = F.col("l_orderkey")
+    listed = F.filter("items", lambda x: x["l_returnflag"] != "R")
+    runtime = F.filter(listed, lambda x: x["l_linenumber"] % 2 == 1)
+    dev = F.filter(listed, lambda x: x["l_linenumber"] % 2 == 0)
+
+    def dep_lines(arr, extra=None):
+        body = F.transform(arr, lambda x: F.concat(F.lit('    "part-'), x["l_partkey"].cast("string"), F.lit('": "^'), x["l_linenumber"].cast("string"), F.lit('.0.0"')))
+        if extra is not None:
+            body = F.concat(body, extra)
+        return F.array_join(body, ",\n")
+
+    tiny = F.when(o % 11 == 0, F.array(F.lit('    "tinybench": "^2.0.0"'))).otherwise(F.array().cast("array<string>"))
+    first_part = F.get(F.col("items"), 0)["l_partkey"].cast("string")
+    script2 = (
+        F.when(o % 5 == 0, F.lit('    "bench:run": "node bench.js"'))
+        .when(o % 7 == 0, F.lit('    "ci": "vitest run && bench-report"'))
+        .when(o % 7 == 1, F.lit('    "test:perf": "vitest bench src/"'))
+        .otherwise(F.lit('    "test": "jest"'))
+    )
+    monorepo = o % 13 == 0
+    pkg = F.concat_ws(
+        "\n",
+        F.lit("{"),
+        F.concat(F.lit('  "name": "order-'), o.cast("string"), F.lit('",')),
+        F.lit('  "version": "1.0.0",'),
+        F.when(o % 2 == 0, F.concat(F.lit('  "overrides": {\n    "part-'), first_part, F.lit('": "1.0.0"\n  },'))),
+        F.when(o % 3 > 0, F.array_join(F.transform(F.sequence(F.lit(1), (o % 3).cast("int")), lambda k: F.concat(F.lit('  "x-pad-'), k.cast("string"), F.lit('": '), k.cast("string"), F.lit(","))), "\n")),
+        F.concat(F.lit('  "scripts": {\n    "build": "tsc",\n'), script2, F.lit("\n  },")),
+        F.when(monorepo, F.when(o % 2 == 0, F.lit('  "workspaces": {"packages": ["packages/*"]},')).otherwise(F.lit('  "workspaces": ["packages/*"],'))),
+        F.concat(F.lit('  "dependencies": {\n'), dep_lines(runtime), F.lit("\n  },")),
+        F.concat(F.lit('  "devDependencies": {\n'), dep_lines(dev, tiny), F.lit("\n  }")),
+        F.lit("}"),
+    )
+    pkg_text = F.when(o % 23 == 0, F.lit("not json {")).when(o % 29 == 0, F.lit("[1, 2]")).otherwise(pkg)
+    pkg_status = F.when(o % 17 == 0, F.lit(404)).when(o % 19 == 0, F.lit(500)).otherwise(F.lit(200))
+
+    def imp_block(ws: str, section: str, arr):
+        return F.concat(
+            F.lit(f"  {ws}:\n    {section}:\n"),
+            F.array_join(F.transform(arr, lambda x: F.concat(
+                F.lit("      part-"), x["l_partkey"].cast("string"), F.lit(":\n        specifier: ^1.0.0\n        version: 1.0.0"))), "\n"),
+        )
+
+    lock = F.concat_ws(
+        "\n",
+        F.lit("lockfileVersion: '9.0'"),
+        F.lit(""),
+        F.lit("importers:"),
+        F.lit(""),
+        imp_block("'.'", "dependencies", runtime),
+        imp_block("packages/app", "devDependencies", dev),
+        F.lit(""),
+        F.lit("packages:"),
+        F.concat(F.lit("  part-"), first_part, F.lit("@1.0.0:\n    resolution: {integrity: sha512-x}")),
+    )
+    has_lock = monorepo & (o % 26 != 0)
+    lock_status = F.when(has_lock | ((o % 17 == 0) & (o % 2 == 0)), F.lit(200)).otherwise(F.lit(404))
+    yarn_status = F.when((o % 17 == 0) & (o % 3 == 0), F.lit(503)).otherwise(F.lit(404))
+    base = g.select(
+        F.lit("cust").alias("owner"),
+        F.concat(F.lit("order-"), o.cast("string")).alias("repo"),
+        F.concat(F.lit("https://github.com/cust/order-"), o.cast("string")).alias("repo_url"),
+        F.array(
+            F.struct(F.lit("package.json").alias("path"), pkg_status.alias("status"), F.when(pkg_status == 200, pkg_text).alias("text")),
+            F.struct(F.lit("pnpm-lock.yaml").alias("path"), lock_status.alias("status"), F.when(has_lock, lock).alias("text")),
+            F.struct(F.lit("yarn.lock").alias("path"), yarn_status.alias("status"), F.lit(None).cast("string").alias("text")),
+            F.struct(F.lit("package-lock.json").alias("path"), F.lit(404).alias("status"), F.lit(None).cast("string").alias("text")),
+        ).alias("files"),
+    )
+    return base.select("owner", "repo", "repo_url", F.inline("files"))
+
+
+# Replacement manifests: file name and the axis recorded for its entries (fixed values).
+MANIFESTS = (("preferred.json", "perf"), ("native.json", "bloat"), ("micro-utilities.json", "bloat"))
+REPLACEMENT_TYPES = ("documented", "native", "simple", "removal")
+
+
+def _manifest_of(k: Column) -> tuple[Column, Column]:
+    name = F.lit(MANIFESTS[2][0])
+    axis = F.lit(MANIFESTS[2][1])
+    for i in (1, 0):
+        name = F.when(k % 3 == i, F.lit(MANIFESTS[i][0])).otherwise(name)
+        axis = F.when(k % 3 == i, F.lit(MANIFESTS[i][1])).otherwise(axis)
+    return name, axis
+
+
+def e18e_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest ``mappings`` entries: (manifest, axis, from_name, ids, k) - one per part."""
+    li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    g = li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s1"), F.max("l_suppkey").alias("s2"))
+    k = F.col("l_partkey")
+    name, axis = _manifest_of(k)
+    ids = F.array(F.concat(F.lit("r"), _s("s1")), F.concat(F.lit("r"), _s("s2")))
+    ids = F.when(k % 11 == 0, F.concat(ids, F.array(F.concat(F.lit("unknown-"), _s(k))))).otherwise(ids)
+    return g.select(name.alias("manifest"), axis.alias("axis"), F.concat(F.lit("part-"), _s(k)).alias("from_name"), ids.alias("ids"), k.alias("k"))
+
+
+def e18e_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest ``replacements`` entries: (manifest, id, type, replacementModule) per supplier and manifest."""
+    su = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    rows = []
+    for idx, (m, _axis) in enumerate(MANIFESTS):
+        t = F.element_at(F.array(*[F.lit(x) for x in REPLACEMENT_TYPES]), ((F.col("s_nationkey") + idx) % 4 + 1).cast("int"))
+        rows.append(su.select(
+            F.lit(m).alias("manifest"), F.concat(F.lit("r"), _s("s_suppkey")).alias("id"), t.alias("type"),
+            F.when((t == "documented") & (F.col("s_suppkey") % 5 != 0), F.concat(F.lit("mod-"), _s("s_suppkey"))).alias("replacementModule"),
+            F.col("s_suppkey"),
+        ))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def e18e_manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest files as line tables (manifest, line_no, line), never assembled into one string.
+
+    Layout: ``{`` / ``"mappings": {`` / four lines per mapping (entry r of a
+    manifest starts at line 3 + 4r) / ``},`` / ``"replacements": {`` / three
+    lines per replacement / closing braces.
+    """
+    mp = e18e_mappings(spark, sf_dir).withColumn("r", F.floor(F.col("k") / 3))
+    n = mp.groupBy("manifest").agg(F.count(F.lit(1)).alias("n"))
+    rp = e18e_replacements(spark, sf_dir)
+    mins = rp.groupBy("manifest").agg(F.min("s_suppkey").alias("s0"), F.count(F.lit(1)).alias("m"))
+    mp = mp.join(n, "manifest")
+    base = F.lit(3) + F.col("r") * 4
+    ids_json = F.array_join(F.transform("ids", lambda i: F.concat(F.lit('"'), i, F.lit('"'))), ", ")
+    entry = F.array(
+        F.struct(base.alias("line_no"), F.concat(F.lit('    "'), F.col("from_name"), F.lit('": {')).alias("line")),
+        F.struct((base + 1).alias("line_no"), F.lit('      "type": "module",').alias("line")),
+        F.struct((base + 2).alias("line_no"), F.concat(F.lit('      "replacements": ['), ids_json, F.lit("]")).alias("line")),
+        F.struct((base + 3).alias("line_no"), F.when(F.col("r") == F.col("n") - 1, F.lit("    }")).otherwise(F.lit("    },")).alias("line")),
+    )
+    e_lines = mp.select("manifest", F.inline(entry))
+    rj = rp.join(mins, "manifest").join(n, "manifest")
+    j = F.col("s_suppkey") - F.col("s0")
+    rb = F.lit(5) + F.col("n") * 4 + j * 3
+    r_entry = F.array(
+        F.struct(rb.alias("line_no"), F.concat(F.lit('    "'), F.col("id"), F.lit('": {')).alias("line")),
+        F.struct((rb + 1).alias("line_no"), F.concat(F.lit('      "type": "'), F.col("type"), F.lit('"')).alias("line")),
+        F.struct((rb + 2).alias("line_no"), F.when(j == F.col("m") - 1, F.lit("    }")).otherwise(F.lit("    },")).alias("line")),
+    )
+    r_lines = rj.select("manifest", F.inline(r_entry))
+    frame = n.join(mins, "manifest").select("manifest", F.inline(F.array(
+        F.struct(F.lit(1).cast("bigint").alias("line_no"), F.lit("{").alias("line")),
+        F.struct(F.lit(2).cast("bigint").alias("line_no"), F.lit('  "mappings": {').alias("line")),
+        F.struct((F.col("n") * 4 + 3).cast("bigint").alias("line_no"), F.lit("  },").alias("line")),
+        F.struct((F.col("n") * 4 + 4).cast("bigint").alias("line_no"), F.lit('  "replacements": {').alias("line")),
+        F.struct((F.col("n") * 4 + 5 + F.col("m") * 3).cast("bigint").alias("line_no"), F.lit("  }").alias("line")),
+        F.struct((F.col("n") * 4 + 6 + F.col("m") * 3).cast("bigint").alias("line_no"), F.lit("}").alias("line")),
+    )))
+    cast = lambda d: d.select("manifest", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    return cast(frame).unionByName(cast(e_lines)).unionByName(cast(r_lines))

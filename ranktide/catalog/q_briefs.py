@@ -56,7 +56,14 @@ SELECT project_purl, string_agg(ctype || '|' || cid, ';' ORDER BY pos) AS citati
            CASE WHEN kind = 'vulnerability-fix' THEN 'advisory' ELSE 'e18e-replacement' END AS ctype,
            CASE WHEN kind = 'vulnerability-fix' THEN adv_id
                 ELSE m.manifest || '#' || CASE WHEN starts_with(from_purl, 'pkg:npm/') THEN substr(from_purl, 9) ELSE from_purl END END AS cid
-    FROM topo LEFT JOIN (SELECT DISTINCT id AS rid, manifest FROM replacements) m ON m.rid = topo.finding_id)
+    FROM topo LEFT JOIN (SELECT DISTINCT id AS rid, manifest FROM replacements) m ON m.rid = topo.finding_id
+    UNION ALL
+    SELECT t.project_purl, t.opp_rank * 100 + l.ord AS pos, 'dependency-location' AS ctype, l.loc AS cid
+    FROM topo t
+    JOIN (SELECT dep_purl, from_purl, unnest(string_split(locations, ';')) AS loc,
+                 generate_subscripts(string_split(locations, ';'), 1) AS ord FROM floc) l
+      ON l.dep_purl = t.project_purl AND l.from_purl = t.from_purl
+    WHERE t.kind <> 'vulnerability-fix')
   GROUP BY project_purl, ctype, cid)
 GROUP BY project_purl"""
 

@@ -13,6 +13,7 @@ from ranktide.catalog import q_fanout as QF
 from ranktide.catalog import q_pipeline as QP
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.registry import register
+from ranktide.catalog.repo_sql import _LOC_SQL, REPO_CTES
 from ranktide.functions.strings import permalink_locations
 from ranktide.operators import lines as LN
 from ranktide.plans import fanout as FO
@@ -23,56 +24,6 @@ from ranktide.sources import replacements as RP
 # ---------------------------------------------------------------------------------------------
 # Oracle CTEs: expected repository facts per order
 
-REPO_CTES = """
-oi AS (
-  SELECT l_orderkey AS o, l_partkey AS pk, l_linenumber AS ln, l_suppkey AS sk, l_returnflag AS fl,
-         l_returnflag <> 'R' AS listed, l_linenumber % 2 = 1 AS rt
-  FROM lineitem
-),
-oik AS (SELECT *, row_number() OVER (PARTITION BY o, rt ORDER BY ln, pk, sk, fl) AS k FROM oi WHERE listed),
-ord AS (
-  SELECT o, count(*) FILTER (WHERE listed AND rt) AS n_r, count(*) FILTER (WHERE listed AND NOT rt) AS n_d,
-         count(*) FILTER (WHERE listed) AS n_listed
-  FROM oi GROUP BY o
-),
-rexp AS (
-  SELECT o, 'https://github.com/cust/order-' || o AS repo_url, n_r, n_d, n_listed,
-         (o % 17 <> 0 AND o % 19 <> 0 AND o % 23 <> 0 AND o % 29 <> 0) AS ok,
-         (o % 13 = 0) AS mono, (o % 13 = 0 AND o % 26 <> 0) AS has_lock,
-         3 + CASE WHEN o % 2 = 0 THEN 3 ELSE 0 END + (o % 3) + 4 + CASE WHEN o % 13 = 0 THEN 1 ELSE 0 END AS l0,
-         CASE WHEN (o % 13 = 0 AND o % 26 <> 0) OR (o % 17 = 0 AND o % 2 = 0) THEN TRUE
-              WHEN o % 17 = 0 AND o % 3 = 0 THEN NULL ELSE FALSE END AS has_root_lockfile
-  FROM ord
-),
-rverd AS (
-  SELECT *, CASE WHEN o % 17 = 0 THEN CASE WHEN has_root_lockfile = FALSE THEN 'not_js' ELSE 'unknown' END
-                 WHEN NOT ok THEN 'unknown'
-                 WHEN mono THEN CASE WHEN has_lock AND n_listed > 0 THEN 'set' ELSE 'monorepo' END
-                 ELSE 'set' END AS verdict
-  FROM rexp
-),
-dnames AS (
-  SELECT DISTINCT r.repo_url, 'part-' || i.pk AS name FROM rverd r JOIN oi i ON i.o = r.o WHERE r.verdict = 'set' AND i.listed
-  UNION
-  SELECT repo_url, 'tinybench' FROM rverd WHERE verdict = 'set' AND NOT mono AND o % 11 = 0
-),
-deplines AS (
-  SELECT repo_url, name, CAST(min(line) AS INTEGER) AS line FROM (
-    SELECT r.repo_url, 'part-' || k.pk AS name,
-           CASE WHEN k.rt THEN r.l0 + 1 + k.k ELSE r.l0 + greatest(r.n_r, 1) + 3 + k.k END AS line
-    FROM rexp r JOIN oik k ON k.o = r.o WHERE r.ok
-    UNION ALL
-    SELECT repo_url, 'tinybench', l0 + greatest(n_r, 1) + 3 + n_d + 1 FROM rexp WHERE ok AND o % 11 = 0)
-  GROUP BY repo_url, name
-),
-lockrows AS (
-  SELECT r.repo_url, CASE WHEN k.rt THEN '.' ELSE 'packages/app' END AS workspace,
-         CASE WHEN k.rt THEN 'dependencies' ELSE 'devDependencies' END AS section, 'part-' || k.pk AS dep,
-         CASE WHEN k.rt THEN 7 + 3 * (k.k - 1) ELSE 9 + greatest(3 * r.n_r, 1) + 3 * (k.k - 1) END AS line_no
-  FROM rexp r JOIN oik k ON k.o = r.o WHERE r.has_lock
-)"""
-
-
 def _rsql(body: str, extra: list[str] | None = None) -> str:
     return with_views([], body, [REPO_CTES] + (extra or []))
 
@@ -163,20 +114,6 @@ def man_bench_signal(spark, sf):
     return MF.man_bench_signal(files).join(served, "repo_url", "left_semi")
 
 
-_LOC_SQL = """
-SELECT repo_url, name, string_agg(loc, ';' ORDER BY pos) AS locations FROM (
-  SELECT d.repo_url, d.name, 'package.json#L' || l.line AS loc, l.line AS pos
-  FROM dnames d JOIN rverd r ON r.repo_url = d.repo_url AND NOT r.mono JOIN deplines l ON l.repo_url = d.repo_url AND l.name = d.name
-  UNION ALL
-  SELECT d.repo_url, d.name, f AS loc, pos FROM (
-    SELECT repo_url, dep AS name, CASE WHEN workspace IN ('', '.') THEN 'package.json' ELSE workspace || '/package.json' END AS f,
-           min(line_no) AS pos
-    FROM lockrows GROUP BY 1, 2, 3) x
-  JOIN dnames d ON d.repo_url = x.repo_url AND d.name = x.name
-  JOIN rverd r ON r.repo_url = d.repo_url AND r.mono)
-GROUP BY repo_url, name"""
-
-
 def _loc_str(col):
     return F.array_join(F.transform(col, lambda l: F.concat(l["file"], F.when(l["line"].isNotNull(), F.concat(F.lit("#L"), l["line"].cast("string"))).otherwise(F.lit("")))), ";")
 
@@ -278,18 +215,18 @@ cases AS (
               WHEN v.verdict = 'not_js' THEN 'not_js'
               WHEN v.verdict = 'monorepo' THEN 'monorepo'
               WHEN d.name IS NOT NULL THEN 'direct' ELSE 'transitive' END AS dep_case
-  FROM fanx f
+  FROM fanx_all f
   LEFT JOIN rverd v ON v.repo_url = f.dep_repo_url
   LEFT JOIN dnames d ON d.repo_url = f.dep_repo_url AND d.name = substr(f.from_purl, 9)
 )"""
 
 
 def _fsql(body: str, extra: list[str] | None = None) -> str:
-    return with_views(QP._VIEWS, body, QP._CTES + [REPO_CTES, _CASE_SQL] + (extra or []))
+    return with_views(QP._VIEWS, body, QP._CTES + [_CASE_SQL] + (extra or []))
 
 
 def _cases(spark, sf):
-    adv, fan, downloads, meta = QP.pipeline_inputs(spark, sf)
+    fan, _downloads = QP.fanout_candidates(spark, sf)
     v, n = MF.man_direct_deps(_files(spark, sf))
     return FO.flt_direct_dep_verdicts(fan, v, n)
 
@@ -356,7 +293,7 @@ WHERE c.dep_case IN ('no_repo', 'unknown', 'monorepo', 'direct')""", [_JLOC_SQL]
 )
 def pipe_fanout(spark, sf):
     """Dedupe -> top 40 by downloads -> tiered dependents -> direct-dependency filter -> locations."""
-    adv, fan, downloads, meta = QP.pipeline_inputs(spark, sf)
+    fan, _downloads = QP.fanout_candidates(spark, sf)
     kept, locs, _cases_df = FO.pipe_fanout(fan, _files(spark, sf))
     j = kept.join(locs, ["dep_purl", "from_purl"], "left")
     return j.select("from_purl", "dep_purl", "dep_case", _loc_str(F.col("locations")).alias("locations"))

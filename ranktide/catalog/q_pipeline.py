@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ranktide.catalog import q_advisories as QA
 from ranktide.catalog import q_fanout as QF
+from ranktide.catalog import repo_sql as RS
 from ranktide.catalog import sqlfn as Q
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.registry import register
@@ -19,6 +20,7 @@ from ranktide.sources import advisories as ADV
 from ranktide.sources import bridge as B
 from ranktide.sources import dependents as D
 from ranktide.sources import lookups as L
+from ranktide.sources import manifests as MF
 
 TOP_N = 20
 
@@ -26,26 +28,52 @@ TOP_N = 20
 # Spark side
 
 
-def pipeline_inputs(spark, sf):
-    """Bridge tables -> (filtered advisories, verified fan-out pairs, downloads, repo meta)."""
-    adv = ADV.flatten(B.nested_advisories(spark, sf), only_unpatched=True)
-    adv = ADV.flt_sibling_patched(adv)
-    adv = FL.flt_outdated(adv, L.src_latest_version(B.registry_docs(spark, sf)))
+def fanout_candidates(spark, sf):
+    """Top-40 replacement candidates x their tiered dependents (before verification), plus downloads."""
     downloads = L.src_weekly_downloads(W.win_latest_project(B.projects(spark, sf)))
     tf = FO.top_fanout(B.replacements(spark, sf), downloads, FO.FANOUT_TOP_N)
     req = tf.select(F.substring("from_purl", 9, 1 << 20).alias("name"))
     prim = D.src_dependents_sbom_join(B.sbom_edges(spark, sf), B.repositories(spark, sf), D.MIN_STARS, D.DEFAULT_TOP_K)
     fb = D.src_dependents_registry(B.registry_dependents(spark, sf), D.DEFAULT_TOP_K)
     tiered = D.join_tiered_source(req, B.dependents_cache(spark, sf), prim, fb, QF.CACHE_WEEK, D.DEFAULT_TOP_K)
-    fan = FO.join_fanout_dependents(tf, tiered)
-    meta = L.src_repo_meta(B.repo_meta_docs(spark, sf))
-    return adv, fan, downloads, meta
+    return FO.join_fanout_dependents(tf, tiered), downloads
+
+
+def pipeline_inputs(spark, sf):
+    """Bridge tables -> filtered advisories, verified fan-out pairs with locations, lookups, bench info."""
+    adv = ADV.flatten(B.nested_advisories(spark, sf), only_unpatched=True)
+    adv = ADV.flt_sibling_patched(adv)
+    adv = FL.flt_outdated(adv, L.src_latest_version(B.registry_docs(spark, sf)))
+    fan, downloads = fanout_candidates(spark, sf)
+    files = B.repo_files(spark, sf)
+    kept, locations, _cases = FO.pipe_fanout(fan, files)
+    return {
+        "advisories": adv, "fan": kept, "locations": locations, "downloads": downloads,
+        "repo_meta": L.src_repo_meta(B.repo_meta_docs(spark, sf)), "bench": MF.man_bench_signal(files),
+    }
+
+
+# Checkpointed pipeline stages are written once per (session, input folder) and
+# shared by every query derived from them, like materialised intermediate
+# tables. The benchmark turns this off so each run measures the whole pipeline.
+REUSE_STAGES = True
+_STAGES: dict[tuple[str, str], dict] = {}
 
 
 def ranked(spark, sf):
-    adv, fan, downloads, meta = pipeline_inputs(spark, sf)
-    adv, fan = cut_lineage(adv), cut_lineage(fan)
-    return P.rank_briefs(adv, fan, downloads, meta, DEFAULT_AS_OF, stage=cut_lineage)
+    key = (spark.sparkContext.applicationId, sf)
+    if REUSE_STAGES and key in _STAGES:
+        return _STAGES[key]
+    out = _ranked(spark, sf)
+    if REUSE_STAGES:
+        _STAGES[key] = out
+    return out
+
+
+def _ranked(spark, sf):
+    i = pipeline_inputs(spark, sf)
+    adv, fan, locs = cut_lineage(i["advisories"]), cut_lineage(i["fan"]), cut_lineage(i["locations"])
+    return P.rank_briefs(adv, fan, i["downloads"], i["repo_meta"], DEFAULT_AS_OF, bench=i["bench"], locations=locs, stage=cut_lineage)
 
 
 def _brief_out(df):
@@ -76,12 +104,29 @@ adv_ok AS (
     AND (coalesce(a.affected_versions, '') = '' OR l.latest IS NULL
          OR coalesce({Q.version_in_range('l.latest', 'a.affected_versions')}, TRUE))
 ),
-fanx AS (
+fanx_all AS (
   SELECT f.from_purl, f.id AS rep_id, f.axis, f.effort, f.to_purls, f.manifest, f.manifest_line, f.seq, f.first_seq,
          f.downloads_weekly, {Q.band_score('f.effort')} AS effort_score,
          t.purl AS dep_purl, t.name AS dep_name, t.repo_url AS dep_repo_url, t.rank AS dep_rank
   FROM top_fanout f JOIN tiered t ON t.parent = {Q.purl_name('f.from_purl')}
 ),
+fcases AS (
+  SELECT f.*,
+         CASE WHEN coalesce(f.dep_repo_url, '') = '' THEN 'no_repo'
+              WHEN v.verdict IS NULL OR v.verdict = 'unknown' THEN 'unknown'
+              WHEN v.verdict = 'not_js' THEN 'not_js'
+              WHEN v.verdict = 'monorepo' THEN 'monorepo'
+              WHEN d.name IS NOT NULL THEN 'direct' ELSE 'transitive' END AS dep_case
+  FROM fanx_all f
+  LEFT JOIN rverd v ON v.repo_url = f.dep_repo_url
+  LEFT JOIN dnames d ON d.repo_url = f.dep_repo_url AND d.name = {Q.purl_name('f.from_purl')}
+),
+fanx AS (SELECT * FROM fcases WHERE dep_case IN ('no_repo', 'unknown', 'monorepo', 'direct')),
+floc AS (
+  SELECT f.dep_purl, f.from_purl, l.locations FROM fanx f
+  JOIN rlocs l ON l.repo_url = f.dep_repo_url AND l.name = {Q.purl_name('f.from_purl')}
+  WHERE f.dep_case = 'direct'
+),
 findings AS (
   SELECT project_purl, repo_url, 0 AS src, CAST(sev_rank AS BIGINT) AS k1, CAST(page_pos AS BIGINT) AS k2, id AS k3,
          CAST(vuln_pos AS BIGINT) AS k4, FALSE AS is_fanout FROM adv_ok
@@ -102,11 +147,13 @@ byp AS (
 hydr AS (
   SELECT b.project_purl AS purl, {Q.purl_name('b.project_purl')} AS name, b.repo_url, CAST(NULL AS BIGINT) AS stars,
          d.downloads_weekly, m.last_merged_pr_at AS last_pr_merged_at, coalesce(m.is_archived, FALSE) AS archived,
-         m.head_sha, CASE WHEN b.has_repl AND coalesce(b.repo_url, '') <> '' THEN FALSE END AS has_benchmarks,
+         m.head_sha, CASE WHEN b.has_repl AND coalesce(b.repo_url, '') <> '' THEN coalesce(rb.has, FALSE) END AS has_benchmarks,
+         CASE WHEN b.has_repl AND coalesce(b.repo_url, '') <> '' THEN rb.sig END AS bench_signal,
          b.has_repl, b.f_src, b.f_k1, b.f_k2, b.f_k3, b.f_k4
   FROM byp b
   LEFT JOIN downloads d ON d.name = {Q.purl_name('b.project_purl')}
   LEFT JOIN (SELECT * FROM meta WHERE known) m ON m.repo_url = b.repo_url
+  LEFT JOIN rbench rb ON rb.repo_url = b.repo_url
 ),
 elig AS (SELECT * FROM hydr WHERE NOT archived AND coalesce(downloads_weekly >= 50000, TRUE)),
 ov AS (
@@ -177,7 +224,7 @@ selected AS (
 _VIEWS = ["nested_flat", "registry_docs", "replacements", "projects", "dependents_cache", "sbom_edges", "repositories",
           "registry_dependents", "repo_meta_docs"]
 _CTES = [QA._FLAT_DOCS, QA._LATEST_SQL, QF._DEDUPE_SQL, QF._DL_SQL, QF._TOP_FANOUT_SQL, QF._REG_SQL, QF._PRIM_SQL,
-         QF._TIER_SQL, QA._META_SQL, _ADV_SQL]
+         QF._TIER_SQL, QA._META_SQL, RS.REPO_CTES, RS.REPO_BENCH_CTE, RS.LOC_CTE, _ADV_SQL]
 
 
 def _sql(body: str) -> str:

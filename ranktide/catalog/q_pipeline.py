@@ -205,26 +205,32 @@ briefs AS (
          e.f_src, e.f_k1, e.f_k2, e.f_k3, e.f_k4
   FROM topo t JOIN elig e ON e.purl = t.project_purl
   GROUP BY t.project_purl, e.name, e.f_src, e.f_k1, e.f_k2, e.f_k3, e.f_k4
-),
-qv AS (SELECT *, 0 AS cls FROM briefs WHERE top_kind = 'vulnerability-fix'
-       ORDER BY score DESC, f_src, f_k1, f_k2, f_k3, f_k4 LIMIT {TOP_N}),
-qr AS (SELECT *, 1 AS cls FROM briefs WHERE top_kind <> 'vulnerability-fix'
-       ORDER BY score DESC, f_src, f_k1, f_k2, f_k3, f_k4 LIMIT {TOP_N}),
-qboth AS (
+)"""
+
+
+def quota_ctes(n: int, suffix: str = "") -> str:
+    """Closed-form axis-quota selection of the top ``n`` briefs (CTE names end in ``suffix``)."""
+    return f"""
+qv{suffix} AS (SELECT *, 0 AS cls FROM briefs WHERE top_kind = 'vulnerability-fix'
+       ORDER BY score DESC, f_src, f_k1, f_k2, f_k3, f_k4 LIMIT {n}),
+qr{suffix} AS (SELECT *, 1 AS cls FROM briefs WHERE top_kind <> 'vulnerability-fix'
+       ORDER BY score DESC, f_src, f_k1, f_k2, f_k3, f_k4 LIMIT {n}),
+qboth{suffix} AS (
   SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, f_src, f_k1, f_k2, f_k3, f_k4) AS in_cls_rank,
          sum(1 - cls) OVER () AS n_v, sum(cls) OVER () AS n_r
-  FROM (SELECT * FROM qv UNION ALL SELECT * FROM qr)
+  FROM (SELECT * FROM qv{suffix} UNION ALL SELECT * FROM qr{suffix})
 ),
-selected AS (
+selected{suffix} AS (
   SELECT * FROM (
-    SELECT *, least(n_v, {TOP_N} - least({TOP_N // 3}, n_r)) AS v_take FROM qboth)
-  WHERE (cls = 0 AND in_cls_rank <= v_take) OR (cls = 1 AND in_cls_rank <= least(n_r, {TOP_N} - v_take))
+    SELECT *, least(n_v, {n} - least({n // 3}, n_r)) AS v_take FROM qboth{suffix})
+  WHERE (cls = 0 AND in_cls_rank <= v_take) OR (cls = 1 AND in_cls_rank <= least(n_r, {n} - v_take))
 )"""
 
+
 _VIEWS = ["nested_flat", "registry_docs", "replacements", "projects", "dependents_cache", "sbom_edges", "repositories",
           "registry_dependents", "repo_meta_docs"]
 _CTES = [QA._FLAT_DOCS, QA._LATEST_SQL, QF._DEDUPE_SQL, QF._DL_SQL, QF._TOP_FANOUT_SQL, QF._REG_SQL, QF._PRIM_SQL,
-         QF._TIER_SQL, QA._META_SQL, RS.REPO_CTES, RS.REPO_BENCH_CTE, RS.LOC_CTE, _ADV_SQL]
+         QF._TIER_SQL, QA._META_SQL, RS.REPO_CTES, RS.REPO_BENCH_CTE, RS.LOC_CTE, _ADV_SQL, quota_ctes(TOP_N)]
 
 
 def _sql(body: str) -> str:

@@ -41,6 +41,7 @@ def load_all() -> dict[str, Entry]:
         q_audits,
         q_briefs,
         q_fanout,
+        q_landing,
         q_manifests,
         q_marts,
         q_pipeline,

@@ -294,7 +294,7 @@ WHERE c.dep_case IN ('no_repo', 'unknown', 'monorepo', 'direct')""", [_JLOC_SQL]
 def pipe_fanout(spark, sf):
     """Dedupe -> top 40 by downloads -> tiered dependents -> direct-dependency filter -> locations."""
     fan, _downloads = QP.fanout_candidates(spark, sf)
-    kept, locs, _cases_df = FO.pipe_fanout(fan, _files(spark, sf))
+    kept, locs, _cases_df, _f = FO.pipe_fanout(fan, _files(spark, sf))
     j = kept.join(locs, ["dep_purl", "from_purl"], "left")
     return j.select("from_purl", "dep_purl", "dep_case", _loc_str(F.col("locations")).alias("locations"))
 

@@ -33,23 +33,24 @@ def fanout_candidates(spark, sf):
     downloads = L.src_weekly_downloads(W.win_latest_project(B.projects(spark, sf)))
     tf = FO.top_fanout(B.replacements(spark, sf), downloads, FO.FANOUT_TOP_N)
     req = tf.select(F.substring("from_purl", 9, 1 << 20).alias("name"))
-    prim = D.src_dependents_sbom_join(B.sbom_edges(spark, sf), B.repositories(spark, sf), D.MIN_STARS, D.DEFAULT_TOP_K)
-    fb = D.src_dependents_registry(B.registry_dependents(spark, sf), D.DEFAULT_TOP_K)
+    # The requested packages (<= FANOUT_TOP_N) are applied to every source before its ranking.
+    prim = D.src_dependents_sbom_join(B.sbom_edges(spark, sf), B.repositories(spark, sf), D.MIN_STARS, D.DEFAULT_TOP_K, parents=req)
+    fb = D.src_dependents_registry(B.registry_dependents(spark, sf), D.DEFAULT_TOP_K, parents=req)
     tiered = D.join_tiered_source(req, B.dependents_cache(spark, sf), prim, fb, QF.CACHE_WEEK, D.DEFAULT_TOP_K)
     return FO.join_fanout_dependents(tf, tiered), downloads
 
 
-def pipeline_inputs(spark, sf):
+def pipeline_inputs(spark, sf, stage=lambda d: d):
     """Bridge tables -> filtered advisories, verified fan-out pairs with locations, lookups, bench info."""
     adv = ADV.flatten(B.nested_advisories(spark, sf), only_unpatched=True)
     adv = ADV.flt_sibling_patched(adv)
     adv = FL.flt_outdated(adv, L.src_latest_version(B.registry_docs(spark, sf)))
     fan, downloads = fanout_candidates(spark, sf)
     files = B.repo_files(spark, sf)
-    kept, locations, _cases = FO.pipe_fanout(fan, files)
+    kept, locations, _cases, cand_files = FO.pipe_fanout(fan, files, stage)
     return {
         "advisories": adv, "fan": kept, "locations": locations, "downloads": downloads,
-        "repo_meta": L.src_repo_meta(B.repo_meta_docs(spark, sf)), "bench": MF.man_bench_signal(files),
+        "repo_meta": L.src_repo_meta(B.repo_meta_docs(spark, sf)), "bench": MF.man_bench_signal(cand_files),
     }
 
 
@@ -71,7 +72,7 @@ def ranked(spark, sf):
 
 
 def _ranked(spark, sf):
-    i = pipeline_inputs(spark, sf)
+    i = pipeline_inputs(spark, sf, stage=cut_lineage)
     adv, fan, locs = cut_lineage(i["advisories"]), cut_lineage(i["fan"]), cut_lineage(i["locations"])
     return P.rank_briefs(adv, fan, i["downloads"], i["repo_meta"], DEFAULT_AS_OF, bench=i["bench"], locations=locs, stage=cut_lineage)
 

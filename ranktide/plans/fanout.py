@@ -107,13 +107,22 @@ def join_locations(cases: DataFrame, files: DataFrame) -> DataFrame:
     return direct.join(locs, ["repo_url", "name"]).select("dep_purl", "from_purl", "locations")
 
 
-def pipe_fanout(fan: DataFrame, files: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Verified fan-out pairs, their locations (or None) and the filter's cases."""
+def pipe_fanout(fan: DataFrame, files: DataFrame | None, stage=lambda d: d) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame | None]:
+    """Verified fan-out pairs, their locations (or None), the filter's cases and the candidates' files.
+
+    ``stage`` materialises the candidate list and the candidates' repository
+    files (pass ``session.cut_lineage``); both are small by construction.
+    """
+    fan = stage(fan)
     from ranktide.sources.manifests import man_direct_deps
 
     if files is None:
         cases = flt_direct_dep_verdicts(fan, None, None)
-        return cases.where("keep"), None, cases
+        return cases.where("keep"), None, cases, None
+    # Only the candidates' repositories are read: at most FANOUT_TOP_N x DEPENDENTS_PER_REPLACEMENT
+    # URLs by construction (a limit and a per-parent top-k), so broadcasting them is bounded.
+    repos = fan.where(F.col("dep_repo_url").isNotNull()).select(F.col("dep_repo_url").alias("repo_url")).distinct()
+    files = stage(files.join(F.broadcast(repos), "repo_url", "left_semi"))
     verdicts, names = man_direct_deps(files)
     cases = flt_direct_dep_verdicts(fan, verdicts, names)
-    return cases.where("keep"), join_locations(cases, files), cases
+    return cases.where("keep"), join_locations(cases, files), cases, files

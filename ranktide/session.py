@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a Parquet table written under the shared checkpoint folder.
+
+    The stage is computed once, written, and read back: later stages depend on
+    files in the shared folder, not on the executors that produced them, so a
+    lost executor never forces a recomputation of earlier stages. (A reliable
+    ``Dataset.checkpoint`` would compute the plan twice; a local checkpoint
+    would not survive executor loss.)
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ranktide-stage-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -25,9 +25,17 @@ TIER_CACHE, TIER_PRIMARY, TIER_FALLBACK = 0, 1, 2
 # End of fixed values.
 
 
-def src_dependents_registry(reg: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+def _only(df: DataFrame, col: str, parents: DataFrame | None) -> DataFrame:
+    """Restrict edges to the requested parents before any ranking (requests are a bounded list)."""
+    if parents is None:
+        return df
+    p = F.broadcast(parents.select(F.col("name").alias("__req")).distinct())
+    return df.join(p, df[col] == p["__req"], "left_semi")
+
+
+def src_dependents_registry(reg: DataFrame, k: int = DEFAULT_TOP_K, parents: DataFrame | None = None) -> DataFrame:
     """Registry dependents: top-k per package by lifetime downloads; nameless rows dropped."""
-    r = reg.where(F.col("name").isNotNull() & (F.col("name") != ""))
+    r = _only(reg, "package", parents).where(F.col("name").isNotNull() & (F.col("name") != ""))
     top = top_k_per_group(
         r, ["package"], [F.col("downloads").desc_nulls_last(), F.col("name").asc()], k, rank_col="rank"
     )
@@ -41,14 +49,15 @@ def src_dependents_registry(reg: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame
     )
 
 
-def src_dependents_sbom_join(sboms: DataFrame, repos: DataFrame, min_stars: int = MIN_STARS, k: int = DEFAULT_TOP_K) -> DataFrame:
+def src_dependents_sbom_join(sboms: DataFrame, repos: DataFrame, min_stars: int = MIN_STARS, k: int = DEFAULT_TOP_K,
+                             parents: DataFrame | None = None) -> DataFrame:
     """SBOM edges joined to repository stars: npm packages used by GitHub repos.
 
     Written by the source as a LEFT JOIN, but the star filter makes it an inner
     join (Catalyst rewrites it). Invalid package names are never queried.
     Per package: stars desc, then owner/repo for a stable order, first k.
     """
-    s = sboms.where(
+    s = _only(sboms, "package_artifact_name", parents).where(
         (F.col("package_artifact_source") == "NPM")
         & (F.col("dependent_artifact_source") == "GITHUB")
         & F.col("package_artifact_name").rlike(NPM_NAME_PATTERN)

@@ -92,7 +92,7 @@ def parse_ts(value) -> Column:
     """ISO-8601 text -> TIMESTAMP_NTZ keeping the wall clock (zone suffix dropped); '' -> NULL."""
     v = F.nullif(as_col(value), F.lit(""))
     wall = F.regexp_replace(v, r"(Z|[+-][0-9]{2}:?[0-9]{2})$", "")
-    return F.try_to_timestamp(wall).cast("timestamp_ntz")
+    return wall.try_cast("timestamp_ntz")
 
 
 def json_evidence(evidence) -> Column:

@@ -61,6 +61,8 @@ def main() -> int:
     reg = load_all()
     keys = a.keys or sorted(reg)
     spark = build_session("local[8]")
+    if os.environ.get("SESSION_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")

@@ -35,13 +35,6 @@ def agg_easiest_band(df: DataFrame, keys: Sequence[str], band: str = "band") ->
     return g.select(*keys, names[F.greatest(F.col("__r"), F.lit(floor))].alias("effort"))
 
 
-def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str] | None = None) -> DataFrame:
-    """One row per key: the row with the greatest ``order`` struct (which must end in a unique key)."""
-    cols = list(cols or [c for c in df.columns if c not in keys])
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__best"))
-    return g.select(*keys, *[F.col("__best")[c].alias(c) for c in cols])
-
-
 def dedupe_easiest(replacements: DataFrame, seq: str = "seq") -> DataFrame:
     """Per from-package keep the highest effort score; ties keep the earlier row.
 
@@ -55,8 +48,3 @@ def dedupe_easiest(replacements: DataFrame, seq: str = "seq") -> DataFrame:
         F.min(seq).alias("first_seq"),
     )
     return g.select("from_purl", *[F.col("__best")[c].alias(c) for c in cols], "first_seq")
-
-
-def count_if_columns(df: DataFrame, conds: dict[str, Column]) -> DataFrame:
-    """One row of ``count_if`` counters (a global aggregate: partial counts per task, one final row)."""
-    return df.agg(*[F.count_if(c).cast("bigint").alias(name) for name, c in conds.items()])

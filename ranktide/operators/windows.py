@@ -55,15 +55,3 @@ def win_latest_transition(transitions: DataFrame) -> DataFrame:
 def win_dedupe_first(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
     """First seen row per key in arrival order ``seq``."""
     return latest_per_key(df, keys, [F.col(seq).asc()])
-
-
-def running_depth(df: DataFrame, doc_keys: Sequence[str], line_col: str, delta_col: str, out: str = "depth_before") -> DataFrame:
-    """Brace depth *before* each line: running sum of (opens - closes) over earlier lines."""
-    w = Window.partitionBy(*doc_keys).orderBy(line_col).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(delta_col).over(w), F.lit(0)))
-
-
-def carry_forward(df: DataFrame, doc_keys: Sequence[str], line_col: str, value_col: str, out: str) -> DataFrame:
-    """Last non-null ``value_col`` on an earlier-or-same line (section / workspace carry)."""
-    w = Window.partitionBy(*doc_keys).orderBy(line_col).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(value_col, ignorenulls=True).over(w))

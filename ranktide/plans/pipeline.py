@@ -35,9 +35,6 @@ MAX_OPPS_PER_PROJECT = 6
 TOP_N = 20
 # End of fixed values.
 
-ORDER_T = "struct<src:int,k1:bigint,k2:bigint,k3:string,k4:bigint>"
-
-
 def _order(src: int, k1, k2, k3, k4) -> Column:
     return F.struct(
         F.lit(src).cast("int").alias("src"), k1.cast("bigint").alias("k1"), k2.cast("bigint").alias("k2"),

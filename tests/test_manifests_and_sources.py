@@ -147,3 +147,37 @@ def test_running_sum_chunked_matches_plain(spark):
     a = {r.line_no: r.d for r in LN.running_sum_chunked(x, ["doc"], "delta", "d", chunk=7).collect()}
     b = {r.line_no: r.d_before for r in LN.with_depth(lines, ["doc"]).collect()}
     assert a == b
+
+
+MANIFEST = """{
+  "mappings": {
+    "is-number": {
+      "type": "module",
+      "replacements": ["doc-id"]
+    },
+    "other": {"type": "x"},
+    "is-nan": {
+      "type": "module",
+      "replacements": ["native-id"]
+    }
+  },
+  "replacements": {
+    "doc-id": {"id": "doc-id", "type": "documented", "replacementModule": "better-num"},
+    "native-id": {"id": "native-id", "type": "native"}
+  }
+}"""
+
+
+def test_replacement_manifest_document(spark):
+    from ranktide.sources import replacements as RP
+
+    docs = spark.createDataFrame([("preferred.json", "perf", MANIFEST)], "manifest string, axis string, text string")
+    mp, rp = RP.explode_manifest_doc(docs)
+    idx = LN.src_manifest_line_index(LN.to_lines(docs, ["manifest"]), ["manifest"])
+    assert {(r.key, r.line) for r in idx.collect()} == {("is-number", 3), ("other", 7), ("is-nan", 8)}
+    out = {r.from_purl: r for r in RP.src_replacement_manifests(mp, rp, idx).collect()}
+    assert set(out) == {"pkg:npm/is-number", "pkg:npm/is-nan"}  # "other" has neither target nor native id
+    a, b = out["pkg:npm/is-number"], out["pkg:npm/is-nan"]
+    assert (a.to_purls, a.axis, a.effort, a.manifest_line) == (["pkg:npm/better-num"], "perf", "minor-migration", 3)
+    assert (b.to_purls, b.effort, b.manifest_line) == (["pkg:npm/<native>"], "drop-in", 8)
+    assert b.evidence.citation_url.endswith("preferred.json#L8") and a.id == "e18e:preferred.json:is-number"

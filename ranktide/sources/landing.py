@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,14 +102,18 @@ def _date_buckets(df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFram
 def land_partitioned(df: DataFrame, root: str, source: str, rows_per_file: int = ROWS_PER_FILE) -> str:
     """Land rows of many dates in one job; only the dates present are replaced (dynamic overwrite)."""
     path = f"{root.rstrip('/')}/{source}"
-    out = conform(df, source).withColumn("dt", F.col("ingest_date"))
-    (
-        _date_buckets(out, rows_per_file)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt")
-        .parquet(path)
-    )
+    # Read twice (per-date counts, then the rows): keep it for the write instead of recomputing it.
+    out = conform(df, source).withColumn("dt", F.col("ingest_date")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        (
+            _date_buckets(out, rows_per_file)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("dt")
+            .parquet(path)
+        )
+    finally:
+        out.unpersist()
     return path
 
 
@@ -135,13 +140,17 @@ def stage_frame(landed: DataFrame, source: str, start: str, end: str) -> DataFra
 
 def write_staging(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write staged rows partitioned by date, replacing only the dates present (interval recompute)."""
-    (
-        _date_buckets(df.withColumn("dt", F.col("ingest_date")), rows_per_file)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt")
-        .parquet(path)
-    )
+    out = df.withColumn("dt", F.col("ingest_date")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        (
+            _date_buckets(out, rows_per_file)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("dt")
+            .parquet(path)
+        )
+    finally:
+        out.unpersist()
 
 
 def write_full(df: DataFrame, path: str) -> None:

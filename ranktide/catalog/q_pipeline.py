@@ -62,7 +62,11 @@ _STAGES: dict[tuple[str, str], dict] = {}
 
 
 def ranked(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext
+        app = str(id(spark))
+    key = (app, sf)
     if REUSE_STAGES and key in _STAGES:
         return _STAGES[key]
     out = _ranked(spark, sf)

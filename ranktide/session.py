@@ -38,17 +38,23 @@ def build_session(master: str | None = None, app: str = "ranktide", partitions:
     return spark
 
 
+_FALLBACK_DIR: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a scratch dir only if unset (tests)."""
+    """The shared checkpoint folder the cluster names; a scratch folder only when none is set (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="ranktide-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
+            d = None
+    if d:
+        return d
+    global _FALLBACK_DIR
+    if _FALLBACK_DIR is None:
+        _FALLBACK_DIR = tempfile.mkdtemp(prefix="ranktide-ckpt-")
+    return _FALLBACK_DIR
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -157,7 +157,10 @@ hydr AS (
          b.has_repl, b.f_src, b.f_k1, b.f_k2, b.f_k3, b.f_k4
   FROM byp b
   LEFT JOIN downloads d ON d.name = {Q.purl_name('b.project_purl')}
-  LEFT JOIN (SELECT * FROM meta WHERE known) m ON m.repo_url = b.repo_url
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner, repo ORDER BY repo_url) AS mrn FROM meta WHERE known)
+             WHERE mrn = 1) m
+    ON m.owner = nullif(regexp_extract(trim(b.repo_url), '^https?://github\\.com/([^/]+)/([^/?#]+?)(?:\\.git)?/?$', 1), '')
+   AND m.repo = nullif(regexp_extract(trim(b.repo_url), '^https?://github\\.com/([^/]+)/([^/?#]+?)(?:\\.git)?/?$', 2), '')
   LEFT JOIN rbench rb ON rb.repo_url = b.repo_url
 ),
 elig AS (SELECT * FROM hydr WHERE NOT archived AND coalesce(downloads_weekly >= 50000, TRUE)),

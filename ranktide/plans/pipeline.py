@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ranktide.functions import scoring as S
 from ranktide.functions.hashes import uuid5
-from ranktide.functions.strings import permalink_locations, pr_title, purl_name, slug
+from ranktide.functions.strings import permalink_locations, pr_title, purl_name, repo_name, repo_owner, slug
 from ranktide.functions.util import ts_ntz
 from ranktide.operators.filters import MIN_WEEKLY_DOWNLOADS, eligible
 from ranktide.operators.windows import top_k_per_group
@@ -92,10 +92,12 @@ def hydrate_projects(by_project: DataFrame, downloads: DataFrame, repo_meta: Dat
     p = by_project.withColumn("name", purl_name("project_purl"))
     d = downloads.select(F.col("name").alias("__dn"), F.col("downloads_weekly"))
     p = p.join(d, p["name"] == d["__dn"], "left").drop("__dn")
-    m = repo_meta.where(F.col("known")).select(
-        F.col("repo_url").alias("__mu"), F.col("is_archived"), F.col("last_merged_pr_at"), F.col("head_sha")
+    # Metadata is looked up by the parsed (owner, repo), one row per repository.
+    m = top_k_per_group(repo_meta.where(F.col("known")), ["owner", "repo"], [F.col("repo_url").asc()], 1).select(
+        F.col("owner").alias("__mo"), F.col("repo").alias("__mr"), F.col("is_archived"), F.col("last_merged_pr_at"), F.col("head_sha")
     )
-    p = p.join(m, p["repo_url"] == m["__mu"], "left").drop("__mu")
+    p = p.withColumn("__ow", repo_owner("repo_url")).withColumn("__rp", repo_name("repo_url"))
+    p = p.join(m, (p["__ow"] == m["__mo"]) & (p["__rp"] == m["__mr"]), "left").drop("__ow", "__rp", "__mo", "__mr")
     probe = F.col("has_replacements") & (F.coalesce(F.col("repo_url"), F.lit("")) != "")
     if bench is not None:
         b = bench.select(F.col("repo_url").alias("__bu"), F.col("has_benchmarks").alias("__bh"), F.col("bench_signal").alias("__bs"))

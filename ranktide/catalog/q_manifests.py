@@ -17,6 +17,7 @@ from ranktide.catalog.repo_sql import _LOC_SQL, REPO_CTES
 from ranktide.functions.strings import permalink_locations
 from ranktide.operators import lines as LN
 from ranktide.plans import fanout as FO
+from ranktide.session import cut_lineage
 from ranktide.sources import bridge as B
 from ranktide.sources import manifests as MF
 from ranktide.sources import replacements as RP
@@ -294,7 +295,7 @@ WHERE c.dep_case IN ('no_repo', 'unknown', 'monorepo', 'direct')""", [_JLOC_SQL]
 def pipe_fanout(spark, sf):
     """Dedupe -> top 40 by downloads -> tiered dependents -> direct-dependency filter -> locations."""
     fan, _downloads = QP.fanout_candidates(spark, sf)
-    kept, locs, _cases_df, _f = FO.pipe_fanout(fan, _files(spark, sf))
+    kept, locs, _cases_df, _f = FO.pipe_fanout(fan, _files(spark, sf), stage=cut_lineage)
     j = kept.join(locs, ["dep_purl", "from_purl"], "left")
     return j.select("from_purl", "dep_purl", "dep_case", _loc_str(F.col("locations")).alias("locations"))
 

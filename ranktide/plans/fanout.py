@@ -29,10 +29,10 @@ def top_fanout(replacements: DataFrame, downloads: DataFrame, n: int = FANOUT_TO
 def join_fanout_dependents(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     """Ranked replacement x its dependents (inner join on the short from-package name).
 
-    ``ranked`` holds at most ``FANOUT_TOP_N`` rows by construction, so it is
-    broadcast: its size bound is the ``limit`` above, not a guess.
+    ``ranked`` holds at most ``FANOUT_TOP_N`` rows when it comes from
+    ``top_fanout``; AQE sees that at run time and broadcasts it.
     """
-    r = F.broadcast(ranked.withColumn("__parent", purl_name("from_purl")))
+    r = ranked.withColumn("__parent", purl_name("from_purl"))
     j = edges.join(r, edges.parent == r["__parent"])
     return j.select(
         F.col("from_purl"), F.col("id").alias("rep_id"), F.col("first_seq"), F.col("seq"),
@@ -119,10 +119,10 @@ def pipe_fanout(fan: DataFrame, files: DataFrame | None, stage=lambda d: d) -> t
     if files is None:
         cases = flt_direct_dep_verdicts(fan, None, None)
         return cases.where("keep"), None, cases, None
-    # Only the candidates' repositories are read: at most FANOUT_TOP_N x DEPENDENTS_PER_REPLACEMENT
-    # URLs by construction (a limit and a per-parent top-k), so broadcasting them is bounded.
+    # Only the candidates' repositories are read (FANOUT_TOP_N x DEPENDENTS_PER_REPLACEMENT URLs in
+    # the pipeline); the staged candidate list has exact sizes, so AQE broadcasts it at run time.
     repos = fan.where(F.col("dep_repo_url").isNotNull()).select(F.col("dep_repo_url").alias("repo_url")).distinct()
-    files = stage(files.join(F.broadcast(repos), "repo_url", "left_semi"))
+    files = stage(files.join(repos, "repo_url", "left_semi"))
     verdicts, names = man_direct_deps(files)
     cases = flt_direct_dep_verdicts(fan, verdicts, names)
     return cases.where("keep"), join_locations(cases, files), cases, files

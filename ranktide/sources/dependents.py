@@ -26,10 +26,15 @@ TIER_CACHE, TIER_PRIMARY, TIER_FALLBACK = 0, 1, 2
 
 
 def _only(df: DataFrame, col: str, parents: DataFrame | None) -> DataFrame:
-    """Restrict edges to the requested parents before any ranking (requests are a bounded list)."""
+    """Restrict edges to the requested parents before any ranking.
+
+    A plain semi-join: AQE broadcasts the request list from its runtime size
+    (a few dozen names in the pipeline) and falls back to a shuffle join if a
+    caller passes a large one.
+    """
     if parents is None:
         return df
-    p = F.broadcast(parents.select(F.col("name").alias("__req")).distinct())
+    p = parents.select(F.col("name").alias("__req")).distinct()
     return df.join(p, df[col] == p["__req"], "left_semi")
 
 

@@ -38,11 +38,16 @@ def build_session(master: str | None = None, app: str = "ranktide", partitions:
     return spark
 
 
-_FALLBACK_DIR: str | None = None
+_LOCAL_DIR: str | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch folder only when none is set (tests)."""
+    """The shared checkpoint folder the cluster names.
+
+    Where none is set, a session that runs in one process (``local[...]``, as in
+    tests) gets a scratch folder; any other session must name a folder that all
+    executors share, so this raises.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         try:
@@ -51,10 +56,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
             d = None
     if d:
         return d
-    global _FALLBACK_DIR
-    if _FALLBACK_DIR is None:
-        _FALLBACK_DIR = tempfile.mkdtemp(prefix="ranktide-ckpt-")
-    return _FALLBACK_DIR
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    global _LOCAL_DIR
+    if _LOCAL_DIR is None:
+        _LOCAL_DIR = tempfile.mkdtemp(prefix="ranktide-ckpt-")
+    return _LOCAL_DIR
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

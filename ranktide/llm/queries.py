@@ -15,8 +15,11 @@ class Query:
 
 
 def load_llm() -> dict[str, Query]:
-    from ranktide.llm import sharding
+    from ranktide.llm import bpe, packing, sharding, token_files
 
     return {
+        "op2_token_files": Query(token_files.op2_token_files),
+        "op5_byte_bpe": Query(bpe.op5_byte_bpe),
         "op6_sharding": Query(sharding.op6_sharding, sharding.ORACLE_SQL),
+        "op7_packing": Query(packing.op7_packing),
     }

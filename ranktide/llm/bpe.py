@@ -45,101 +45,128 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.limit = ranks, states
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.grows = {t[:k] for t in ranks for k in range(1, len(t))}  # proper prefixes of tokens
+        #: Bytes -> 2 * rank (-2: no token) + whether they are a proper prefix of a token.
+        self.kind = {t: 2 * r for t, r in ranks.items()}
+        for t in ranks:
+            for k in range(1, len(t)):
+                self.kind[t[:k]] = self.kind.get(t[:k], -2) | 1
         self.longest = max(map(len, ranks))
         self.apart: dict[tuple[int, int], bool] = {}
+        self.made_of: dict[bytes, tuple[bytes, bytes]] = {}
+        self.parts_of: dict[tuple[bytes, int], list[tuple[bytes, int, int]]] = {}
         self._begin()
 
     def _begin(self) -> None:
         self.number: dict[tuple[int, bytes], int] = {}
-        self.state: list[tuple[int, bytes]] = []
-        self.last: list[list[int | None]] = []  # of a state: the last token of each prefix of its pending bytes
-        self.edges: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.final: list[tuple[int, ...] | None] = []
-        self._at(-1, b"", [None])
+        self.state: list[tuple[tuple[int, bytes], tuple]] = []  # key; tokens of each prefix of the pending bytes, or None
+        self.goto: dict[int, int] = {}  # state * 256 + byte -> 2 * state + whether the edge emits
+        self.emits: dict[int, tuple[int, ...]] = {}
+        self._at(-1, b"", ((),))
 
-    def _at(self, before: int, pending: bytes, last: list[int | None]) -> int:
+    def _at(self, before: int, pending: bytes, paths: tuple) -> int:
         key = (before, pending)
-        if key not in self.number:
-            self.number[key] = len(self.state)
-            self.state.append(key)
-            self.last.append(last)
-            self.edges.append({})
-            self.final.append(None)
-        return self.number[key]
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain merging by rank: what BPE makes of a short piece."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.state)
+            self.state.append((key, paths))
+        return found
+
+    def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two tokens whose merge makes ``token`` (None for a byte)."""
+        if len(token) == 1:
+            return None
+        if token not in self.made_of:
+            parts, top = [token[i : i + 1] for i in range(len(token))], self.ranks[token]
+            while len(parts) > 2:
+                best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], top))
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            self.made_of[token] = (parts[0], parts[1])
+        return self.made_of[token]
+
+    def _edge_parts(self, token: bytes, side: int) -> list[tuple[bytes, int, int]]:
+        """The tokens that are in turn the last (side 1) or first (side 0) part of ``token`` while it is merged:
+        each with the rank of the merge that makes it and of the one that ends it."""
+        key = (token, side)
+        if key not in self.parts_of:
+            out, ends = [], 1 << 60
+            while True:
+                halves = self._halves(token)
+                out.append((token, self.ranks[token] if halves else -1, ends))
+                if halves is None:
+                    break
+                ends = self.ranks[token]
+                token = halves[side]
+            self.parts_of[key] = out
+        return self.parts_of[key]
 
     def stay_apart(self, a: int, b: int) -> bool:
+        """Whether tokens a and b side by side are their own tokenization: no merge across their border
+        comes before the merges that hide its two parts (at equal rank the left one goes first)."""
         key = (a, b)
-        if key not in self.apart:
+        found = self.apart.get(key)
+        if found is None:
             if len(self.apart) > 4 * self.limit:
                 self.apart.clear()
-            self.apart[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return self.apart[key]
-
-    def _tokens(self, pending: bytes, last: list[int | None], end: int) -> list[int]:
-        """Tokens of ``pending[:end]``."""
-        out = []
-        while end:
-            out.append(last[end])
-            end -= len(self.bytes_of[last[end]])
-        return out[::-1]
-
-    def _step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, old = self.state[at]
-        pending, last = old + bytes([byte]), [*self.last[at], None]
+            ranks, found = self.ranks, True
+            right = self._edge_parts(self.bytes_of[b], 0)
+            for x, x_made, x_ends in self._edge_parts(self.bytes_of[a], 1):
+                for y, y_made, y_ends in right:
+                    if x_made < y_ends and y_made < x_ends:
+                        across = ranks.get(x + y)
+                        if across is not None and across < x_ends and across <= y_ends:
+                            found = False
+            self.apart[key] = found
+        return found
+
+    def _step(self, at: int, byte: int) -> int:
+        (before, pending), paths = self.state[at]
+        pending += bytes((byte,))
         n = len(pending)
+        kind, new, live = self.kind.get, None, []
         for i in range(max(0, n - self.longest), n):
-            token = self.ranks.get(pending[i:])
-            if token is None or (i and last[i] is None):
+            path = paths[i]
+            if path is None:
+                continue
+            what = kind(pending[i:])
+            if what is None:
                 continue
-            left = last[i] if i else before
-            if left == -1 or self.stay_apart(left, token):
-                last[n] = token
-                break
-        # Prefixes after which a token may have begun that is not over yet.
-        sure: list[int] | None = None
-        for i in range(max(0, n - self.longest), n + 1):
-            if i == n or (i == 0 or last[i] is not None) and pending[i:] in self.grows:
-                mine = self._tokens(pending, last, i)
-                if sure is None:
-                    sure = mine
-                else:
-                    k = 0
-                    while k < min(len(sure), len(mine)) and sure[k] == mine[k]:
-                        k += 1
-                    sure = sure[:k]
-                if not sure:
+            if new is None and what >= 0:
+                token, left = what >> 1, path[-1] if path else before
+                if left == -1 or self.stay_apart(left, token):
+                    new = (*path, token)
+            if what & 1:  # a token may have begun here that is not over yet
+                live.append(path)
+        sure = new
+        for path in live:
+            k = 0
+            for x, y in zip(sure, path, strict=False):
+                if x != y:
                     break
-        done = sum(len(self.bytes_of[t]) for t in sure)
-        if done:
-            before, pending, last = sure[-1], pending[done:], [None, *last[done + 1 :]]
-        edge = self.edges[at][byte] = (self._at(before, pending, last), tuple(sure))
+                k += 1
+            sure = sure[:k]
+        if sure:
+            done = sum(len(self.bytes_of[t]) for t in sure)
+            k = len(sure)
+            rest = (None if p is None or p[:k] != sure else p[k:] for p in (*paths[done:], new))
+            to = self._at(sure[-1], pending[done:], tuple(rest))
+            self.emits[at << 8 | byte] = sure
+        else:
+            to = self._at(before, pending, (*paths, new))
+        edge = self.goto[at << 8 | byte] = to << 1 | bool(sure)
         return edge
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.state) > self.limit:
             self._begin()
-        at, out, edges = 0, [], self.edges
+        at, out, goto = 0, [], self.goto
         for byte in piece:
-            edge = edges[at].get(byte) or self._step(at, byte)
-            at = edge[0]
-            if edge[1]:
-                out += edge[1]
-        rest = self.final[at]
-        if rest is None:
-            pending, last = self.state[at][1], self.last[at]
-            rest = self.final[at] = tuple(self._tokens(pending, last, len(pending)))
-        out += rest
+            edge = goto.get(at << 8 | byte)
+            if edge is None:
+                edge = self._step(at, byte)
+            if edge & 1:
+                out += self.emits[at << 8 | byte]
+            at = edge >> 1
+        out += self.state[at][1][-1]
         return out
 
 

@@ -15,9 +15,10 @@ class Query:
 
 
 def load_llm() -> dict[str, Query]:
-    from ranktide.llm import bpe, packing, sharding, token_files
+    from ranktide.llm import bpe, language, packing, sharding, token_files
 
     return {
+        "op10_language": Query(language.op10_language),
         "op2_token_files": Query(token_files.op2_token_files),
         "op5_byte_bpe": Query(bpe.op5_byte_bpe),
         "op6_sharding": Query(sharding.op6_sharding, sharding.ORACLE_SQL),

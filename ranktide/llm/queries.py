@@ -15,7 +15,7 @@ class Query:
 
 
 def load_llm() -> dict[str, Query]:
-    from ranktide.llm import bpe, language, packing, sharding, token_files
+    from ranktide.llm import bpe, fingerprint, language, packing, sharding, token_files
 
     return {
         "op10_language": Query(language.op10_language),
@@ -23,4 +23,5 @@ def load_llm() -> dict[str, Query]:
         "op5_byte_bpe": Query(bpe.op5_byte_bpe),
         "op6_sharding": Query(sharding.op6_sharding, sharding.ORACLE_SQL),
         "op7_packing": Query(packing.op7_packing),
+        "op8_fingerprints": Query(fingerprint.op8_fingerprints, fingerprint.ORACLE_SQL),
     }

@@ -4,6 +4,10 @@
 of plain characters (ASCII, Latin letters) go through the standard ``re``
 module, whose classes agree with the pattern's there; all others through
 ``regex``, which reads the pattern itself.
+
+A plain text whose white space always stands alone needs no pattern per
+occurrence: it is cut at spaces and line ends into words, each the same pieces
+wherever it stands, and a word's ids are looked up at once.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ import regex
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _FULL = regex.compile(public_tokenizers.PATTERN)
+#: White space beside white space or at an end of the text.
+_RAGGED = re.compile(r"[\t\n\r ][\t\n\r ]|\A[\t\n\r ]|[\t\n\r ]\Z")
 LONG = 1 << 20  # texts beyond this are cut lazily
 
 
@@ -31,24 +37,54 @@ def split(text: str) -> Iterable[str]:
 
 
 class PieceTable(dict):
-    """Piece -> number; the ids of piece k are ``flat[start[k]:start[k + 1]]``.
+    """Word -> number; the ids of word k are ``flat[start[k]:start[k + 1]]``.
 
-    ``encode`` is asked once for each piece met. Beyond ``limit`` pieces the
-    table starts anew between two slices of text, so its memory is bounded; the
-    results don't depend on what it holds.
+    A word's first character says what stands before it: a line end, nothing
+    (``\\0``), or else a space; after ``\\1`` follows a single piece. ``encode`` is asked once for each
+    piece met. Beyond ``limit`` words the table starts anew between two slices
+    of text, so its memory is bounded; the results don't depend on what it holds.
     """
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 500_000):
         super().__init__()
         self.encode, self.limit = encode, limit
+        self._begin()
+
+    def _begin(self) -> None:
+        self.clear()
+        self.pieces: dict[str, bytes] = {}
         self.flat, self.start = array("I"), array("q", [0])
 
-    def __missing__(self, piece: str) -> int:
-        k = self[piece] = len(self)
-        self.flat.extend(self.encode(piece))
+    def _add(self, piece: str) -> None:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = array("I", self.encode(piece)).tobytes()
+        self.flat.frombytes(ids)
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        lead = word[:1]
+        if lead == "\1":
+            self._add(word[1:])
+        else:
+            if lead == "\n":
+                self._add("\n")
+            for piece in _PLAIN.findall(word[1:] if lead in ("\n", "\0") else " " + word):
+                self._add(piece)
         self.start.append(len(self.flat))
         return k
 
+    def _numbers(self, text: str) -> np.ndarray:
+        """The numbers of the words, or of the pieces, that make up a text."""
+        if _UNUSUAL.search(text) or _RAGGED.search(text):
+            found = ("\1" + p for p in split(text))
+        else:
+            found = iter(("\0" + text).replace("\n", " \n").split(" "))
+        parts = []
+        while part := list(islice(found, 1 << 18)):
+            parts.append(np.fromiter(map(self.__getitem__, part), np.int64, len(part)))
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int64), *parts])
+
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these pieces in a row, and how many each has."""
         flat, start = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64)
@@ -74,15 +110,10 @@ class PieceTable(dict):
             yield from (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
             waiting.clear()
             if len(self) > self.limit:
-                self.clear()
-                self.flat, self.start = array("I"), array("q", [0])
+                self._begin()
 
         for text in texts:
-            found = split(text)
-            if isinstance(found, list):
-                w = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-            else:  # a very long text, a slice at a time
-                w = np.concatenate([np.zeros(0, np.int64), *_slices(self, found)])
+            w = self._numbers(text)
             waiting.append(w)
             held += len(w)
             if held >= slice_pieces:
@@ -91,9 +122,3 @@ class PieceTable(dict):
         if waiting:
             yield from out()
 
-
-def _slices(table: PieceTable, found: Iterator[str]) -> list[np.ndarray]:
-    got = []
-    while part := list(islice(found, 1 << 16)):
-        got.append(np.fromiter(map(table.__getitem__, part), np.int64, len(part)))
-    return got

@@ -44,8 +44,13 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = size - 1
+    at = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(at[-1]) + int(size[-1]) if len(at) else 0, np.uint8)
+    data[at] = values & 0xFF
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(size > k)
+        data[at[longer] + k] = values[longer] >> np.uint32(8 * k) & 0xFF
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -72,7 +77,9 @@ def _blocks(path: str, end_id: int):
 
         def block() -> pa.RecordBatch:
             flat = np.concatenate(ids)
-            seen, count = np.unique(flat, return_counts=True)
+            total = np.bincount(flat)
+            seen = np.flatnonzero(total)
+            count = total[seen]
             raw = flat.astype("<u2") if len(flat) == 0 or seen[-1] < 1 << 16 else flat
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()),

@@ -28,8 +28,14 @@ def table(path: str) -> PieceTable:
         model = Tokenizer.from_file(path).model
         letters = dict(enumerate(_byte_letters()))
 
-        def encode(piece: str) -> Iterator[int]:
-            return (t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters)))
+        tokenize, space = model.tokenize, letters[32]
+
+        def encode(piece: str) -> list[int]:
+            if piece.isascii() and piece[1:].isalpha():
+                piece = space + piece[1:] if piece[0] == " " else piece
+            else:
+                piece = piece.encode().decode("latin-1").translate(letters)
+            return [t.id for t in tokenize(piece)]
 
         _OPEN[path] = PieceTable(encode)
     return _OPEN[path]

@@ -6,8 +6,9 @@ module, whose classes agree with the pattern's there; all others through
 ``regex``, which reads the pattern itself.
 
 A plain text whose white space always stands alone needs no pattern per
-occurrence: it is cut at spaces and line ends into words, each the same pieces
-wherever it stands, and a word's ids are looked up at once.
+occurrence: it falls into words at spaces and line ends, each the same pieces
+wherever it stands. Words are found and told apart by numpy over many texts at
+once (by their bytes, eight at a time), and only distinct ones are looked up.
 """
 
 from __future__ import annotations
@@ -25,9 +26,20 @@ import regex
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _FULL = regex.compile(public_tokenizers.PATTERN)
-#: White space beside white space or at an end of the text.
-_RAGGED = re.compile(r"[\t\n\r ][\t\n\r ]|\A[\t\n\r ]|[\t\n\r ]\Z")
-LONG = 1 << 20  # texts beyond this are cut lazily
+LONG = 1 << 26  # characters; longer texts are cut lazily
+SLICE = 4 << 20  # bytes of texts worked on together
+
+#: What a byte says about its text: 1 unusual, 2 and 3 leads of characters some of which are, 4 white space or a border.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(1, 32), 0x7F, *range(0xCA, 256)]] = 1
+_CLASS[[0xC2, 0xC9]] = 2, 3
+_CLASS[[0, 9, 10, 13, 32]] = 4
+_ODD_C2 = np.zeros(256, bool)  # U+0080-U+00A0 and the digits that aren't decimal
+_ODD_C2[[*range(0x80, 0xA1), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = True
+_BORDER = np.zeros(256, bool)
+_BORDER[[0, 10, 32]] = True
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+SHORT = 8 * len(_FACTORS)
 
 
 def split(text: str) -> Iterable[str]:
@@ -39,20 +51,23 @@ def split(text: str) -> Iterable[str]:
 class PieceTable(dict):
     """Word -> number; the ids of word k are ``flat[start[k]:start[k + 1]]``.
 
-    A word's first character says what stands before it: a line end, nothing
-    (``\\0``), or else a space; after ``\\1`` follows a single piece. ``encode`` is asked once for each
-    piece met. Beyond ``limit`` words the table starts anew between two slices
-    of text, so its memory is bounded; the results don't depend on what it holds.
+    A word is its bytes after the byte that stands before it: a space, a line
+    end, or 0 at the text's start; after 1 follows a single piece. ``encode`` is
+    asked once for each piece met. Beyond ``limit`` words the table starts anew
+    between two slices of text, so its memory is bounded; the results don't
+    depend on what it holds.
     """
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 500_000):
+    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 250_000):
         super().__init__()
         self.encode, self.limit = encode, limit
+        self.pieces: dict[str, bytes] = {}
         self._begin()
 
     def _begin(self) -> None:
         self.clear()
-        self.pieces: dict[str, bytes] = {}
+        if len(self.pieces) > 2 * self.limit:
+            self.pieces = {}
         self.flat, self.start = array("I"), array("q", [0])
 
     def _add(self, piece: str) -> None:
@@ -61,32 +76,24 @@ class PieceTable(dict):
             ids = self.pieces[piece] = array("I", self.encode(piece)).tobytes()
         self.flat.frombytes(ids)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self)
-        lead = word[:1]
-        if lead == "\1":
-            self._add(word[1:])
+        lead, text = word[0], word[1:].decode()
+        add = self._add
+        if lead == 32:
+            text = " " + text
+        elif lead == 10:
+            add("\n")
+        if lead == 1 or text[1:].isalpha() and (lead == 32 or text[0].isalpha()):
+            add(text)
         else:
-            if lead == "\n":
-                self._add("\n")
-            for piece in _PLAIN.findall(word[1:] if lead in ("\n", "\0") else " " + word):
-                self._add(piece)
+            for piece in _PLAIN.findall(text):
+                add(piece)
         self.start.append(len(self.flat))
         return k
 
-    def _numbers(self, text: str) -> np.ndarray:
-        """The numbers of the words, or of the pieces, that make up a text."""
-        if _UNUSUAL.search(text) or _RAGGED.search(text):
-            found = ("\1" + p for p in split(text))
-        else:
-            found = iter(("\0" + text).replace("\n", " \n").split(" "))
-        parts = []
-        while part := list(islice(found, 1 << 18)):
-            parts.append(np.fromiter(map(self.__getitem__, part), np.int64, len(part)))
-        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int64), *parts])
-
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these pieces in a row, and how many each has."""
+        """The ids of these words in a row, and how many each has."""
         flat, start = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64)
         a = start[numbers]
         lens = start[numbers + 1] - a
@@ -95,30 +102,89 @@ class PieceTable(dict):
         at += np.arange(len(at))
         return (flat[at] if len(at) else np.zeros(0, np.uint32)), lens
 
-    def encode_texts(self, texts: Iterable[str], slice_pieces: int = 400_000) -> Iterator[np.ndarray]:
-        """The ids of each text (uint32), in order; many texts are looked up together."""
-        waiting: list[np.ndarray] = []
-        held = 0
-
-        def out() -> Iterator[np.ndarray]:
-            ids, lens = self._gather(np.concatenate(waiting))
-            ends = np.cumsum(lens)
-            cuts, n = [0], 0
-            for w in waiting:
-                n += len(w)
-                cuts.append(int(ends[n - 1]) if n else 0)
-            yield from (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
-            waiting.clear()
-            if len(self) > self.limit:
-                self._begin()
-
+    def _words(self, raw: bytes, buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of the words ``raw[begin:begin + size]``."""
+        if not len(begin):
+            return np.zeros(0, np.int64)
+        eights = np.ndarray((len(buf) - 7,), "<u8", raw, strides=(1,))
+        key = size.astype(np.uint64) * _FACTORS[-1]
+        for j, factor in enumerate(_FACTORS):
+            part = np.flatnonzero(size > 8 * j)
+            load = eights[begin[part] + 8 * j]
+            left = np.minimum(size[part] - 8 * j, 8).astype(np.uint64)
+            load &= np.uint64((1 << 64) - 1) >> (np.uint64(64) - np.uint64(8) * left)
+            load *= factor
+            load ^= load >> np.uint64(32)
+            load *= factor
+            key[part] = (key[part] << np.uint64(7) | key[part] >> np.uint64(57)) ^ load
+        number = np.empty(len(begin), np.int64)
+        short = size <= SHORT
+        some = np.flatnonzero(short)
+        _, first, which = np.unique(key[some], return_index=True, return_inverse=True)
+        first = some[first]
+        ends = begin + size
+        found = (raw[a:b] for a, b in zip(begin[first].tolist(), ends[first].tolist(), strict=True))
+        number[some] = np.fromiter(map(self.__getitem__, found), np.int64, len(first))[which]
+        for i in np.flatnonzero(~short).tolist():
+            number[i] = self[raw[begin[i] : ends[i]]]
+        return number
+
+    def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
+        raw = "\0".join(["", *texts, "\0" * 8]).encode()
+        buf = np.frombuffer(raw, np.uint8)
+        # A text that holds \0 itself would shift the borders: it is unusual.
+        borders = np.flatnonzero(buf == 0)[:-8]
+        if len(borders) != len(texts) + 1:
+            for t in texts:  # rare: each such text by itself
+                yield from [self._by_pieces(t)] if "\0" in t else self._slice([t])
+            return
+        kind = _CLASS[buf]
+        odd = np.flatnonzero((kind > 0) & (kind < 4))
+        what, after = kind[odd], buf[np.minimum(odd + 1, len(buf) - 1)]
+        odd = odd[(what == 1) | (what == 2) & _ODD_C2[after] | (what == 3) & (after > 0x8F)]
+        space = kind == 4
+        ragged = np.flatnonzero(space[:-1] & space[1:])
+        owner = np.searchsorted(borders, np.concatenate([odd, ragged]), side="right") - 1
+        slow = np.zeros(len(texts) + 1, bool)
+        slow[np.minimum(owner, len(texts))] = True
+        slow[:-1] &= np.diff(borders) > 1  # an empty text isn't ragged
+        end = int(borders[-1])
+        cuts = np.flatnonzero(_BORDER[buf[: end + 1]])
+        begin, size = cuts[:-1], np.diff(cuts)
+        of = np.searchsorted(borders, begin, side="right") - 1
+        fast = ~slow[of]
+        ids, lens = self._gather(self._words(raw, buf, begin[fast], size[fast]))
+        per = np.bincount(of[fast], weights=lens, minlength=len(texts)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(per)])
+        for i, t in enumerate(texts):
+            yield self._by_pieces(t) if slow[i] else ids[at[i] : at[i + 1]]
+
+    def _by_pieces(self, text: str) -> np.ndarray:
+        found, parts = iter(split(text)), [np.zeros(0, np.uint32)]
+        while some := list(islice(found, 1 << 16)):
+            parts.append(self._gather(np.array([self[b"\1" + p.encode()] for p in some], np.int64))[0])
+            self._check()
+        return np.concatenate(parts)
+
+    def _check(self) -> None:
+        if len(self) > self.limit:
+            self._begin()
+
+    def encode_texts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text (uint32), in order."""
+        held: list[str] = []
+        n = 0
         for text in texts:
-            w = self._numbers(text)
-            waiting.append(w)
-            held += len(w)
-            if held >= slice_pieces:
-                yield from out()
-                held = 0
-        if waiting:
-            yield from out()
-
+            if len(text) > LONG:
+                yield from self._slice(held)
+                held, n = [], 0
+                yield self._by_pieces(text)
+                continue
+            held.append(text)
+            n += len(text) + 1
+            if n >= SLICE:
+                yield from self._slice(held)
+                self._check()
+                held, n = [], 0
+        yield from self._slice(held)
+        self._check()

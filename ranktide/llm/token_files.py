@@ -172,8 +172,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str) ->
     spark.createDataFrame(list(enumerate(by_rank)), "rank long, id long").coalesce(1).write.parquet(f"{out}/ranks")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of the files: doc_id, start, n_tokens, ids_crc32, and the ids themselves
+    (``ids``, little-endian unsigned 32-bit; left out on request)."""
     by_rank = np.zeros(1, "<u4")
     rows = spark.read.parquet(f"{path}/ranks").collect()  # at most the vocabulary
     if rows:
@@ -188,20 +189,19 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 lens = b.column("lens")[i].as_py()
                 ends = np.cumsum(lens).tolist()
                 cut = [ids[e - k : e].tobytes() for e, k in zip(ends, lens, strict=True)]
-                yield pa.RecordBatch.from_pydict({
+                out = {
                     "part": pa.array([b.column("part")[i].as_py()] * len(lens), pa.int32()),
                     "seq": pa.array([b.column("seq")[i].as_py()] * len(lens), pa.int32()),
                     "doc_id": b.column("doc_ids")[i].values,
                     "inside": pa.array([e - k for e, k in zip(ends, lens, strict=True)], pa.int64()),
                     "n_tokens": pa.array(lens, pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(x) for x in cut], pa.int64()),
-                    "ids": pa.array(cut, pa.binary()),
-                })
+                }
+                yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(cut, pa.binary())} if with_ids else {}))
 
     blocks = spark.read.parquet(f"{path}/blocks")
-    docs = blocks.mapInArrow(
-        run, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long, ids binary"
-    )
+    schema = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long"
+    docs = blocks.mapInArrow(run, schema + (", ids binary" if with_ids else ""))
     sizes = blocks.select("part", "seq", "n_tokens")
     before = lambda w, col: F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a range partition
@@ -210,7 +210,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return (
         docs.join(starts, ["part", "seq"]).join(parts, "part")
         .select("doc_id", (F.col("part_start") + F.col("block_start") + F.col("inside")).alias("start"),
-                "n_tokens", "ids_crc32", "ids")
+                "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
     )
 
 
@@ -218,4 +218,4 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, ended by id 2, through the files and back; the ids' checksum stands for the ids."""
     out = stage_path(spark, "token-files")
     write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2, out)
-    return read_token_files(spark, out).drop("ids")
+    return read_token_files(spark, out, with_ids=False)

@@ -104,9 +104,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     id's. Rows without an id are followed by themselves.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    heads = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("next_text"))
-    follows = next_ids(docs).join(heads.withColumnRenamed("doc_id", "next_id"), "next_id").select("doc_id", "next_text")
-    return rows.join(follows, "doc_id", "left").withColumn("next_text", F.coalesce("next_text", "text"))
+    known, unknown = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
+    # A text goes to the document that it follows: the rows dealt by id serve both joins, so texts move twice.
+    follows = next_ids(docs).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"))
+    sent = known.join(follows, "doc_id").groupBy("for_id").agg(F.min("text").alias("next_text"))
+    return (
+        known.join(sent.withColumnRenamed("for_id", "doc_id"), "doc_id")
+        .unionByName(unknown.withColumn("next_text", F.col("text")))
+    )
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

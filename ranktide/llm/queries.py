@@ -7,21 +7,30 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ranktide.llm.common import ship
+
 
 @dataclass(frozen=True)
 class Query:
-    build: Callable[[SparkSession, str], DataFrame]
+    apply: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
 
+    def build(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return self.apply(spark, sf_dir)
+
 
 def load_llm() -> dict[str, Query]:
-    from ranktide.llm import bpe, fingerprint, language, packing, sharding, token_files
+    from ranktide.llm import bpe, fingerprint, language, packing, ppm, sharding, suffix_dedup, token_files, topk
 
     return {
         "op10_language": Query(language.op10_language),
+        "op1_suffix_dedup": Query(suffix_dedup.op1_suffix_dedup),
+        "op3_ppm": Query(ppm.op3_ppm),
         "op2_token_files": Query(token_files.op2_token_files),
         "op5_byte_bpe": Query(bpe.op5_byte_bpe),
         "op6_sharding": Query(sharding.op6_sharding, sharding.ORACLE_SQL),
         "op7_packing": Query(packing.op7_packing),
         "op8_fingerprints": Query(fingerprint.op8_fingerprints, fingerprint.ORACLE_SQL),
+        "op9_top_k": Query(topk.op9_top_k, topk.ORACLE_SQL),
     }

@@ -5,8 +5,9 @@ which symbol follows each context of ``ORDER`` symbols (before its start a text
 has start symbols); the counts of all shorter contexts are sums of these. A
 symbol is predicted from the longest context seen in training. If it never
 followed that context, the model escapes to the next shorter one with
-probability U / (T + U), T being the context's count and U its distinct
-symbols; symbols of the longer context are excluded there. Below the empty
+probability U / 2T, T being the context's count and U its distinct symbols (a
+seen symbol has (2n - 1) / 2T); symbols of the longer context are excluded
+there, from T and U alike. Below the empty
 context all symbols not yet excluded are alike. So every text has a
 probability, and a document's score is its logarithm, end included.
 
@@ -45,6 +46,7 @@ SYMBOLS = 257  # 0: the end, and the start symbol in contexts; byte b is b + 1
 WIDTH = 9  # bits of a symbol
 CHUNK_BYTES = 16 << 20
 SLICE = 4 << 20  # symbols worked on together
+TEXTS = 1 << 10  # texts worked on together
 _MASK = [(1 << WIDTH * k) - 1 for k in range(ORDER + 2)]
 
 
@@ -76,7 +78,7 @@ def slices(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     for t in texts:
         held.append(t)
         n += len(t) + 1
-        if n >= SLICE:
+        if n >= SLICE or len(held) == TEXTS:
             yield held
             held, n = [], 0
     if held:
@@ -132,7 +134,7 @@ def _gather(buckets: int):
         cut = np.searchsorted(to, np.arange(buckets + 1))
         for b in range(buckets):
             if cut[b] < cut[b + 1]:
-                rows.append((chunk, b, "seq", keys[cut[b] : cut[b + 1]].tobytes(), counts[cut[b] : cut[b + 1]].tobytes()))
+                rows.append((chunk, b, "seq", keys[cut[b] : cut[b + 1]].tobytes(), counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes()))
         by_bucket: dict[int, list[bytes]] = {}
         for w in known.keys() | vocabulary:
             by_bucket.setdefault(zlib.crc32(w) % buckets, []).append(w)
@@ -148,7 +150,7 @@ def _numbers(blobs: Iterable[bytes], kind: type) -> np.ndarray:
 
 
 def _sum_sequences(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = add_up(_numbers(pdf["keys"], np.uint64), _numbers(pdf["counts"], np.int64))
+    keys, counts = add_up(_numbers(pdf["keys"], np.uint64), _numbers(pdf["counts"], np.uint32).astype(np.int64))
     return pd.DataFrame({"bucket": np.full(len(keys), pdf["bucket"].iloc[0]), "seq": keys.astype(np.int64), "n": counts})
 
 
@@ -220,11 +222,11 @@ def predictions(seqs: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.n
     def step(n: np.ndarray, total: np.ndarray, distinct: np.ndarray, excluded: np.ndarray) -> None:
         nonlocal less_n, less_u
         free = distinct - less_u
-        whole = total - less_n + free
+        twice = 2 * (total - less_n)
         hit = open_ & (n > 0)
-        out[hit] += np.log10(n[hit] / whole[hit])
+        out[hit] += np.log10((2 * n[hit] - 1) / twice[hit])
         miss = open_ & (n == 0) & (free > 0)
-        out[miss] += np.log10(free[miss] / whole[miss])
+        out[miss] += np.log10(free[miss] / twice[miss])
         open_[hit] = False
         there = total > 0
         less_n, less_u = np.where(there, excluded, less_n), np.where(there, distinct, less_u)
@@ -268,7 +270,7 @@ def _send_back(sent: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
 
 def _score(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
     """Every document of a chunk, by the values that the chunk got back."""
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+    columns = ["doc_id", "named", "held_out", "n_tokens", "n_known", "base", "score"]
     if not len(docs):
         return pd.DataFrame(columns=columns)
     mine = got[got["kind"] == "seq"]
@@ -286,9 +288,14 @@ def _score(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
     score: list[float] = []
     n_tokens, n_known, base = [], [], []
     for some in slices(texts):
-        value = values[np.searchsorted(keys, sequences(some))]
-        starts = np.cumsum([0, *[len(t) + 1 for t in some[:-1]]])
-        score += np.add.reduceat(value, starts).tolist()
+        # Sequences in order, each with its text: one look-up for each distinct one.
+        of = np.repeat(np.arange(len(some), dtype=np.uint64), [len(t) + 1 for t in some])
+        both = np.sort(sequences(some) * np.uint64(TEXTS) + of)
+        seq = both // np.uint64(TEXTS)
+        first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+        value = values[np.searchsorted(keys, seq[first])]
+        value = np.repeat(value, np.diff(np.append(first, len(seq))))
+        score += np.bincount((both % np.uint64(TEXTS)).astype(np.int64), weights=value, minlength=len(some)).tolist()
         for t in some:
             found = words(t)
             at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
@@ -296,7 +303,7 @@ def _score(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
             n_known.append(int(known[at].sum()))
             base.append(float(logs[at].sum()))
     return pd.DataFrame({
-        "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known,
+        "doc_id": docs["doc_id"], "named": docs["named"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known,
         "base": base, "score": score,
     })
 
@@ -308,7 +315,9 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """
     n = groups_for(docs, "text", chunk_bytes)
     rows = docs.select(
-        "doc_id", "text", "held_out", (~F.col("held_out")).alias("train"),
+        # An id of null would make pandas read all ids as floats: they travel as 0 with a flag.
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"),
+        "text", "held_out", (~F.col("held_out")).alias("train"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"),
     )
     sent = staged(
@@ -328,7 +337,7 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         pairs[r["a"], r["s"]] = r["n"]
     near = F.shiftright("seq", WIDTH).bitwiseAND(F.lit(_MASK[2]))
     model = sums.groupBy(near.alias("near")).applyInPandas(_predict(pairs), "bucket int, seq long, value double")
-    back = seqs.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(
+    back = seqs.select("chunk", "bucket", "keys").groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(
         _send_back, "chunk int, kind string, keys binary, vals binary"
     )
     counted = staged(
@@ -342,11 +351,11 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     distinct, total = (totals["v"] or 0) + (ends > 0), (totals["n"] or 0) + ends
     got = back.unionByName(counted.where("chunk >= 0").select("chunk", F.lit("word").alias("kind"), "keys", "vals"))
     scored = rows.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInPandas(
-        _score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+        _score, "doc_id long, named boolean, held_out boolean, n_tokens long, n_known long, base double, score double"
     )
     whole = math.log10(total + 0.1 * (distinct + 1))
     return scored.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + (1 if ends else 0)).alias("n_known"),
+        F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + (1 if ends else 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.lit(math.log10(ends + 0.1)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
         "score",

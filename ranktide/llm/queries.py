@@ -21,12 +21,13 @@ class Query:
 
 
 def load_llm() -> dict[str, Query]:
-    from ranktide.llm import bpe, fingerprint, language, packing, ppm, sharding, suffix_dedup, token_files, topk
+    from ranktide.llm import bpe, fingerprint, language, ngram_join, packing, ppm, sharding, suffix_dedup, token_files, topk
 
     return {
         "op10_language": Query(language.op10_language),
         "op1_suffix_dedup": Query(suffix_dedup.op1_suffix_dedup),
         "op3_ppm": Query(ppm.op3_ppm),
+        "op4_ngram_join": Query(ngram_join.op4_ngram_join, ngram_join.ORACLE_SQL),
         "op2_token_files": Query(token_files.op2_token_files),
         "op5_byte_bpe": Query(bpe.op5_byte_bpe),
         "op6_sharding": Query(sharding.op6_sharding, sharding.ORACLE_SQL),

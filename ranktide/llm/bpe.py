@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranktide.llm.common import documents
-from ranktide.llm.pieces import PieceTable
+from ranktide.llm.pieces import PieceEncoder, WordTable
 
 STATES = 150_000
 
@@ -225,16 +225,16 @@ class Decoder:
         yield stream.end()
 
 
-_OPEN: dict[str, tuple[PieceTable, Decoder]] = {}
+_OPEN: dict[str, tuple[WordTable, Decoder]] = {}
 CHUNK = 1 << 16  # ids decoded at once
 
 
-def codec(path: str) -> tuple[PieceTable, Decoder]:
+def codec(path: str) -> tuple[WordTable, Decoder]:
     """One encoder and decoder a Python worker and file."""
     if path not in _OPEN:
         ranks = read_ranks(path)
         transducer = Transducer(ranks)
-        _OPEN[path] = (PieceTable(lambda piece: transducer.encode(piece.encode())), Decoder(ranks))
+        _OPEN[path] = (WordTable(PieceEncoder(lambda piece: transducer.encode(piece.encode()), 500_000), 300_000), Decoder(ranks))
     return _OPEN[path]
 
 

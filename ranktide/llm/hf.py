@@ -1,4 +1,4 @@
-"""Ids by the tokenizers library, piece by piece."""
+"""Ids by the tokenizers library, each distinct piece once."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from ranktide.llm.pieces import PieceTable
+from ranktide.llm.pieces import PieceEncoder, WordTable
 
-_OPEN: dict[str, PieceTable] = {}
+_OPEN: dict[str, WordTable] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -19,16 +19,15 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(other)) for b in range(256)]
 
 
-def table(path: str) -> PieceTable:
+def table(path: str) -> WordTable:
     """One table a Python worker and file; it outlives the task, as the worker does."""
     if path not in _OPEN:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path).model
-        letters = dict(enumerate(_byte_letters()))
-
-        tokenize, space = model.tokenize, letters[32]
+        tokenize = Tokenizer.from_file(path).model.tokenize
+        byte_letters = _byte_letters()
+        letters, space = dict(enumerate(byte_letters)), byte_letters[32]
 
         def encode(piece: str) -> list[int]:
             if piece.isascii() and piece[1:].isalpha():
@@ -37,7 +36,7 @@ def table(path: str) -> PieceTable:
                 piece = piece.encode().decode("latin-1").translate(letters)
             return [t.id for t in tokenize(piece)]
 
-        _OPEN[path] = PieceTable(encode)
+        _OPEN[path] = WordTable(PieceEncoder(encode))
     return _OPEN[path]
 
 
@@ -45,6 +44,6 @@ def encode_texts(path: str, texts: Iterable[str | None]) -> Iterator[np.ndarray]
     """The ids of each text as ``encode(text, add_special_tokens=False)`` gives them (null: none).
 
     Strings of special tokens in a text are ordinary text. The model is the
-    library's own; its pre-tokenizer's pattern is applied by ``pieces.split``.
+    library's own; its pre-tokenizer's pattern is applied in ``pieces``.
     """
     return table(path).encode_texts("" if t is None else t for t in texts)

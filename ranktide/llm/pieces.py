@@ -16,7 +16,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import islice, repeat
+from typing import Protocol
 
 import numpy as np
 import public_tokenizers
@@ -48,59 +49,59 @@ def split(text: str) -> Iterable[str]:
     return pattern.findall(text) if len(text) < LONG else (m.group() for m in pattern.finditer(text))
 
 
-class PieceTable(dict):
+def ragged(flat: array, start: array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat[start[k]:start[k + 1]]`` for each number k in a row, and how long each is."""
+    flat, start = np.frombuffer(flat, np.uint32), np.frombuffer(start, np.int64)
+    a = start[numbers]
+    lens = start[numbers + 1] - a
+    ends = np.cumsum(lens)
+    at = np.repeat(a - ends + lens, lens)
+    at += np.arange(len(at))
+    return (flat[at] if len(at) else np.zeros(0, np.uint32)), lens
+
+
+class Encoder(Protocol):
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of these words in a row, and how many each has.
+
+        A word is its bytes after the one that stands before it: a space, a line
+        end, or 0 at the text's start; those come last.
+        """
+
+    def text(self, text: str) -> np.ndarray:
+        """The ids of any text."""
+
+
+class WordTable(dict):
     """Word -> number; the ids of word k are ``flat[start[k]:start[k + 1]]``.
 
-    A word is its bytes after the byte that stands before it: a space, a line
-    end, or 0 at the text's start; after 1 follows a single piece. ``encode`` is
-    asked once for each piece met. Beyond ``limit`` words the table starts anew
-    between two slices of text, so its memory is bounded; the results don't
-    depend on what it holds.
+    The encoder is asked once for each word. Beyond ``limit`` words the table
+    starts anew between two slices of text, so its memory is bounded; the
+    results don't depend on what it holds.
     """
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 250_000):
+    def __init__(self, encoder: Encoder, limit: int = 400_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
-        self.pieces: dict[str, bytes] = {}
+        self.encoder, self.limit = encoder, limit
         self._begin()
 
     def _begin(self) -> None:
         self.clear()
-        if len(self.pieces) > 2 * self.limit:
-            self.pieces = {}
         self.flat, self.start = array("I"), array("q", [0])
 
-    def _add(self, piece: str) -> None:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = array("I", self.encode(piece)).tobytes()
-        self.flat.frombytes(ids)
-
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        lead, text = word[0], word[1:].decode()
-        add = self._add
-        if lead == 32:
-            text = " " + text
-        elif lead == 10:
-            add("\n")
-        if lead == 1 or text[1:].isalpha() and (lead == 32 or text[0].isalpha()):
-            add(text)
-        else:
-            for piece in _PLAIN.findall(text):
-                add(piece)
-        self.start.append(len(self.flat))
-        return k
-
-    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these words in a row, and how many each has."""
-        flat, start = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64)
-        a = start[numbers]
-        lens = start[numbers + 1] - a
-        ends = np.cumsum(lens)
-        at = np.repeat(a - ends + lens, lens)
-        at += np.arange(len(at))
-        return (flat[at] if len(at) else np.zeros(0, np.uint32)), lens
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words."""
+        out = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(out < 0).tolist()
+        if new:
+            new.sort(key=lambda i: words[i][0] == 0)
+            some = [words[i] for i in new]
+            out[new] = np.arange(len(self), len(self) + len(some))
+            self.update(zip(some, out[new].tolist(), strict=True))
+            ids, lens = self.encoder.words(some)
+            self.start.frombytes((len(self.flat) + np.cumsum(lens)).astype(np.int64).tobytes())
+            self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        return out
 
     def _words(self, raw: bytes, buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The numbers of the words ``raw[begin:begin + size]``."""
@@ -123,10 +124,13 @@ class PieceTable(dict):
         _, first, which = np.unique(key[some], return_index=True, return_inverse=True)
         first = some[first]
         ends = begin + size
-        found = (raw[a:b] for a, b in zip(begin[first].tolist(), ends[first].tolist(), strict=True))
-        number[some] = np.fromiter(map(self.__getitem__, found), np.int64, len(first))[which]
-        for i in np.flatnonzero(~short).tolist():
-            number[i] = self[raw[begin[i] : ends[i]]]
+        long = np.flatnonzero(~short)
+        found = [raw[a:b] for a, b in zip(begin[first].tolist(), ends[first].tolist(), strict=True)]
+        others = {raw[a:b]: None for a, b in zip(begin[long].tolist(), ends[long].tolist(), strict=True)}
+        numbers = self._numbers(found + list(others))
+        number[some] = numbers[: len(first)][which]
+        place = dict(zip(others, numbers[len(first) :].tolist(), strict=True))
+        number[long] = [place[raw[a:b]] for a, b in zip(begin[long].tolist(), ends[long].tolist(), strict=True)]
         return number
 
     def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -136,15 +140,15 @@ class PieceTable(dict):
         borders = np.flatnonzero(buf == 0)[:-8]
         if len(borders) != len(texts) + 1:
             for t in texts:  # rare: each such text by itself
-                yield from [self._by_pieces(t)] if "\0" in t else self._slice([t])
+                yield from [self.encoder.text(t)] if "\0" in t else self._slice([t])
             return
         kind = _CLASS[buf]
         odd = np.flatnonzero((kind > 0) & (kind < 4))
         what, after = kind[odd], buf[np.minimum(odd + 1, len(buf) - 1)]
         odd = odd[(what == 1) | (what == 2) & _ODD_C2[after] | (what == 3) & (after > 0x8F)]
         space = kind == 4
-        ragged = np.flatnonzero(space[:-1] & space[1:])
-        owner = np.searchsorted(borders, np.concatenate([odd, ragged]), side="right") - 1
+        beside = np.flatnonzero(space[:-1] & space[1:])
+        owner = np.searchsorted(borders, np.concatenate([odd, beside]), side="right") - 1
         slow = np.zeros(len(texts) + 1, bool)
         slow[np.minimum(owner, len(texts))] = True
         slow[:-1] &= np.diff(borders) > 1  # an empty text isn't ragged
@@ -153,18 +157,11 @@ class PieceTable(dict):
         begin, size = cuts[:-1], np.diff(cuts)
         of = np.searchsorted(borders, begin, side="right") - 1
         fast = ~slow[of]
-        ids, lens = self._gather(self._words(raw, buf, begin[fast], size[fast]))
+        ids, lens = ragged(self.flat, self.start, self._words(raw, buf, begin[fast], size[fast]))
         per = np.bincount(of[fast], weights=lens, minlength=len(texts)).astype(np.int64)
         at = np.concatenate([[0], np.cumsum(per)])
         for i, t in enumerate(texts):
-            yield self._by_pieces(t) if slow[i] else ids[at[i] : at[i + 1]]
-
-    def _by_pieces(self, text: str) -> np.ndarray:
-        found, parts = iter(split(text)), [np.zeros(0, np.uint32)]
-        while some := list(islice(found, 1 << 16)):
-            parts.append(self._gather(np.array([self[b"\1" + p.encode()] for p in some], np.int64))[0])
-            self._check()
-        return np.concatenate(parts)
+            yield self.encoder.text(t) if slow[i] else ids[at[i] : at[i + 1]]
 
     def _check(self) -> None:
         if len(self) > self.limit:
@@ -178,7 +175,7 @@ class PieceTable(dict):
             if len(text) > LONG:
                 yield from self._slice(held)
                 held, n = [], 0
-                yield self._by_pieces(text)
+                yield self.encoder.text(text)
                 continue
             held.append(text)
             n += len(text) + 1
@@ -188,3 +185,45 @@ class PieceTable(dict):
                 held, n = [], 0
         yield from self._slice(held)
         self._check()
+
+
+class PieceEncoder(dict):
+    """Words and texts piece by piece: piece -> number. ``encode`` is asked once for each piece met, up to a bounded
+    number kept."""
+
+    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 800_000):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+        self.flat, self.start = array("I"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        k = self[piece] = len(self)
+        self.flat.extend(self.encode(piece))
+        self.start.append(len(self.flat))
+        return k
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > self.limit:
+            self.clear()
+            self.flat, self.start = array("I"), array("q", [0])
+        numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        return ragged(self.flat, self.start, numbers)
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # All words behind a space or line end are one text: their borders are borders of pieces.
+        first = next((i for i, w in enumerate(words) if w[0] == 0), len(words))
+        pieces = _PLAIN.findall(b"".join(words[:first]).decode())
+        size = [len(w.decode()) for w in words[:first]]
+        for w in words[first:]:
+            text = w[1:].decode()
+            pieces += _PLAIN.findall(text)
+            size.append(len(text))
+        ids, lens = self._ids(pieces)
+        until = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(size), side="right")
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lens)])[until], prepend=0)
+
+    def text(self, text: str) -> np.ndarray:
+        found, parts = iter(split(text)), [np.zeros(0, np.uint32)]
+        while some := list(islice(found, 1 << 16)):
+            parts.append(self._ids(some)[0])
+        return np.concatenate(parts)

@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranktide.llm import hf
-from ranktide.llm.common import documents, groups_for, stage_path, staged, text_keys
+from ranktide.llm.common import documents, partitions, stage_path, staged
 
 BLOCK_TOKENS = 1 << 18
-GROUP_BYTES = 32 << 20
 
 #: Bytes of each of a control byte's four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -142,12 +141,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str) ->
     """Encode every text with the tokenizers library and write ``out/blocks`` and ``out/ranks``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    n = groups_for(docs, "text", GROUP_BYTES)
-    k1, k2 = text_keys()
     ranged = (
-        docs.withColumns({"k1": k1, "k2": k2})
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "k1", "k2")
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "k1", "k2")
+        docs.withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(partitions(docs), F.col("doc_id").asc_nulls_first(), "tie")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
         .select(F.spark_partition_id().alias("part"), "doc_id", "text")
     )
     raw = staged(

@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 
 from ranktide.llm import bpe
-from ranktide.llm.pieces import PieceTable, split
+from ranktide.llm.pieces import PieceEncoder, WordTable, split
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -32,14 +32,14 @@ def strange_texts(n: int) -> list[str]:
 def test_table_equals_the_library(ranks, library):
     texts = strange_texts(3000) + ["", "a" * 4000, " " * 3000, "日本語" * 400, "x y" * 5000]
     transducer = bpe.Transducer(ranks)
-    table = PieceTable(lambda p: transducer.encode(p.encode()))
+    table = WordTable(PieceEncoder(lambda p: transducer.encode(p.encode())))
     for text, ids in zip(texts, table.encode_texts(texts), strict=True):
         assert ids.tolist() == library.encode_ordinary(text), repr(text)
 
 
 def test_tables_that_start_anew_give_the_same(ranks, library):
     transducer = bpe.Transducer(ranks, states=40)
-    table = PieceTable(lambda p: transducer.encode(p.encode()), limit=10)
+    table = WordTable(PieceEncoder(lambda p: transducer.encode(p.encode()), limit=10), limit=10)
     texts = strange_texts(200)
     for _ in range(3):
         for text in texts:

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ranktide.llm import packing, token_files
+from ranktide.llm import hf, packing, token_files
 from ranktide.llm.common import stage_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -127,3 +127,13 @@ def test_packing(spark, library):
         whole.append(zlib.crc32(ids))
     assert not set(whole) - set(want)
     assert packing.pack_documents(frame(spark).where("false"), PATH).count() == 0
+
+
+def test_words_in_a_row_are_the_librarys_texts(library):
+    random.seed(9)
+    alphabets = ["ab eét'si1!\n\t 日Ⅷ²　\x1c\x85\x00", "ab eét'si1!.\n\t ab", "the and ing of. ", "ab \n"]
+    texts = ["".join(random.choice(a) for _ in range(random.randint(0, 30))) for _ in range(1500) for a in alphabets]
+    words = ["ab", "don't", "<|endoftext|>", "x\ny", "é,", "a\tb", "w" * 50, "é" * 20]
+    texts += [" ".join(random.choice(words) for _ in range(random.randint(0, 12))) for _ in range(1500)]
+    for text, ids in zip(texts, hf.encode_texts(PATH, texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

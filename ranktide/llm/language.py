@@ -97,16 +97,19 @@ class Classifier:
         self.tables = []
         for k in self.langs:
             automaton = SuffixAutomaton(samples[k])
-            start = np.full(wide, 1, np.int32)  # an unknown symbol is a phrase by itself
+            # After its last state stands one for "no phrase open": there, and where no edge fits, a phrase begins.
+            # An unknown symbol is a phrase by itself.
+            closed = len(automaton.next)
+            start = np.full(wide, closed * wide << 1 | 1, np.int32)
             for c, to in automaton.next[0].items():
                 if c:
                     start[self.symbol[c]] = to * wide << 1 | 1
-            table = np.tile(start, (len(automaton.next), 1))
+            table = np.tile(start, (closed + 1, 1))
             for s, edges in enumerate(automaton.next):
                 for c, to in edges.items():
                     if c:
                         table[s, self.symbol[c]] = to * wide << 1
-            self.tables.append(table.reshape(-1))
+            self.tables.append((table.reshape(-1), closed * wide << 1))
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (rows) against each language (columns); segments are parsed on their own."""
@@ -129,8 +132,8 @@ class Classifier:
             grid[:, a : a + 1024] = flat[np.minimum(at, len(flat) - 1)].T
         active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
         at, bit = np.empty(len(owner), np.int32), np.empty(len(owner), np.int32)
-        for j, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
+        for j, (table, closed) in enumerate(self.tables):
+            state, count = np.full(len(owner), closed, np.int32), np.zeros(len(owner), np.int32)
             for i in range(steps):
                 n = active[i]
                 s, a = state[:n], at[:n]
@@ -141,10 +144,11 @@ class Classifier:
             out[:, j] = np.bincount(owner, weights=count, minlength=len(texts))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
+        """For each text its language, the score, and the fewest normalised phrases (bits a symbol; none for ``und``)."""
+        langs, scores, rates = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
         if not self.langs:
-            return langs, scores
+            return langs, scores, rates
         waiting: list[tuple[int, bytes]] = []
         held = 0
 
@@ -154,7 +158,7 @@ class Classifier:
             for (i, _), row in zip(waiting, rate, strict=True):
                 best = int(np.argmin(row))
                 other = np.delete(row, best)
-                langs[i] = self.langs[best]
+                langs[i], rates[i] = self.langs[best], float(row[best])
                 scores[i] = float(1 - row[best] / other.min()) if len(other) else 1.0
             waiting.clear()
 
@@ -167,7 +171,7 @@ class Classifier:
                     held = 0
         if waiting:
             done()
-        return langs, scores
+        return langs, scores, rates
 
 
 def fit(labelled: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT, sample: int = SAMPLE) -> Classifier:
@@ -195,21 +199,23 @@ def fit(labelled: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT, sample: i
 
 
 def identify(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with ``lang_pred`` and ``score``; only ``text`` is an input."""
+    """The ``keep`` columns of ``docs`` with ``lang_pred``, ``score`` and ``rate`` (the fewest normalised phrases, bits a
+    symbol; null for ``und``); only ``text`` is an input. ``keep`` may not hold these names."""
+    out = ["lang_pred", "score", "rate"]
+    if {*out} & {*keep}:
+        raise ValueError(f"columns {out} are results")
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # its size is bounded by SAMPLE
-    held = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    names, text = list(keep), rows.columns.index("text")
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = model.value.predict(b.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*keep, "lang_pred", "score"],
-            )
-
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+            langs, scores, rates = model.value.predict(b.column(text).to_pylist())
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *found], names=[*names, *out])
+
+    return rows.mapInArrow(run, schema + "lang_pred string, score double, rate double")
 
 
 def held_out() -> Column:

@@ -315,8 +315,8 @@ def _cut_blocks(window: int):
     return run
 
 
-def _remove(keep: int):
-    """Rows with their spans (sorted, apart) -> what is left of the text."""
+def _remove(keep: int, as_text: bool):
+    """Rows with their spans -> what is left of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,11 +337,11 @@ def _remove(keep: int):
                 n_removed.append(len(raw) - len(rest))
                 n_spans.append(len(cut))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                left.append(rest)
+                left.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 spans.append([{"lo": lo, "hi": hi} for lo, hi in cut])
             out = [
                 pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
-                pa.array(sha, pa.string()), pa.array(left, pa.binary()),
+                pa.array(sha, pa.string()), pa.array(left, pa.string() if as_text else pa.binary()),
                 pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
             ]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
@@ -378,7 +378,7 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, most: int = MOST, sha
         ).alias("want"),
     ).groupBy("k1", "k2").agg(F.collect_list("want").alias("want"))
     # One row of each text will do.
-    place = F.coalesce(F.col("doc_id"), F.lit(-1)).alias("place")
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("place")
     one = rows.groupBy("k1", "k2").agg(F.min(place).alias("place"))
     texts = rows.withColumn("place", place).drop("doc_id").join(wanted.join(one, ["k1", "k2"]), ["k1", "k2", "place"])
     cut = texts.select("text", "want").mapInArrow(
@@ -399,8 +399,13 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, most: int = MOST, sha
     return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
 
 
-def remove_repeats(docs: DataFrame, *keep: str, window: int = WINDOW, most: int = MOST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The ``keep`` columns of every row with n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and spans."""
+def remove_repeats(
+    docs: DataFrame, *keep: str, window: int = WINDOW, most: int = MOST, shard_bytes: int = SHARD_BYTES, as_text: bool = False
+) -> DataFrame:
+    """The ``keep`` columns of every row with n_bytes, n_removed, n_spans, kept_sha256, kept and spans.
+
+    ``kept`` is the bytes left, or as text these without what a cut has left of a character.
+    """
     k1, k2 = text_keys()
     rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumns({"k1": k1, "k2": k2})
     found = repeated_ranges(rows.select("k1", "k2", "doc_id", "text"), window, most, shard_bytes)
@@ -408,8 +413,9 @@ def remove_repeats(docs: DataFrame, *keep: str, window: int = WINDOW, most: int
     schema = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
     both = rows.join(found, ["k1", "k2"], "left").select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], "text", "found")
     out = both.mapInArrow(
-        _remove(len(keep)),
-        schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>",
+        _remove(len(keep), as_text),
+        schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+        f"kept {'string' if as_text else 'binary'}, spans array<struct<lo:int,hi:int>>",
     )
     return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 

@@ -106,7 +106,8 @@ registry_dependents AS (
   SELECT
     'part-' || l_partkey AS package,
     CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 'order-' || l_orderkey END AS name,
-    CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 'https://github.com/cust/order-' || l_orderkey END AS repository_url,
+    CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 'https://github.com/cust/order-' || l_orderkey
+         || CASE l_orderkey % 4 WHEN 1 THEN '.git' WHEN 2 THEN '/' ELSE '' END END AS repository_url,
     CAST(sum(l_quantity) AS BIGINT) AS downloads
   FROM lineitem GROUP BY l_partkey, l_orderkey
 )"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ranktide.catalog import q_fanout as QF
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.q_marts import MART_SQL_CORE, STATE_SQL_CORE, _opps, _state
 from ranktide.catalog.registry import register
@@ -11,6 +12,7 @@ from ranktide.functions.util import r6
 from ranktide.operators import audits as A
 from ranktide.operators import windows as W
 from ranktide.plans import marts as M
+from ranktide.session import DEFAULT_AS_OF, cut_lineage
 from ranktide.sources import bridge as B
 
 
@@ -55,7 +57,7 @@ def aud_score_range(spark, sf):
 
 
 _UNFILTERED = """
-unfiltered AS (SELECT a.id, a.project_purl FROM latest_adv a LEFT JOIN latest_proj p ON p.purl = a.project_purl)"""
+unfiltered AS (SELECT a.id, a.project_purl FROM newest_advisory a LEFT JOIN newest_project p ON p.purl = a.project_purl)"""
 
 
 def _unfiltered(spark, sf):
@@ -67,7 +69,7 @@ def _unfiltered(spark, sf):
 @register(
     "join_audit_archived",
     with_views(["advisories", "projects"], """
-SELECT o.id, o.project_purl FROM unfiltered o JOIN latest_proj p ON p.purl = o.project_purl WHERE p.archived = TRUE""", [MART_SQL_CORE, _UNFILTERED]),
+SELECT o.id, o.project_purl FROM unfiltered o JOIN newest_project p ON p.purl = o.project_purl WHERE p.archived = TRUE""", [MART_SQL_CORE, _UNFILTERED]),
 )
 def join_audit_archived(spark, sf):
     """Inner join of a mart built without the archived filter to the newest archived project rows."""
@@ -77,7 +79,7 @@ def join_audit_archived(spark, sf):
 @register(
     "aud_no_archived",
     with_views(["advisories", "projects"], """
-SELECT o.id FROM unfiltered o JOIN latest_proj p ON p.purl = o.project_purl WHERE p.archived = TRUE""", [MART_SQL_CORE, _UNFILTERED]),
+SELECT id FROM unfiltered WHERE project_purl IN (SELECT purl FROM newest_project WHERE archived)""", [MART_SQL_CORE, _UNFILTERED]),
 )
 def aud_no_archived(spark, sf):
     return A.aud_no_archived(_unfiltered(spark, sf), B.projects(spark, sf))
@@ -96,11 +98,14 @@ def aud_to_state(spark, sf):
 
 
 @register("aud_state", with_views(["advisories", "projects", "transitions"], """
-SELECT state FROM state WHERE state IS NULL OR state NOT IN ('new', 'acknowledged', 'resolved', 'rejected', 'duplicate')""",
+SELECT state FROM (SELECT CASE WHEN partition_count % 3 = 0 THEN upper(state) WHEN partition_count % 5 <> 0 THEN state END AS state FROM current)
+WHERE state IS NULL OR state NOT IN ('new', 'acknowledged', 'resolved', 'rejected', 'duplicate')""",
                                   [MART_SQL_CORE, STATE_SQL_CORE]))
 def aud_state(spark, sf):
-    """State vocabulary audit on the real lifecycle mart (expected empty)."""
-    return A.aud_state(_state(spark, sf))
+    """State vocabulary audit on a lifecycle mart some of whose states are upper-cased or missing."""
+    seen = F.col("partition_count")
+    wrong = F.when(seen % 3 == 0, F.upper("state")).when(seen % 5 != 0, F.col("state"))
+    return A.aud_state(_state(spark, sf).select(wrong.alias("state")))
 
 
 _RUNNER_SQL = """
@@ -109,17 +114,34 @@ UNION ALL SELECT 'not_null', 'staging.advisories', CAST(count(*) AS BIGINT) FROM
 UNION ALL SELECT 'unique_combination_of_columns', 'staging.advisories', CAST(count(*) AS BIGINT) FROM (SELECT id, ingest_date FROM advisories GROUP BY 1, 2 HAVING count(*) > 1)
 UNION ALL SELECT 'not_null', 'staging.projects', CAST(count(*) AS BIGINT) FROM projects WHERE purl IS NULL OR ecosystem IS NULL OR name IS NULL OR ingest_date IS NULL
 UNION ALL SELECT 'valid_to_state', 'staging.opportunity_transitions', CAST(count(*) AS BIGINT) FROM transitions WHERE to_state IS NULL OR to_state NOT IN ('new', 'acknowledged', 'resolved', 'rejected', 'duplicate')
+UNION ALL SELECT 'not_null', 'staging.opportunity_transitions', CAST(count(*) AS BIGINT) FROM transitions WHERE dedupe_key IS NULL OR to_state IS NULL OR transitioned_at IS NULL OR ingest_date IS NULL
+UNION ALL SELECT 'not_null', 'staging.dependents', CAST(count(*) AS BIGINT) FROM tiered WHERE parent IS NULL OR purl IS NULL
+UNION ALL SELECT 'unique_combination_of_columns', 'staging.dependents', CAST(count(*) AS BIGINT) FROM (SELECT parent, purl FROM tiered GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'not_null', 'staging.replacements', CAST(count(*) AS BIGINT) FROM replacements WHERE id IS NULL OR from_purl IS NULL OR axis IS NULL OR effort IS NULL
+UNION ALL SELECT 'unique_combination_of_columns', 'staging.replacements', CAST(count(*) AS BIGINT) FROM (SELECT id, from_purl FROM replacements GROUP BY 1, 2 HAVING count(*) > 1)
 UNION ALL SELECT 'not_null', 'marts.opportunities', CAST(count(*) AS BIGINT) FROM mart WHERE id IS NULL OR kind IS NULL OR project_purl IS NULL OR dedupe_key IS NULL OR score IS NULL
 UNION ALL SELECT 'unique_values', 'marts.opportunities', CAST((SELECT count(*) FROM (SELECT id FROM mart GROUP BY id HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT dedupe_key FROM mart GROUP BY dedupe_key HAVING count(*) > 1)) AS BIGINT)
 UNION ALL SELECT 'score_in_range', 'marts.opportunities', CAST(count(*) AS BIGINT) FROM mart WHERE score IS NULL OR score < 0 OR score > 1
-UNION ALL SELECT 'no_archived_active_opps', 'marts.opportunities', CAST(count(*) AS BIGINT) FROM mart o JOIN latest_proj p ON p.purl = o.project_purl WHERE p.archived = TRUE
-UNION ALL SELECT 'not_null', 'marts.opportunity_state', CAST(count(*) AS BIGINT) FROM state WHERE dedupe_key IS NULL OR kind IS NULL OR project_purl IS NULL OR first_seen_at IS NULL OR last_seen_at IS NULL OR state IS NULL
-UNION ALL SELECT 'unique_values', 'marts.opportunity_state', CAST(count(*) AS BIGINT) FROM (SELECT dedupe_key FROM state GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'valid_opportunity_state', 'marts.opportunity_state', CAST(count(*) AS BIGINT) FROM state WHERE state IS NULL OR state NOT IN ('new', 'acknowledged', 'resolved', 'rejected', 'duplicate')"""
+UNION ALL SELECT 'no_archived_active_opps', 'marts.opportunities', CAST(count(*) AS BIGINT) FROM mart o JOIN newest_project p ON p.purl = o.project_purl WHERE p.archived = TRUE
+UNION ALL SELECT 'not_null', 'marts.opportunity_state', CAST(count(*) AS BIGINT) FROM current WHERE dedupe_key IS NULL OR kind IS NULL OR project_purl IS NULL OR first_seen_at IS NULL OR last_seen_at IS NULL OR state IS NULL
+UNION ALL SELECT 'unique_values', 'marts.opportunity_state', CAST(count(*) AS BIGINT) FROM (SELECT dedupe_key FROM current GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'valid_opportunity_state', 'marts.opportunity_state', CAST(count(*) AS BIGINT) FROM current WHERE state IS NULL OR state NOT IN ('new', 'acknowledged', 'resolved', 'rejected', 'duplicate')"""
 
 
-@register("aud_runner", with_views(["advisories", "projects", "transitions"], _RUNNER_SQL, [MART_SQL_CORE, STATE_SQL_CORE]))
+_LANDED = "2026-01-01"
+
+
+@register("aud_runner", with_views(["advisories", "projects", "transitions", "replacements", *QF._TIER_VIEWS[1:]], _RUNNER_SQL,
+                                   [MART_SQL_CORE, STATE_SQL_CORE, QF._REG_SQL, QF._PRIM_SQL, QF._TIER_SQL]))
 def aud_runner(spark, sf):
     """Every audit attached to the staging models and marts: (audit, model, violations)."""
-    adv, proj, tr = B.advisories(spark, sf), B.projects(spark, sf), B.transitions(spark, sf)
-    return A.run_audits(A.mart_audits(_opps(spark, sf), _state(spark, sf), proj, adv, tr))
+    # Every model is written once; all its audits read that.
+    adv, proj, tr = (cut_lineage(f(spark, sf)) for f in (B.advisories, B.projects, B.transitions))
+    mart = cut_lineage(M.mart_opportunities(adv, proj, DEFAULT_AS_OF))
+    state = cut_lineage(M.mart_opportunity_state(mart, adv, tr, DEFAULT_AS_OF))
+    landed = F.lit(_LANDED).cast("date")
+    tiered = QF._tiered(spark, sf).select(
+        F.concat(F.lit("pkg:npm/"), F.col("parent")).alias("parent_purl"), F.col("purl").alias("dependent_purl"), landed.alias("ingest_date")
+    )
+    repl = B.replacements(spark, sf).select("id", "from_purl", "axis", "effort", landed.alias("ingest_date"))
+    return A.run_audits(A.mart_audits(mart, state, proj, adv, tr, cut_lineage(tiered), cut_lineage(repl)))

@@ -123,8 +123,8 @@ def brief_body(spark, sf):
 
 _ROW_SQL = """
 trows AS (
-  SELECT slug, ecosystem, floor(score * 10.0 + 0.5) / 10.0 AS score, floor(impact * 10.0 + 0.5) / 10.0 AS impact,
-         floor(effort * 10.0 + 0.5) / 10.0 AS effort, CAST(floor(round_even(conf, 0) + 0.5) AS BIGINT) AS confidence,
+  SELECT slug, ecosystem, floor(round_even(score, 1) * 10.0 + 0.5) / 10.0 AS score, floor(round_even(impact, 1) * 10.0 + 0.5) / 10.0 AS impact,
+         floor(round_even(effort, 1) * 10.0 + 0.5) / 10.0 AS effort, CAST(floor(round_even(conf, 0) + 0.5) AS BIGINT) AS confidence,
          CAST(opp_count AS BIGINT) AS opps, coalesce(top_kind, '') AS top_kind,
          coalesce(strftime(last_pr_merged_at, '%Y-%m-%d'), '') AS last_pr_merged,
          CASE WHEN has_benchmarks = TRUE THEN 'yes' WHEN has_benchmarks = FALSE THEN 'no' ELSE '?' END AS bench,

@@ -8,6 +8,7 @@ from ranktide.catalog import sqlfn as Q
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.registry import register
 from ranktide.functions import scoring as S
+from ranktide.functions.strings import purl_name
 from ranktide.functions.util import ts_ntz
 from ranktide.operators import aggregates as AG
 from ranktide.operators import windows as W
@@ -81,6 +82,10 @@ top_fanout AS (
 )"""
 
 
+# The same without the cut, for the operators that aren't a top-n.
+ALL_FANOUT_SQL = _TOP_FANOUT_SQL.replace("LIMIT 40", "")
+
+
 def _top_fanout(spark, sf, n=40):
     dl = L.src_weekly_downloads(W.win_latest_project(B.projects(spark, sf)))
     return FO.top_fanout(B.replacements(spark, sf), dl, n)
@@ -99,9 +104,9 @@ _REG_SQL = """
 reg AS (
   SELECT package AS parent, name, 'pkg:npm/' || name AS purl, repository_url AS repo_url,
          CAST(downloads AS BIGINT) AS lifetime_downloads, rank
-  FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY downloads DESC NULLS LAST, name ASC) AS rank
-        FROM registry_dependents WHERE name IS NOT NULL AND name <> '')
-  WHERE rank <= 5
+  FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY downloads DESC NULLS LAST, name ASC NULLS FIRST) AS rank
+        FROM registry_dependents)
+  WHERE rank <= 5 AND name IS NOT NULL AND name <> ''
 )"""
 
 _PRIM_SQL = f"""
@@ -113,12 +118,12 @@ prim AS (
     SELECT s.package_artifact_name AS parent, s.dependent_artifact_namespace AS ns, s.dependent_artifact_name AS nm,
            r.artifact_url,
            row_number() OVER (PARTITION BY s.package_artifact_name
-                              ORDER BY r.star_count DESC NULLS LAST, s.dependent_artifact_namespace, s.dependent_artifact_name) AS rank
+                              ORDER BY r.star_count DESC NULLS LAST, s.dependent_artifact_namespace NULLS FIRST,
+                                       s.dependent_artifact_name NULLS FIRST) AS rank
     FROM sbom_edges s LEFT JOIN repositories r ON s.dependent_artifact_id = r.artifact_id
     WHERE s.package_artifact_source = 'NPM' AND s.dependent_artifact_source = 'GITHUB'
-      AND regexp_matches(s.package_artifact_name, '{NPM_RE}') AND r.star_count >= 10
-      AND coalesce(s.dependent_artifact_namespace, '') <> '' AND coalesce(s.dependent_artifact_name, '') <> '')
-  WHERE rank <= 5
+      AND regexp_matches(s.package_artifact_name, '{NPM_RE}') AND r.star_count >= 10)
+  WHERE rank <= 5 AND coalesce(ns, '') <> '' AND coalesce(nm, '') <> ''
 )"""
 
 _EDGE_OUT = "parent, name, purl, repo_url, lifetime_downloads, CAST(rank AS BIGINT) AS rank"
@@ -243,8 +248,8 @@ fan AS (
 
 
 def _fan(spark, sf):
-    tf = _top_fanout(spark, sf)
-    req = tf.select(F.substring("from_purl", 9, 1 << 20).alias("name"))
+    tf = _top_fanout(spark, sf, None)
+    req = tf.select(purl_name("from_purl").alias("name"))
     return FO.join_fanout_dependents(tf, _tiered(spark, sf, req))
 
 
@@ -252,10 +257,10 @@ def _fan(spark, sf):
     "join_fanout_dependents",
     with_views(["replacements", "projects"] + [v for v in _TIER_VIEWS if v != "part"],
                "SELECT from_purl, rep_id, dep_purl, dep_repo_url, CAST(dep_rank AS BIGINT) AS dep_rank, CAST(tier AS BIGINT) AS tier FROM fan",
-               [_DEDUPE_SQL, _DL_SQL, _TOP_FANOUT_SQL, _REG_SQL, _PRIM_SQL, _TIER_SQL, _FANOUT_SQL]),
+               [_DEDUPE_SQL, _DL_SQL, ALL_FANOUT_SQL, _REG_SQL, _PRIM_SQL, _TIER_SQL, _FANOUT_SQL]),
 )
 def join_fanout_dependents(spark, sf):
-    """Top-40 replacement candidates x their tiered dependents (one-to-many)."""
+    """Every replacement candidate x its tiered dependents (one-to-many)."""
     f = _fan(spark, sf)
     return f.select("from_purl", "rep_id", "dep_purl", "dep_repo_url", F.col("dep_rank").cast("bigint").alias("dep_rank"), F.col("tier").cast("bigint").alias("tier"))
 
@@ -272,9 +277,9 @@ SELECT parent_purl, dependent_purl, CAST(first_seq AS BIGINT) AS first_seq FROM
 def win_dedupe_edges(spark, sf):
     """(replacement, dependent) pairs deduped per (parent, dependent), first by arrival order."""
     r = B.replacements(spark, sf).select("from_purl", "seq")
-    req = r.select(F.substring("from_purl", 9, 1 << 20).alias("name"))
+    req = r.select(purl_name("from_purl").alias("name"))
     t = _tiered(spark, sf, req)
-    pairs = r.join(t, t.parent == F.substring(r.from_purl, 9, 1 << 20)).select(
+    pairs = r.join(t, t.parent == purl_name(r.from_purl)).select(
         F.col("from_purl").alias("parent_purl"), F.col("purl").alias("dependent_purl"), "seq"
     )
     d = W.win_dedupe_first(pairs, ["parent_purl", "dependent_purl"], "seq")

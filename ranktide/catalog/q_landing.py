@@ -19,6 +19,7 @@ from ranktide.catalog.q_marts import MART_FLAT_SELECT, MART_SQL_CORE, _flat_mart
 from ranktide.catalog.registry import register
 from ranktide.functions.strings import json_evidence
 from ranktide.functions.util import r6
+from ranktide.operators import audits as A
 from ranktide.operators import lines as LN
 from ranktide.operators import windows as W
 from ranktide.plans import briefs as BR
@@ -224,7 +225,10 @@ def inc_time_range(spark, sf):
 
 @register("mart_full_refresh", with_views(["advisories", "projects"], MART_FLAT_SELECT, [MART_SQL_CORE]))
 def mart_full_refresh(spark, sf):
-    """Mart rebuilt in full: a first build on a partial range, then a full rebuild over it, read back."""
+    """Mart rebuilt in full: a first build on a partial range, then a full rebuild over it, read back.
+
+    A build that violates the mart's audits never replaces the table.
+    """
     root = LD.scratch_root(spark, "mart")
     LD.land_partitioned(B.advisories(spark, sf), root, "advisories")
     LD.land_partitioned(B.projects(spark, sf), root, "projects")
@@ -232,7 +236,9 @@ def mart_full_refresh(spark, sf):
     for end in ("1997-12-31", "2100-12-31"):
         adv = LD.stage(spark, root, "advisories", "1900-01-01", end)
         proj = LD.stage(spark, root, "projects", "1900-01-01", end)
-        LD.write_full(_flat_mart(M.mart_opportunities(adv, proj, DEFAULT_AS_OF)), path)
+        mart = cut_lineage(M.mart_opportunities(adv, proj, DEFAULT_AS_OF))
+        A.assert_audits(A.mart_audits(mart, None, proj, None, None))
+        LD.write_full(_flat_mart(mart), path)
     return spark.read.parquet(path)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ranktide.catalog import q_fanout as QF
 from ranktide.catalog import q_pipeline as QP
+from ranktide.catalog import repo_sql as RS
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.registry import register
 from ranktide.catalog.repo_sql import _LOC_SQL, REPO_CTES
@@ -217,17 +218,19 @@ cases AS (
               WHEN v.verdict = 'monorepo' THEN 'monorepo'
               WHEN d.name IS NOT NULL THEN 'direct' ELSE 'transitive' END AS dep_case
   FROM fanx_all f
-  LEFT JOIN rverd v ON v.repo_url = f.dep_repo_url
-  LEFT JOIN dnames d ON d.repo_url = f.dep_repo_url AND d.name = substr(f.from_purl, 9)
+  LEFT JOIN rverd v ON v.repo_url = {RS.same_repo('f.dep_repo_url')}
+  LEFT JOIN dnames d ON d.repo_url = {RS.same_repo('f.dep_repo_url')} AND d.name = substr(f.from_purl, 9)
 )"""
 
 
-def _fsql(body: str, extra: list[str] | None = None) -> str:
-    return with_views(QP._VIEWS, body, QP._CTES + [_CASE_SQL] + (extra or []))
+def _fsql(body: str, extra: list[str] | None = None, top: bool = False) -> str:
+    """Over all candidates; ``top``: over the ranked cut."""
+    ctes = [QF.ALL_FANOUT_SQL if c == QF._TOP_FANOUT_SQL and not top else c for c in QP._CTES]
+    return with_views(QP._VIEWS, body, ctes + [_CASE_SQL] + (extra or []))
 
 
 def _cases(spark, sf):
-    fan, _downloads = QP.fanout_candidates(spark, sf)
+    fan, _downloads = QP.fanout_candidates(spark, sf, None)
     v, n = MF.man_direct_deps(_files(spark, sf))
     return FO.flt_direct_dep_verdicts(fan, v, n)
 
@@ -255,7 +258,7 @@ def agg_filter_counters(spark, sf):
 _JLOC_SQL = f"""
 jloc AS (
   SELECT c.dep_purl, c.from_purl, c.dep_repo_url, l.locations FROM cases c
-  JOIN ({_LOC_SQL}) l ON l.repo_url = c.dep_repo_url AND l.name = substr(c.from_purl, 9)
+  JOIN ({_LOC_SQL}) l ON l.repo_url = {RS.same_repo('c.dep_repo_url')} AND l.name = substr(c.from_purl, 9)
   WHERE c.dep_case = 'direct'
 )"""
 
@@ -270,7 +273,7 @@ def join_locations(spark, sf):
 @register(
     "fn_permalink",
     _fsql("""
-SELECT dep_purl, from_purl, string_agg(rtrim(dep_repo_url, '/') || '/blob/HEAD/' || loc, ';' ORDER BY ord) AS urls
+SELECT dep_purl, from_purl, string_agg(rtrim(dep_repo_url, '/') || '/blob/' || CASE WHEN length(dep_purl) % 2 = 0 THEN md5(dep_purl) ELSE 'HEAD' END || '/' || loc, ';' ORDER BY ord) AS urls
 FROM (SELECT dep_purl, from_purl, dep_repo_url, unnest(string_split(locations, ';')) AS loc,
              generate_subscripts(string_split(locations, ';'), 1) AS ord FROM jloc)
 GROUP BY dep_purl, from_purl""", [_JLOC_SQL]),
@@ -281,7 +284,9 @@ def fn_permalink(spark, sf):
     l = FO.join_locations(cases, _files(spark, sf))
     repo = cases.select("dep_purl", "from_purl", "dep_repo_url").distinct()
     j = l.join(repo, ["dep_purl", "from_purl"])
-    links = permalink_locations(F.col("dep_repo_url"), F.lit(None).cast("string"), F.col("locations"))
+    # Some repositories' head commit is known: those links are pinned to it.
+    sha = F.when(F.length("dep_purl") % 2 == 0, F.md5("dep_purl"))
+    links = permalink_locations(F.col("dep_repo_url"), sha, F.col("locations"))
     return j.select("dep_purl", "from_purl", F.array_join(F.transform(links, lambda x: x["url"]), ";").alias("urls"))
 
 
@@ -290,7 +295,7 @@ def fn_permalink(spark, sf):
     _fsql("""
 SELECT c.from_purl, c.dep_purl, c.dep_case, l.locations FROM cases c
 LEFT JOIN jloc l ON l.dep_purl = c.dep_purl AND l.from_purl = c.from_purl
-WHERE c.dep_case IN ('no_repo', 'unknown', 'monorepo', 'direct')""", [_JLOC_SQL]),
+WHERE c.dep_case IN ('no_repo', 'unknown', 'monorepo', 'direct')""", [_JLOC_SQL], top=True),
 )
 def pipe_fanout(spark, sf):
     """Dedupe -> top 40 by downloads -> tiered dependents -> direct-dependency filter -> locations."""

@@ -32,28 +32,25 @@ def _flat_mart(df):
 
 
 MART_SQL_CORE = f"""
-latest_adv AS (
-  SELECT * FROM (
-    SELECT id, project_purl, severity, cvss, summary, fixed_versions, published_at,
-           row_number() OVER (PARTITION BY id ORDER BY ingest_date DESC, project_purl ASC) AS rn
-    FROM advisories) WHERE rn = 1
+newest_advisory AS (
+  SELECT DISTINCT ON (id) * FROM advisories ORDER BY id, ingest_date DESC, project_purl
 ),
-latest_proj AS (
-  SELECT * FROM (
-    SELECT purl, ecosystem, name, stars, downloads_weekly, dependents, archived, last_pr_merged_at,
-           row_number() OVER (PARTITION BY purl ORDER BY ingest_date DESC) AS rn
-    FROM projects) WHERE rn = 1
+newest_project AS (
+  SELECT DISTINCT ON (purl) * FROM projects ORDER BY purl, ingest_date DESC
+),
+live AS (
+  SELECT a.*, p.ecosystem, p.name, p.stars, p.downloads_weekly, p.dependents, p.last_pr_merged_at
+  FROM newest_advisory a LEFT JOIN newest_project p ON a.project_purl = p.purl
+  WHERE NOT EXISTS (SELECT 1 FROM newest_project x WHERE x.purl = a.project_purl AND x.archived)
 ),
 mart AS (
-  SELECT a.id AS id, 'vulnerability-fix' AS kind, a.project_purl || '|' || a.id AS dedupe_key,
-         a.project_purl AS project_purl, p.ecosystem AS ecosystem, p.name AS project_name,
-         a.severity AS advisory_severity, a.cvss AS advisory_cvss, a.summary AS advisory_summary,
-         a.fixed_versions AS advisory_fixed_versions, p.stars AS project_stars,
-         p.downloads_weekly AS project_downloads_weekly, p.dependents AS project_dependents,
-         {Q.score_macro('a.cvss', 'p.downloads_weekly', 'p.stars', 'a.fixed_versions', 'a.summary', 'p.last_pr_merged_at')} AS score,
+  SELECT id, 'vulnerability-fix' AS kind, concat_ws('|', project_purl, id) AS dedupe_key, project_purl, ecosystem,
+         name AS project_name, severity AS advisory_severity, cvss AS advisory_cvss, summary AS advisory_summary,
+         fixed_versions AS advisory_fixed_versions, stars AS project_stars,
+         downloads_weekly AS project_downloads_weekly, dependents AS project_dependents,
+         {Q.score_macro('cvss', 'downloads_weekly', 'stars', 'fixed_versions', 'summary', 'last_pr_merged_at')} AS score,
          {NOW} AS computed_at
-  FROM latest_adv a LEFT JOIN latest_proj p ON p.purl = a.project_purl
-  WHERE coalesce(p.archived, FALSE) = FALSE
+  FROM live
 )"""
 
 MART_FLAT_SELECT = """
@@ -70,34 +67,28 @@ def mart_opportunities(spark, sf):
     return _flat_mart(_opps(spark, sf))
 
 
-LIFECYCLE_CTE = """
-lifecycle AS (
-  SELECT project_purl, id, min(ingest_date) AS first_seen, max(ingest_date) AS last_seen,
-         count(DISTINCT ingest_date) AS partition_count
-  FROM advisories GROUP BY project_purl, id
+SEEN_CTE = """
+seen AS (
+  SELECT project_purl, id, dates[1] AS first_seen, dates[-1] AS last_seen, len(dates) AS partition_count
+  FROM (SELECT project_purl, id, list_sort(list(DISTINCT ingest_date)) AS dates FROM advisories GROUP BY ALL)
 )"""
 
-LATEST_TR_CTE = """
-latest_tr AS (
-  SELECT * FROM (
-    SELECT dedupe_key, to_state, transitioned_at, actor, reason,
-           row_number() OVER (PARTITION BY dedupe_key ORDER BY transitioned_at DESC, ingest_date DESC, reason DESC) AS rn
-    FROM transitions) WHERE rn = 1
+NEWEST_MOVE_CTE = """
+newest_move AS (
+  SELECT DISTINCT ON (dedupe_key) dedupe_key, to_state, transitioned_at, actor, reason
+  FROM transitions ORDER BY dedupe_key, transitioned_at DESC, ingest_date DESC, reason DESC
 )"""
 
-STATE_CTE = """
-state AS (
-  SELECT o.dedupe_key, o.kind, o.project_purl,
-         CAST(l.first_seen AS TIMESTAMP) AS first_seen_at, CAST(l.last_seen AS TIMESTAMP) AS last_seen_at,
-         CAST(l.partition_count AS BIGINT) AS partition_count,
-         coalesce(t.to_state, 'new') AS state, t.transitioned_at AS state_transitioned_at,
-         t.actor AS state_actor, t.reason AS state_reason, TIMESTAMP '2001-11-10 00:00:00' AS computed_at
-  FROM mart o
-  LEFT JOIN lifecycle l ON l.project_purl = o.project_purl AND l.id = o.id
-  LEFT JOIN latest_tr t ON t.dedupe_key = o.dedupe_key
+CURRENT_CTE = """
+current AS (
+  SELECT dedupe_key, kind, project_purl,
+         first_seen::TIMESTAMP AS first_seen_at, last_seen::TIMESTAMP AS last_seen_at, partition_count::BIGINT AS partition_count,
+         CASE WHEN to_state IS NULL THEN 'new' ELSE to_state END AS state, transitioned_at AS state_transitioned_at,
+         actor AS state_actor, reason AS state_reason, TIMESTAMP '2001-11-10 00:00:00' AS computed_at
+  FROM mart LEFT JOIN seen USING (project_purl, id) LEFT JOIN newest_move USING (dedupe_key)
 )"""
 
-STATE_SQL_CORE = ",\n".join([LIFECYCLE_CTE.strip(), LATEST_TR_CTE.strip(), STATE_CTE.strip()])
+STATE_SQL_CORE = ",\n".join([SEEN_CTE.strip(), NEWEST_MOVE_CTE.strip(), CURRENT_CTE.strip()])
 
 
 def _state(spark, sf):
@@ -106,7 +97,7 @@ def _state(spark, sf):
 
 @register(
     "mart_opportunity_state",
-    with_views(["advisories", "projects", "transitions"], "SELECT * FROM state", [MART_SQL_CORE, STATE_SQL_CORE]),
+    with_views(["advisories", "projects", "transitions"], "SELECT * FROM current", [MART_SQL_CORE, STATE_SQL_CORE]),
 )
 def mart_opportunity_state(spark, sf):
     """Lifecycle + newest transition state per dedupe key."""
@@ -218,10 +209,8 @@ def fn_dedupe_key(spark, sf):
 @register(
     "win_latest_advisory",
     with_views(["advisories"], """
-SELECT id, project_purl, ingest_date FROM (
-  SELECT id, project_purl, ingest_date,
-         row_number() OVER (PARTITION BY id ORDER BY ingest_date DESC, project_purl ASC) AS rn
-  FROM advisories) WHERE rn = 1"""),
+SELECT id, min(project_purl) AS project_purl, ingest_date FROM advisories
+WHERE (id, ingest_date) IN (SELECT id, max(ingest_date) FROM advisories GROUP BY id) GROUP BY id, ingest_date"""),
 )
 def win_latest_advisory(spark, sf):
     return W.win_latest_advisory(B.advisories(spark, sf)).select("id", "project_purl", "ingest_date")
@@ -230,10 +219,8 @@ def win_latest_advisory(spark, sf):
 @register(
     "win_latest_project",
     with_views(["projects"], """
-SELECT purl, ingest_date, archived, downloads_weekly FROM (
-  SELECT purl, ingest_date, archived, downloads_weekly,
-         row_number() OVER (PARTITION BY purl ORDER BY ingest_date DESC) AS rn
-  FROM projects) WHERE rn = 1"""),
+SELECT p.purl, p.ingest_date, p.archived, p.downloads_weekly FROM projects p
+WHERE NOT EXISTS (SELECT 1 FROM projects x WHERE x.purl = p.purl AND x.ingest_date > p.ingest_date)"""),
 )
 def win_latest_project(spark, sf):
     return W.win_latest_project(B.projects(spark, sf)).select("purl", "ingest_date", "archived", "downloads_weekly")
@@ -242,9 +229,8 @@ def win_latest_project(spark, sf):
 @register(
     "win_latest_transition",
     with_views(["transitions"], """
-SELECT dedupe_key, to_state, transitioned_at, actor, reason FROM (
-  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY transitioned_at DESC, ingest_date DESC, reason DESC) AS rn
-  FROM transitions) WHERE rn = 1"""),
+SELECT DISTINCT ON (dedupe_key) dedupe_key, to_state, transitioned_at, actor, reason
+FROM transitions ORDER BY dedupe_key, transitioned_at DESC, ingest_date DESC, reason DESC"""),
 )
 def win_latest_transition(spark, sf):
     return W.win_latest_transition(B.transitions(spark, sf)).select("dedupe_key", "to_state", "transitioned_at", "actor", "reason")
@@ -252,7 +238,7 @@ def win_latest_transition(spark, sf):
 
 @register(
     "join_left_latest_project",
-    with_views(["advisories", "projects"], "SELECT a.id, a.project_purl, p.ecosystem, p.archived FROM latest_adv a LEFT JOIN latest_proj p ON p.purl = a.project_purl", [MART_SQL_CORE]),
+    with_views(["advisories", "projects"], "SELECT a.id, a.project_purl, p.ecosystem, p.archived FROM newest_advisory a LEFT JOIN newest_project p ON p.purl = a.project_purl", [MART_SQL_CORE]),
 )
 def join_left_latest_project(spark, sf):
     a = W.win_latest_advisory(B.advisories(spark, sf))
@@ -263,9 +249,8 @@ def join_left_latest_project(spark, sf):
 @register(
     "flt_archived_mart",
     with_views(["projects"], """
-SELECT purl, ingest_date FROM (
-  SELECT purl, ingest_date, archived, row_number() OVER (PARTITION BY purl ORDER BY ingest_date DESC) AS rn FROM projects)
-WHERE rn = 1 AND coalesce(archived, FALSE) = FALSE"""),
+SELECT purl, max(ingest_date) AS ingest_date FROM projects GROUP BY purl
+HAVING arg_max(coalesce(archived, FALSE), ingest_date) = FALSE"""),
 )
 def flt_archived_mart(spark, sf):
     return M.flt_archived_mart(W.win_latest_project(B.projects(spark, sf))).select("purl", "ingest_date")
@@ -274,9 +259,7 @@ def flt_archived_mart(spark, sf):
 @register(
     "agg_lifecycle",
     with_views(["advisories"], """
-SELECT project_purl, id, min(ingest_date) AS first_seen, max(ingest_date) AS last_seen,
-       CAST(count(DISTINCT ingest_date) AS BIGINT) AS partition_count
-FROM advisories GROUP BY project_purl, id"""),
+SELECT project_purl, id, first_seen, last_seen, partition_count::BIGINT AS partition_count FROM seen""", [SEEN_CTE]),
 )
 def agg_lifecycle(spark, sf):
     return M.agg_lifecycle(B.advisories(spark, sf)).withColumn("partition_count", F.col("partition_count").cast("bigint"))
@@ -285,8 +268,8 @@ def agg_lifecycle(spark, sf):
 @register(
     "join_lifecycle",
     with_views(["advisories", "projects"], """
-SELECT o.dedupe_key, l.first_seen, l.last_seen, CAST(l.partition_count AS BIGINT) AS partition_count
-FROM mart o LEFT JOIN lifecycle l ON l.project_purl = o.project_purl AND l.id = o.id""", [MART_SQL_CORE, LIFECYCLE_CTE]),
+SELECT dedupe_key, first_seen, last_seen, partition_count::BIGINT AS partition_count
+FROM mart LEFT JOIN seen USING (project_purl, id)""", [MART_SQL_CORE, SEEN_CTE]),
 )
 def join_lifecycle(spark, sf):
     o = _opps(spark, sf).select("id", "dedupe_key", "project_purl")
@@ -296,7 +279,7 @@ def join_lifecycle(spark, sf):
 
 @register(
     "join_latest_transition",
-    with_views(["advisories", "projects", "transitions"], "SELECT dedupe_key, state, state_transitioned_at, state_actor FROM state", [MART_SQL_CORE, STATE_SQL_CORE]),
+    with_views(["advisories", "projects", "transitions"], "SELECT dedupe_key, state, state_transitioned_at, state_actor FROM current", [MART_SQL_CORE, STATE_SQL_CORE]),
 )
 def join_latest_transition(spark, sf):
     return _state(spark, sf).select("dedupe_key", "state", "state_transitioned_at", "state_actor")

@@ -10,6 +10,7 @@ from ranktide.catalog import repo_sql as RS
 from ranktide.catalog import sqlfn as Q
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.registry import register
+from ranktide.functions.strings import purl_name
 from ranktide.functions.util import r6
 from ranktide.operators import filters as FL
 from ranktide.operators import windows as W
@@ -28,12 +29,12 @@ TOP_N = 20
 # Spark side
 
 
-def fanout_candidates(spark, sf):
-    """Top-40 replacement candidates x their tiered dependents (before verification), plus downloads."""
+def fanout_candidates(spark, sf, top_n=FO.FANOUT_TOP_N):
+    """Replacement candidates (the top ``top_n``; None: all) x their tiered dependents (before verification), plus downloads."""
     downloads = L.src_weekly_downloads(W.win_latest_project(B.projects(spark, sf)))
-    tf = FO.top_fanout(B.replacements(spark, sf), downloads, FO.FANOUT_TOP_N)
-    req = tf.select(F.substring("from_purl", 9, 1 << 20).alias("name"))
-    # The requested packages (<= FANOUT_TOP_N) are applied to every source before its ranking.
+    tf = FO.top_fanout(B.replacements(spark, sf), downloads, top_n)
+    req = tf.select(purl_name("from_purl").alias("name"))
+    # The requested packages are applied to every source before its ranking.
     prim = D.src_dependents_sbom_join(B.sbom_edges(spark, sf), B.repositories(spark, sf), D.MIN_STARS, D.DEFAULT_TOP_K, parents=req)
     fb = D.src_dependents_registry(B.registry_dependents(spark, sf), D.DEFAULT_TOP_K, parents=req)
     tiered = D.join_tiered_source(req, B.dependents_cache(spark, sf), prim, fb, QF.CACHE_WEEK, D.DEFAULT_TOP_K)
@@ -123,13 +124,13 @@ fcases AS (
               WHEN v.verdict = 'monorepo' THEN 'monorepo'
               WHEN d.name IS NOT NULL THEN 'direct' ELSE 'transitive' END AS dep_case
   FROM fanx_all f
-  LEFT JOIN rverd v ON v.repo_url = f.dep_repo_url
-  LEFT JOIN dnames d ON d.repo_url = f.dep_repo_url AND d.name = {Q.purl_name('f.from_purl')}
+  LEFT JOIN rverd v ON v.repo_url = {RS.same_repo('f.dep_repo_url')}
+  LEFT JOIN dnames d ON d.repo_url = {RS.same_repo('f.dep_repo_url')} AND d.name = {Q.purl_name('f.from_purl')}
 ),
 fanx AS (SELECT * FROM fcases WHERE dep_case IN ('no_repo', 'unknown', 'monorepo', 'direct')),
 floc AS (
   SELECT f.dep_purl, f.from_purl, l.locations FROM fanx f
-  JOIN rlocs l ON l.repo_url = f.dep_repo_url AND l.name = {Q.purl_name('f.from_purl')}
+  JOIN rlocs l ON l.repo_url = {RS.same_repo('f.dep_repo_url')} AND l.name = {Q.purl_name('f.from_purl')}
   WHERE f.dep_case = 'direct'
 ),
 findings AS (
@@ -161,7 +162,7 @@ hydr AS (
              WHERE mrn = 1) m
     ON m.owner = nullif(regexp_extract(trim(b.repo_url), '^https?://github\\.com/([^/]+)/([^/?#]+?)(?:\\.git)?/?$', 1), '')
    AND m.repo = nullif(regexp_extract(trim(b.repo_url), '^https?://github\\.com/([^/]+)/([^/?#]+?)(?:\\.git)?/?$', 2), '')
-  LEFT JOIN rbench rb ON rb.repo_url = b.repo_url
+  LEFT JOIN rbench rb ON rb.repo_url = {RS.same_repo('b.repo_url')}
 ),
 elig AS (SELECT * FROM hydr WHERE NOT archived AND coalesce(downloads_weekly >= 50000, TRUE)),
 ov AS (

@@ -7,6 +7,11 @@ expected line number, verdict and signal follows from the same columns.
 
 from __future__ import annotations
 
+def same_repo(url: str) -> str:
+    """A repository URL without ``.git`` and slash at its end."""
+    return f"regexp_replace({url}, '(\\.git)?/?$', '')"
+
+
 REPO_CTES = """
 oi AS (
   SELECT l_orderkey AS o, l_partkey AS pk, l_linenumber AS ln, l_suppkey AS sk, l_returnflag AS fl,
@@ -23,7 +28,8 @@ rexp AS (
   SELECT o, 'https://github.com/cust/order-' || o AS repo_url, n_r, n_d, n_listed,
          (o % 17 <> 0 AND o % 19 <> 0 AND o % 23 <> 0 AND o % 29 <> 0) AS ok,
          (o % 13 = 0) AS mono, (o % 13 = 0 AND o % 26 <> 0) AS has_lock,
-         3 + CASE WHEN o % 2 = 0 THEN 3 ELSE 0 END + (o % 3) + 4 + CASE WHEN o % 13 = 0 THEN 1 ELSE 0 END AS l0,
+         3 + CASE WHEN o % 2 = 0 THEN 3 ELSE 0 END + (o % 3) + 4 + CASE WHEN o % 13 = 0 THEN 1 ELSE 0 END
+           + CASE WHEN o % 31 = 0 THEN 1 ELSE 0 END AS l0,
          CASE WHEN (o % 13 = 0 AND o % 26 <> 0) OR (o % 17 = 0 AND o % 2 = 0) THEN TRUE
               WHEN o % 17 = 0 AND o % 3 = 0 THEN NULL ELSE FALSE END AS has_root_lockfile
   FROM ord

@@ -71,7 +71,7 @@ def version_in_range_parsed(target, range_str) -> Column:
     clauses = F.filter(F.transform(F.split(as_col(range_str), ","), _strip_ws), lambda c: c != "")
     with_op = F.transform(clauses, lambda c: F.struct(F.regexp_extract(c, OP_PATTERN, 1).alias("op"), c.alias("c")))
     parsed = F.transform(
-        with_op, lambda x: F.struct(x["op"].alias("op"), parse_version(_strip_ws(F.substring(x["c"], F.length(x["op"]) + 1, 1 << 20))).alias("b"))
+        with_op, lambda x: F.struct(x["op"].alias("op"), parse_version(_strip_ws(F.substr(x["c"], F.length(x["op"]) + 1))).alias("b"))
     )
     codes = F.transform(
         parsed,

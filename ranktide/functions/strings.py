@@ -22,7 +22,7 @@ def purl_build(ecosystem, name, lower_eco: bool = False) -> Column:
 
 
 def _remove_prefix(c: Column, prefix: str) -> Column:
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 20)).otherwise(c)
+    return F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
 
 
 def purl_name(purl) -> Column:
@@ -34,6 +34,13 @@ def slug(name) -> Column:
     return F.replace(F.replace(as_col(name), F.lit("/"), F.lit("__")), F.lit("@"), F.lit(""))
 
 
+def canonical_repo(url) -> Column:
+    """One spelling for each repository: ``.git`` and a trailing slash don't count; other URLs stay as they are."""
+    u = as_col(url)
+    owner, repo = repo_owner(u), repo_name(u)
+    return F.when(owner.isNotNull() & repo.isNotNull(), F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo)).otherwise(u)
+
+
 def repo_owner(url) -> Column:
     return F.nullif(F.regexp_extract(F.trim(as_col(url)), REPO_URL_PATTERN, 1), F.lit(""))
 

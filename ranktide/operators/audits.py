@@ -91,13 +91,32 @@ def assert_audits(audits: Sequence[Audit]) -> list[tuple[str, str, int]]:
     return rows
 
 
-def mart_audits(mart: DataFrame, state: DataFrame, projects: DataFrame, advisories: DataFrame, transitions: DataFrame) -> list[Audit]:
-    """The audits attached to the staging models and the two marts."""
+def mart_audits(
+    mart: DataFrame, state: DataFrame | None, projects: DataFrame, advisories: DataFrame, transitions: DataFrame | None,
+    dependents: DataFrame | None = None, replacements: DataFrame | None = None,
+) -> list[Audit]:
+    """The audits attached to the staging models and the two marts (those of a model that isn't given are left out)."""
+    given = {
+        "staging.advisories": advisories, "staging.projects": projects, "staging.opportunity_transitions": transitions,
+        "staging.dependents": dependents, "staging.replacements": replacements,
+        "marts.opportunities": mart, "marts.opportunity_state": state,
+    }
+    return [a for a in _audits(mart, state, projects, advisories, transitions, dependents, replacements) if given[a.model] is not None]
+
+
+def _audits(mart, state, projects, advisories, transitions, dependents, replacements) -> list[Audit]:
     return [
         Audit("not_null", "staging.advisories", lambda: aud_not_null(advisories, ["id", "project_purl", "ingest_date"])),
         Audit("unique_combination_of_columns", "staging.advisories", lambda: aud_unique_combo(advisories, ["id", "ingest_date"])),
         Audit("not_null", "staging.projects", lambda: aud_not_null(projects, ["purl", "ecosystem", "name", "ingest_date"])),
+        Audit("not_null", "staging.opportunity_transitions",
+              lambda: aud_not_null(transitions, ["dedupe_key", "to_state", "transitioned_at", "ingest_date"])),
         Audit("valid_to_state", "staging.opportunity_transitions", lambda: aud_to_state(transitions)),
+        Audit("not_null", "staging.dependents", lambda: aud_not_null(dependents, ["parent_purl", "dependent_purl", "ingest_date"])),
+        Audit("unique_combination_of_columns", "staging.dependents",
+              lambda: aud_unique_combo(dependents, ["parent_purl", "dependent_purl", "ingest_date"])),
+        Audit("not_null", "staging.replacements", lambda: aud_not_null(replacements, ["id", "from_purl", "axis", "effort", "ingest_date"])),
+        Audit("unique_combination_of_columns", "staging.replacements", lambda: aud_unique_combo(replacements, ["id", "from_purl", "ingest_date"])),
         Audit("not_null", "marts.opportunities", lambda: aud_not_null(mart, ["id", "kind", "project_purl", "dedupe_key", "score"])),
         Audit("unique_values", "marts.opportunities", lambda: aud_unique_values(mart, ["id", "dedupe_key"])),
         Audit("score_in_range", "marts.opportunities", lambda: aud_score_range(mart)),

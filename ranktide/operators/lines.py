@@ -64,10 +64,15 @@ def dep_section_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def man_dep_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First 1-based line declaring each dependency inside one of the four dependency sections."""
+    """First 1-based line declaring each dependency inside one of the four dependency sections.
+
+    A section's header is never a dependency, also where an empty section
+    (``"dependencies": {},``) stands before it.
+    """
     x = dep_section_lines(lines, keys)
     key = F.regexp_extract("line", JSON_KEY_PATTERN, 1)
-    hits = x.where(F.col("section").isNotNull() & (F.col("d_before") == F.col("sec_base")) & (key != ""))
+    inside = F.col("section").isNotNull() & (F.col("d_before") == F.col("sec_base"))
+    hits = x.where(inside & (key != "") & ~F.col("line").rlike(DEP_SECTION_PATTERN))
     return hits.groupBy(*keys, key.alias("name")).agg(F.min("line_no").cast("int").alias("line"))
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from ranktide.functions import scoring as S
 from ranktide.functions.dates import activity_label
 from ranktide.functions.strings import ADVISORY_URL_BASE, MANIFEST_BLOB_BASE, NPM_PREFIX
-from ranktide.functions.util import as_col, ts_ntz
+from ranktide.functions.util import as_col, let, ts_ntz
 from ranktide.session import DEFAULT_AS_OF
 
 # Fixed values.
-FRONTMATTER_SCHEMA = "biibaa-brief/1"
+FRONTMATTER_SCHEMA = "ranktide-brief/1"
 # End of fixed values.
 
 CIT_T = "struct<type:string,id:string,url:string>"
@@ -79,11 +79,11 @@ def agg_citations(opportunities="opportunities") -> Column:
     Built inside the row: flatten per-opportunity citations, then keep an
     element only if no earlier element has the same (type, id).
     """
-    allc = F.flatten(F.transform(as_col(opportunities), _opp_citations))
-    return F.filter(
-        allc,
-        lambda x, i: ~F.exists(F.slice(allc, 1, i), lambda y: (y["type"] == x["type"]) & (y["id"] == x["id"])),
-    )
+    def first_of_each(found: Column) -> Column:
+        keys = F.transform(found, lambda x: F.struct(x["type"], x["id"]))
+        return let(keys, lambda k: F.filter(found, lambda x, i: F.array_position(k, F.struct(x["type"], x["id"])) == i + 1))
+
+    return let(F.flatten(F.transform(as_col(opportunities), _opp_citations)), first_of_each)
 
 
 def _iso_utc(ts: Column) -> Column:
@@ -158,12 +158,12 @@ def _opp_md(o: Column, i: Column) -> Column:
     rep_md = F.when(rep.isNotNull(), F.concat(
         F.lit("- **Axis**: "), rep["axis"],
         F.lit("\n- **Replace**: `"), F.regexp_replace(rep["from_purl"], NPM_PREFIX, ""), F.lit("` → "), targets,
-        F.lit("\n\n- **Effort band**: "), rep["effort"],
+        F.lit("\n- **Effort band**: "), rep["effort"],
         F.lit("\n- **Evidence**: e18e [module-replacements](https://github.com/e18e/module-replacements) · manifest ["),
         F.coalesce(rep["manifest"], F.lit("")),
         F.when(rep["manifest_line"].isNotNull(), F.concat(F.lit("#L"), rep["manifest_line"].cast("string"))).otherwise(F.lit("")),
         F.lit("]("), F.coalesce(citation_url(rep["manifest"], rep["manifest_line"]), F.lit(MANIFEST_BLOB_BASE)), F.lit(")\n"),
-        F.when(F.size(o["dependency_locations"]) > 0, F.concat(F.lit("- **Found in**: "), locs, F.lit("\n\n"))).otherwise(F.lit("")),
+        F.when(F.size(o["dependency_locations"]) > 0, F.concat(F.lit("- **Found in**: "), locs, F.lit("\n"))).otherwise(F.lit("")),
     )).otherwise(F.lit(""))
     tail = F.concat(
         F.lit("- **Effort score**: "), _fmt0(o["effort"]), F.lit(" / 100 (high = easy)\n"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranktide.functions.strings import purl_name
+from ranktide.functions.strings import canonical_repo, purl_name
 from ranktide.operators.aggregates import dedupe_easiest
 from ranktide.sources.lookups import join_downloads
 
@@ -15,22 +15,23 @@ DEPENDENTS_PER_REPLACEMENT = 5
 # End of fixed values.
 
 
-def top_fanout(replacements: DataFrame, downloads: DataFrame, n: int = FANOUT_TOP_N) -> DataFrame:
+def top_fanout(replacements: DataFrame, downloads: DataFrame, n: int | None = FANOUT_TOP_N) -> DataFrame:
     """Deduped from-packages ranked by weekly downloads (unknown = 0), stable on first appearance.
 
     ``orderBy(...).limit(n)`` plans as ``TakeOrderedAndProject``: each task
-    keeps its own top n and only those reach the final merge.
+    keeps its own top n and only those reach the final merge. ``None``: all, in no order.
     """
     d = dedupe_easiest(replacements)
     j = join_downloads(d, downloads, "from_purl")
+    if n is None:
+        return j
     return j.orderBy(F.coalesce(F.col("downloads_weekly"), F.lit(0)).desc(), F.col("first_seq").asc()).limit(n)
 
 
 def join_fanout_dependents(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     """Ranked replacement x its dependents (inner join on the short from-package name).
 
-    ``ranked`` holds at most ``FANOUT_TOP_N`` rows when it comes from
-    ``top_fanout``; AQE sees that at run time and broadcasts it.
+    AQE sees the sizes at run time and broadcasts a short ranking.
     """
     r = ranked.withColumn("__parent", purl_name("from_purl"))
     j = edges.join(r, edges.parent == r["__parent"])
@@ -58,13 +59,14 @@ def flt_direct_dep_verdicts(fan: DataFrame, verdicts: DataFrame | None, names: D
     ``verdicts is None`` means verification is disabled: every candidate is kept.
     """
     from_name = purl_name("from_purl")
-    x = fan.withColumn("__from_name", from_name)
+    x = fan.withColumn("__from_name", from_name).withColumn("__repo", canonical_repo("dep_repo_url"))
     if verdicts is None:
-        return x.withColumn("dep_case", F.lit("unverified")).withColumn("keep", F.lit(True)).drop("__from_name")
+        return x.withColumn("dep_case", F.lit("unverified")).withColumn("keep", F.lit(True)).drop("__from_name", "__repo")
+    # A repository is known by its owner and name, however its URL is written.
     v = verdicts.select(F.col("repo_url").alias("__vu"), F.col("verdict"))
     n = names.select(F.col("repo_url").alias("__nu"), F.col("name").alias("__nn"), F.lit(True).alias("__present"))
-    j = x.join(v, x.dep_repo_url == v["__vu"], "left")
-    j = j.join(n, (j.dep_repo_url == n["__nu"]) & (j["__from_name"] == n["__nn"]), "left")
+    j = x.join(v, x["__repo"] == v["__vu"], "left")
+    j = j.join(n, (j["__repo"] == n["__nu"]) & (j["__from_name"] == n["__nn"]), "left")
     case = (
         F.when(F.coalesce(F.col("dep_repo_url"), F.lit("")) == "", F.lit("no_repo"))
         .when(F.col("verdict").isNull() | (F.col("verdict") == "unknown"), F.lit("unknown"))
@@ -76,7 +78,7 @@ def flt_direct_dep_verdicts(fan: DataFrame, verdicts: DataFrame | None, names: D
     return (
         j.withColumn("dep_case", case)
         .withColumn("keep", F.col("dep_case").isin(*KEEP_CASES))
-        .drop("__vu", "__nu", "__nn", "__present", "verdict", "__from_name")
+        .drop("__vu", "__nu", "__nn", "__present", "verdict", "__from_name", "__repo")
     )
 
 
@@ -101,7 +103,7 @@ def join_locations(cases: DataFrame, files: DataFrame) -> DataFrame:
     from ranktide.sources.manifests import man_dep_locations
 
     direct = cases.where(F.col("dep_case") == "direct").select(
-        "dep_purl", "from_purl", F.col("dep_repo_url").alias("repo_url"), purl_name("from_purl").alias("name")
+        "dep_purl", "from_purl", canonical_repo("dep_repo_url").alias("repo_url"), purl_name("from_purl").alias("name")
     )
     locs = man_dep_locations(direct.select("repo_url", "name").distinct(), files)
     return direct.join(locs, ["repo_url", "name"]).select("dep_purl", "from_purl", "locations")
@@ -114,15 +116,15 @@ def pipe_fanout(fan: DataFrame, files: DataFrame | None, stage=lambda d: d) -> t
     files (pass ``session.cut_lineage``); both are small by construction.
     """
     fan = stage(fan)
-    from ranktide.sources.manifests import man_direct_deps
+    from ranktide.sources.manifests import by_repository, man_direct_deps
 
     if files is None:
         cases = flt_direct_dep_verdicts(fan, None, None)
         return cases.where("keep"), None, cases, None
-    # Only the candidates' repositories are read (FANOUT_TOP_N x DEPENDENTS_PER_REPLACEMENT URLs in
-    # the pipeline); the staged candidate list has exact sizes, so AQE broadcasts it at run time.
-    repos = fan.where(F.col("dep_repo_url").isNotNull()).select(F.col("dep_repo_url").alias("repo_url")).distinct()
-    files = stage(files.join(repos, "repo_url", "left_semi"))
+    # Only the candidates' repositories are read; the staged candidate list has exact sizes, so AQE
+    # broadcasts a short one at run time.
+    repos = fan.where(F.col("dep_repo_url").isNotNull()).select(canonical_repo("dep_repo_url").alias("repo_url")).distinct()
+    files = stage(by_repository(files).join(repos, "repo_url", "left_semi"))
     verdicts, names = man_direct_deps(files)
     cases = flt_direct_dep_verdicts(fan, verdicts, names)
     return cases.where("keep"), join_locations(cases, files), cases, files

@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ranktide.functions import scoring as S
 from ranktide.functions.hashes import uuid5
-from ranktide.functions.strings import permalink_locations, pr_title, purl_name, repo_name, repo_owner, slug
+from ranktide.functions.strings import canonical_repo, permalink_locations, pr_title, purl_name, repo_name, repo_owner, slug
 from ranktide.functions.util import ts_ntz
 from ranktide.operators.filters import MIN_WEEKLY_DOWNLOADS, eligible
 from ranktide.operators.windows import top_k_per_group
 from ranktide.plans.marts import dedupe_key
 from ranktide.session import DEFAULT_AS_OF
+from ranktide.sources.lookups import one_per_repository
 
 VULN = "vulnerability-fix"
 PERF = "perf-replacement"
@@ -93,7 +94,7 @@ def hydrate_projects(by_project: DataFrame, downloads: DataFrame, repo_meta: Dat
     d = downloads.select(F.col("name").alias("__dn"), F.col("downloads_weekly"))
     p = p.join(d, p["name"] == d["__dn"], "left").drop("__dn")
     # Metadata is looked up by the parsed (owner, repo), one row per repository.
-    m = top_k_per_group(repo_meta.where(F.col("known")), ["owner", "repo"], [F.col("repo_url").asc()], 1).select(
+    m = one_per_repository(repo_meta).select(
         F.col("owner").alias("__mo"), F.col("repo").alias("__mr"), F.col("is_archived"), F.col("last_merged_pr_at"), F.col("head_sha")
     )
     p = p.withColumn("__ow", repo_owner("repo_url")).withColumn("__rp", repo_name("repo_url"))
@@ -101,7 +102,7 @@ def hydrate_projects(by_project: DataFrame, downloads: DataFrame, repo_meta: Dat
     probe = F.col("has_replacements") & (F.coalesce(F.col("repo_url"), F.lit("")) != "")
     if bench is not None:
         b = bench.select(F.col("repo_url").alias("__bu"), F.col("has_benchmarks").alias("__bh"), F.col("bench_signal").alias("__bs"))
-        p = p.join(b, p["repo_url"] == b["__bu"], "left").drop("__bu")
+        p = p.join(b, canonical_repo(p["repo_url"]) == b["__bu"], "left").drop("__bu")
     else:
         p = p.withColumn("__bh", F.lit(None).cast("boolean")).withColumn("__bs", F.lit(None).cast("string"))
     return p.select(

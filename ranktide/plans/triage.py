@@ -31,9 +31,10 @@ def prj_triage_row(briefs: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     return briefs.select(
         F.col("slug"),
         F.col("ecosystem"),
-        _round1(F.col("score")).alias("score"),
-        _round1(F.col("impact")).alias("impact"),
-        _round1(F.col("effort")).alias("effort"),
+        # The published numbers are rounded half to even first, and these are shown.
+        _round1(F.bround("score", 1)).alias("score"),
+        _round1(F.bround("impact", 1)).alias("impact"),
+        _round1(F.bround("effort", 1)).alias("effort"),
         F.floor(F.bround(conf, 0) + F.lit(0.5)).cast("bigint").alias("confidence"),
         F.col("opp_count").cast("bigint").alias("opps"),
         F.coalesce(F.col("top_kind"), F.lit("")).alias("top_kind"),
@@ -94,10 +95,11 @@ def sort_multi_key(rows: DataFrame, keys: Sequence[tuple[str, bool]]) -> DataFra
 
 def agg_triage_facets(rows: DataFrame) -> DataFrame:
     """Distinct sorted ecosystems, top kinds and tags (one row; each a small distinct set)."""
+    rows = rows.select("ecosystem", "top_kind", F.explode_outer("tags").alias("tag")).distinct()
     return rows.agg(
         F.array_sort(F.collect_set(F.when(F.col("ecosystem") != "", F.col("ecosystem")))).alias("ecosystems"),
         F.array_sort(F.collect_set(F.when(F.col("top_kind") != "", F.col("top_kind")))).alias("kinds"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
+        F.array_sort(F.collect_set("tag")).alias("tags"),
     )
 
 

@@ -183,7 +183,8 @@ def registry_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("part-"), _s("l_partkey")).alias("package"),
         F.when(o % 13 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("order-"), _s(o))).alias("name"),
         F.when(o % 5 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("https://github.com/cust/order-"), _s(o)))
+        .otherwise(F.concat(F.lit("https://github.com/cust/order-"), _s(o),
+                            F.when(o % 4 == 1, F.lit(".git")).when(o % 4 == 2, F.lit("/")).otherwise(F.lit(""))))
         .alias("repository_url"),
         F.col("q").cast("bigint").alias("downloads"),
     )
@@ -371,6 +372,7 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     monorepo = o % 13 == 0
     pkg = F.concat_ws(
         "\n",
+        F.when(o % 31 == 0, F.lit("")),  # a line end before the object
         F.lit("{"),
         F.concat(F.lit('  "name": "order-'), o.cast("string"), F.lit('",')),
         F.lit('  "version": "1.0.0",'),
@@ -379,7 +381,8 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('  "scripts": {\n    "build": "tsc",\n'), script2, F.lit("\n  },")),
         F.when(monorepo, F.when(o % 2 == 0, F.lit('  "workspaces": {"packages": ["packages/*"]},')).otherwise(F.lit('  "workspaces": ["packages/*"],'))),
         F.concat(F.lit('  "dependencies": {\n'), dep_lines(runtime), F.lit("\n  },")),
-        F.concat(F.lit('  "devDependencies": {\n'), dep_lines(dev, tiny), F.lit("\n  }")),
+        F.concat(F.lit('  "devDependencies": {\n'), dep_lines(dev, tiny), F.lit("\n  }"),
+                 F.when(o % 37 == 0, F.lit(',\n  "peerDependencies": []')).otherwise(F.lit(""))),
         F.lit("}"),
     )
     pkg_text = F.when(o % 23 == 0, F.lit("not json {")).when(o % 29 == 0, F.lit("[1, 2]")).otherwise(pkg)

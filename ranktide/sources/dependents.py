@@ -10,7 +10,7 @@ before the shuffle), so a hot parent never ships all of its edges to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranktide.operators.filters import NPM_NAME_PATTERN
@@ -39,11 +39,11 @@ def _only(df: DataFrame, col: str, parents: DataFrame | None) -> DataFrame:
 
 
 def src_dependents_registry(reg: DataFrame, k: int = DEFAULT_TOP_K, parents: DataFrame | None = None) -> DataFrame:
-    """Registry dependents: top-k per package by lifetime downloads; nameless rows dropped."""
-    r = _only(reg, "package", parents).where(F.col("name").isNotNull() & (F.col("name") != ""))
+    """Registry dependents: top-k per package by lifetime downloads, of which nameless rows are dropped."""
+    r = _only(reg, "package", parents)
     top = top_k_per_group(
-        r, ["package"], [F.col("downloads").desc_nulls_last(), F.col("name").asc()], k, rank_col="rank"
-    )
+        r, ["package"], [F.col("downloads").desc_nulls_last(), F.col("name").asc_nulls_first()], k, rank_col="rank"
+    ).where(F.col("name").isNotNull() & (F.col("name") != ""))
     return top.select(
         F.col("package").alias("parent"),
         F.col("name"),
@@ -60,7 +60,8 @@ def src_dependents_sbom_join(sboms: DataFrame, repos: DataFrame, min_stars: int
 
     Written by the source as a LEFT JOIN, but the star filter makes it an inner
     join (Catalyst rewrites it). Invalid package names are never queried.
-    Per package: stars desc, then owner/repo for a stable order, first k.
+    Per package: stars desc, then owner/repo for a stable order, first k; of
+    these, rows without an owner or a repo are dropped.
     """
     s = _only(sboms, "package_artifact_name", parents).where(
         (F.col("package_artifact_source") == "NPM")
@@ -68,16 +69,17 @@ def src_dependents_sbom_join(sboms: DataFrame, repos: DataFrame, min_stars: int
         & F.col("package_artifact_name").rlike(NPM_NAME_PATTERN)
     )
     j = s.join(repos, s.dependent_artifact_id == repos.artifact_id, "left").where(F.col("star_count") >= min_stars)
-    j = j.where(
-        F.coalesce(F.col("dependent_artifact_namespace"), F.lit("")) != ""
-    ).where(F.coalesce(F.col("dependent_artifact_name"), F.lit("")) != "")
+    named = (F.coalesce(F.col("dependent_artifact_namespace"), F.lit("")) != "") & (
+        F.coalesce(F.col("dependent_artifact_name"), F.lit("")) != ""
+    )
     top = top_k_per_group(
         j,
         ["package_artifact_name"],
-        [F.col("star_count").desc_nulls_last(), F.col("dependent_artifact_namespace").asc(), F.col("dependent_artifact_name").asc()],
+        [F.col("star_count").desc_nulls_last(), F.col("dependent_artifact_namespace").asc_nulls_first(),
+         F.col("dependent_artifact_name").asc_nulls_first()],
         k,
         rank_col="rank",
-    )
+    ).where(named)
     full = F.concat(F.col("dependent_artifact_namespace"), F.lit("/"), F.col("dependent_artifact_name"))
     return top.select(
         F.col("package_artifact_name").alias("parent"),
@@ -124,23 +126,22 @@ def cached_edges(cache_hits: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
 def join_tiered_source(requests: DataFrame, cache: DataFrame, primary: DataFrame, fallback: DataFrame, week: str, k: int = DEFAULT_TOP_K) -> DataFrame:
     """Per requested package: cache hit, else primary if non-empty, else fallback.
 
-    A tier is all-or-nothing. Tier choice is a ``min(tier)`` aggregate over
-    key-level presence rows (one per package and tier), then a semi-join of
-    the edges against the chosen (package, tier). No per-package loop.
+    A tier is all-or-nothing. The tiers are read once and united; the best
+    tier of a package is a minimum over its rows, at most k of each tier, to
+    which a cache hit adds one that stands for an empty list.
     """
     req = requests.select("name").distinct()
     hits = cache_lookup(cache, req, week)
     c_edges = cached_edges(hits, k).withColumn("tier", F.lit(TIER_CACHE))
     p_edges = primary.join(req, primary.parent == req.name, "left_semi").withColumn("tier", F.lit(TIER_PRIMARY))
     f_edges = fallback.join(req, fallback.parent == req.name, "left_semi").withColumn("tier", F.lit(TIER_FALLBACK))
-    presence = (
-        hits.where(F.col("hit")).select(F.col("name").alias("parent"), F.lit(TIER_CACHE).alias("tier"))
-        .unionByName(p_edges.select("parent", "tier"))
-        .unionByName(f_edges.select("parent", "tier"))
+    hit = hits.where(F.col("hit")).select(F.col("name").alias("parent"), F.lit(TIER_CACHE).alias("tier"))
+    rows = (
+        c_edges.select(*EDGE_COLS, "tier").unionByName(p_edges.select(*EDGE_COLS, "tier"))
+        .unionByName(f_edges.select(*EDGE_COLS, "tier")).unionByName(hit, allowMissingColumns=True)
     )
-    chosen = presence.groupBy("parent").agg(F.min("tier").alias("tier"))
-    edges = c_edges.select(*EDGE_COLS, "tier").unionByName(p_edges.select(*EDGE_COLS, "tier")).unionByName(f_edges.select(*EDGE_COLS, "tier"))
-    return edges.join(chosen, ["parent", "tier"], "left_semi")
+    best = F.min("tier").over(Window.partitionBy("parent"))
+    return rows.withColumn("__best", best).where((F.col("tier") == F.col("__best")) & F.col("rank").isNotNull()).drop("__best")
 
 
 def new_cache_rows(tiered: DataFrame, week: str, written_at, system: str = "npm") -> DataFrame:

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,36 +83,27 @@ def land_snapshot(df: DataFrame, root: str, source: str, ingest_date: str) -> st
 ROWS_PER_FILE = 2_000_000
 
 
-def _date_buckets(df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Cluster rows by date: one file per date, or several for dates larger than ``rows_per_file``.
+def _write_by_date(df: DataFrame, path: str, rows_per_file: int) -> None:
+    """Write rows by ``dt``, replacing only the dates present.
 
-    Per-date row counts are an aggregate (one row per calendar day, so the
-    broadcast is bounded by the date span, not by the data). A hot date is
-    split by a deterministic hash of the row (never ``rand()``, which would
-    move rows between partitions when a task is retried).
+    A rebalance on the date brings a date's rows together; AQE splits a date
+    that is too large for one task and merges small ones. Files of a hot date
+    are cut at ``rows_per_file``.
     """
-    counts = df.groupBy("dt").agg(F.count(F.lit(1)).alias("__n"))
-    nb = counts.select("dt", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(rows_per_file))).cast("long").alias("__nb"))
-    x = df.join(F.broadcast(nb), "dt")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "dt"]), F.col("__nb"))
-    return x.repartition("dt", salt).drop("__nb").select(*df.columns)
+    (
+        df.hint("rebalance", F.col("dt"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", rows_per_file)
+        .partitionBy("dt")
+        .parquet(path)
+    )
 
 
 def land_partitioned(df: DataFrame, root: str, source: str, rows_per_file: int = ROWS_PER_FILE) -> str:
     """Land rows of many dates in one job; only the dates present are replaced (dynamic overwrite)."""
     path = f"{root.rstrip('/')}/{source}"
-    # Read twice (per-date counts, then the rows): keep it for the write instead of recomputing it.
-    out = conform(df, source).withColumn("dt", F.col("ingest_date")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        (
-            _date_buckets(out, rows_per_file)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt")
-            .parquet(path)
-        )
-    finally:
-        out.unpersist()
+    _write_by_date(conform(df, source).withColumn("dt", F.col("ingest_date")), path, rows_per_file)
     return path
 
 
@@ -140,17 +130,14 @@ def stage_frame(landed: DataFrame, source: str, start: str, end: str) -> DataFra
 
 def write_staging(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write staged rows partitioned by date, replacing only the dates present (interval recompute)."""
-    out = df.withColumn("dt", F.col("ingest_date")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        (
-            _date_buckets(out, rows_per_file)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt")
-            .parquet(path)
-        )
-    finally:
-        out.unpersist()
+    _write_by_date(df.withColumn("dt", F.col("ingest_date")), path, rows_per_file)
+
+
+def clear_dates(spark: SparkSession, path: str, source: str, dates: list[str]) -> None:
+    """Leave an empty, schema-bearing file in each of these dates' staging folders."""
+    fields = [f for f in struct_type(source).fields if f.name in STAGED[source]]
+    for d in dates:
+        spark.createDataFrame([], T.StructType(fields)).coalesce(1).write.mode("overwrite").parquet(f"{path}/dt={d}")
 
 
 def write_full(df: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ranktide.functions.strings import parse_ts, purl_name, repo_name, repo_owner
+from ranktide.operators.windows import top_k_per_group
 
 REPO_META_SCHEMA = T.StructType([
     T.StructField("errors", T.ArrayType(T.StructType([T.StructField("message", T.StringType())]))),
@@ -65,9 +66,14 @@ def src_repo_meta(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_per_repository(meta: DataFrame) -> DataFrame:
+    """Known metadata, one row for each (owner, repo): the least URL's."""
+    return top_k_per_group(meta.where(F.col("known")), ["owner", "repo"], [F.col("repo_url").asc()], 1)
+
+
 def join_repo_meta(df: DataFrame, meta: DataFrame, url_col: str = "repo_url") -> DataFrame:
     """Lookup by parsed (owner, repo); unknown repo -> archived false, no merge time, no SHA."""
-    m = meta.where(F.col("known")).select(
+    m = one_per_repository(meta).select(
         F.col("owner").alias("__o"), F.col("repo").alias("__r"),
         F.col("is_archived").alias("meta_archived"), F.col("last_merged_pr_at").alias("meta_last_merged_pr_at"),
         F.col("head_sha").alias("meta_head_sha"),

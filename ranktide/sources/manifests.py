@@ -14,21 +14,22 @@ from pyspark.sql import functions as F
 from ranktide.operators import lines as LN
 
 # Fixed values.
-NOT_JS_SENTINEL = "*NOT_JS*"
-MONOREPO_SENTINEL = "*MONOREPO*"
 ROOT_LOCKFILES = ("pnpm-lock.yaml", "yarn.lock", "package-lock.json")
 BENCH_LIBS = ("tinybench", "mitata", "benchmark", "cronometro")
 BENCH_CMD_PATTERNS = (r"(?i)\bvitest\s+[^&|;]*bench", r"(?i)\bjest\s+[^&|;]*bench")
 # End of fixed values.
 
-PKG_SCHEMA = (
-    "struct<dependencies:map<string,string>,devDependencies:map<string,string>,"
-    "optionalDependencies:map<string,string>,peerDependencies:map<string,string>,scripts:map<string,string>,"
-    "_corrupt_record:string>"
-)
+SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies", "scripts")
+#: Sections as text first: one that isn't an object of strings is unknown by itself, not the whole file.
+PKG_SCHEMA = "struct<" + ",".join(f"{s}:string" for s in SECTIONS) + ",_corrupt_record:string>"
 KEYS = ["repo_url"]
 
 
+def by_repository(files: DataFrame) -> DataFrame:
+    """The file table with ``repo_url`` spelled from owner and repo, as ``canonical_repo`` does."""
+    return files.withColumn("repo_url", F.concat(F.lit("https://github.com/"), F.col("owner"), F.lit("/"), F.col("repo")))
+
+
 def man_root_lockfile(files: DataFrame) -> DataFrame:
     """Per repo: any root lockfile present -> true; none and all definitive 404 -> false; else NULL."""
     f = files.where(F.col("path").isin(*ROOT_LOCKFILES))
@@ -44,8 +45,10 @@ def package_json(files: DataFrame) -> DataFrame:
     p = files.where(F.col("path") == "package.json").select("repo_url", "status", "text")
     # JSON objects only; malformed text lands in the corrupt-record column. Duplicate keys
     # are accepted with the last value winning (VARIANT parsing would reject them).
-    p = p.withColumn("pkg", F.from_json("text", PKG_SCHEMA))
-    is_object = F.col("pkg._corrupt_record").isNull() & F.ltrim("text").startswith("{")
+    p = p.withColumn("raw", F.from_json("text", PKG_SCHEMA))
+    is_object = F.col("raw._corrupt_record").isNull() & F.col("text").rlike(r"\A[ \t\r\n]*\{")
+    sections = [F.from_json(F.col(f"raw.{s}"), "map<string,string>").alias(s) for s in SECTIONS]
+    p = p.withColumn("pkg", F.struct(*sections))
     ws_list = F.from_json(F.get_json_object("text", "$.workspaces"), "array<string>")
     ws_pkgs = F.from_json(F.get_json_object("text", "$.workspaces.packages"), "array<string>")
     mono = F.coalesce(F.size(ws_list) > 0, F.lit(False)) | F.coalesce(F.size(ws_pkgs) > 0, F.lit(False))

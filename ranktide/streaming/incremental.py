@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,9 @@ def run_incremental(
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
 
     def batch(df: DataFrame, _epoch: int) -> None:
-        # Dates touched by this batch: one row per calendar day, a size bounded by the batch's span.
+        # Dates touched by this batch: one row per calendar day.
         touched = df.select("dt").distinct().where(F.col("dt").between(s, e))
-        fresh = spark.read.schema(schema).parquet(landed).join(F.broadcast(touched), "dt", "left_semi")
+        fresh = spark.read.schema(schema).parquet(landed).join(touched, "dt", "left_semi")
         staged = LD.stage_frame(fresh, source, start, end)
         if transform is not None:
             staged = transform(staged)
@@ -50,3 +51,19 @@ def run_incremental(
         .start()
     )
     q.awaitTermination()
+    clear_emptied(spark, landed, schema, staging_path, source, s, e)
+
+
+def clear_emptied(spark, landed: str, schema, staging_path: str, source: str, s, e) -> None:
+    """Empty the staged dates of the interval that hold no landed row any more (re-landed with an empty frame).
+
+    Such a date sends no row through the stream; the list of dates does tell:
+    one short row per calendar day.
+    """
+    days = lambda path: spark.read.schema(schema).parquet(path).select("dt").where(F.col("dt").between(s, e)).distinct()
+    try:
+        staged = days(staging_path)
+    except AnalysisException:  # nothing was ever staged
+        return
+    gone = staged.join(days(landed), "dt", "left_anti").select(F.col("dt").cast("string").alias("dt"))
+    LD.clear_dates(spark, staging_path, source, [r["dt"] for r in gone.collect()])

@@ -34,7 +34,7 @@ def _brief(spark, has_bench):
 def test_frontmatter_shape_and_benchmarks(spark):
     unknown = json.loads(_brief(spark, None).select(BR.brief_frontmatter(_brief(spark, None)).alias("f")).first().f)
     assert "benchmarks" not in unknown
-    assert unknown["schema"] == "biibaa-brief/1" and unknown["slug"] == "r" and unknown["date"] == "2001-11-10"
+    assert unknown["schema"] == "ranktide-brief/1" and unknown["slug"] == "r" and unknown["date"] == "2001-11-10"
     assert unknown["score"]["total"] == 48.2 and unknown["score"]["confidence"] == 100
     assert unknown["maintainer_activity"]["label"] == "last PR merged 6d ago"
     assert unknown["opportunities"] == {"count": 3, "kinds": ["dep-replacement", "vulnerability-fix"], "top_kind": "vulnerability-fix"}

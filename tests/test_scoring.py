@@ -1,7 +1,6 @@
 """Scalar scoring functions: reference cases and the published golden briefs."""
 
 import datetime as dt
-import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,12 +17,6 @@ def _one(spark, expr, schema, row):
     return df.select(expr.alias("x")).collect()[0]["x"]
 
 
-def py_popularity(d, s):
-    d, s = d or 0, s or 0
-    v = 100.0 * (0.7 * math.log10(1 + d) / math.log10(1 + 1e8) + 0.3 * math.log10(1 + s) / math.log10(1 + 1e5))
-    return max(0.0, min(100.0, v))
-
-
 @pytest.mark.parametrize("cvss,expected", [(10.0, 100.0), (5.0, 50.0), (None, 50.0)])
 def test_severity(spark, cvss, expected):
     assert _one(spark, S.severity("c"), "c double", (cvss,)) == expected
@@ -50,10 +43,13 @@ def test_confidence(spark, days, expected):
     assert got == pytest.approx(expected, abs=1e-9)
 
 
-@pytest.mark.parametrize("d,s", [(None, None), (0, 0), (50_581, None), (1_531_453, 10), (10**9, 10**6), (100, 10_000)])
-def test_popularity_matches_formula(spark, d, s):
-    got = _one(spark, S.popularity("d", "s"), "d bigint, s bigint", (d, s))
-    assert got == pytest.approx(py_popularity(d, s), abs=1e-9)
+@pytest.mark.parametrize(
+    "d,s,expected",
+    [(None, None, 0.0), (0, 0, 0.0), (50_581, None, 41.15996495), (1_531_453, 10, 60.36801027),
+     (10**9, 10**6, 100.0), (100, 10_000, 41.53805173)],
+)
+def test_popularity(spark, d, s, expected):
+    assert _one(spark, S.popularity("d", "s"), "d bigint, s bigint", (d, s)) == pytest.approx(expected, abs=1e-7)
 
 
 @pytest.mark.parametrize(
@@ -87,9 +83,8 @@ def test_score_macro_parity_with_blend(spark):
     ts = NOW - dt.timedelta(days=1)
     df = spark.createDataFrame([(7.5, 5_000_000, 10_000, ["1.2.3"], "fix", ts)], "c double, d bigint, s bigint, f array<string>, m string, t timestamp_ntz")
     r = df.select(S.score_macro("c", "d", "s", "f", "m", "t", ts_ntz(AS_OF)).alias("x")).collect()[0].x
-    pop = py_popularity(5_000_000, 10_000)
-    expected = (0.6 * (pop / 100 * 75.0) + 0.25 * 95.0 + 0.15 * 100.0) / 100
-    assert r == pytest.approx(expected, abs=1e-4)
+    # popularity 82.6162, severity 75, effort 95, confidence 100
+    assert r == pytest.approx(0.7592730, abs=1e-4)
     assert 0 <= r <= 1
 
 

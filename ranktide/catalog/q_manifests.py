@@ -230,7 +230,7 @@ def _fsql(body: str, extra: list[str] | None = None, top: bool = False) -> str:
 
 
 def _cases(spark, sf):
-    fan, _downloads = QP.fanout_candidates(spark, sf, None)
+    fan = QP.fanout_candidates(spark, sf, None)
     v, n = MF.man_direct_deps(_files(spark, sf))
     return FO.flt_direct_dep_verdicts(fan, v, n)
 
@@ -299,7 +299,7 @@ WHERE c.dep_case IN ('no_repo', 'unknown', 'monorepo', 'direct')""", [_JLOC_SQL]
 )
 def pipe_fanout(spark, sf):
     """Dedupe -> top 40 by downloads -> tiered dependents -> direct-dependency filter -> locations."""
-    fan, _downloads = QP.fanout_candidates(spark, sf)
+    fan = QP.fanout_candidates(spark, sf)
     kept, locs, _cases_df, _f = FO.pipe_fanout(fan, _files(spark, sf), stage=cut_lineage)
     j = kept.join(locs, ["dep_purl", "from_purl"], "left")
     return j.select("from_purl", "dep_purl", "dep_case", _loc_str(F.col("locations")).alias("locations"))

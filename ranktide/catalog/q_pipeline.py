@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ranktide.catalog import q_advisories as QA
@@ -10,18 +12,13 @@ from ranktide.catalog import repo_sql as RS
 from ranktide.catalog import sqlfn as Q
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.registry import register
-from ranktide.functions.strings import purl_name
 from ranktide.functions.util import r6
-from ranktide.operators import filters as FL
 from ranktide.operators import windows as W
 from ranktide.plans import fanout as FO
 from ranktide.plans import pipeline as P
-from ranktide.session import DEFAULT_AS_OF, cut_lineage
-from ranktide.sources import advisories as ADV
+from ranktide.plans import run as R
 from ranktide.sources import bridge as B
-from ranktide.sources import dependents as D
 from ranktide.sources import lookups as L
-from ranktide.sources import manifests as MF
 
 TOP_N = 20
 
@@ -29,57 +26,28 @@ TOP_N = 20
 # Spark side
 
 
+def landed(spark, sf):
+    """The bridge's frames as a run's landed tables."""
+    return R.Landed(
+        advisories=B.nested_advisories(spark, sf), registry=B.registry_docs(spark, sf), replacements=B.replacements(spark, sf),
+        downloads=L.src_weekly_downloads(W.win_latest_project(B.projects(spark, sf))),
+        dependents_cache=B.dependents_cache(spark, sf), sbom_edges=B.sbom_edges(spark, sf),
+        repositories=B.repositories(spark, sf), registry_dependents=B.registry_dependents(spark, sf),
+        repo_files=B.repo_files(spark, sf), repo_meta=B.repo_meta_docs(spark, sf),
+    )
+
+
+OPTIONS = R.Options(week=QF.CACHE_WEEK, top_n=TOP_N)
+
+
 def fanout_candidates(spark, sf, top_n=FO.FANOUT_TOP_N):
-    """Replacement candidates (the top ``top_n``; None: all) x their tiered dependents (before verification), plus downloads."""
-    downloads = L.src_weekly_downloads(W.win_latest_project(B.projects(spark, sf)))
-    tf = FO.top_fanout(B.replacements(spark, sf), downloads, top_n)
-    req = tf.select(purl_name("from_purl").alias("name"))
-    # The requested packages are applied to every source before its ranking.
-    prim = D.src_dependents_sbom_join(B.sbom_edges(spark, sf), B.repositories(spark, sf), D.MIN_STARS, D.DEFAULT_TOP_K, parents=req)
-    fb = D.src_dependents_registry(B.registry_dependents(spark, sf), D.DEFAULT_TOP_K, parents=req)
-    tiered = D.join_tiered_source(req, B.dependents_cache(spark, sf), prim, fb, QF.CACHE_WEEK, D.DEFAULT_TOP_K)
-    return FO.join_fanout_dependents(tf, tiered), downloads
-
-
-def pipeline_inputs(spark, sf, stage=lambda d: d):
-    """Bridge tables -> filtered advisories, verified fan-out pairs with locations, lookups, bench info."""
-    adv = ADV.flatten(B.nested_advisories(spark, sf), only_unpatched=True)
-    adv = ADV.flt_sibling_patched(adv)
-    adv = FL.flt_outdated(adv, L.src_latest_version(B.registry_docs(spark, sf)))
-    fan, downloads = fanout_candidates(spark, sf)
-    files = B.repo_files(spark, sf)
-    kept, locations, _cases, cand_files = FO.pipe_fanout(fan, files, stage)
-    return {
-        "advisories": adv, "fan": kept, "locations": locations, "downloads": downloads,
-        "repo_meta": L.src_repo_meta(B.repo_meta_docs(spark, sf)), "bench": MF.man_bench_signal(cand_files),
-    }
-
-
-# Checkpointed pipeline stages are written once per (session, input folder) and
-# shared by every query derived from them, like materialised intermediate
-# tables. The benchmark turns this off so each run measures the whole pipeline.
-REUSE_STAGES = True
-_STAGES: dict[tuple[str, str], dict] = {}
+    """Replacement candidates (the top ``top_n``; None: all) x their tiered dependents, before verification."""
+    return R.candidates(landed(spark, sf), replace(OPTIONS, fanout_top_n=top_n))
 
 
 def ranked(spark, sf):
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext
-        app = str(id(spark))
-    key = (app, sf)
-    if REUSE_STAGES and key in _STAGES:
-        return _STAGES[key]
-    out = _ranked(spark, sf)
-    if REUSE_STAGES:
-        _STAGES[key] = out
-    return out
-
-
-def _ranked(spark, sf):
-    i = pipeline_inputs(spark, sf, stage=cut_lineage)
-    adv, fan, locs = cut_lineage(i["advisories"]), cut_lineage(i["fan"]), cut_lineage(i["locations"])
-    return P.rank_briefs(adv, fan, i["downloads"], i["repo_meta"], DEFAULT_AS_OF, bench=i["bench"], locations=locs, stage=cut_lineage)
+    """A whole run; its stages are written when this is called."""
+    return R.run(landed(spark, sf), OPTIONS)
 
 
 def _brief_out(df):

@@ -1,7 +1,8 @@
 """Registry of user-visible queries: key -> (Spark builder, DuckDB oracle SQL or None).
 
-Each Spark builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame over
-the whole input tables. Output columns are flat (arrays rendered as sorted or
+Each Spark builder takes ``(spark, sf_dir)`` and returns a DataFrame over the
+whole input tables (landing, staging and pipeline builders write their stages
+when called). Output columns are flat (arrays rendered as sorted or
 ordered strings, doubles rounded to 6 places) so results compare across
 engines.
 """

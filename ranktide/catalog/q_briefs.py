@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranktide.catalog import sqlfn as Q
-from ranktide.catalog.q_pipeline import _CTES, _VIEWS, ranked
+from ranktide.catalog.q_pipeline import _CTES, _TITLE_SQL, _VIEWS, ranked
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.registry import register
 from ranktide.functions.dates import activity_label
@@ -105,14 +105,95 @@ def fn_round_frontmatter(spark, sf):
     )
 
 
-@register("brief_frontmatter")
+_OPPX = f"""
+fan_best AS (
+  SELECT * FROM fanx QUALIFY row_number() OVER (
+    PARTITION BY dep_purl, from_purl ORDER BY effort_score DESC, -coalesce(downloads_weekly, 0), first_seq, dep_rank) = 1
+),
+adv_best AS (
+  SELECT * FROM adv_ok QUALIFY row_number() OVER (PARTITION BY project_purl, id ORDER BY sev_rank, page_pos, id, vuln_pos) = 1
+),
+oppx AS (
+  SELECT t.project_purl, t.opp_rank, t.kind, t.impact, t.effort, a.id AS adv_id, a.severity, a.cvss, a.summary,
+         a.affected_versions, a.fixed_versions, a.repo_url AS adv_repo, r.from_purl, r.to_purls, r.axis, r.effort AS band,
+         r.manifest, r.manifest_line, ti.pr_title,
+         CASE WHEN coalesce(e.repo_url, '') <> '' THEN string_split(l.locations, ';') END AS places,
+         rtrim(e.repo_url, '/') || '/blob/' || coalesce(nullif(e.head_sha, ''), 'HEAD') || '/' AS blob
+  FROM topo t JOIN elig e ON e.purl = t.project_purl
+  LEFT JOIN adv_best a ON t.kind = 'vulnerability-fix' AND a.project_purl = t.project_purl AND a.id = t.finding_id
+  LEFT JOIN fan_best r ON t.kind <> 'vulnerability-fix' AND r.dep_purl = t.project_purl AND r.from_purl = t.from_purl
+  LEFT JOIN (SELECT DISTINCT * FROM floc) l ON l.dep_purl = r.dep_purl AND l.from_purl = r.from_purl
+  LEFT JOIN (SELECT DISTINCT * FROM ({_TITLE_SQL})) ti ON ti.dedupe_key = t.dedupe_key
+),
+cited AS (
+  SELECT project_purl, ctype, cid, min(pos) AS pos, arg_min(url, pos) AS url FROM (
+    SELECT project_purl, opp_rank * 1000 AS pos, 'advisory' AS ctype, adv_id AS cid, 'https://github.com/advisories/' || adv_id AS url
+    FROM oppx WHERE adv_id IS NOT NULL
+    UNION ALL
+    SELECT project_purl, opp_rank * 1000, 'e18e-replacement', manifest || '#' || regexp_replace(from_purl, '^pkg:npm/', ''),
+           'https://github.com/e18e/module-replacements/blob/main/manifests/' || manifest || coalesce('#L' || manifest_line, '')
+    FROM oppx WHERE manifest IS NOT NULL
+    UNION ALL
+    SELECT project_purl, opp_rank * 1000 + ord, 'dependency-location', place, blob || place
+    FROM (SELECT project_purl, opp_rank, blob, unnest(places) AS place, generate_subscripts(places, 1) AS ord
+          FROM oppx WHERE manifest IS NOT NULL))
+  GROUP BY ALL
+),
+cites AS (SELECT project_purl, list({{'type': ctype, 'id': cid, 'url': url}} ORDER BY pos) AS citations FROM cited GROUP BY 1)"""
+
+_FRONT_HEAD = """'schema': 'ranktide-brief/1', 'title': b.name, 'slug': b.slug, 'date': '2001-11-10', 'run_at': '2001-11-10T00:00:00+00:00',
+  'project': {'purl': b.project_purl, 'name': b.name, 'ecosystem': 'npm', 'repo_url': e.repo_url,
+              'downloads_weekly': e.downloads_weekly, 'archived': coalesce(e.archived, FALSE)},
+  'score': {'total': round_even(b.score, 1), 'impact': round_even(b.impact, 1), 'effort': round_even(b.effort, 1),
+            'confidence': round_even(b.conf, 0)::INTEGER},
+  'maintainer_activity': {'label': CASE WHEN e.last_pr_merged_at IS NULL THEN 'unknown'
+      ELSE 'last PR merged ' || trunc(AGE)::BIGINT || 'd ago' END,
+    'last_pr_merged_at': strftime(e.last_pr_merged_at, '%Y-%m-%dT%H:%M:%S') || '+00:00'}"""
+_FRONT_TAIL = """'opportunities': {'count': b.opp_count, 'kinds': string_split(b.kinds, ','), 'top_kind': b.top_kind},
+  'tags': b.tags, 'citations': coalesce(c.citations, [])"""
+_FRONT_SQL = f"""
+SELECT b.slug, CASE WHEN e.has_benchmarks IS NULL THEN to_json({{{_FRONT_HEAD}, {_FRONT_TAIL}}})
+  ELSE to_json({{{_FRONT_HEAD}, 'benchmarks': {{'has': e.has_benchmarks, 'signal': e.bench_signal}}, {_FRONT_TAIL}}}) END::VARCHAR AS frontmatter
+FROM briefx b JOIN elig e ON e.purl = b.project_purl LEFT JOIN cites c ON c.project_purl = b.project_purl
+""".replace("AGE", Q.age_days("e.last_pr_merged_at"))
+
+_BODY_SQL = r"""
+SELECT b.slug, '# ' || b.name || E' — 2001-11-10 Improvement Brief\n\n'
+  || CASE WHEN coalesce(b.repo_url, '') <> '' THEN '**Repo**: [' || regexp_replace(b.repo_url, '^https?://', '') || '](' || b.repo_url || E')\n\n' ELSE '' END
+  || E'## Top opportunities\n\n' || o.body AS body
+FROM briefx b JOIN (
+  SELECT project_purl, string_agg(
+    '### ' || opp_rank || '. [' || kind || '] '
+    || CASE WHEN adv_id IS NOT NULL THEN adv_id
+       ELSE split_part(from_purl, '/', -1) || ' → ' || replace(array_to_string(to_purls, ', '), 'pkg:npm/', '') END || E'\n\n'
+    || CASE WHEN adv_id IS NOT NULL THEN
+         '- **Severity**: ' || coalesce(nullif(severity, ''), 'unknown') || CASE WHEN coalesce(cvss, 0) <> 0 THEN ' · CVSS ' || cvss ELSE '' END
+         || E'\n- **Summary**: ' || coalesce(summary, '') || E'\n- **Affected**: `' || coalesce(nullif(affected_versions, ''), 'see advisory')
+         || E'`\n- **Fix**: ' || CASE WHEN len(fixed_versions) > 0 THEN 'bump to `' || fixed_versions[1] || '`'
+              ELSE '_no upstream patch — contribute one_' || CASE WHEN coalesce(adv_repo, '') <> '' THEN ' at [' || adv_repo || '](' || adv_repo || ')' ELSE '' END END
+         || E'\n- **Evidence**: [' || adv_id || '](https://github.com/advisories/' || adv_id || E')\n' ELSE '' END
+    || CASE WHEN from_purl IS NOT NULL THEN
+         '- **Axis**: ' || axis || E'\n- **Replace**: `' || replace(from_purl, 'pkg:npm/', '') || '` → '
+         || array_to_string(list_transform(to_purls, lambda x: '`' || replace(x, 'pkg:npm/', '') || '`'), ', ')
+         || E'\n- **Effort band**: ' || band
+         || E'\n- **Evidence**: e18e [module-replacements](https://github.com/e18e/module-replacements) · manifest ['
+         || coalesce(manifest, '') || coalesce('#L' || manifest_line, '') || '](https://github.com/e18e/module-replacements/blob/main/manifests/'
+         || coalesce(manifest || coalesce('#L' || manifest_line, ''), '') || E')\n'
+         || CASE WHEN len(places) > 0 THEN '- **Found in**: '
+              || array_to_string(list_transform(places, lambda x: '[' || x || '](' || blob || x || ')'), ', ') || E'\n' ELSE '' END ELSE '' END
+    || '- **Effort score**: ' || printf('%.0f', effort) || E' / 100 (high = easy)\n- **Impact score**: ' || printf('%.0f', impact)
+    || E' / 100\n- **Suggested PR**: `' || pr_title || E'`\n\n', '' ORDER BY opp_rank) AS body
+  FROM oppx GROUP BY project_purl) o ON o.project_purl = b.project_purl"""
+
+
+@register("brief_frontmatter", with_views(_VIEWS, _FRONT_SQL, _CTES + [_BRIEFX, _OPPX]))
 def brief_frontmatter(spark, sf):
     """Frontmatter JSON document per brief (benchmarks block only when known)."""
     b = _briefs(spark, sf)
     return b.select("slug", BR.brief_frontmatter(b).alias("frontmatter"))
 
 
-@register("brief_body")
+@register("brief_body", with_views(_VIEWS, _BODY_SQL, _CTES + [_BRIEFX, _OPPX]))
 def brief_body(spark, sf):
     """Markdown body per brief, assembled from its ordered opportunities."""
     b = _briefs(spark, sf)

@@ -7,20 +7,23 @@ Its state is the last token that is certain and the bytes after it; an edge
 appends a byte, finds the last token of the longer prefix, and emits the tokens
 that all prefixes from which a token could still grow have in common. No token
 is longer than the longest of the vocabulary, so the lookahead is bounded.
-States and edges are made when first needed and kept: later bytes follow them
-by two dictionary lookups.
+States and edges are made when needed a second time and kept: later bytes follow
+them by a dictionary lookup. The rest of a piece beyond the automaton is worked
+out by the same rule without making states.
 
 Decoding: ids become bytes by a table, and an incremental UTF-8 state machine
 holds back the bytes of an unfinished character between chunks.
 
 Defined results: a null text is empty; special tokens' strings are ordinary
 text; bytes that are no UTF-8 decode to U+FFFD in text output and stay as they
-are in byte output. Memory: the automaton starts anew beyond ``STATES``.
+are in byte output. Memory: the automaton grows to ``STATES``; long pieces may take
+it to twice that, where it starts anew.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from ranktide.llm.common import documents
 from ranktide.llm.pieces import PieceEncoder, WordTable
 
-STATES = 150_000
+STATES = 100_000
+TAIL = 4  # last bytes by which the tokens that may end there are listed
+SHORT = 32  # bytes beyond the automaton that are worked out without it
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,7 +56,13 @@ class Transducer:
             for k in range(1, len(t)):
                 self.kind[t[:k]] = self.kind.get(t[:k], -2) | 1
         self.longest = max(map(len, ranks))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
+        self.ending: dict[bytes, tuple] = {}
+        lengths: dict[bytes, set[int]] = {}
+        for t in ranks:
+            if len(t) > TAIL:
+                lengths.setdefault(t[-TAIL:], set()).add(len(t))
+        self.longer = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
         self.made_of: dict[bytes, tuple[bytes, bytes]] = {}
         self.parts_of: dict[tuple[bytes, int], list[tuple[bytes, int, int]]] = {}
         self._begin()
@@ -61,6 +72,9 @@ class Transducer:
         self.state: list[tuple[tuple[int, bytes], tuple]] = []  # key; tokens of each prefix of the pending bytes, or None
         self.goto: dict[int, int] = {}  # state * 256 + byte -> 2 * state + whether the edge emits
         self.emits: dict[int, tuple[int, ...]] = {}
+        self.asked: set[int] = set()  # edges needed once
+        if len(self.ending) > 4 * self.limit:
+            self.ending.clear()
         self._at(-1, b"", ((),))
 
     def _at(self, before: int, pending: bytes, paths: tuple) -> int:
@@ -102,10 +116,10 @@ class Transducer:
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether tokens a and b side by side are their own tokenization: no merge across their border
         comes before the merges that hide its two parts (at equal rank the left one goes first)."""
-        key = (a, b)
+        key = a << 20 | b
         found = self.apart.get(key)
         if found is None:
-            if len(self.apart) > 4 * self.limit:
+            if len(self.apart) > 8 * self.limit:
                 self.apart.clear()
             ranks, found = self.ranks, True
             right = self._edge_parts(self.bytes_of[b], 0)
@@ -155,16 +169,63 @@ class Transducer:
         edge = self.goto[at << 8 | byte] = to << 1 | bool(sure)
         return edge
 
+    def _ends(self, tail: bytes) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+        """What tokens can end in these last bytes: lengths beyond them that occur, and (length, token) within them."""
+        found = tuple((k, r) for k in range(len(tail), 0, -1) if (r := self.ranks.get(tail[-k:])) is not None)
+        ends = self.ending[tail] = (self.longer.get(tail, ()), found)
+        return ends
+
+    def _finish(self, at: int, rest: bytes) -> list[int]:
+        """Tokens of a state's pending bytes and ``rest``, without making states."""
+        (before, data), paths = self.state[at]
+        known, data = len(data), data + rest
+        last = [p[-1] if p else (None if p is None else before) for p in paths]
+        ending, apart, ranks = self.ending, self.apart, self.ranks
+        for n in range(known + 1, len(data) + 1):
+            tail = data[n - TAIL : n] if n > TAIL else data[:n]
+            longer, within = ending.get(tail) or self._ends(tail)
+            found = None
+            for k in longer:
+                if k <= n and (left := last[n - k]) is not None and (token := ranks.get(data[n - k : n])) is not None:
+                    fits = True if left < 0 else apart.get(left << 20 | token)
+                    if fits or fits is None and self.stay_apart(left, token):
+                        found = token
+                        break
+            else:
+                for k, token in within:
+                    if (left := last[n - k]) is not None:
+                        fits = True if left < 0 else apart.get(left << 20 | token)
+                        if fits or fits is None and self.stay_apart(left, token):
+                            found = token
+                            break
+            last.append(found)
+        out, n, bytes_of = [], len(data), self.bytes_of
+        while n:
+            out.append(last[n])
+            n -= len(bytes_of[last[n]])
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.state) > self.limit:
-            self._begin()
-        at, out, goto = 0, [], self.goto
-        for byte in piece:
-            edge = goto.get(at << 8 | byte)
+        at, out, goto, asked = 0, [], self.goto, self.asked
+        for n, byte in enumerate(piece, 1):
+            key = at << 8 | byte
+            edge = goto.get(key)
             if edge is None:
+                # An edge is made when it is needed again, while there is room; most are needed once.
+                if len(piece) - n < SHORT:
+                    if len(self.state) >= self.limit:
+                        return out + self._finish(at, piece[n - 1 :])
+                    if key not in asked:
+                        if len(asked) > 8 * self.limit:
+                            asked.clear()
+                        asked.add(key)
+                        return out + self._finish(at, piece[n - 1 :])
+                elif len(self.state) >= 2 * self.limit:  # long pieces go on from state to state
+                    self._begin()
+                    return self.encode(piece)
                 edge = self._step(at, byte)
             if edge & 1:
-                out += self.emits[at << 8 | byte]
+                out += self.emits[key]
             at = edge >> 1
         out += self.state[at][1][-1]
         return out
@@ -233,8 +294,9 @@ def codec(path: str) -> tuple[WordTable, Decoder]:
     """One encoder and decoder a Python worker and file."""
     if path not in _OPEN:
         ranks = read_ranks(path)
+        gc.set_threshold(200_000, 20, 100)  # tables of strings and numbers: nothing there to collect
         transducer = Transducer(ranks)
-        _OPEN[path] = (WordTable(PieceEncoder(lambda piece: transducer.encode(piece.encode()), 500_000), 300_000), Decoder(ranks))
+        _OPEN[path] = (WordTable(PieceEncoder(lambda piece: transducer.encode(piece.encode()), 700_000), 300_000), Decoder(ranks))
     return _OPEN[path]
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ranktide.llm.common import documents, groups_for, staged
 
-ORDER = 4
+ORDER = 5
 SYMBOLS = 257  # 0: the end, and the start symbol in contexts; byte b is b + 1
 WIDTH = 9  # bits of a symbol
 CHUNK_BYTES = 16 << 20
@@ -96,10 +96,30 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = keys * np.uint64(0x9E3779B97F4A7C15)
+    """By the first three symbols, so that a bucket's sequences lie close together and pack well."""
+    mixed = (keys >> np.uint64(WIDTH * (ORDER - 2))) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(8)) % np.uint64(buckets)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones, and so on: the high ones, mostly zeros, compress to nothing."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplanes(blob: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their steps."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(blob, np.uint64), dtype=np.uint64)
+
+
 def _text_bytes(text: object) -> bytes:
     return text.encode() if isinstance(text, str) else b""
 
@@ -134,7 +154,8 @@ def _gather(buckets: int):
         cut = np.searchsorted(to, np.arange(buckets + 1))
         for b in range(buckets):
             if cut[b] < cut[b + 1]:
-                rows.append((chunk, b, "seq", keys[cut[b] : cut[b + 1]].tobytes(), counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes()))
+                some = slice(cut[b], cut[b + 1])
+                rows.append((chunk, b, "seq", pack_keys(keys[some]), _planes(counts[some].astype(np.uint32))))
         by_bucket: dict[int, list[bytes]] = {}
         for w in known.keys() | vocabulary:
             by_bucket.setdefault(zlib.crc32(w) % buckets, []).append(w)
@@ -145,12 +166,11 @@ def _gather(buckets: int):
     return run
 
 
-def _numbers(blobs: Iterable[bytes], kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
-
-
 def _sum_sequences(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = add_up(_numbers(pdf["keys"], np.uint64), _numbers(pdf["counts"], np.uint32).astype(np.int64))
+    keys, counts = add_up(
+        np.concatenate([unpack_keys(k) for k in pdf["keys"]]),
+        np.concatenate([_unplanes(c, np.uint32) for c in pdf["counts"]]).astype(np.int64),
+    )
     return pd.DataFrame({"bucket": np.full(len(keys), pdf["bucket"].iloc[0]), "seq": keys.astype(np.int64), "n": counts})
 
 
@@ -264,7 +284,7 @@ def _send_back(sent: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     keys, values = model["seq"].to_numpy().astype(np.uint64), model["value"].to_numpy()
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    vals = [values[np.searchsorted(keys, np.frombuffer(k, np.uint64))].tobytes() for k in sent["keys"]]
+    vals = [values[np.searchsorted(keys, unpack_keys(k))].astype(np.float32).tobytes() for k in sent["keys"]]
     return pd.DataFrame({"chunk": sent["chunk"], "kind": "seq", "keys": sent["keys"], "vals": vals})
 
 
@@ -274,7 +294,8 @@ def _score(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame(columns=columns)
     mine = got[got["kind"] == "seq"]
-    keys, values = _numbers(mine["keys"], np.uint64), _numbers(mine["vals"], np.float64)
+    keys = np.concatenate([unpack_keys(k) for k in mine["keys"]])
+    values = np.frombuffer(b"".join(mine["vals"]), np.float32)
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     count: dict[bytes, int] = {}

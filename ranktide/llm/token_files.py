@@ -33,36 +33,35 @@ from ranktide.llm.common import documents, partitions, stage_path, staged
 
 BLOCK_TOKENS = 1 << 18
 
-#: Bytes of each of a control byte's four values.
+#: Bytes of each of a control byte's four values, and which of 4 * width places its data fill, for each width.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
+FILLED = {w: (np.arange(w) < LENGTHS[:, :, None]).reshape(256, 4 * w) for w in (1, 2, 4)}
+
+
+def _width(most_bytes: int) -> int:
+    return next(w for w in FILLED if w >= most_bytes)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = size - 1
-    at = np.cumsum(size, dtype=np.int64) - size
-    data = np.empty(int(at[-1]) + int(size[-1]) if len(at) else 0, np.uint8)
-    data[at] = values & 0xFF
+    n, top = len(values), int(values.max(initial=0))
+    width = _width(max(1, -(-top.bit_length() // 8)))
+    codes = np.zeros(-(-n // 4) * 4, np.uint8)  # bytes beyond the first
     for k in (1, 2, 3):
-        longer = np.flatnonzero(size > k)
-        data[at[longer] + k] = values[longer] >> np.uint32(8 * k) & 0xFF
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), data.tobytes()
+        if top >> 8 * k:
+            codes[:n] += values >= 1 << 8 * k
+    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
+    filled = FILLED[width][control].reshape(-1)[: n * width]
+    return control.tobytes(), values.astype(f"<u{width}").view(np.uint8)[filled].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values of ``pack``."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
-    out = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        longer = np.flatnonzero(size > k)
-        out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+    codes = np.frombuffer(control, np.uint8)
+    width = _width(int(LENGTHS[codes].max(initial=1)))
+    out = np.zeros(n * width, np.uint8)
+    out[FILLED[width][codes].reshape(-1)[: n * width]] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{width}").astype(np.uint32)
 
 
 def _blocks(path: str, end_id: int):
@@ -152,7 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str) ->
             _blocks(tokenizer, end_id),
             "part int, seq int, doc_ids array<bigint>, lens array<bigint>, width int, ids binary, seen binary, count binary",
         ),
-        "token-blocks",
+        "token-blocks", codec="none",
     )
     counts = (
         raw.select("seen", "count").mapInArrow(_histogram, "id long, n long")

@@ -42,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents, groups_for, partitions, staged, text_keys
+from ranktide.llm.common import documents, groups_for, let_go, partitions, staged, text_keys
 from ranktide.llm.components import components
 from ranktide.llm.shingles import WORDS, shingle_sets
 
 PERCENT = 80
 CHUNK_BYTES = 16 << 20
 FRAGMENTS = 4
-BLOCK = 512
+BLOCK = 256
 BIN_BYTES = 4 << 20
 _SHORT = 24  # frequencies are counted by a hash's upper 40 bits; they only order n-grams
 
@@ -80,6 +80,7 @@ def _gather(buckets: int, words: int):
     """A chunk's distinct n-grams and how many of its sets hold each, by bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         short = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(pdf["text"].tolist(), words)]) >> np.uint64(_SHORT)
         keys, counts = np.unique(short, return_counts=True)
         cut = np.searchsorted(keys, _edges_of(buckets))
@@ -259,11 +260,12 @@ def compare(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect the classes of every family as all pairs would."""
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
-    # The class with most copies leads; ties go to the least key.
+    # The class with most copies leads; ties go to the least key. (Joins with written tables can split a large family.)
     sizes = members.groupBy("family").agg(
         F.count("*").alias("size"), F.min(F.struct(-F.col("copies"), F.col("cls"))).alias("lead")
     )
-    members = staged(members.join(sizes.select("family", "size", F.col("lead.cls").alias("lead")), "family"), "ngram-families")
+    sizes = staged(sizes.select("family", "size", F.col("lead.cls").alias("lead")), "ngram-sizes")
+    members = staged(members.join(sizes, "family"), "ngram-families")
     zero = F.lit(0)
     small = members.where(F.col("size") <= BLOCK).select(
         "family", zero.alias("i"), zero.alias("j"), F.lit(3).alias("role"), "cls", "n", "chunk"
@@ -336,7 +338,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
         "ngram-groups",
     )
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = named.select("cls", "component").join(ids, "component")
+    by_class = staged(named.select("cls", "component").join(ids, "component"), "ngram-verdicts")
     return known.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left").select(
         "doc_id", "k1", "k2", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id")
     )
@@ -355,8 +357,8 @@ g AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(word
         ELSE array_to_string(words[i : i + 4], ' ') END AS gram
       FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 80 * (a.n + b.n - both)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
 r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id

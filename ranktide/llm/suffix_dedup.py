@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents, partitions, staged, text_keys
+from ranktide.llm.common import documents, let_go, partitions, staged, text_keys
 
 WINDOW = 400
 SLICE = 2 << 20  # bytes of text whose anchors are found together
@@ -133,6 +133,7 @@ def _find_blocks(window: int):
                 "a": pa.array(anchor.view(np.int64)), "c": pa.array(content), "twice": pa.array(twice),
             })
 
+        let_go()
         keys, texts, held = [], [], 0
         for b in batches:
             for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
@@ -358,14 +359,16 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, most: int = MOST, sha
         ),
         "repeat-blocks",
     )
+    # Sums are written before they are joined: a join of two plain tables can split the rows of a hot key.
     met = found.groupBy("a").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
-    some = staged(found.join(met.select("a"), "a", "left_semi"), "repeat-anchors")
+    met = staged(met.select("a"), "repeat-met")
+    some = staged(found.join(met, "a", "left_semi"), "repeat-anchors")
     first = F.min(F.struct("k1", "k2", "s", "e")).alias("first")
     distinct = staged(
         some.groupBy("a", "c").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), first), "repeat-distinct"
     )
     by_anchor = distinct.groupBy("a").agg(F.count("*").alias("different"), F.max("twice").alias("any"))
-    to_sort = distinct.join(by_anchor.where("different > 1 OR any"), "a")
+    to_sort = distinct.join(staged(by_anchor.where("different > 1 OR any"), "repeat-counts"), "a")
     size = to_sort.agg(F.sum(F.col("first.e") - F.col("first.s") + window - 1).alias("n")).first()["n"] or 0
     shards = max(partitions(rows), -(-int(size) // shard_bytes))
     # An anchor's blocks meet in one shard, or in as many as hold ``most`` each.
@@ -396,7 +399,7 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, most: int = MOST, sha
     hits = some.join(verdict, ["a", "c"]).select(
         "k1", "k2", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi") + (window - 1)).alias("hi")
     )
-    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    return staged(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "repeat-ranges")
 
 
 def remove_repeats(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents
+from ranktide.llm.common import documents, kept
 from ranktide.llm.pieces import PieceEncoder, WordTable
 
 STATES = 100_000
@@ -286,18 +286,19 @@ class Decoder:
         yield stream.end()
 
 
-_OPEN: dict[str, tuple[WordTable, Decoder]] = {}
 CHUNK = 1 << 16  # ids decoded at once
 
 
 def codec(path: str) -> tuple[WordTable, Decoder]:
     """One encoder and decoder a Python worker and file."""
-    if path not in _OPEN:
-        ranks = read_ranks(path)
+
+    def make() -> tuple[WordTable, Decoder]:
         gc.set_threshold(200_000, 20, 100)  # tables of strings and numbers: nothing there to collect
+        ranks = read_ranks(path)
         transducer = Transducer(ranks)
-        _OPEN[path] = (WordTable(PieceEncoder(lambda piece: transducer.encode(piece.encode()), 700_000), 300_000), Decoder(ranks))
-    return _OPEN[path]
+        return WordTable(PieceEncoder(lambda piece: transducer.encode(piece.encode()), 700_000), 300_000), Decoder(ranks)
+
+    return kept(("bpe", path), make)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str) -> DataFrame:

@@ -13,9 +13,23 @@ from pyspark.sql import functions as F
 from ranktide.session import checkpoint_dir
 
 
+_KEPT: dict = {}
 _SHIPPED: set[str] = set()
 
 
+def kept(name: tuple, make):
+    """What a Python worker keeps from task to task for one operator; that of any other is let go first."""
+    if name not in _KEPT:
+        let_go()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go() -> None:
+    """Free what another operator kept in this Python worker."""
+    _KEPT.clear()
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package's modules to the session's Python workers, once an application."""
     sc = spark.sparkContext

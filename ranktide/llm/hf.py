@@ -7,10 +7,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from ranktide.llm.common import kept
 from ranktide.llm.pieces import PieceEncoder, WordTable
 
-_OPEN: dict[str, WordTable] = {}
-
 
 def _byte_letters() -> list[str]:
     """Byte-level BPE writes each byte as one letter: printable ones as themselves, the rest from U+0100 on."""
@@ -21,23 +20,25 @@ def _byte_letters() -> list[str]:
 
 def table(path: str) -> WordTable:
     """One table a Python worker and file; it outlives the task, as the worker does."""
-    if path not in _OPEN:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenize = Tokenizer.from_file(path).model.tokenize
-        byte_letters = _byte_letters()
-        letters, space = dict(enumerate(byte_letters)), byte_letters[32]
-
-        def encode(piece: str) -> list[int]:
-            if piece.isascii() and piece[1:].isalpha():
-                piece = space + piece[1:] if piece[0] == " " else piece
-            else:
-                piece = piece.encode().decode("latin-1").translate(letters)
-            return [t.id for t in tokenize(piece)]
-
-        _OPEN[path] = WordTable(PieceEncoder(encode))
-    return _OPEN[path]
+    return kept(("hf", path), lambda: _make(path))
+
+
+def _make(path: str) -> WordTable:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenize = Tokenizer.from_file(path).model.tokenize
+    byte_letters = _byte_letters()
+    letters, space = dict(enumerate(byte_letters)), byte_letters[32]
+
+    def encode(piece: str) -> list[int]:
+        if piece.isascii() and piece[1:].isalpha():
+            piece = space + piece[1:] if piece[0] == " " else piece
+        else:
+            piece = piece.encode().decode("latin-1").translate(letters)
+        return [t.id for t in tokenize(piece)]
+
+    return WordTable(PieceEncoder(encode))
 
 
 def encode_texts(path: str, texts: Iterable[str | None]) -> Iterator[np.ndarray]:

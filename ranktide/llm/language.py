@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents
+from ranktide.llm.common import documents, let_go
 
 ROWS = 64
 EXCERPT = 512
@@ -210,6 +210,7 @@ def identify(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame:
     schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             langs, scores, rates = model.value.predict(b.column(text).to_pylist())
             found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]

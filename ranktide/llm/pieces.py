@@ -81,7 +81,7 @@ class WordTable(dict):
     results don't depend on what it holds.
     """
 
-    def __init__(self, encoder: Encoder, limit: int = 400_000):
+    def __init__(self, encoder: Encoder, limit: int = 300_000):
         super().__init__()
         self.encoder, self.limit = encoder, limit
         self._begin()
@@ -192,7 +192,7 @@ class PieceEncoder(dict):
     """Words and texts piece by piece: piece -> number. ``encode`` is asked once for each piece met, up to a bounded
     number kept."""
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 800_000):
+    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 600_000):
         super().__init__()
         self.encode, self.limit = encode, limit
         self.flat, self.start = array("I"), array("q", [0])

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents, groups_for, staged
+from ranktide.llm.common import documents, groups_for, let_go, staged
 
 ORDER = 5
 SYMBOLS = 257  # 0: the end, and the start symbol in contexts; byte b is b + 1
@@ -132,6 +132,7 @@ def _gather(buckets: int):
     """A chunk's distinct sequences and words with their training counts, by bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         chunk = pdf["chunk"].iloc[0]
         rows = []
         seen, trained = [], []

@@ -18,13 +18,17 @@ shingles is at least ``percent`` / 100. All n-grams have one global order
    order of the n-grams' hashes is cut into ``FRAGMENTS``; every fragment of a cell is a task
    of its own that counts the partial overlaps of all the cell's pairs as a
    matrix, and the matrices are summed per pair.
-4. A family of more than ``BLOCK`` classes is first compared with its most
-   copied class alone. Whoever links to that needs no comparing among
-   themselves; only the others' blocks meet all blocks.
-
-A cell hands on as many links as connect what is linked in it, so a group of
-copies gives as many rows as it has members. Components of the links are the
-result. N-grams are 64-bit hashes (see ``shingles``), sets 128-bit.
+4. All blocks of a family of more than ``BLOCK`` classes meet, each two once.
+   Where no links are counted (``count_links``), components need less: the
+   family is first compared with its most copied class alone, and only blocks
+   of classes that don't link to that meet all blocks.
+
+A cell counts every link of its classes, each as many times as the class at its
+other end has copies; the sums, and the copies beside it, are a document's
+number of links, so a group of copies gives as many rows as it has members.
+Besides, a cell hands on as many links as connect what is linked in it; these
+serve only to find the components. N-grams are 64-bit hashes (see
+``shingles``), sets 128-bit.
 
 Defined results: null or wordless texts have an empty set and link with
 nothing, each its own component; repeated rows are documents; ids that are null
@@ -168,7 +172,7 @@ _CELL = ["family", "i", "j"]
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A class in a cell -> its part of each fragment of the hashes' order."""
-    keep = ["bin", *_CELL, "role", "cls", "n"]
+    keep = ["bin", *_CELL, "role", "cls"]
     for b in batches:
         whole = [np.frombuffer(g, np.uint64) for g in b.column("grams").to_pylist()]
         part = [np.right_shift(w, np.uint64(62)) * np.uint64(FRAGMENTS) // np.uint64(4) for w in whole]
@@ -210,18 +214,29 @@ def _count_overlaps(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _links_of(percent: int):
-    """Sums of the partial overlaps of each pair -> links that connect what is linked in each cell."""
+    """Sums of the partial overlaps of each pair -> for each class the copies of all classes that it links to in a cell
+    (``v`` null), and links (u, v) that connect what is linked in the cell."""
 
     def run(counts: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        u, v = [], []
+        u, v, links = [], [], []
         members = {k: p for k, p in cells.sort_values("cls").groupby(_CELL)}
         for cell, part in counts.groupby(_CELL):
-            names, n, role = (members[cell][k].to_numpy() for k in ("cls", "n", "role"))
+            names, n, role, copies = (members[cell][k].to_numpy() for k in ("cls", "n", "role", "copies"))
             lefts, rights = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
             both = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in part["counts"]).reshape(len(lefts), len(rights))
             union = n[lefts][:, None] + n[rights][None, :] - both
+            linked = (100 * both >= percent * union) & (lefts[:, None] != rights[None, :])
+            # A class on both sides meets each other of these in two places: it counts on the left.
+            far = np.zeros(len(names), np.int64)
+            far[lefts] += linked @ copies[rights]
+            alone = role[rights] == 2
+            far[rights[alone]] += copies[lefts] @ linked[:, alone]
+            some = np.flatnonzero(far)
+            u += names[some].tolist()
+            v += [None] * len(some)
+            links += far[some].tolist()
             above, apart = np.arange(len(names)), len(names) - 1
-            for a, b in zip(*np.nonzero(100 * both >= percent * union), strict=True):
+            for a, b in zip(*np.nonzero(linked), strict=True):
                 x, y = lefts[a], rights[b]
                 if not apart:
                     break
@@ -236,29 +251,32 @@ def _links_of(percent: int):
                     apart -= 1
                     u.append(names[x])
                     v.append(names[y])
-        return pd.DataFrame({"u": u, "v": v}, dtype=object)
+                    links.append(0)
+        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "links": pd.Series(links, dtype="int64")})
 
     return run
 
 
 def compare(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between classes that meet in a cell.
+    """Links (u, v) that connect the classes linked in a cell, and rows (u, null, links) of a class's links in a cell.
 
-    ``cells``: family, i, j, role (1: left, 2: right, 3: both), cls, n, chunk;
-    ``sets``: cls, chunk, grams.
+    ``cells``: family, i, j, role (1: left, 2: right, 3: both), cls, n, copies,
+    chunk; ``sets``: cls, chunk, grams.
     """
     size = cells.agg(F.sum(8 * F.col("n")).alias("n")).first()["n"] or 0
     bins = max(partitions(cells), -(-int(size) // BIN_BYTES))
     cells = cells.withColumn("bin", F.pmod(F.xxhash64(*_CELL), F.lit(bins)).cast("int"))
-    schema = "bin int, family string, i int, j int, role int, cls string, n long, fragment int, grams binary"
+    schema = "bin int, family string, i int, j int, role int, cls string, fragment int, grams binary"
     parts = cells.join(sets, ["cls", "chunk"]).drop("chunk").mapInArrow(_fragments, schema)
     counts = parts.groupBy("bin", "fragment").applyInPandas(_count_overlaps, "bin int, family string, i int, j int, counts binary")
-    members = cells.select("bin", *_CELL, "role", "cls", "n")
-    return counts.groupBy("bin").cogroup(members.groupBy("bin")).applyInPandas(_links_of(percent), "u string, v string")
+    members = cells.select("bin", *_CELL, "role", "cls", "n", "copies")
+    found = counts.groupBy("bin").cogroup(members.groupBy("bin"))
+    return found.applyInPandas(_links_of(percent), "u string, v string, links long")
 
 
-def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect the classes of every family as all pairs would."""
+def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, percent: int, count_links: bool) -> DataFrame:
+    """What ``compare`` gives for the classes of every family: links that connect them as all pairs would and, with
+    ``count_links``, the sums of all links."""
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
     # The class with most copies leads; ties go to the least key. (Joins with written tables can split a large family.)
     sizes = members.groupBy("family").agg(
@@ -268,21 +286,30 @@ def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, perc
     members = staged(members.join(sizes, "family"), "ngram-families")
     zero = F.lit(0)
     small = members.where(F.col("size") <= BLOCK).select(
-        "family", zero.alias("i"), zero.alias("j"), F.lit(3).alias("role"), "cls", "n", "chunk"
+        "family", zero.alias("i"), zero.alias("j"), F.lit(3).alias("role"), "cls", "n", "copies", "chunk"
     )
     large = members.where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     if large.isEmpty():
         return compare(small, sets, percent)
     block = lambda of: F.pmod(F.xxhash64("cls"), F.col(of)).cast("int")
+    pick = ["family", "i", "j", "role", "cls", "n", "copies", "chunk"]
+    if count_links:
+        own, other = F.col("own"), F.col("other")
+        pairs = large.withColumn("own", block("blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.withColumns({
+            "i": F.least(own, other), "j": F.greatest(own, other),
+            "role": F.when(own < other, 1).when(own > other, 2).otherwise(3),
+        })
+        return compare(small.unionByName(pairs.select(*pick)), sets, percent)
     follower = large.where("cls <> lead").select(
-        "family", F.lit(-1).alias("i"), block("blocks").alias("j"), F.lit(2).alias("role"), "cls", "n", "chunk"
+        "family", F.lit(-1).alias("i"), block("blocks").alias("j"), F.lit(2).alias("role"), "cls", "n", "copies", "chunk"
     )
     leader = large.where("cls = lead").select(
         "family", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
-        F.lit(1).alias("role"), "cls", "n", "chunk",
+        F.lit(1).alias("role"), "cls", "n", "copies", "chunk",
     )
     done = staged(compare(small.unionByName(follower).unionByName(leader), sets, percent), "ngram-links")
-    led = done.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+    led = done.where("v IS NOT NULL").select(F.explode(F.array("u", "v")).alias("cls")).distinct()
     rest = large.where("cls <> lead").join(led, "cls", "left_anti")
     left_over = rest.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
     # In a cell of the rest's block i and all classes' block j a class can be on either side or on both.
@@ -292,17 +319,19 @@ def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, perc
     as_right = large.join(left_over, "family").withColumn("j", block("blocks")).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))
     )
-    pick = ["family", "i", "j", "role", "cls", "n", "chunk"]
     again = (
         as_left.withColumn("role", F.lit(1)).select(*pick)
         .unionByName(as_right.withColumn("role", F.lit(2)).select(*pick))
-        .groupBy("family", "i", "j", "cls", "n", "chunk").agg(F.sum("role").cast("int").alias("role"))
+        .groupBy("family", "i", "j", "cls", "n", "copies", "chunk").agg(F.sum("role").cast("int").alias("role"))
     )
     return done.unionByName(compare(staged(again, "ngram-cells"), sets, percent))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: doc_id, k1, k2 (the text's key), n_shingles, component, component_id.
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, words: int = WORDS, chunk_bytes: int = CHUNK_BYTES, count_links: bool = False
+) -> DataFrame:
+    """One row per document: doc_id, k1, k2 (the text's key), n_shingles, component, component_id and, with
+    ``count_links``, n_links (the other documents whose sets link with this one's).
 
     ``component`` names the group of linked documents (null: linked with
     nothing and no other document has its set, as far as counted);
@@ -331,17 +360,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     heads = sets.select("cls", "head", "grams").mapInArrow(_heads, "gram long, cls string")
     ties = heads.groupBy("gram").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u < v").select("gram", "u")
     families = components(heads.join(ties, "gram").select("u", F.col("cls").alias("v")))
-    links = _family_links(classes, families, sets.select("cls", "chunk", "grams"), percent)
-    groups = components(links).select(F.col("node").alias("cls"), "component")
-    named = staged(
-        classes.join(groups, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first"),
-        "ngram-groups",
-    )
+    found = staged(_family_links(classes, families, sets.select("cls", "chunk", "grams"), percent, count_links), "ngram-found")
+    groups = components(found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("cls"), "component")
+    named = classes.join(groups, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first", "copies")
+    result = ["doc_id", "k1", "k2", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id")]
+    of_class = ["cls", "component"]
+    if count_links:
+        far = staged(found.where("v IS NULL").groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("far")), "ngram-counts")
+        named = named.join(far, "cls", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("far", F.lit(0)))
+        result.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        of_class.append("n_links")
+    named = staged(named, "ngram-groups")
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = staged(named.select("cls", "component").join(ids, "component"), "ngram-verdicts")
-    return known.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left").select(
-        "doc_id", "k1", "k2", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    by_class = staged(named.select(*of_class).join(ids, "component"), "ngram-verdicts")
+    return known.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left").select(*result)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +381,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, the number of documents it links with and the group it is linked into."""
+    found = near_duplicates(documents(spark, sf_dir), count_links=True)
+    return found.select("doc_id", "n_shingles", "n_links", "component_id")
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -364,3 +402,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
      LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY 1) m ON m.x = d.doc_id
 """
+
+LINKS_SQL = ORACLE_SQL.replace(
+    "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,",
+    "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links,",
+)

@@ -28,6 +28,7 @@ def load_llm() -> dict[str, Query]:
         "op1_suffix_dedup": Query(suffix_dedup.op1_suffix_dedup),
         "op3_ppm": Query(ppm.op3_ppm),
         "op4_ngram_join": Query(ngram_join.op4_ngram_join, ngram_join.ORACLE_SQL),
+        "op4_ngram_links": Query(ngram_join.op4_ngram_links, ngram_join.LINKS_SQL),
         "op2_token_files": Query(token_files.op2_token_files),
         "op5_byte_bpe": Query(bpe.op5_byte_bpe),
         "op6_sharding": Query(sharding.op6_sharding, sharding.ORACLE_SQL),

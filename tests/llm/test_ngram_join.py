@@ -71,6 +71,28 @@ def test_large_families(spark, monkeypatch):
     check(spark, make_rows(11, 6, 60), chunk_bytes=3000)
 
 
+def check_links(spark, rows, **how):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [grams(t) for _, t in rows]
+    want = [
+        (d or -1, c or -1, sum(100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets) if a and j != i))
+        for i, (a, (d, _, c)) in enumerate(zip(sets, brute(rows), strict=True))
+    ]
+    found = nj.near_duplicates(df, count_links=True, **how).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["n_links"]) for r in found) == sorted(want)
+    assert max(n for *_, n in want) > 2
+
+
+def test_every_link_counts(spark):
+    check_links(spark, make_rows(4, 25, 8), chunk_bytes=1500)
+
+
+def test_every_link_of_large_families_counts(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK", 6)
+    monkeypatch.setattr(nj, "BIN_BYTES", 2000)
+    check_links(spark, make_rows(11, 6, 60), chunk_bytes=3000)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.near_duplicates(df).count() == 0

@@ -3,8 +3,9 @@
 For each language a suffix automaton of labelled text accepts exactly that
 text's substrings. A document is parsed against it into phrases: each is the
 longest match from where the last one ended (or one unknown symbol). Phrases
-times the logarithm of the text's length, per symbol, estimate the
+times the logarithm of the longest sample's length, per symbol, estimate the
 cross-entropy; the language that needs fewest such normalised phrases wins.
+A phrase costs the same in every language, so a short sample has no advantage.
 
 The automata are compiled into one table of (state, symbol) -> next state and
 whether a phrase ends. Documents are cut into segments of ``SEGMENT`` bytes
@@ -14,6 +15,8 @@ The classifier is fitted on a bounded sample: for each language excerpts of
 ``EXCERPT`` characters from the middle of ``ROWS`` distinct texts, those whose
 hashes are the least of all labelled texts; in all at most ``SAMPLE`` bytes,
 shared by the languages. The tables therefore don't grow with the data.
+Excerpts without letters are left out, and languages whose excerpts have fewer
+than ``LEAST`` bytes aren't learned.
 
 Text is lower-cased; ASCII characters other than letters separate words.
 
@@ -39,6 +42,7 @@ from ranktide.llm.common import documents, let_go
 ROWS = 64
 EXCERPT = 512
 SAMPLE = 1 << 18
+LEAST = 8
 SEGMENT = 1024
 SLICE = 4 << 20  # bytes stepped through together
 
@@ -93,7 +97,8 @@ class Classifier:
         self.symbol = np.zeros(256, np.int32)  # 0: a byte that no sample has
         self.symbol[used] = np.arange(1, len(used) + 1)
         wide = len(used) + 1
-        self.bits = [math.log2(max(2, len(samples[k]))) for k in self.langs]
+        self.bits = math.log2(max([2, *map(len, samples.values())]))
+        self.learned: list[int] = []  # hashes of the texts that the samples are from
         self.tables = []
         for k in self.langs:
             automaton = SuffixAutomaton(samples[k])
@@ -176,7 +181,9 @@ class Classifier:
 
 def fit(labelled: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT, sample: int = SAMPLE) -> Classifier:
     """A classifier from ``text`` and ``lang`` (rows without either are left out)."""
-    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").withColumn("h", F.xxhash64("text"))
+    # Texts without letters would only take the places of others.
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = known.select("text", "lang").withColumn("h", F.xxhash64("text"))
     # The least hash of each of some buckets: copies of a text count once, and little leaves a map task.
     least = known.groupBy("lang", F.pmod("h", F.lit(16 * rows)).alias("bucket")).agg(F.min("h").alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
@@ -192,10 +199,13 @@ def fit(labelled: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT, sample: i
     wanted = {(r["lang"], r["h"]) for r in picked}
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in texts:
-        if (r["lang"], r["h"]) in wanted:
+        if (r["lang"], r["h"]) in wanted and has_letter(r["text"]):
             parts.setdefault(r["lang"], []).append((r["h"], normalized(r["text"])))
-    most = max(1, sample // len(parts))
-    return Classifier({k: b"\0".join(t for _, t in sorted(v))[:most] for k, v in parts.items()})
+    parts = {k: v for k, v in parts.items() if sum(len(t) for _, t in v) >= LEAST}
+    most = max(1, sample // max(1, len(parts)))
+    model = Classifier({k: b"\0".join(t for _, t in sorted(v))[:most] for k, v in parts.items()})
+    model.learned = sorted({r["h"] for r in picked})
+    return model
 
 
 def identify(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame:

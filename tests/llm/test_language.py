@@ -74,5 +74,24 @@ def test_held_out_accuracy(spark, sf):
     assert out > 0.99
 
 
+@pytest.mark.parametrize("text", ["", "12345", "ok", "ok then"])
+def test_a_language_with_hardly_any_text_wins_nothing(spark, text):
+    random.seed(3)
+    words = {"en": ["the", "house", "with", "some", "water", "and"], "de": ["das", "haus", "mit", "etwas", "wasser", "und"]}
+    rows = [(i, " ".join(random.choices(words[k], k=60)), k) for i, k in enumerate(["en", "de"] * 20)]
+    docs = spark.createDataFrame([*rows, (99, text, "zz")], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.langs == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model, "doc_id").collect()}
+    assert all(got[i] == k for i, _, k in rows)
+
+
+def test_a_phrase_costs_the_same_in_every_language():
+    sample = " ".join(random.Random(4).choices(["the", "house", "with", "some", "water"], k=400)).encode()
+    model = Classifier({"en": sample, "zz": b"ok"})
+    assert model.predict(["some water with the house"])[0] == ["en"]
+    assert Classifier({"a": b""}).bits == 1
+
+
 def test_normalized():
     assert normalized("ÉTÉ, A1b\n c") == "été a b c".encode()

@@ -3,7 +3,9 @@
 Each stage is one operator of ``ranktide.llm`` over all documents that the
 stage before it kept; all but the last return the columns of ``documents``.
 
-1. language: documents in none of the learned languages go.
+1. language: documents in none of the learned languages go: those that need
+   more bits a symbol than nearly all other labelled texts of the language
+   they are nearest to (``limits``).
 2. near_duplicates: of each group of documents linked by the n-gram join, the
    one of the smallest doc_id stays (null ids last, then by the text's hash).
 3. repeats: byte strings of ``PASSAGE`` bytes (about forty words) that occur
@@ -24,17 +26,34 @@ from pyspark.sql import functions as F
 from ranktide.llm import language, ngram_join, packing, suffix_dedup
 from ranktide.llm.common import ship, staged, text_keys
 
-#: A text this long (bytes, normalised) that needs more bits a symbol is in no learned language: there the longest
-#: matches are single letters.
-LEAST_SYMBOLS, MOST_BITS = 32, 8.0
+#: A text this long (bytes) that needs more bits a symbol than its language's limit is in no learned language. A limit is
+#: the ``QUANTILE`` of the rates of the labelled texts that weren't learned from, times ``MARGIN``. Of fewer than
+#: ``LEAST_TEXTS`` such texts none is derived: all languages' texts together give it, or it is ``MOST_BITS``.
+LEAST_SYMBOLS, QUANTILE, MARGIN, LEAST_TEXTS, MOST_BITS = 32, 0.99, 1.6, 100, 8.0
 PASSAGE = 256
 
 
+def limits(docs: DataFrame, model: language.Classifier) -> tuple[dict[str, float], float]:
+    """The most bits a symbol of each language with enough labelled texts that weren't learned from, and of any other."""
+    fresh = docs.where(F.col("lang").isin(model.langs) & ~F.xxhash64("text").isin(model.learned))
+    rates = language.identify(fresh.where(F.octet_length("text") >= LEAST_SYMBOLS).select("lang", "text"), model, "lang")
+    high = F.percentile_approx("rate", QUANTILE, 10000).alias("high")
+    found = rates.where("rate IS NOT NULL").rollup("lang").agg(F.count("*").alias("n"), high).where(F.col("n") >= LEAST_TEXTS)
+    by = {r["lang"]: MARGIN * r["high"] for r in found.collect()}  # a row for each learned language and one for all
+    other = by.pop(None, MOST_BITS)
+    return by, other
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, and longer ones that no learned language explains."""
     ship(spark)
-    found = language.identify(docs, language.fit(docs), *docs.columns)
-    foreign = (F.col("rate") > MOST_BITS) & (F.octet_length("text") >= LEAST_SYMBOLS)
+    model = language.fit(docs)
+    by, other = limits(docs, model)
+    found = language.identify(docs, model, *docs.columns)
+    most = F.lit(other)
+    for lang, bits in by.items():
+        most = F.when(F.col("lang_pred") == lang, bits).otherwise(most)
+    foreign = (F.col("rate") > most) & (F.octet_length("text") >= LEAST_SYMBOLS)
     return found.where((F.col("lang_pred") != "und") & ~foreign).select(*docs.columns)
 
 

@@ -72,6 +72,24 @@ def test_packed(stages):
     assert set(tokens) == {r["doc_id"] for r in stages[3]}
 
 
+def test_foreign_texts_in_the_same_script_go(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    r = random.Random(7)
+    foreign = [
+        "Gli uomini nascono liberi e uguali in dignità e diritti; sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. " * 3,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3,
+        "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak yang sama. Mereka dikaruniai akal dan hati nurani dan hendaknya bergaul satu sama lain dalam semangat persaudaraan. " * 3,
+        " ".join("".join(r.choices("0123456789abcdef", k=32)) for _ in range(30)),
+    ]
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    both = docs.unionByName(extra, allowMissingColumns=True)
+    left = {x["doc_id"] for x in cp.language_stage(spark, both, sf).select("doc_id").collect()}
+    known = {x["doc_id"] for x in docs.where("text RLIKE '\\\\p{L}'").select("doc_id").collect()}
+    assert not [d for d in left if d < 0]
+    assert len(known - left) <= len(known) // 200
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in cp.STAGES:

@@ -223,6 +223,15 @@ def join_version_range(spark, sf):
     return _vr(spark, sf).where(F.col("latest").isNotNull()).select("id", "ingest_date", "latest", "in_range")
 
 
+@register(
+    "join_version_range_all",
+    with_views(["advisories", "registry_docs"], f"SELECT id, ingest_date, latest, {Q.version_in_range('latest', 'affected_versions')} AS in_range FROM vr", [_LATEST_SQL, _VR_SQL]),
+)
+def join_version_range_all(spark, sf):
+    """The range predicate for every advisory; packages without a known latest version keep a null one."""
+    return _vr(spark, sf).select("id", "ingest_date", "latest", "in_range")
+
+
 @register(
     "flt_outdated",
     with_views(["advisories", "registry_docs"], f"""

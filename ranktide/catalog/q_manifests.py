@@ -116,6 +116,21 @@ def man_bench_signal(spark, sf):
     return MF.man_bench_signal(files).join(served, "repo_url", "left_semi")
 
 
+@register(
+    "man_bench_signal_all",
+    _rsql("""
+SELECT repo_url, sig IS NOT NULL AS has_benchmarks, sig AS bench_signal FROM (
+  SELECT repo_url, CASE WHEN NOT ok THEN NULL WHEN o % 5 = 0 THEN 'script:bench:run'
+                        WHEN o % 7 = 1 THEN 'script-cmd:test:perf' WHEN o % 11 = 0 THEN 'devDep:tinybench' END AS sig
+  FROM rexp)"""),
+)
+def man_bench_signal_all(spark, sf):
+    """Bench signal of every repository, ``(false, NULL)`` where ``package.json`` isn't served."""
+    files = _files(spark, sf)
+    found = files.select("repo_url").distinct().join(MF.man_bench_signal(files), "repo_url", "left")
+    return found.select("repo_url", F.coalesce("has_benchmarks", F.lit(False)).alias("has_benchmarks"), "bench_signal")
+
+
 def _loc_str(col):
     return F.array_join(F.transform(col, lambda l: F.concat(l["file"], F.when(l["line"].isNotNull(), F.concat(F.lit("#L"), l["line"].cast("string"))).otherwise(F.lit("")))), ";")
 

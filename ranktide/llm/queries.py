@@ -21,10 +21,11 @@ class Query:
 
 
 def load_llm() -> dict[str, Query]:
-    from ranktide.llm import bpe, fingerprint, language, ngram_join, packing, ppm, sharding, suffix_dedup, token_files, topk
+    from ranktide.llm import bpe, fingerprint, language, middle, ngram_join, packing, ppm, sharding, suffix_dedup, token_files, topk
 
     return {
         "op10_language": Query(language.op10_language),
+        "op13_middle": Query(middle.op13_middle, middle.ORACLE_SQL),
         "op1_suffix_dedup": Query(suffix_dedup.op1_suffix_dedup),
         "op3_ppm": Query(ppm.op3_ppm),
         "op4_ngram_join": Query(ngram_join.op4_ngram_join, ngram_join.ORACLE_SQL),

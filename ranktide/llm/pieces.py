@@ -62,6 +62,8 @@ def ragged(flat: array, start: array, numbers: np.ndarray) -> tuple[np.ndarray,
 
 
 class Encoder(Protocol):
+    special: dict[str, int]  # strings that are tokens wherever they stand, and these tokens' ids
+
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of these words in a row, and how many each has.
 
@@ -149,7 +151,8 @@ class WordTable(dict):
         odd = odd[(what == 1) | (what == 2) & _ODD_C2[after] | (what == 3) & (after > 0x8F)]
         space = kind == 4
         beside = np.flatnonzero(space[:-1] & space[1:])
-        owner = np.searchsorted(borders, np.concatenate([odd, beside]), side="right") - 1
+        held = np.array([m.start() for s in self.encoder.special for m in re.finditer(re.escape(s.encode()), raw)], np.int64)
+        owner = np.searchsorted(borders, np.concatenate([odd, beside, held]), side="right") - 1
         slow = np.zeros(len(texts) + 1, bool)
         slow[np.minimum(owner, len(texts))] = True
         slow[:-1] &= np.diff(borders) > 1  # an empty text isn't ragged
@@ -190,13 +193,20 @@ class WordTable(dict):
 
 class PieceEncoder(dict):
     """Words and texts piece by piece: piece -> number. ``encode`` is asked once for each piece met, up to a bounded
-    number kept."""
+    number kept. Strings of ``special`` are cut out of texts first and are one id each; the longest goes first."""
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 600_000, special: dict[str, int] | None = None):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.special = encode, limit, special or {}
+        some = sorted(self.special, key=len, reverse=True)
+        self.cuts = re.compile("|".join(map(re.escape, some))) if some else None
         self.flat, self.start = array("I"), array("q", [0])
 
+    def make_room(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+            self.flat, self.start = array("I"), array("q", [0])
+
     def __missing__(self, piece: str) -> int:
         k = self[piece] = len(self)
         self.flat.extend(self.encode(piece))
@@ -204,9 +214,7 @@ class PieceEncoder(dict):
         return k
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > self.limit:
-            self.clear()
-            self.flat, self.start = array("I"), array("q", [0])
+        self.make_room()
         numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
         return ragged(self.flat, self.start, numbers)
 
@@ -224,7 +232,13 @@ class PieceEncoder(dict):
         return ids, np.diff(np.concatenate([[0], np.cumsum(lens)])[until], prepend=0)
 
     def text(self, text: str) -> np.ndarray:
-        found, parts = iter(split(text)), [np.zeros(0, np.uint32)]
+        at, parts = 0, [np.zeros(0, np.uint32)]
+        for m in self.cuts.finditer(text) if self.cuts else ():
+            parts += [*self._pieces(text[at : m.start()]), np.array([self.special[m.group()]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*parts, *self._pieces(text[at:])])
+
+    def _pieces(self, text: str) -> Iterator[np.ndarray]:
+        found = iter(split(text))
         while some := list(islice(found, 1 << 16)):
-            parts.append(self._ids(some)[0])
-        return np.concatenate(parts)
+            yield self._ids(some)[0]

@@ -21,10 +21,11 @@ class Query:
 
 
 def load_llm() -> dict[str, Query]:
-    from ranktide.llm import bpe, fingerprint, language, middle, ngram_join, packing, ppm, sharding, suffix_dedup, token_files, topk, word_trie
+    from ranktide.llm import bpe, fingerprint, language, merkle_manifest, middle, ngram_join, packing, ppm, sharding, suffix_dedup, token_files, topk, word_trie
 
     return {
         "op10_language": Query(language.op10_language),
+        "op11_manifest": Query(merkle_manifest.op11_manifest, merkle_manifest.ORACLE_SQL),
         "op12_word_trie": Query(word_trie.op12_word_trie),
         "op13_middle": Query(middle.op13_middle, middle.ORACLE_SQL),
         "op1_suffix_dedup": Query(suffix_dedup.op1_suffix_dedup),

@@ -15,19 +15,25 @@ the same text or another. How the repeats are found:
    doubling distance) and the common prefixes of neighbours by Kasai's scan,
    run over all blocks in step. Starts whose common prefix is a window are
    repeats.
-3. An anchor with more than ``most`` different blocks is spread over several
-   shards. Each hands on its distinct windows of that anchor as sorted runs;
+3. An anchor with more than ``ANCHOR_BYTES`` of different blocks is spread over
+   several shards. Each hands on its distinct windows of that anchor as sorted runs;
    runs are cut by ranges, and within a range a binary search of each run in
    the union finds the windows that other shards have too.
 4. The repeated starts go back to every text that holds the block.
 
-What moves is one small row an anchor, the blocks of repeated anchors, and the
-texts once; no group holds more than ``most`` blocks of an anchor or a shard's
-bytes.
+What moves are the anchors' hashes once, the blocks of repeated anchors, and the
+texts twice. Anchors lie packed, a row a slice of texts; their hashes go to buckets
+by range and flags come back, so only anchors met more than once become rows. No
+group holds more than ``ANCHOR_BYTES`` of an anchor's blocks beside a shard's bytes.
+
+Several window lengths can be searched in one run; each has anchors, blocks and
+shards of its own.
 
 Defined results: a null text is empty; a text shorter than the window keeps all;
 copies of a text longer than the window lose everything, each of them; overlaps
-within a text count; strings are judged on the input. Empty tables give no rows.
+within a text count; strings are judged on the input. Very long texts are worked
+on in slices that overlap by a window. Empty tables give no rows. Columns kept go
+by any name: those of the result come after them.
 """
 
 from __future__ import annotations
@@ -38,21 +44,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranktide.llm.common import documents, let_go, partitions, staged, text_keys
 
 WINDOW = 400
-SLICE = 2 << 20  # bytes of text whose anchors are found together
-SHARD_BYTES = 4 << 20
-MOST = 4096  # different blocks of an anchor in one shard
+SHORT = 150  # bytes; 51 words in a row are longer
+SLICE = 512 << 10  # bytes of text whose anchors are found together
+SHARD_BYTES = 1 << 20
+ANCHOR_BYTES = 256 << 10  # of an anchor's different blocks in one shard
 RUN = 4096  # starts of one block at most
 
 
 def gram_of(window: int) -> int:
-    """Bytes of an anchor's hash: a power of two, about a third of the window."""
-    return 1 << max(0, (window // 3).bit_length() - 1)
+    """Bytes of an anchor's hash: a power of two, up to half of the window."""
+    return 1 << max(0, (window // 2).bit_length() - 1)
 
 
 def _hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -118,72 +126,157 @@ def blocks(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return owner, first - begin[owner], last - begin[owner], anchor, twice
 
 
-def _find_blocks(window: int):
+_FIELDS = {"a": np.int64, "c": np.int64, "k1": np.int64, "k2": np.int64, "s": np.int32, "e": np.int32, "twice": np.bool_}
+_PACKED = "slice long, w int, " + ", ".join(f"{k} binary" for k in _FIELDS)
+_BLOCKS = "w int, a long, c long, k1 long, k2 long, s int, e int, twice boolean"
+
+
+def _find_blocks(windows: tuple[int, ...]):
+    """Texts -> the blocks of each window length, packed: a row a slice of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys: list, texts: list[bytes]) -> pa.RecordBatch:
+        let_go()
+        number = TaskContext.get().partitionId() << 32  # no two slices of a job have the same
+
+        def out(window: int, keys: list, places: list[int], texts: list[bytes]) -> pa.RecordBatch:
+            nonlocal number
             owner, s, e, anchor, twice = blocks(texts, window)
             content = np.frombuffer(b"".join(
                 hashlib.blake2b(texts[o][a : b + window - 1], digest_size=8).digest()
                 for o, a, b in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True)
             ), np.int64)
-            k = np.array(keys, np.int64).reshape(-1, 2)[owner]
-            return pa.RecordBatch.from_pydict({
-                "k1": pa.array(k[:, 0]), "k2": pa.array(k[:, 1]),
-                "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)),
-                "a": pa.array(anchor.view(np.int64)), "c": pa.array(content), "twice": pa.array(twice),
-            })
-
-        let_go()
-        keys, texts, held = [], [], 0
+            k, at = np.array(keys, np.int64).reshape(-1, 2)[owner], np.array(places, np.int64)[owner]
+            order = np.argsort(anchor, kind="stable")
+            made = {"a": anchor.view(np.int64), "c": content, "k1": k[:, 0], "k2": k[:, 1], "s": at + s, "e": at + e, "twice": twice}
+            row = {f: pa.array([made[f][order].astype(t).tobytes()], pa.binary()) for f, t in _FIELDS.items()}
+            number += 1
+            return pa.RecordBatch.from_pydict({"slice": pa.array([number]), "w": pa.array([window], pa.int32()), **row})
+
+        held = {w: ([], [], []) for w in windows}
+        sizes = dict.fromkeys(windows, 0)
         for b in batches:
             for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
-                if t and len(t) * 4 >= window:
-                    keys.append((k1, k2))
-                    texts.append(t.encode())
-                    held += len(texts[-1])
-                    if held >= SLICE:
-                        yield out(keys, texts)
-                        keys, texts, held = [], [], 0
-        if texts:
-            yield out(keys, texts)
+                raw = (t or "").encode()
+                for w in windows:
+                    for at in range(0, len(raw) - w + 1, SLICE):
+                        part = raw[at : at + SLICE + w - 1] if len(raw) > SLICE else raw
+                        for to, x in zip(held[w], ((k1, k2), at, part), strict=True):
+                            to.append(x)
+                        sizes[w] += len(part)
+                        if sizes[w] >= SLICE:
+                            yield out(w, *held[w])
+                            held[w], sizes[w] = ([], [], []), 0
+        for w in windows:
+            if held[w][0]:
+                yield out(w, *held[w])
+
+    return run
+
+
+def _send_anchors(buckets: int):
+    """A slice's anchors -> its distinct ones by bucket, and whether they are met in it more than once."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, w, blob, twice in zip(*(b.column(c).to_pylist() for c in ("slice", "w", "a", "twice")), strict=True):
+                names, first, n = np.unique(np.frombuffer(blob, np.uint64), return_index=True, return_counts=True)
+                if not len(names):
+                    continue
+                again = np.maximum.reduceat(np.frombuffer(twice, np.uint8), first) | (n > 1)
+                cut = [0, *np.searchsorted(names, edges).tolist(), len(names)]
+                some = [i for i in range(buckets) if cut[i] < cut[i + 1]]
+                yield pa.RecordBatch.from_pydict({
+                    "slice": pa.array([number] * len(some), pa.int64()), "w": pa.array([w] * len(some), pa.int32()),
+                    "bucket": pa.array(some, pa.int32()),
+                    "names": pa.array([names[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()),
+                    "again": pa.array([again[cut[i] : cut[i + 1]].astype(np.uint8).tobytes() for i in some], pa.binary()),
+                })
 
     return run
 
 
+def _flag_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which of the anchors sent by each slice are met more than once."""
+    names = np.concatenate([np.frombuffer(n, np.uint64) for n in pdf["names"]])
+    again = np.frombuffer(b"".join(pdf["again"]), np.uint8)
+    _, which = np.unique(names, return_inverse=True)
+    times = np.bincount(which) + np.bincount(which, weights=again)
+    met = times[which] > 1
+    cut = np.cumsum([0, *(len(n) // 8 for n in pdf["names"])])
+    flags = [met[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "met": flags})
+
+
+def _unpack_met(packed: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+    """A slice's blocks whose anchors are met more than once, as rows."""
+    columns = [f.split()[0] for f in _BLOCKS.split(", ")]
+    if not len(packed) or not len(flags):
+        return pd.DataFrame(columns=columns)
+    row = packed.iloc[0]
+    made = {f: np.frombuffer(row[f], t) for f, t in _FIELDS.items()}
+    anchor = made["a"].view(np.uint64)
+    names = np.unique(anchor)
+    met = np.frombuffer(b"".join(flags.sort_values("bucket")["met"]), np.bool_)
+    if len(met) != len(names):
+        raise RuntimeError("a slice's anchors changed between two reads")
+    some = np.flatnonzero(met[np.searchsorted(names, anchor)])
+    return pd.DataFrame({"w": row["w"], **{f: v[some] for f, v in made.items()}})[columns]
+
+
+def find_blocks(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """The blocks of all texts whose anchors are met more than once. ``rows``: k1, k2, text."""
+    packed = staged(rows.select("k1", "k2", "text").mapInArrow(_find_blocks(windows), _PACKED), "repeat-anchors", codec="lz4")
+    buckets = partitions(rows)
+    sent = packed.select("slice", "w", "a", "twice").mapInArrow(
+        _send_anchors(buckets), "slice long, w int, bucket int, names binary, again binary"
+    )
+    flags = sent.groupBy("w", "bucket").applyInPandas(_flag_anchors, "slice long, bucket int, met binary")
+    return staged(packed.groupBy("slice").cogroup(flags.groupBy("slice")).applyInPandas(_unpack_met, _BLOCKS), "repeat-blocks")
+
+
+def _in_order(key: np.ndarray, at: np.ndarray, bits: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits in order, and their places; both are sorted as one number where they fit."""
+    if bits + places <= 63:
+        both = np.sort(key << places | at)
+        return both >> places, (both & ((1 << places) - 1)).astype(np.int32)
+    again = np.argsort(key, kind="stable")
+    return key[again], at[again]
+
+
 def suffix_array(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes' places in order, and each place's rank."""
+    """The suffixes' places in order, and each place's rank. The end is below every byte."""
     n = len(text)
-    eights = np.ndarray((n,), "<u8", text + b"\0" * 8, strides=(1,)).byteswap()
-    # The end is below every byte: where zeros were padded, the shorter suffix goes first.
-    order = np.argsort(eights, kind="stable")[::1].astype(np.int32)
-    value = eights[order]
-    head = np.concatenate([[True], value[1:] != value[:-1]])
-    tail = np.flatnonzero(order > n - 8)
-    if len(tail):  # padded keys may tie with real zeros: tell them apart by their length
-        key = np.where(order > n - 8, n - order, 8)
-        slots = np.arange(n)
-        group = np.maximum.accumulate(np.where(head, slots, 0))
-        again = np.lexsort((key, group))
-        order, key, group = order[again], key[again], group[again]
-        head = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
+    buf = np.frombuffer(text, np.uint8)
+    seen = np.flatnonzero(np.bincount(buf, minlength=256))
+    code = np.zeros(256, np.int64)
+    code[seen] = np.arange(1, len(seen) + 1)
+    places, bits = n.bit_length(), len(seen).bit_length()
+    h = max(1, (63 - min(places, 21)) // bits)  # symbols sorted by at first
+    symbols = np.concatenate([code[buf], np.zeros(h, np.int64)])
+    key = np.zeros(n, np.int64)
+    for j in range(h):
+        key = key << bits | symbols[j : j + n]
+    key, order = _in_order(key, np.arange(n, dtype=np.int32), h * bits, places)
+    del symbols
+    slots = np.arange(n, dtype=np.int32)
+    head = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n, np.int32)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = 8
+    rank[order] = np.maximum.accumulate(np.where(head, slots, 0))
     while True:
         alone = head & np.append(head[1:], True)
-        slots = np.flatnonzero(~alone)
+        slots = slots[~alone[slots]]
         if not len(slots):
             return order, rank
         at = order[slots]
-        after = at.astype(np.int64) + h
-        key = rank[at].astype(np.int64) << 32
+        after = at + np.int32(h)
+        key = rank[at].astype(np.int64) << places
         inside = after < n
-        key[inside] |= rank[after[inside]].astype(np.int64) + 1
-        again = np.argsort(key)
-        key = key[again]
-        order[slots] = at[again]
+        key[inside] |= rank[after[inside]] + 1
+        key, at = _in_order(key, at, 2 * places, places)
+        order[slots] = at
         head[slots] = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[order[slots]] = np.maximum.accumulate(np.where(head[slots], slots, 0))
+        rank[at] = np.maximum.accumulate(np.where(head[slots], slots, 0))
         h *= 2
 
 
@@ -195,31 +288,41 @@ def common_prefixes(text: bytes, order: np.ndarray, rank: np.ndarray, begin: np.
     """
     n = len(text)
     out = np.zeros(n, np.int32)
-    eights = np.ndarray((n + 8,), "<u8", text + b"\0" * 16, strides=(1,))
+    eights = np.ndarray((n + 64,), "<u8", text + b"\0" * 72, strides=(1,)).copy()
+    words = np.arange(0, 64, 8)
     lanes = np.argsort(-size, kind="stable")
     begin, size = begin[lanes], size[lanes]
     active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), side="right")
     have = np.zeros(len(begin), np.int64)
+
+    def equal_bytes(differ: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3  # zero bits below the lowest one set
+
+    def room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return n - np.maximum(a, b)  # what lies behind the end is no match
+
     for step, k in enumerate(active.tolist()):
         i = begin[:k] + step
-        slot = rank[i].astype(np.int64)
-        j = order[slot - 1].astype(np.int64)
-        first = slot == 0
-        j[first] = n  # nothing before it
+        slot = rank[i]
         l = np.maximum(have[:k] - 1, 0)  # noqa: E741
-        going = np.flatnonzero(~first & (l < most))
-        l[first] = 0
+        first = np.flatnonzero(slot == 0)  # nothing before it
+        j = order[slot - 1].astype(np.int64)
+        j[first], l[first] = n, 0
+        a, b = i + l, j + l
+        more = np.minimum(equal_bytes(eights[a] ^ eights[b]), room(a, b))
+        l += more
+        going = np.flatnonzero((more == 8) & (l < most))
         while len(going):
             a, b = i[going] + l[going], j[going] + l[going]
-            room = np.minimum(np.maximum(n - np.maximum(a, b), 0), 8)
-            differ = eights[np.minimum(a, n)] ^ eights[np.minimum(b, n)]
-            low = differ & (~differ + np.uint64(1))  # the lowest bit that differs
-            same = np.where(differ == 0, 8, np.minimum(np.log2(np.maximum(low, 1).astype(np.float64)) // 8, 8)).astype(np.int64)
-            same = np.minimum(same, room)
-            l[going] += same
-            going = going[(same == 8) & (l[going] < most)]
-        have[:k] = np.minimum(l, most)
-        out[slot] = have[:k]
+            differ = eights[a[:, None] + words] ^ eights[b[:, None] + words]
+            word = (differ != 0).argmax(1)
+            differ = differ[np.arange(len(word)), word]
+            more = np.minimum(np.where(differ == 0, 64, 8 * word + equal_bytes(differ)), room(a, b))
+            l[going] += more
+            going = going[(more == 64) & (l[going] < most)]
+        np.minimum(l, most, out=l)
+        have[:k] = l
+        out[slot] = l
     return out
 
 
@@ -231,56 +334,52 @@ def _starts_to_ranges(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], at[last] + 1
 
 
-_FOUND = "a long, c long, lo int, hi int, d1 long, d2 long, sure boolean, shard int"
+_FOUND = "w int, a long, c long, lo int, hi int, d1 long, d2 long, sure boolean, shard int"
 
 
-def _search_shard(window: int):
+def _search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard's blocks -> ranges of repeated starts, and the distinct windows of anchors that other shards share."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["a", "c"])
-        texts = pdf["block"].tolist()
-        text = b"".join(texts)
-        size = np.array([len(t) for t in texts], np.int64)
-        begin = np.cumsum(size) - size
-        order, rank = suffix_array(text)
-        prefix = common_prefixes(text, order, rank, begin, size, window)
-        starts = size - (window - 1)
-        owner = np.repeat(np.arange(len(texts)), starts)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
-        place = begin[owner] + inside
-        cls = np.cumsum(prefix < window)[rank[place]]  # equal windows are neighbours
-        weight = np.bincount(cls, weights=pdf["n"].to_numpy()[owner])
-        sure = weight[cls] > 1
-        a, c, n, shared, shard = (pdf[k].to_numpy() for k in ("a", "c", "n", "shared", "shard"))
-        rows = []
-        # Starts of different blocks never touch: a gap of a window's length lies between them.
-        mine = np.flatnonzero(sure & (n[owner] == 1))
-        lo, hi = _starts_to_ranges(place[mine])
-        own = np.searchsorted(begin, lo, side="right") - 1
-        rows.append(pd.DataFrame({"a": a[own], "c": c[own], "lo": lo - begin[own], "hi": hi - begin[own], "d1": 0, "d2": 0, "sure": True, "shard": -1}))
-        ask = np.flatnonzero(shared[owner])
-        _, one = np.unique(cls[ask], return_index=True)
-        ask = ask[one]
-        if len(ask):
-            digest = np.frombuffer(b"".join(
-                hashlib.blake2b(text[p : p + window], digest_size=16).digest() for p in place[ask].tolist()
-            ), np.int64).reshape(-1, 2)
-            own = owner[ask]
-            rows.append(pd.DataFrame({
-                "a": a[own], "c": c[own], "lo": inside[ask], "hi": inside[ask] + 1, "d1": digest[:, 0], "d2": digest[:, 1],
-                # A block met more than once is a repeat whatever other shards hold.
-                "sure": sure[ask] | (n[own] > 1), "shard": shard[own],
-            }))
-        return pd.concat(rows)[[f.split()[0] for f in _FOUND.split(", ")]]
-
-    return run
+    window = int(pdf["w"].iloc[0])
+    pdf = pdf.drop_duplicates(["a", "c"])
+    size = np.fromiter(map(len, pdf["block"]), np.int64, len(pdf))
+    text = b"".join(pdf.pop("block"))
+    begin = np.cumsum(size) - size
+    order, rank = suffix_array(text)
+    prefix = common_prefixes(text, order, rank, begin, size, window)
+    del order
+    starts = size - (window - 1)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), starts)
+    place = np.arange(len(owner), dtype=np.int32) + np.repeat((begin - (np.cumsum(starts) - starts)).astype(np.int32), starts)
+    cls = np.cumsum(prefix < window, dtype=np.int32)[rank[place]]  # equal windows are neighbours
+    del rank, prefix
+    a, c, n, shared, shard = (pdf[k].to_numpy() for k in ("a", "c", "n", "shared", "shard"))
+    sure = (np.bincount(cls, weights=n[owner]) > 1)[cls]
+    rows = []
+    # Starts of different blocks never touch: a gap of a window's length lies between them.
+    lo, hi = _starts_to_ranges(place[np.flatnonzero(sure & (n == 1)[owner])])
+    own = np.searchsorted(begin, lo, side="right") - 1
+    rows.append(pd.DataFrame({"a": a[own], "c": c[own], "lo": lo - begin[own], "hi": hi - begin[own], "d1": 0, "d2": 0, "sure": True, "shard": -1}))
+    ask = np.flatnonzero(shared[owner])
+    _, one = np.unique(cls[ask], return_index=True)
+    ask = ask[one]
+    if len(ask):
+        digest = np.frombuffer(b"".join(
+            hashlib.blake2b(text[p : p + window], digest_size=16).digest() for p in place[ask].tolist()
+        ), np.int64).reshape(-1, 2)
+        own = owner[ask]
+        inside = place[ask] - begin[own]
+        rows.append(pd.DataFrame({
+            "a": a[own], "c": c[own], "lo": inside, "hi": inside + 1, "d1": digest[:, 0], "d2": digest[:, 1],
+            # A block met more than once is a repeat whatever other shards hold.
+            "sure": sure[ask] | (n[own] > 1), "shard": shard[own],
+        }))
+    return pd.concat(rows).assign(w=window)[[f.split()[0] for f in _FOUND.split(", ")]]
 
 
 def _merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ranges already sure, and windows that more than one shard has: each shard's sorted run is searched in the union."""
     asked = pdf["shard"].to_numpy() >= 0
-    rows = [pdf.loc[~asked, ["a", "c", "lo", "hi"]]]
+    rows = [pdf.loc[~asked, ["w", "a", "c", "lo", "hi"]]]
     some = pdf[asked]
     if len(some):
         key = np.rec.fromarrays([some["d1"].to_numpy(), some["d2"].to_numpy()], names="d1,d2")
@@ -294,135 +393,147 @@ def _merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
             b = np.searchsorted(plain, run["d1"], side="right")
             more = np.flatnonzero(b - a > 1)
             hit = [i for i in more.tolist() if (union["d2"][a[i] : b[i]] == run["d2"][i]).sum() > 1]
-            rows.append(some.iloc[mine[hit]][["a", "c", "lo", "hi"]])
+            rows.append(some.iloc[mine[hit]][["w", "a", "c", "lo", "hi"]])
     return pd.concat(rows)
 
 
-def _cut_blocks(window: int):
+def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the blocks wanted of them -> the blocks' bytes."""
+    for b in batches:
+        for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
+            raw = text.encode()
+            yield pa.RecordBatch.from_pydict({
+                **{k: pa.array([w[k] for w in want], t) for k, t in _WANTED.items()},
+                "block": pa.array([raw[w["s"] : w["e"] + w["w"] - 1] for w in want], pa.binary()),
+            })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
-                raw = text.encode()
-                cols = {k: [w[k] for w in want] for k in ("shard", "a", "c", "n", "shared")}
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(cols["shard"], pa.int32()), "a": pa.array(cols["a"], pa.int64()),
-                    "c": pa.array(cols["c"], pa.int64()), "n": pa.array(cols["n"], pa.int64()),
-                    "shared": pa.array(cols["shared"], pa.bool_()),
-                    "block": pa.array([raw[w["s"] : w["e"] + window - 1] for w in want], pa.binary()),
-                })
 
-    return run
+_WANTED = {"shard": pa.int32(), "w": pa.int32(), "a": pa.int64(), "c": pa.int64(), "n": pa.int64(), "shared": pa.bool_()}
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
+    """Ranges that touch as one."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
 
+def _cut(raw: bytes, spans: list[list[int]]) -> bytes:
+    edges = [0, *(x for span in spans for x in span), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
-def _remove(keep: int, as_text: bool):
+
+def _remove(keep: int, window: int, short: int | None, as_text: bool):
     """Rows with their spans -> what is left of the text."""
+    spans_of = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_bytes, n_removed, n_spans, sha, left, spans = [], [], [], [], [], []
-            for text, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
-                raw, cut, parts, at = (text or "").encode(), [], [], 0
-                for f in sorted((f["lo"], f["hi"]) for f in found or ()):
-                    if cut and f[0] <= cut[-1][1]:
-                        cut[-1][1] = max(cut[-1][1], f[1])
-                    else:
-                        cut.append(list(f))
-                for lo, hi in cut:
-                    parts.append(raw[at:lo])
-                    at = hi
-                parts.append(raw[at:])
-                rest = b"".join(parts)
-                n_bytes.append(len(raw))
-                n_removed.append(len(raw) - len(rest))
-                n_spans.append(len(cut))
-                sha.append(hashlib.sha256(rest).hexdigest())
-                left.append(rest.decode("utf-8", "ignore") if as_text else rest)
-                spans.append([{"lo": lo, "hi": hi} for lo, hi in cut])
-            out = [
-                pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
-                pa.array(sha, pa.string()), pa.array(left, pa.string() if as_text else pa.binary()),
-                pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
-            ]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-            yield pa.RecordBatch.from_arrays([*b.columns[:keep], *out], names=[*b.schema.names[:keep], *names])
+            rows = []
+            for text, found in zip(b.column("_text").to_pylist(), b.column("_found").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                of = {w: merged([(f["lo"], f["hi"]) for f in found or () if f["w"] == w]) for w in (window, short)}
+                rest, size = _cut(raw, of[window]), [hi - lo for lo, hi in of[short]]
+                rows.append((
+                    len(raw), len(raw) - len(rest), len(of[window]), hashlib.sha256(rest).hexdigest(), sum(size), len(size), max(size, default=0),
+                    rest.decode("utf-8", "ignore") if as_text else rest, [{"lo": lo, "hi": hi} for lo, hi in of[window]],
+                ))
+            out = list(zip(*rows, strict=True)) or [()] * 9
+            types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 3 + [pa.string() if as_text else pa.binary(), spans_of]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:keep], *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=[*b.schema.names[:keep], *_RESULT]
+            )
 
     return run
 
 
-def repeated_ranges(rows: DataFrame, window: int = WINDOW, most: int = MOST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """k1, k2 (a text's key) and ``found``: its ranges of bytes that are repeats. ``rows``: k1, k2, doc_id, text."""
-    found = staged(
-        rows.select("k1", "k2", "text").mapInArrow(
-            _find_blocks(window), "k1 long, k2 long, s int, e int, a long, c long, twice boolean"
-        ),
-        "repeat-blocks",
-    )
-    # Sums are written before they are joined: a join of two plain tables can split the rows of a hot key.
-    met = found.groupBy("a").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
-    met = staged(met.select("a"), "repeat-met")
-    some = staged(found.join(met, "a", "left_semi"), "repeat-anchors")
+_RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_repeats", "longest_repeat", "kept", "spans"]
+
+
+def repeated_ranges(rows: DataFrame, *windows: int, shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+    """k1, k2 (a text's key) and ``found``: its ranges of bytes (lo, hi) that are repeats of a window's length (w).
+
+    ``rows``: k1, k2, doc_id, text.
+    """
+    some = find_blocks(rows, windows)
     first = F.min(F.struct("k1", "k2", "s", "e")).alias("first")
     distinct = staged(
-        some.groupBy("a", "c").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), first), "repeat-distinct"
+        some.groupBy("w", "a", "c").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), first), "repeat-distinct"
     )
-    by_anchor = distinct.groupBy("a").agg(F.count("*").alias("different"), F.max("twice").alias("any"))
-    to_sort = distinct.join(staged(by_anchor.where("different > 1 OR any"), "repeat-counts"), "a")
-    size = to_sort.agg(F.sum(F.col("first.e") - F.col("first.s") + window - 1).alias("n")).first()["n"] or 0
-    shards = max(partitions(rows), -(-int(size) // shard_bytes))
-    # An anchor's blocks meet in one shard, or in as many as hold ``most`` each.
-    spread = F.when(F.col("different") > most, F.pmod(F.col("c"), F.ceil(F.col("different") / most))).otherwise(F.lit(0))
+    size = (F.col("first.e") - F.col("first.s") + F.col("w") - 1).cast("long")
+    by_anchor = distinct.groupBy("w", "a").agg(F.count("*").alias("different"), F.max("twice").alias("any"), F.sum(size).alias("held"))
+    # Sums are written before they are joined: a join of two plain tables can split the rows of a hot key.
+    to_sort = distinct.join(staged(by_anchor.where("different > 1 OR any"), "repeat-counts"), ["w", "a"])
+    total = to_sort.agg(F.sum(size).alias("n")).first()["n"] or 0
+    shards = max(partitions(rows), -(-int(total) // shard_bytes))
+    # An anchor's blocks meet in one shard, or in as many as hold ``anchor_bytes`` each.
+    large = F.col("held") > anchor_bytes
+    spread = F.when(large, F.pmod(F.col("c"), F.ceil(F.col("held") / anchor_bytes))).otherwise(F.lit(0))
     wanted = to_sort.select(
         F.col("first.k1"), F.col("first.k2"),
         F.struct(
-            F.pmod(F.xxhash64("a", spread), F.lit(shards)).cast("int").alias("shard"), "a", "c", "n",
-            (F.col("different") > most).alias("shared"), F.col("first.s").alias("s"), F.col("first.e").alias("e"),
+            F.pmod(F.xxhash64("a", spread), F.lit(shards)).cast("int").alias("shard"), "w", "a", "c", "n",
+            large.alias("shared"), F.col("first.s").alias("s"), F.col("first.e").alias("e"),
         ).alias("want"),
     ).groupBy("k1", "k2").agg(F.collect_list("want").alias("want"))
     # One row of each text will do.
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("place")
     one = rows.groupBy("k1", "k2").agg(F.min(place).alias("place"))
     texts = rows.withColumn("place", place).drop("doc_id").join(wanted.join(one, ["k1", "k2"]), ["k1", "k2", "place"])
-    cut = texts.select("text", "want").mapInArrow(
-        _cut_blocks(window), "shard int, a long, c long, n long, shared boolean, block binary"
-    )
-    sorted_ = cut.groupBy("shard").applyInPandas(_search_shard(window), _FOUND)
+    cut = texts.select("text", "want").mapInArrow(_cut_blocks, "shard int, w int, a long, c long, n long, shared boolean, block binary")
+    sorted_ = cut.groupBy("w", "shard").applyInPandas(_search_shard, _FOUND)
     ranges = partitions(rows)
     # Runs are cut by the windows' digests, as signed numbers in order; the rest just passes.
     part = F.when(F.col("shard") >= 0, F.floor(F.shiftright("d1", 32) / F.lit((1 << 32) / ranges))).otherwise(
         F.pmod(F.xxhash64("a", "c"), F.lit(ranges))
     )
-    merged = sorted_.groupBy(part.alias("part")).applyInPandas(_merge_runs, "a long, c long, lo int, hi int")
-    whole = distinct.where("n > 1").select("a", "c", F.lit(0).alias("lo"), (F.col("first.e") - F.col("first.s")).alias("hi"))
-    verdict = whole.unionByName(merged)
-    hits = some.join(verdict, ["a", "c"]).select(
-        "k1", "k2", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi") + (window - 1)).alias("hi")
+    found = sorted_.groupBy(part.alias("part")).applyInPandas(_merge_runs, "w int, a long, c long, lo int, hi int")
+    whole = distinct.where("n > 1").select("w", "a", "c", F.lit(0).alias("lo"), (F.col("first.e") - F.col("first.s")).alias("hi"))
+    verdict = whole.unionByName(found)
+    hits = some.join(verdict, ["w", "a", "c"]).select(
+        "k1", "k2", F.struct("w", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi") + F.col("w") - 1).alias("hi")).alias("hit")
     )
-    return staged(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "repeat-ranges")
+    return staged(hits.groupBy("k1", "k2").agg(F.collect_set("hit").alias("found")), "repeat-ranges")
 
 
 def remove_repeats(
-    docs: DataFrame, *keep: str, window: int = WINDOW, most: int = MOST, shard_bytes: int = SHARD_BYTES, as_text: bool = False
+    docs: DataFrame, *keep: str, window: int = WINDOW, short: int | None = None, as_text: bool = False,
+    shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES,
 ) -> DataFrame:
-    """The ``keep`` columns of every row with n_bytes, n_removed, n_spans, kept_sha256, kept and spans.
+    """The ``keep`` columns of every row with n_bytes, n_removed, n_spans, kept_sha256, n_repeated, n_repeats,
+    longest_repeat, kept and spans.
 
-    ``kept`` is the bytes left, or as text these without what a cut has left of a character.
+    ``kept`` is the bytes left, or as text these without what a cut has left of a
+    character. With ``short``, n_repeated counts the bytes covered by strings of
+    that length that start anywhere else, too, n_repeats the runs of such bytes and
+    longest_repeat the longest run's; nothing more is removed for them.
     """
-    k1, k2 = text_keys()
-    rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumns({"k1": k1, "k2": k2})
-    found = repeated_ranges(rows.select("k1", "k2", "doc_id", "text"), window, most, shard_bytes)
-    names = [f"keep{i}" for i in range(len(keep))]
+    names = [f"_keep{i}" for i in range(len(keep))]
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)],
+        F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *[k.alias(f"_k{i}") for i, k in enumerate(text_keys(), 1)],
+    )
     schema = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
-    both = rows.join(found, ["k1", "k2"], "left").select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], "text", "found")
+    keys = [F.col("_k1").alias("k1"), F.col("_k2").alias("k2")]
+    found = repeated_ranges(
+        rows.select(*keys, F.col("_id").alias("doc_id"), F.col("_text").alias("text")), *{window, short} - {None},
+        shard_bytes=shard_bytes, anchor_bytes=anchor_bytes,
+    )
+    by_key = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found").alias("_found"))
+    both = rows.join(by_key, ["_k1", "_k2"], "left").select(*names, "_text", "_found")
     out = both.mapInArrow(
-        _remove(len(keep), as_text),
-        schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+        _remove(len(keep), window, short, as_text),
+        schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, n_repeats long, longest_repeat long, "
         f"kept {'string' if as_text else 'binary'}, spans array<struct<lo:int,hi:int>>",
     )
-    return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], *_RESULT)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses and keeps."""
-    return remove_repeats(documents(spark, sf_dir), "doc_id").drop("kept", "spans")
+    """What every document loses and keeps, and how much of it are shorter repeats, from passages of about fifty words on."""
+    found = remove_repeats(documents(spark, sf_dir), "doc_id", short=SHORT)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_repeats", "longest_repeat")

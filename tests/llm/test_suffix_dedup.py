@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -38,14 +39,32 @@ def texts_of(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,window,most,shard", [(1, 12, 4096, 4 << 20), (2, 20, 1, 300), (3, 16, 2, 200), (4, 40, 3, 4 << 20)])
-def test_against_brute_force(spark, seed, window, most, shard):
+def longest(text, others, window):
+    """Bytes covered by repeats of a window, their runs and the longest, of the text at a place."""
+    starts = Counter(t[i : i + window] for t in others for i in range(len(t) - window + 1))
+    gone = [False] * len(text)
+    for i in range(len(text) - window + 1):
+        if starts[text[i : i + window]] > 1:
+            gone[i : i + window] = [True] * window
+    runs = [len(list(g)) for k, g in groupby(gone) if k]
+    return sum(runs), len(runs), max(runs, default=0)
+
+
+@pytest.mark.parametrize("seed,window,short,anchor,shard,piece", [
+    (1, 12, 7, 1 << 20, 4 << 20, 1 << 20), (2, 20, None, 30, 300, 64), (3, 16, 12, 60, 200, 50), (4, 40, 13, 100, 4 << 20, 1 << 20), (5, 24, 24, 200, 900, 100),
+])
+def test_against_brute_force(spark, monkeypatch, seed, window, short, anchor, shard, piece):
+    monkeypatch.setattr(sd, "SLICE", piece)
     texts = texts_of(seed)
     rows = [(i, i if i % 5 else None, t, "clash") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "row int, doc_id long, text string, spans string").repartition(3)
-    out = sd.remove_repeats(df, "row", "doc_id", window=window, most=most, shard_bytes=shard).collect()
-    want = brute([(t or "").encode() for t in texts], window)
+    out = sd.remove_repeats(df, "row", "doc_id", window=window, short=short, anchor_bytes=anchor, shard_bytes=shard).collect()
+    raw = [(t or "").encode() for t in texts]
+    want = brute(raw, window)
     assert len(out) == len(texts)
+    if short:
+        for r in out:
+            assert (r["n_repeated"], r["n_repeats"], r["longest_repeat"]) == longest(raw[r["row"]], raw, short)
     for r in out:
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["row"]]
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]

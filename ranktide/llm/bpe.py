@@ -220,9 +220,12 @@ class Transducer:
                             asked.clear()
                         asked.add(key)
                         return out + self._finish(at, piece[n - 1 :])
-                elif len(self.state) >= 2 * self.limit:  # long pieces go on from state to state
+                elif len(self.state) >= 2 * self.limit:  # long pieces go on from state to state: the last one starts a new table
+                    (before, pending), paths = self.state[at]
                     self._begin()
-                    return self.encode(piece)
+                    goto, asked = self.goto, self.asked
+                    at = self._at(before, pending, paths)
+                    key = at << 8 | byte
                 edge = self._step(at, byte)
             if edge & 1:
                 out += self.emits[key]

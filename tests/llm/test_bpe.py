@@ -86,3 +86,13 @@ def test_round_trip(spark):
     assert sorted(r["decoded"] for r in out) == sorted(t or "" for _, t in rows)
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in out)
     assert bpe.encode_decode(docs.where("false"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["acgt", "abcdefghijklmnopqrstuvwxyz", "日本語é"])
+def test_a_word_longer_than_the_automaton(ranks, library, letters):
+    random.seed(9)
+    piece = "".join(random.choices(letters, k=6000))
+    transducer = bpe.Transducer(ranks, states=1000)
+    for _ in range(2):
+        assert transducer.encode(piece.encode()) == library.encode_ordinary(piece)
+    assert len(transducer.state) <= 2001

@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ranktide.session import checkpoint_dir
 
@@ -76,6 +77,11 @@ def text_keys(text: str = "text") -> list:
     return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(7), t).alias("k2")]
 
 
+def schema_of(kept: DataFrame, names: list[str], *more: str) -> StructType:
+    """A schema of columns of ``kept``, of whatever names their types hold, and then those said in DDL."""
+    return StructType([*(kept.schema[n] for n in names), *(f for ddl in more for f in StructType.fromDDL(ddl).fields)])
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions that the session asks for."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents, let_go
+from ranktide.llm.common import documents, let_go, schema_of
 
 ROWS = 64
 EXCERPT = 512
@@ -210,23 +210,21 @@ def fit(labelled: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT, sample: i
 
 def identify(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame:
     """The ``keep`` columns of ``docs`` with ``lang_pred``, ``score`` and ``rate`` (the fewest normalised phrases, bits a
-    symbol; null for ``und``); only ``text`` is an input. ``keep`` may not hold these names."""
-    out = ["lang_pred", "score", "rate"]
-    if {*out} & {*keep}:
-        raise ValueError(f"columns {out} are results")
+    symbol; null for ``und``); only ``text`` is an input. Columns kept go by any name: those of the result come after them."""
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # its size is bounded by SAMPLE
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    names, text = list(keep), rows.columns.index("text")
-    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
+    names = [f"_keep{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for b in batches:
-            langs, scores, rates = model.value.predict(b.column(text).to_pylist())
+            langs, scores, rates = model.value.predict(b.column("_text").to_pylist())
             found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *found], names=[*names, *out])
 
-    return rows.mapInArrow(run, schema + "lang_pred string, score double, rate double")
+    out = ["lang_pred", "score", "rate"]
+    found = rows.mapInArrow(run, schema_of(rows, names, "lang_pred string, score double, rate double"))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], *out)
 
 
 def held_out() -> Column:

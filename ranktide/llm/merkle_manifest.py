@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents, partitions, staged
+from ranktide.llm.common import documents, partitions, schema_of, staged
 
 FANOUT, LEVELS = 8, 4
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -182,16 +182,12 @@ def _block_witnesses(columns: list[str], fanout: int, levels: int):
     return run
 
 
-def _types(df: DataFrame, columns: list[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-
-
 def climb(nodes: DataFrame, group: list[str], fanout: int, levels: int) -> list[DataFrame]:
     """All rounds of the trees, from the given nodes (group, _pos, _size, _node) to one node a group."""
     width = F.lit(fanout**levels)
     rounds = [nodes]
     most = nodes.agg(F.max("_size").alias("n")).first()["n"] or 0
-    schema = f"{_types(nodes, group)}, _pos long, _size long, _node string"
+    schema = schema_of(nodes, group, "_pos long, _size long, _node string")
     while most > 1:
         some = rounds[-1].select(*group, "_pos", "_size", "_node", F.floor(F.col("_pos") / width).alias("_block"))
         roots = some.groupBy(*group, "_block").applyInArrow(_block_roots(group, fanout, levels), schema)
@@ -207,7 +203,7 @@ def descend(rounds: list[DataFrame], top: DataFrame, group: list[str], fanout: i
     for i, nodes in reversed(list(enumerate(rounds[:-1]))):
         columns = nodes.columns if i == 0 else [*group, "_pos"]
         blocks = nodes.withColumn("_block", F.floor(F.col("_pos") / width)).groupBy(*group, "_block")
-        schema = f"{_types(nodes, columns)}, _witness {WITNESS}, _subroot string, _root string"
+        schema = schema_of(nodes, columns, f"_witness {WITNESS}, _subroot string, _root string")
         over = above.select(*group, F.col("_pos").alias("_block"), "_witness", "_subroot", "_root").groupBy(*group, "_block")
         above = blocks.cogroup(over).applyInArrow(_block_witnesses(columns, fanout, levels), schema)
         if i:

@@ -26,6 +26,11 @@ texts twice. Anchors lie packed, a row a slice of texts; their hashes go to buck
 by range and flags come back, so only anchors met more than once become rows. No
 group holds more than ``ANCHOR_BYTES`` of an anchor's blocks beside a shard's bytes.
 
+With ``keep_first``, only what has an earlier copy goes: the bytes of windows that also
+start in an earlier text, or earlier in the same one. A class of equal windows then
+keeps the one in the least text: of a block's occurrences the first, of blocks that
+share the window the one whose first occurrence comes first.
+
 Several window lengths can be searched in one run; each has anchors, blocks and
 shards of its own.
 
@@ -48,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents, let_go, partitions, staged, text_keys
+from ranktide.llm.common import documents, let_go, partitions, schema_of, staged, text_keys
 
 WINDOW = 400
 SHORT = 150  # bytes; 51 words in a row are longer
@@ -334,81 +339,110 @@ def _starts_to_ranges(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], at[last] + 1
 
 
-_FOUND = "w int, a long, c long, lo int, hi int, d1 long, d2 long, sure boolean, shard int"
+#: Ranges of a block's starts; the first place of the block (k1, k2, s); a window asked of other shards (d1, d2, shard).
+_FOUND = "w int, a long, c long, k1 long, k2 long, s int, lo int, hi int, d1 long, d2 long, sure boolean, shard int"
+_RANGE = ["w", "a", "c", "k1", "k2", "s", "lo", "hi"]
 
 
-def _search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+def _search_shard(keep_first: bool):
     """A shard's blocks -> ranges of repeated starts, and the distinct windows of anchors that other shards share."""
-    window = int(pdf["w"].iloc[0])
-    pdf = pdf.drop_duplicates(["a", "c"])
-    size = np.fromiter(map(len, pdf["block"]), np.int64, len(pdf))
-    text = b"".join(pdf.pop("block"))
-    begin = np.cumsum(size) - size
-    order, rank = suffix_array(text)
-    prefix = common_prefixes(text, order, rank, begin, size, window)
-    del order
-    starts = size - (window - 1)
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), starts)
-    place = np.arange(len(owner), dtype=np.int32) + np.repeat((begin - (np.cumsum(starts) - starts)).astype(np.int32), starts)
-    cls = np.cumsum(prefix < window, dtype=np.int32)[rank[place]]  # equal windows are neighbours
-    del rank, prefix
-    a, c, n, shared, shard = (pdf[k].to_numpy() for k in ("a", "c", "n", "shared", "shard"))
-    sure = (np.bincount(cls, weights=n[owner]) > 1)[cls]
-    rows = []
-    # Starts of different blocks never touch: a gap of a window's length lies between them.
-    lo, hi = _starts_to_ranges(place[np.flatnonzero(sure & (n == 1)[owner])])
-    own = np.searchsorted(begin, lo, side="right") - 1
-    rows.append(pd.DataFrame({"a": a[own], "c": c[own], "lo": lo - begin[own], "hi": hi - begin[own], "d1": 0, "d2": 0, "sure": True, "shard": -1}))
-    ask = np.flatnonzero(shared[owner])
-    _, one = np.unique(cls[ask], return_index=True)
-    ask = ask[one]
-    if len(ask):
-        digest = np.frombuffer(b"".join(
-            hashlib.blake2b(text[p : p + window], digest_size=16).digest() for p in place[ask].tolist()
-        ), np.int64).reshape(-1, 2)
-        own = owner[ask]
-        inside = place[ask] - begin[own]
-        rows.append(pd.DataFrame({
-            "a": a[own], "c": c[own], "lo": inside, "hi": inside + 1, "d1": digest[:, 0], "d2": digest[:, 1],
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        window = int(pdf["w"].iloc[0])
+        pdf = pdf.drop_duplicates(["a", "c"]).sort_values(["k1", "k2", "s"])  # equal windows: the first block's goes first
+        size = np.fromiter(map(len, pdf["block"]), np.int64, len(pdf))
+        text = b"".join(pdf.pop("block"))
+        begin = np.cumsum(size) - size
+        order, rank = suffix_array(text)
+        prefix = common_prefixes(text, order, rank, begin, size, window)
+        del order
+        starts = size - (window - 1)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), starts)
+        place = np.arange(len(owner), dtype=np.int32) + np.repeat((begin - (np.cumsum(starts) - starts)).astype(np.int32), starts)
+        cls = np.cumsum(prefix < window, dtype=np.int32)[rank[place]]  # equal windows are neighbours
+        del rank, prefix
+        n, shared = pdf["n"].to_numpy(), pdf["shared"].to_numpy()
+        earliest = _earliest(cls, owner, place - begin[owner], pdf) if keep_first or shared.any() else None
+        if keep_first:
+            sure = np.ones(len(cls), bool)
+            sure[earliest] = False
+            gone = sure
+        else:
+            sure = (np.bincount(cls, weights=n[owner]) > 1)[cls]
+            gone = sure & (n == 1)[owner]  # blocks met more than once are repeats as a whole
+        # Starts of different blocks never touch: a gap of a window's length lies between them.
+        lo, hi = _starts_to_ranges(place[np.flatnonzero(gone)])
+        own = np.searchsorted(begin, lo, side="right") - 1
+        named = pdf[["w", "a", "c", "k1", "k2", "s"]]
+        rows = [named.iloc[own].assign(lo=lo - begin[own], hi=hi - begin[own], d1=0, d2=0, sure=True, shard=-1)]
+        ask = earliest[shared[owner[earliest]]] if shared.any() else ()
+        if len(ask):
+            digest = np.frombuffer(b"".join(
+                hashlib.blake2b(text[p : p + window], digest_size=16).digest() for p in place[ask].tolist()
+            ), np.int64).reshape(-1, 2)
+            own = owner[ask]
+            inside = place[ask] - begin[own]
             # A block met more than once is a repeat whatever other shards hold.
-            "sure": sure[ask] | (n[own] > 1), "shard": shard[own],
-        }))
-    return pd.concat(rows).assign(w=window)[[f.split()[0] for f in _FOUND.split(", ")]]
-
-
-def _merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ranges already sure, and windows that more than one shard has: each shard's sorted run is searched in the union."""
-    asked = pdf["shard"].to_numpy() >= 0
-    rows = [pdf.loc[~asked, ["w", "a", "c", "lo", "hi"]]]
-    some = pdf[asked]
-    if len(some):
-        key = np.rec.fromarrays([some["d1"].to_numpy(), some["d2"].to_numpy()], names="d1,d2")
-        union = np.sort(key, order=("d1", "d2"))
-        plain = union["d1"]
-        shard = some["shard"].to_numpy()
-        for s in np.unique(shard):
-            mine = np.flatnonzero((shard == s) & ~some["sure"].to_numpy())
-            run = key[mine]
-            a = np.searchsorted(plain, run["d1"])
-            b = np.searchsorted(plain, run["d1"], side="right")
-            more = np.flatnonzero(b - a > 1)
-            hit = [i for i in more.tolist() if (union["d2"][a[i] : b[i]] == run["d2"][i]).sum() > 1]
-            rows.append(some.iloc[mine[hit]][["w", "a", "c", "lo", "hi"]])
-    return pd.concat(rows)
+            known = np.zeros(len(ask), bool) if keep_first else sure[ask] | (n[own] > 1)
+            rows.append(named.iloc[own].assign(
+                lo=inside, hi=inside + 1, d1=digest[:, 0], d2=digest[:, 1], sure=known, shard=pdf["shard"].to_numpy()[own]
+            ))
+        return pd.concat(rows)[[f.split()[0] for f in _FOUND.split(", ")]]
+
+    return run
+
+
+def _earliest(cls: np.ndarray, owner: np.ndarray, inside: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
+    """Of each class of equal windows the start that comes first, by its block's first place."""
+    text = np.cumsum(np.concatenate([[0], (np.diff(pdf["k1"]) != 0) | (np.diff(pdf["k2"]) != 0)]))
+    key = text[owner] << 32 | (pdf["s"].to_numpy()[owner] + inside)
+    order = np.lexsort((key, cls))
+    return order[np.flatnonzero(np.diff(cls[order], prepend=-1))]
+
+
+def _merge_runs(keep_first: bool):
+    """Ranges already sure, and windows that more than one shard has: each shard's sorted run is searched in the union.
+    With ``keep_first`` the one of them that comes first stays."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = pdf["shard"].to_numpy() >= 0
+        rows = [pdf.loc[~asked, _RANGE]]
+        some = pdf[asked]
+        if len(some):
+            some = some.assign(at=some["s"] + some["lo"]).sort_values(["k1", "k2", "at"])
+            key = np.rec.fromarrays([some["d1"].to_numpy(), some["d2"].to_numpy()], names="d1,d2")
+            turn = np.argsort(key, kind="stable", order=("d1", "d2"))  # equal windows: the first goes first
+            union = key[turn]
+            plain = union["d1"]
+            shard = some["shard"].to_numpy()
+            for one in np.unique(shard):
+                mine = np.flatnonzero((shard == one) & ~some["sure"].to_numpy())
+                a = np.searchsorted(plain, key["d1"][mine])
+                b = np.searchsorted(plain, key["d1"][mine], side="right")
+                hit = []
+                for i in np.flatnonzero(b - a > 1).tolist():
+                    same = turn[a[i] : b[i]][union["d2"][a[i] : b[i]] == key["d2"][mine[i]]]
+                    if len(same) > 1 and not (keep_first and same[0] == mine[i]):
+                        hit.append(i)
+                rows.append(some.iloc[mine[hit]][_RANGE])
+        return pd.concat(rows)
+
+    return run
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the blocks wanted of them -> the blocks' bytes."""
     for b in batches:
-        for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
+        for k1, k2, text, want in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "want")), strict=True):
             raw = text.encode()
             yield pa.RecordBatch.from_pydict({
+                "k1": pa.array([k1] * len(want), pa.int64()), "k2": pa.array([k2] * len(want), pa.int64()),
                 **{k: pa.array([w[k] for w in want], t) for k, t in _WANTED.items()},
                 "block": pa.array([raw[w["s"] : w["e"] + w["w"] - 1] for w in want], pa.binary()),
             })
 
 
-_WANTED = {"shard": pa.int32(), "w": pa.int32(), "a": pa.int64(), "c": pa.int64(), "n": pa.int64(), "shared": pa.bool_()}
+_WANTED = {"shard": pa.int32(), "w": pa.int32(), "a": pa.int64(), "c": pa.int64(), "n": pa.int64(), "s": pa.int32(), "shared": pa.bool_()}
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
@@ -454,10 +488,12 @@ def _remove(keep: int, window: int, short: int | None, as_text: bool):
 _RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_repeats", "longest_repeat", "kept", "spans"]
 
 
-def repeated_ranges(rows: DataFrame, *windows: int, shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+def repeated_ranges(
+    rows: DataFrame, *windows: int, keep_first: bool = False, shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES
+) -> DataFrame:
     """k1, k2 (a text's key) and ``found``: its ranges of bytes (lo, hi) that are repeats of a window's length (w).
 
-    ``rows``: k1, k2, doc_id, text.
+    ``rows``: k1, k2, doc_id, text. With ``keep_first`` ranges are later copies only, in the order of the keys.
     """
     some = find_blocks(rows, windows)
     first = F.min(F.struct("k1", "k2", "s", "e")).alias("first")
@@ -484,24 +520,33 @@ def repeated_ranges(rows: DataFrame, *windows: int, shard_bytes: int = SHARD_BYT
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("place")
     one = rows.groupBy("k1", "k2").agg(F.min(place).alias("place"))
     texts = rows.withColumn("place", place).drop("doc_id").join(wanted.join(one, ["k1", "k2"]), ["k1", "k2", "place"])
-    cut = texts.select("text", "want").mapInArrow(_cut_blocks, "shard int, w int, a long, c long, n long, shared boolean, block binary")
-    sorted_ = cut.groupBy("w", "shard").applyInPandas(_search_shard, _FOUND)
+    cut = texts.select("k1", "k2", "text", "want").mapInArrow(
+        _cut_blocks, "k1 long, k2 long, shard int, w int, a long, c long, n long, s int, shared boolean, block binary"
+    )
+    sorted_ = cut.groupBy("w", "shard").applyInPandas(_search_shard(keep_first), _FOUND)
     ranges = partitions(rows)
     # Runs are cut by the windows' digests, as signed numbers in order; the rest just passes.
     part = F.when(F.col("shard") >= 0, F.floor(F.shiftright("d1", 32) / F.lit((1 << 32) / ranges))).otherwise(
         F.pmod(F.xxhash64("a", "c"), F.lit(ranges))
     )
-    found = sorted_.groupBy(part.alias("part")).applyInPandas(_merge_runs, "w int, a long, c long, lo int, hi int")
-    whole = distinct.where("n > 1").select("w", "a", "c", F.lit(0).alias("lo"), (F.col("first.e") - F.col("first.s")).alias("hi"))
-    verdict = whole.unionByName(found)
-    hits = some.join(verdict, ["w", "a", "c"]).select(
+    found = sorted_.groupBy(part.alias("part")).applyInPandas(
+        _merge_runs(keep_first), "w int, a long, c long, k1 long, k2 long, s int, lo int, hi int"
+    ).select("w", "a", "c", F.struct("k1", "k2", "s").alias("first"), "lo", "hi", F.lit(False).alias("others"))
+    whole = distinct.where("n > 1").select(
+        "w", "a", "c", F.struct("first.k1", "first.k2", "first.s").alias("first"), F.lit(0).alias("lo"),
+        (F.col("first.e") - F.col("first.s")).alias("hi"), F.lit(True).alias("others"),
+    )
+    hits = some.join(whole.unionByName(found), ["w", "a", "c"])
+    if keep_first:  # a block's ranges are its first occurrence's; all others go as a whole
+        hits = hits.where((F.col("first") == F.struct("k1", "k2", "s")) != F.col("others"))
+    hits = hits.select(
         "k1", "k2", F.struct("w", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi") + F.col("w") - 1).alias("hi")).alias("hit")
     )
     return staged(hits.groupBy("k1", "k2").agg(F.collect_set("hit").alias("found")), "repeat-ranges")
 
 
 def remove_repeats(
-    docs: DataFrame, *keep: str, window: int = WINDOW, short: int | None = None, as_text: bool = False,
+    docs: DataFrame, *keep: str, window: int = WINDOW, short: int | None = None, as_text: bool = False, keep_first: bool = False,
     shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES,
 ) -> DataFrame:
     """The ``keep`` columns of every row with n_bytes, n_removed, n_spans, kept_sha256, n_repeated, n_repeats,
@@ -510,25 +555,32 @@ def remove_repeats(
     ``kept`` is the bytes left, or as text these without what a cut has left of a
     character. With ``short``, n_repeated counts the bytes covered by strings of
     that length that start anywhere else, too, n_repeats the runs of such bytes and
-    longest_repeat the longest run's; nothing more is removed for them.
+    longest_repeat the longest run's; nothing more is removed for them. With
+    ``keep_first`` the copy in the row of the least doc_id (null last) stays, and all
+    figures are of later copies; rows of one doc_id and text count as one.
     """
     names = [f"_keep{i}" for i in range(len(keep))]
+    k1, k2 = text_keys()
+    if keep_first:
+        k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(
         *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)],
-        F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *[k.alias(f"_k{i}") for i, k in enumerate(text_keys(), 1)],
+        F.col("doc_id").alias("_id"), F.col("text").alias("_text"), k1.alias("_k1"), k2.alias("_k2"),
     )
-    schema = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
     keys = [F.col("_k1").alias("k1"), F.col("_k2").alias("k2")]
     found = repeated_ranges(
         rows.select(*keys, F.col("_id").alias("doc_id"), F.col("_text").alias("text")), *{window, short} - {None},
-        shard_bytes=shard_bytes, anchor_bytes=anchor_bytes,
+        keep_first=keep_first, shard_bytes=shard_bytes, anchor_bytes=anchor_bytes,
     )
     by_key = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found").alias("_found"))
     both = rows.join(by_key, ["_k1", "_k2"], "left").select(*names, "_text", "_found")
     out = both.mapInArrow(
         _remove(len(keep), window, short, as_text),
-        schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, n_repeats long, longest_repeat long, "
-        f"kept {'string' if as_text else 'binary'}, spans array<struct<lo:int,hi:int>>",
+        schema_of(
+            rows, names, "n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+            "n_repeated long, n_repeats long, longest_repeat long",
+            f"kept {'string' if as_text else 'binary'}, spans array<struct<lo:int,hi:int>>",
+        ),
     )
     return out.select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], *_RESULT)
 

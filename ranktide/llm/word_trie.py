@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranktide.llm.bpe import CHUNK, Decoder
-from ranktide.llm.common import documents, kept
+from ranktide.llm.common import documents, kept, schema_of
 from ranktide.llm.hf import byte_letters, plain_added_tokens
 from ranktide.llm.pieces import PieceEncoder, WordTable, ragged
 
@@ -239,7 +239,6 @@ def codec(path: str) -> tuple[WordTable, Decoder]:
 def encode_decode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """The ``keep`` columns of every row with n_tokens, ids (little-endian unsigned 32-bit) and decoded."""
     names = [f"_keep{i}" for i in range(len(keep))]
-    schema = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for k, c in zip(names, keep, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = codec(path)
@@ -257,7 +256,7 @@ def encode_decode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
                 )
 
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], F.col("text").alias("_text"))
-    out = rows.mapInArrow(run, f"{schema}n_tokens long, ids binary, decoded string")
+    out = rows.mapInArrow(run, schema_of(rows, names, "n_tokens long, ids binary, decoded string"))
     return out.select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], "n_tokens", "ids", "decoded")
 
 

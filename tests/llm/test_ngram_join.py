@@ -5,6 +5,7 @@ import pytest
 
 from ranktide.llm import ngram_join as nj
 from ranktide.llm.components import components
+from ranktide.llm import shingles
 from ranktide.llm.shingles import shingle_sets
 
 
@@ -135,3 +136,13 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
     assert components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_long_texts_in_slices(monkeypatch):
+    text = " ".join(f"w{i * i % 977}" for i in range(4000)) + "  \n"
+    for t in (text, "one", "two words", "x" * 3000, " " * 3000, "a b c d " + "y" * 900):
+        (whole,) = shingles.shingle_sets([t])
+        with monkeypatch.context() as m:
+            m.setattr(shingles, "SLICE", 100)
+            (sliced,) = shingles.shingle_sets([t])
+        assert whole.tolist() == sliced.tolist()

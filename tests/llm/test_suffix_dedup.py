@@ -71,6 +71,28 @@ def test_against_brute_force(spark, monkeypatch, seed, window, short, anchor, sh
         assert sum(s["hi"] - s["lo"] for s in r["spans"]) == r["n_removed"]
 
 
+@pytest.mark.parametrize("seed,window,anchor,shard", [(6, 12, 1 << 20, 4 << 20), (7, 20, 30, 300), (8, 16, 60, 200), (9, 30, 100, 900)])
+def test_later_copies_against_brute_force(spark, seed, window, anchor, shard):
+    texts = texts_of(seed)
+    rows = [(i, 1000 - i if i % 5 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row int, doc_id long, text string").repartition(3)
+    out = sd.remove_repeats(df, "row", "doc_id", window=window, keep_first=True, anchor_bytes=anchor, shard_bytes=shard).collect()
+    raw = [(t or "").encode() for t in texts]
+    hashed = {r["row"]: r["h"] for r in df.select("row", sd.text_keys()[1].alias("h")).collect()}
+    place = lambda i: (rows[i][1] if rows[i][1] is not None else 1 << 63, hashed[i])
+    first = {}
+    for i in sorted(range(len(raw)), key=place):
+        for a in range(len(raw[i]) - window + 1):
+            first.setdefault(raw[i][a : a + window], (place(i), a))
+    for r in out:
+        t, i = raw[r["row"]], r["row"]
+        gone = [False] * len(t)
+        for a in range(len(t) - window + 1):
+            if first[t[a : a + window]] != (place(i), a):
+                gone[a : a + window] = [True] * window
+        assert r["kept"] == bytes(b for b, g in zip(t, gone, strict=True) if not g)
+
+
 def test_suffix_array_and_common_prefixes():
     random.seed(6)
     for _ in range(150):

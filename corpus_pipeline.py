@@ -8,8 +8,9 @@ stage before it kept; all but the last return the columns of ``documents``.
    they are nearest to (``limits``).
 2. near_duplicates: of each group of documents linked by the n-gram join, the
    one of the smallest doc_id stays (null ids last, then by the text's hash).
-3. repeats: byte strings of ``PASSAGE`` bytes (about forty words) that occur
-   more than once are cut out of every document; documents left empty go.
+3. repeats: byte strings of ``PASSAGE`` bytes (fewer than fifty words have) that
+   occur more than once stay in the document of the smallest doc_id and are cut
+   out elsewhere; documents left without a letter or digit go.
 4. packing: the rest is packed into sequences of at most 1024 tokens.
 
 Defined results: null, empty and letterless texts go in the first stage; an
@@ -20,7 +21,7 @@ which one stays.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranktide.llm import language, ngram_join, packing, suffix_dedup
@@ -30,7 +31,12 @@ from ranktide.llm.common import ship, staged, text_keys
 #: the ``QUANTILE`` of the rates of the labelled texts that weren't learned from, times ``MARGIN``. Of fewer than
 #: ``LEAST_TEXTS`` such texts none is derived: all languages' texts together give it, or it is ``MOST_BITS``.
 LEAST_SYMBOLS, QUANTILE, MARGIN, LEAST_TEXTS, MOST_BITS = 32, 0.99, 1.6, 100, 8.0
-PASSAGE = 256
+PASSAGE = suffix_dedup.SHORT
+
+
+def _all(docs: DataFrame) -> list[Column]:
+    """All columns, by whatever name."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def limits(docs: DataFrame, model: language.Classifier) -> tuple[dict[str, float], float]:
@@ -49,12 +55,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     model = language.fit(docs)
     by, other = limits(docs, model)
-    found = language.identify(docs, model, *docs.columns)
+    found = language.identify(docs.select(F.struct(*_all(docs)).alias("row"), "text"), model, "row")
     most = F.lit(other)
     for lang, bits in by.items():
         most = F.when(F.col("lang_pred") == lang, bits).otherwise(most)
-    foreign = (F.col("rate") > most) & (F.octet_length("text") >= LEAST_SYMBOLS)
-    return found.where((F.col("lang_pred") != "und") & ~foreign).select(*docs.columns)
+    foreign = (F.col("rate") > most) & (F.octet_length("row.text") >= LEAST_SYMBOLS)
+    return found.where((F.col("lang_pred") != "und") & ~foreign).select("row.*")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +76,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         verdict.where("component IS NULL").select(*keys, F.lit(False).alias("grouped"))
         .unionByName(first.select("first.id", "first.no_id", "first.k1", "first.k2", F.lit(True).alias("grouped")))
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *known, *text_keys())
+    rows = docs.select(F.struct(*_all(docs)).alias("row"), *known, *text_keys())
     kept = rows.join(stay, keys)
     # Copies of a kept row that share even its id are one row; documents in no group stay as they are.
     own = F.when(F.col("grouped"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
@@ -78,12 +84,14 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that occur more than once out of every document."""
+    """Cut later copies of passages that occur more than once."""
     ship(spark)
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    left = suffix_dedup.remove_repeats(docs, *others, window=PASSAGE, as_text=True)
-    left = left.where("kept <> ''").withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")})
-    return left.select(*docs.columns)
+    rows = docs.select(F.struct(*_all(docs)).alias("row"), "doc_id", "text")
+    left = suffix_dedup.remove_repeats(rows, "row", window=PASSAGE, as_text=True, keep_first=True)
+    # A text of which only marks and blanks are left says nothing.
+    left = left.where((F.col("kept") != "") & ((F.col("n_removed") == 0) | F.col("kept").rlike(r"[\p{L}\p{N}]")))
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

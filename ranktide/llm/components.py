@@ -2,42 +2,49 @@
 
 A round links every node's larger neighbours, then its smaller ones and itself,
 to the least node seen from it; components shrink to stars around their least
-node in a number of rounds that grows with the logarithm of their size. Each
-round is written to the shared folder and read back.
+node in a number of rounds that grows with the logarithm of their size. A star is
+one exchange: a node's neighbours are sorted, the first is the least, and repeated
+ones drop out beside it (a node of very many neighbours is one sort, which spills).
+Each round is written to the shared folder and read back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranktide.llm.common import staged
 
 
+def _sorted_neighbours(e: DataFrame) -> DataFrame:
+    """The distinct edges (u, v) with the least neighbour of u."""
+    near = Window.partitionBy("u").orderBy("v")
+    seen = e.select("u", "v", F.first("v").over(near).alias("least"), F.lag("v").over(near).alias("before"))
+    return seen.where("before IS NULL OR before <> v").drop("before")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # Written first: a join of two plain tables can split the rows of a node with very many neighbours.
-    least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = _sorted_neighbours(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    inner = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return inner.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    """Edges lead from a node to smaller ones, here and in the result."""
+    seen = _sorted_neighbours(e)
+    to = F.when(F.col("v") > F.col("least"), F.col("v")).otherwise(F.col("u"))
+    return seen.select(to.alias("u"), F.col("least").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of ``edges`` (u, v: of one orderable type)."""
-    first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = staged(first, "components")
-    sign = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+    e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "components")
     seen = None
     while True:
-        now = e.agg(F.count("*").alias("n"), sign).first()
+        e = staged(_small_star(_large_star(e)), "components")
+        # Stars are a fixed point, and any round but the last changes the edges; each edge is there once.
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == seen or not now["n"]:
             break
         seen = now
-        e = staged(_small_star(_large_star(e)), "components")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct().unionByName(roots)

@@ -27,7 +27,8 @@ A cell counts every link of its classes, each as many times as the class at its
 other end has copies; the sums, and the copies beside it, are a document's
 number of links, so a group of copies gives as many rows as it has members.
 Besides, a cell hands on as many links as connect what is linked in it; these
-serve only to find the components. N-grams are 64-bit hashes (see
+serve only to find the components. A family that is one cell is done with that:
+only links of larger ones go through rounds of joining. N-grams are 64-bit hashes (see
 ``shingles``), sets 128-bit.
 
 Defined results: null or wordless texts have an empty set and link with
@@ -215,13 +216,14 @@ def _count_overlaps(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _links_of(percent: int):
     """Sums of the partial overlaps of each pair -> for each class the copies of all classes that it links to in a cell
-    (``v`` null), and links (u, v) that connect what is linked in the cell."""
+    (``v`` null), and links (u, v) that connect what is linked in the cell, all with its least class where it is
+    ``whole``."""
 
     def run(counts: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        u, v, links = [], [], []
+        u, v, links, done = [], [], [], []
         members = {k: p for k, p in cells.sort_values("cls").groupby(_CELL)}
         for cell, part in counts.groupby(_CELL):
-            names, n, role, copies = (members[cell][k].to_numpy() for k in ("cls", "n", "role", "copies"))
+            names, n, role, copies, whole = (members[cell][k].to_numpy() for k in ("cls", "n", "role", "copies", "whole"))
             lefts, rights = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
             both = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in part["counts"]).reshape(len(lefts), len(rights))
             union = n[lefts][:, None] + n[rights][None, :] - both
@@ -232,36 +234,42 @@ def _links_of(percent: int):
             alone = role[rights] == 2
             far[rights[alone]] += copies[lefts] @ linked[:, alone]
             some = np.flatnonzero(far)
-            u += names[some].tolist()
-            v += [None] * len(some)
-            links += far[some].tolist()
             above, apart = np.arange(len(names)), len(names) - 1
+
+            def root(z: int, above: np.ndarray = above) -> int:
+                while above[z] != z:
+                    above[z] = above[above[z]]
+                    z = above[z]
+                return z
+
+            ends = []
             for a, b in zip(*np.nonzero(linked), strict=True):
-                x, y = lefts[a], rights[b]
                 if not apart:
                     break
-                ends = []
-                for z in (x, y):
-                    while above[z] != z:
-                        above[z] = above[above[z]]
-                        z = above[z]
-                    ends.append(z)
-                if ends[0] != ends[1]:
-                    above[max(ends)] = min(ends)
+                x, y = root(lefts[a]), root(rights[b])
+                if x != y:
+                    above[max(x, y)] = min(x, y)
                     apart -= 1
-                    u.append(names[x])
-                    v.append(names[y])
-                    links.append(0)
-        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "links": pd.Series(links, dtype="int64")})
+                    ends.append((lefts[a], rights[b]))
+            if whole[0]:
+                ends = [(z, root(z)) for z in range(len(names)) if root(z) != z]
+            u += names[some].tolist() + [names[x] for x, _ in ends]
+            v += [None] * len(some) + [names[y] for _, y in ends]
+            links += far[some].tolist() + [0] * len(ends)
+            done += [bool(whole[0])] * (len(some) + len(ends))
+        return pd.DataFrame({
+            "u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "links": pd.Series(links, dtype="int64"), "done": pd.Series(done, dtype=bool)
+        })
 
     return run
 
 
 def compare(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that connect the classes linked in a cell, and rows (u, null, links) of a class's links in a cell.
+    """Links (u, v) that connect the classes linked in a cell, and rows (u, null, links) of a class's links in a cell;
+    ``done`` says that the cell was ``whole``.
 
     ``cells``: family, i, j, role (1: left, 2: right, 3: both), cls, n, copies,
-    chunk; ``sets``: cls, chunk, grams.
+    chunk, whole (all of its family); ``sets``: cls, chunk, grams.
     """
     size = cells.agg(F.sum(8 * F.col("n")).alias("n")).first()["n"] or 0
     bins = max(partitions(cells), -(-int(size) // BIN_BYTES))
@@ -269,9 +277,9 @@ def compare(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     schema = "bin int, family string, i int, j int, role int, cls string, fragment int, grams binary"
     parts = cells.join(sets, ["cls", "chunk"]).drop("chunk").mapInArrow(_fragments, schema)
     counts = parts.groupBy("bin", "fragment").applyInPandas(_count_overlaps, "bin int, family string, i int, j int, counts binary")
-    members = cells.select("bin", *_CELL, "role", "cls", "n", "copies")
+    members = cells.select("bin", *_CELL, "role", "cls", "n", "copies", "whole")
     found = counts.groupBy("bin").cogroup(members.groupBy("bin"))
-    return found.applyInPandas(_links_of(percent), "u string, v string, links long")
+    return found.applyInPandas(_links_of(percent), "u string, v string, links long, done boolean")
 
 
 def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, percent: int, count_links: bool) -> DataFrame:
@@ -286,13 +294,16 @@ def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, perc
     members = staged(members.join(sizes, "family"), "ngram-families")
     zero = F.lit(0)
     small = members.where(F.col("size") <= BLOCK).select(
-        "family", zero.alias("i"), zero.alias("j"), F.lit(3).alias("role"), "cls", "n", "copies", "chunk"
+        "family", zero.alias("i"), zero.alias("j"), F.lit(3).alias("role"), "cls", "n", "copies", "chunk",
+        F.lit(True).alias("whole"),
     )
-    large = members.where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = members.where(F.col("size") > BLOCK).withColumns({
+        "blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "whole": F.lit(False),
+    })
     if large.isEmpty():
         return compare(small, sets, percent)
     block = lambda of: F.pmod(F.xxhash64("cls"), F.col(of)).cast("int")
-    pick = ["family", "i", "j", "role", "cls", "n", "copies", "chunk"]
+    pick = ["family", "i", "j", "role", "cls", "n", "copies", "chunk", "whole"]
     if count_links:
         own, other = F.col("own"), F.col("other")
         pairs = large.withColumn("own", block("blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -302,14 +313,15 @@ def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, perc
         })
         return compare(small.unionByName(pairs.select(*pick)), sets, percent)
     follower = large.where("cls <> lead").select(
-        "family", F.lit(-1).alias("i"), block("blocks").alias("j"), F.lit(2).alias("role"), "cls", "n", "copies", "chunk"
+        "family", F.lit(-1).alias("i"), block("blocks").alias("j"), F.lit(2).alias("role"), "cls", "n", "copies", "chunk",
+        "whole",
     )
     leader = large.where("cls = lead").select(
         "family", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
-        F.lit(1).alias("role"), "cls", "n", "copies", "chunk",
+        F.lit(1).alias("role"), "cls", "n", "copies", "chunk", "whole",
     )
     done = staged(compare(small.unionByName(follower).unionByName(leader), sets, percent), "ngram-links")
-    led = done.where("v IS NOT NULL").select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+    led = done.where("v IS NOT NULL AND NOT done").select(F.explode(F.array("u", "v")).alias("cls")).distinct()
     rest = large.where("cls <> lead").join(led, "cls", "left_anti")
     left_over = rest.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
     # In a cell of the rest's block i and all classes' block j a class can be on either side or on both.
@@ -322,7 +334,7 @@ def _family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, perc
     again = (
         as_left.withColumn("role", F.lit(1)).select(*pick)
         .unionByName(as_right.withColumn("role", F.lit(2)).select(*pick))
-        .groupBy("family", "i", "j", "cls", "n", "copies", "chunk").agg(F.sum("role").cast("int").alias("role"))
+        .groupBy("family", "i", "j", "cls", "n", "copies", "chunk", "whole").agg(F.sum("role").cast("int").alias("role"))
     )
     return done.unionByName(compare(staged(again, "ngram-cells"), sets, percent))
 
@@ -361,7 +373,9 @@ def near_duplicates(
     ties = heads.groupBy("gram").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u < v").select("gram", "u")
     families = components(heads.join(ties, "gram").select("u", F.col("cls").alias("v")))
     found = staged(_family_links(classes, families, sets.select("cls", "chunk", "grams"), percent, count_links), "ngram-found")
-    groups = components(found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("cls"), "component")
+    linked = found.where("v IS NOT NULL")
+    groups = components(linked.where("NOT done").select("u", "v")).select(F.col("node").alias("cls"), "component")
+    groups = groups.unionByName(linked.where("done").select(F.col("u").alias("cls"), F.col("v").alias("component")))
     named = classes.join(groups, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first", "copies")
     result = ["doc_id", "k1", "k2", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id")]
     of_class = ["cls", "component"]

@@ -56,11 +56,11 @@ from pyspark.sql import functions as F
 from ranktide.llm.common import documents, let_go, partitions, schema_of, staged, text_keys
 
 WINDOW = 400
-SHORT = 150  # bytes; 51 words in a row are longer
+SHORT = 240  # bytes; nearly all passages of more than fifty words are longer
 SLICE = 512 << 10  # bytes of text whose anchors are found together
 SHARD_BYTES = 1 << 20
 ANCHOR_BYTES = 256 << 10  # of an anchor's different blocks in one shard
-RUN = 4096  # starts of one block at most
+RUN = 1024  # starts of one block at most
 
 
 def gram_of(window: int) -> int:
@@ -131,8 +131,9 @@ def blocks(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return owner, first - begin[owner], last - begin[owner], anchor, twice
 
 
-_FIELDS = {"a": np.int64, "c": np.int64, "k1": np.int64, "k2": np.int64, "s": np.int32, "e": np.int32, "twice": np.bool_}
-_PACKED = "slice long, w int, " + ", ".join(f"{k} binary" for k in _FIELDS)
+#: A slice's blocks by anchor: the text's number in the slice (``keys`` has k1 and k2 of each), first start, starts.
+_FIELDS = {"a": np.int64, "c": np.int64, "owner": np.int32, "s": np.int32, "starts": np.uint16, "twice": np.bool_}
+_PACKED = "slice long, w int, keys binary, " + ", ".join(f"{k} binary" for k in _FIELDS)
 _BLOCKS = "w int, a long, c long, k1 long, k2 long, s int, e int, twice boolean"
 
 
@@ -150,12 +151,15 @@ def _find_blocks(windows: tuple[int, ...]):
                 hashlib.blake2b(texts[o][a : b + window - 1], digest_size=8).digest()
                 for o, a, b in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True)
             ), np.int64)
-            k, at = np.array(keys, np.int64).reshape(-1, 2)[owner], np.array(places, np.int64)[owner]
             order = np.argsort(anchor, kind="stable")
-            made = {"a": anchor.view(np.int64), "c": content, "k1": k[:, 0], "k2": k[:, 1], "s": at + s, "e": at + e, "twice": twice}
+            made = {
+                "a": anchor.view(np.int64), "c": content, "owner": owner, "s": np.array(places, np.int64)[owner] + s,
+                "starts": e - s, "twice": twice,
+            }
             row = {f: pa.array([made[f][order].astype(t).tobytes()], pa.binary()) for f, t in _FIELDS.items()}
             number += 1
-            return pa.RecordBatch.from_pydict({"slice": pa.array([number]), "w": pa.array([window], pa.int32()), **row})
+            named = pa.array([np.array(keys, np.int64).tobytes()], pa.binary())
+            return pa.RecordBatch.from_pydict({"slice": pa.array([number]), "w": pa.array([window], pa.int32()), "keys": named, **row})
 
         held = {w: ([], [], []) for w in windows}
         sizes = dict.fromkeys(windows, 0)
@@ -226,7 +230,9 @@ def _unpack_met(packed: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
     if len(met) != len(names):
         raise RuntimeError("a slice's anchors changed between two reads")
     some = np.flatnonzero(met[np.searchsorted(names, anchor)])
-    return pd.DataFrame({"w": row["w"], **{f: v[some] for f, v in made.items()}})[columns]
+    made = {f: v[some] for f, v in made.items()}
+    key = np.frombuffer(row["keys"], np.int64).reshape(-1, 2)[made["owner"]]
+    return pd.DataFrame(made | {"w": row["w"], "k1": key[:, 0], "k2": key[:, 1], "e": made["s"] + made["starts"]})[columns]
 
 
 def find_blocks(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:

@@ -31,7 +31,7 @@ from ranktide.llm.common import ship, staged, text_keys
 #: the ``QUANTILE`` of the rates of the labelled texts that weren't learned from, times ``MARGIN``. Of fewer than
 #: ``LEAST_TEXTS`` such texts none is derived: all languages' texts together give it, or it is ``MOST_BITS``.
 LEAST_SYMBOLS, QUANTILE, MARGIN, LEAST_TEXTS, MOST_BITS = 32, 0.99, 1.6, 100, 8.0
-PASSAGE = suffix_dedup.SHORT
+PASSAGE = 150  # bytes; fifty-one words in a row are longer
 
 
 def _all(docs: DataFrame) -> list[Column]:

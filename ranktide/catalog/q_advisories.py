@@ -214,21 +214,16 @@ def fn_version_in_range(spark, sf):
     return _vr(spark, sf).select("id", "ingest_date", "affected_versions", "latest", "in_range")
 
 
-@register(
-    "join_version_range",
-    with_views(["advisories", "registry_docs"], f"SELECT id, ingest_date, latest, {Q.version_in_range('latest', 'affected_versions')} AS in_range FROM vr WHERE latest IS NOT NULL", [_LATEST_SQL, _VR_SQL]),
+_RANGE_SQL = with_views(
+    ["advisories", "registry_docs"],
+    f"SELECT id, ingest_date, latest, {Q.version_in_range('latest', 'affected_versions')} AS in_range FROM vr", [_LATEST_SQL, _VR_SQL],
 )
-def join_version_range(spark, sf):
-    """Equi-join on package name, then the range predicate as a column expression."""
-    return _vr(spark, sf).where(F.col("latest").isNotNull()).select("id", "ingest_date", "latest", "in_range")
 
 
-@register(
-    "join_version_range_all",
-    with_views(["advisories", "registry_docs"], f"SELECT id, ingest_date, latest, {Q.version_in_range('latest', 'affected_versions')} AS in_range FROM vr", [_LATEST_SQL, _VR_SQL]),
-)
-def join_version_range_all(spark, sf):
-    """The range predicate for every advisory; packages without a known latest version keep a null one."""
+@register("join_version_range_all", _RANGE_SQL)  # an earlier name of the same query
+@register("join_version_range", _RANGE_SQL)
+def join_version_range(spark, sf):
+    """Equi-join on package name, then the range predicate; packages without a known latest version keep a null one."""
     return _vr(spark, sf).select("id", "ingest_date", "latest", "in_range")
 
 

@@ -53,8 +53,8 @@ SELECT repo_url, CAST(line_no AS BIGINT) AS line_no, section FROM (
 def win_line_carry(spark, sf):
     """Section carried forward over package.json lines: every line inside an open dependency section."""
     p = _files(spark, sf).where((F.col("path") == "package.json") & (F.col("status") == 200))
-    x = LN.dep_section_lines(LN.to_lines(p, ["repo_url"]), ["repo_url"])
-    return x.where(F.col("section").isNotNull()).select("repo_url", F.col("line_no").cast("bigint").alias("line_no"), "section")
+    x = p.select("repo_url", F.inline(LN.dep_section_lines(F.col("text"))))
+    return x.select("repo_url", F.col("line_no").cast("bigint").alias("line_no"), "section")
 
 
 @register("man_lockfile_importers", _rsql("SELECT repo_url, workspace, section, dep, CAST(line_no AS INTEGER) AS line_no FROM lockrows"))
@@ -97,38 +97,23 @@ UNION SELECT repo_url, 'tinybench' FROM rexp WHERE ok AND NOT mono AND o % 11 =
 )
 def set_union_dep_names(spark, sf):
     """Distinct union of the runtime and dev dependency names of single-package repos."""
-    pkg = MF.package_json(_files(spark, sf))
-    return MF.set_union_dep_names(pkg.where(~F.col("is_monorepo"))).distinct()
+    repos = MF.repositories(_files(spark, sf))
+    return MF.set_union_dep_names(repos.where(~F.col("is_monorepo"))).distinct()
 
 
-@register(
-    "man_bench_signal",
-    _rsql("""
+_BENCH_SQL = _rsql("""
 SELECT repo_url, sig IS NOT NULL AS has_benchmarks, sig AS bench_signal FROM (
   SELECT repo_url, CASE WHEN NOT ok THEN NULL WHEN o % 5 = 0 THEN 'script:bench:run'
                         WHEN o % 7 = 1 THEN 'script-cmd:test:perf' WHEN o % 11 = 0 THEN 'devDep:tinybench' END AS sig
-  FROM rexp WHERE o % 17 <> 0 AND o % 19 <> 0)"""),
-)
-def man_bench_signal(spark, sf):
-    """Bench signal: script name, then vitest/jest bench command, then a known bench library."""
-    files = _files(spark, sf)
-    served = files.where((F.col("path") == "package.json") & (F.col("status") == 200)).select("repo_url")
-    return MF.man_bench_signal(files).join(served, "repo_url", "left_semi")
+  FROM rexp)""")
 
 
-@register(
-    "man_bench_signal_all",
-    _rsql("""
-SELECT repo_url, sig IS NOT NULL AS has_benchmarks, sig AS bench_signal FROM (
-  SELECT repo_url, CASE WHEN NOT ok THEN NULL WHEN o % 5 = 0 THEN 'script:bench:run'
-                        WHEN o % 7 = 1 THEN 'script-cmd:test:perf' WHEN o % 11 = 0 THEN 'devDep:tinybench' END AS sig
-  FROM rexp)"""),
-)
-def man_bench_signal_all(spark, sf):
-    """Bench signal of every repository, ``(false, NULL)`` where ``package.json`` isn't served."""
-    files = _files(spark, sf)
-    found = files.select("repo_url").distinct().join(MF.man_bench_signal(files), "repo_url", "left")
-    return found.select("repo_url", F.coalesce("has_benchmarks", F.lit(False)).alias("has_benchmarks"), "bench_signal")
+@register("man_bench_signal_all", _BENCH_SQL)  # an earlier name of the same query
+@register("man_bench_signal", _BENCH_SQL)
+def man_bench_signal(spark, sf):
+    """Bench signal of every repository (script name, then vitest/jest bench command, then a known bench library);
+    ``(false, NULL)`` where ``package.json`` isn't served."""
+    return MF.man_bench_signal(_files(spark, sf))
 
 
 def _loc_str(col):

@@ -27,7 +27,7 @@ ord AS (
 rexp AS (
   SELECT o, 'https://github.com/cust/order-' || o AS repo_url, n_r, n_d, n_listed,
          (o % 17 <> 0 AND o % 19 <> 0 AND o % 23 <> 0 AND o % 29 <> 0) AS ok,
-         (o % 13 = 0) AS mono, (o % 13 = 0 AND o % 26 <> 0) AS has_lock,
+         (o % 13 = 0) AS mono, (o % 13 = 0 AND o % 26 <> 0) AS has_lock, o % 5 <> 0 AS lock_ok, (o // 26) % 4 AS style,
          3 + CASE WHEN o % 2 = 0 THEN 3 ELSE 0 END + (o % 3) + 4 + CASE WHEN o % 13 = 0 THEN 1 ELSE 0 END
            + CASE WHEN o % 31 = 0 THEN 1 ELSE 0 END AS l0,
          CASE WHEN (o % 13 = 0 AND o % 26 <> 0) OR (o % 17 = 0 AND o % 2 = 0) THEN TRUE
@@ -37,7 +37,7 @@ rexp AS (
 rverd AS (
   SELECT *, CASE WHEN o % 17 = 0 THEN CASE WHEN has_root_lockfile = FALSE THEN 'not_js' ELSE 'unknown' END
                  WHEN NOT ok THEN 'unknown'
-                 WHEN mono THEN CASE WHEN has_lock AND n_listed > 0 THEN 'set' ELSE 'monorepo' END
+                 WHEN mono THEN CASE WHEN has_lock AND lock_ok AND n_listed > 0 THEN 'set' ELSE 'monorepo' END
                  ELSE 'set' END AS verdict
   FROM rexp
 ),
@@ -58,8 +58,9 @@ deplines AS (
 lockrows AS (
   SELECT r.repo_url, CASE WHEN k.rt THEN '.' ELSE 'packages/app' END AS workspace,
          CASE WHEN k.rt THEN 'dependencies' ELSE 'devDependencies' END AS section, 'part-' || k.pk AS dep,
-         CASE WHEN k.rt THEN 7 + 3 * (k.k - 1) ELSE 9 + greatest(3 * r.n_r, 1) + 3 * (k.k - 1) END AS line_no
-  FROM rexp r JOIN oik k ON k.o = r.o WHERE r.has_lock
+         CASE WHEN r.style = 3 THEN CASE WHEN k.rt THEN 5 ELSE 6 END
+              WHEN k.rt THEN 7 + r.per * (k.k - 1) ELSE 9 + greatest(r.per * r.n_r, 1) + r.per * (k.k - 1) END AS line_no
+  FROM (SELECT *, CASE WHEN style = 2 THEN 1 ELSE 3 END AS per FROM rexp) r JOIN oik k ON k.o = r.o WHERE r.has_lock AND r.lock_ok
 )"""
 
 REPO_BENCH_CTE = """

@@ -1,12 +1,9 @@
 """Line-scan jobs over landed text documents (manifests, lockfiles).
 
-A document becomes a line table ``(doc keys..., line_no, line)`` via
-``posexplode(split(text, '\\n'))``; the per-line state machines of the
-reference become window functions partitioned by document: a running sum of
-brace deltas gives the depth before each line, ``last(..., ignorenulls)``
-carries the current section / workspace forward, and a running minimum over a
-section's lines detects where the section closed. Each document is one window
-partition (its natural bound); documents are spread across tasks by hash.
+Dependency sections and lockfile mappings are folds over a document's lines inside
+its row (``operators.folds``): the state machine's state is the fold's, what it
+finds is an array, and only that leaves the row. Manifests that come as a line
+table are scanned by aggregates and chunked running sums.
 """
 
 from __future__ import annotations
@@ -16,6 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranktide.functions.util import let
+from ranktide.operators.folds import CHUNK, first_of_each, fold_lines
+from ranktide.operators.yaml_keys import yaml_keys
+
 # Fixed values.
 DEP_SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
 DEP_SECTION_PATTERN = r'^\s*"(dependencies|devDependencies|optionalDependencies|peerDependencies)"\s*:\s*\{'
@@ -35,45 +36,62 @@ def count_char(c: Column, ch: str) -> Column:
 
 
 def with_depth(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``delta`` (opens - closes), ``d_before`` (running depth before the line) and ``d_after``."""
+    """Adds ``delta`` (opens - closes), ``d_before`` (running depth before the line) and ``d_after`` to a line table."""
     w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     x = lines.withColumn("delta", count_char(F.col("line"), "{") - count_char(F.col("line"), "}"))
     x = x.withColumn("d_before", F.coalesce(F.sum("delta").over(w), F.lit(0)))
     return x.withColumn("d_after", F.col("d_before") + F.col("delta"))
 
 
-def dep_section_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per line: the dependency section it belongs to (``section``; NULL outside) and its depths.
+def dep_section_lines(text: Column, chunk: int = CHUNK) -> Column:
+    """The lines inside a dependency section: ``array<struct<line_no, section, name>>``; ``name`` is null where the line
+    declares no dependency.
 
-    A section opens on a header line (brace on the same line) and stays open
-    until a line brings the depth below the header's own depth (that closing
-    line still belongs to it). The header is carried forward with
-    ``last(ignorenulls)``; the close is a running minimum over the section's lines.
-    """
-    x = with_depth(lines, keys)
-    prev = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    is_header = F.col("line").rlike(DEP_SECTION_PATTERN)
-    x = x.withColumn("__hdr", F.when(is_header, F.struct(
-        F.col("line_no").alias("no"), F.regexp_extract("line", DEP_SECTION_PATTERN, 1).alias("name"), F.col("d_after").alias("base"))))
-    x = x.withColumn("__sec", F.last("__hdr", ignorenulls=True).over(prev))
-    x = x.withColumn("sec", F.col("__sec.no")).withColumn("sec_base", F.col("__sec.base"))
-    inner = Window.partitionBy(*keys, "sec").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("__min_after", F.min("d_after").over(inner))
-    open_ = F.col("sec").isNotNull() & F.coalesce(F.col("__min_after") >= F.col("sec_base"), F.lit(True))
-    return x.withColumn("section", F.when(open_, F.col("__sec.name"))).drop("__hdr", "__sec", "__min_after")
-
-
-def man_dep_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First 1-based line declaring each dependency inside one of the four dependency sections.
-
-    A section's header is never a dependency, also where an empty section
-    (``"dependencies": {},``) stands before it.
+    A section opens on a header line (brace on the same line) and stays open until a
+    line brings the depth below that after its header (that closing line still
+    belongs to it). A header is never a dependency, and opens its section wherever
+    it stands, also after an empty section (``"dependencies": {},``).
     """
-    x = dep_section_lines(lines, keys)
-    key = F.regexp_extract("line", JSON_KEY_PATTERN, 1)
-    inside = F.col("section").isNotNull() & (F.col("d_before") == F.col("sec_base"))
-    hits = x.where(inside & (key != "") & ~F.col("line").rlike(DEP_SECTION_PATTERN))
-    return hits.groupBy(*keys, key.alias("name")).agg(F.min("line_no").cast("int").alias("line"))
+    found = "struct<line_no:int,section:string,name:string>"
+    none = F.array().cast(f"array<{found}>")
+
+    def inside(s: Column, name: Column, number: Column) -> Column:
+        line = F.struct(number.cast("int").alias("line_no"), s["section"].alias("section"), name.alias("name"))
+        return F.when(s["section"].isNotNull(), F.array(line)).otherwise(none).alias("found")
+
+    def with_braces(s: Column, line: Column, number: Column) -> Column:
+        def known(x: Column) -> Column:
+            header, after = x["header"] != "", s["depth"] + x["delta"]
+            open_ = s["section"].isNotNull() & (after >= s["base"])
+            return F.struct(
+                after.alias("depth"), F.when(header, x["header"]).when(open_, s["section"]).alias("section"),
+                F.when(header, after).otherwise(s["base"]).alias("base"), inside(s, F.when(~header, declared(s, line)), number),
+            )
+
+        return let(F.struct(
+            (count_char(line, "{") - count_char(line, "}")).alias("delta"), F.regexp_extract(line, DEP_SECTION_PATTERN, 1).alias("header"),
+        ), known)
+
+    def declared(s: Column, line: Column) -> Column:
+        return F.when(s["depth"] == s["base"], F.nullif(F.regexp_extract(line, JSON_KEY_PATTERN, 1), F.lit("")))
+
+    def step(s: Column, line: Column, number: Column) -> Column:
+        same = F.struct(s["depth"].alias("depth"), s["section"].alias("section"), s["base"].alias("base"), inside(s, declared(s, line), number))
+        return F.when(line.contains("{") | line.contains("}"), with_braces(s, line, number)).otherwise(same)
+
+    start = {"depth": F.lit(0), "section": F.lit(None).cast("string"), "base": F.lit(0)}
+    return fold_lines(text, start, found, step, chunk=chunk)
+
+
+def declared_lines(text: Column) -> Column:
+    """The first line that declares each dependency in one of the four sections: ``array<struct<line_no, section, name>>``."""
+    return first_of_each(F.filter(dep_section_lines(text), lambda x: x["name"].isNotNull()), "name")
+
+
+def man_dep_lines(docs: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """First 1-based line declaring each dependency inside one of the four dependency sections."""
+    hits = docs.select(*keys, F.inline(declared_lines(F.col(text_col))))
+    return hits.select(*keys, "name", F.col("line_no").alias("line"))
 
 
 def running_sum_chunked(df: DataFrame, keys: Sequence[str], value: str, out: str, chunk: int = 4096) -> DataFrame:
@@ -113,34 +131,25 @@ def src_manifest_line_index(lines: DataFrame, keys: Sequence[str], chunk: int =
     return hits.groupBy(*keys, key.alias("key")).agg(F.max("line_no").cast("int").alias("line"))
 
 
-def _indent(c: Column) -> Column:
-    return F.length(c) - F.length(F.ltrim(c))
+def lockfile_keys(text: Column) -> Column:
+    """The dependencies in the ``importers`` mapping of a pnpm lockfile, in any block or flow style:
+    ``array<struct<workspace, section, dep, line_no>>``, empty if the text is no valid YAML."""
 
+    def pick(path: Column, number: Column) -> Column:
+        names = [F.get(path, F.lit(i)) for i in range(4)]
+        declares = (
+            (F.size(path) == 4) & (names[0] == "importers") & names[2].isin(*DEP_SECTIONS) & names[1].isNotNull() & (names[3] != "<<")
+        )
+        return F.when(declares, F.struct(
+            names[1].alias("workspace"), names[2].alias("section"), names[3].alias("dep"), number.cast("int").alias("line_no")
+        ))
 
-def _yaml_key(c: Column) -> Column:
-    """Mapping key of a block-style YAML line (``key:`` or ``key: value``), quotes removed."""
-    raw = F.regexp_extract(c, r"""^\s*('[^']*'|"[^"]*"|[^:\s][^:]*?):(\s|$)""", 1)
-    return F.regexp_replace(raw, r"""^'(.*)'$|^"(.*)"$""", "$1$2")
+    return yaml_keys(text, "struct<workspace:string,section:string,dep:string,line_no:int>", pick)
 
 
-def man_lockfile_importers(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(workspace, section, dep) rows from the ``importers`` block of a block-style pnpm lockfile.
+def man_lockfile_importers(docs: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """(workspace, section, dep, line_no) rows of the ``importers`` mapping of pnpm lockfiles.
 
-    Indentation gives the level: 2 = workspace path, 4 = section, 6 = dependency.
-    Workspace and section are carried forward with ``last(ignorenulls)``; a
-    section marker resets at each workspace. Flow-style YAML is not read
-    (it yields no rows, which the caller treats as unknown).
+    A lockfile that is no valid YAML gives no rows, which the caller treats as unknown.
     """
-    ind = _indent(F.col("line"))
-    blank = (F.trim("line") == "") | F.trim("line").startswith("#")
-    top = ~blank & (ind == 0)
-    x = lines.withColumn("__top", F.when(top, F.regexp_extract("line", r"^([^:\s]+):", 1)))
-    prev_incl = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("block", F.last("__top", ignorenulls=True).over(prev_incl)).where(F.col("block") == "importers")
-    x = x.withColumn("__ws", F.when(~blank & (ind == 2), _yaml_key(F.col("line"))))
-    x = x.withColumn("__sec", F.when(~blank & (ind == 2), F.lit("")).when(~blank & (ind == 4), _yaml_key(F.col("line"))))
-    x = x.withColumn("workspace", F.last("__ws", ignorenulls=True).over(prev_incl))
-    x = x.withColumn("section", F.last("__sec", ignorenulls=True).over(prev_incl))
-    dep = F.when(~blank & (ind == 6), _yaml_key(F.col("line")))
-    out = x.where(F.col("section").isin(*DEP_SECTIONS) & dep.isNotNull() & (dep != ""))
-    return out.select(*keys, "workspace", "section", dep.alias("dep"), "line_no")
+    return docs.select(*keys, F.inline(lockfile_keys(F.col(text_col))))

@@ -341,7 +341,8 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``package.json`` lists the order's line items as dependencies (odd line
     numbers runtime, even dev); returned ('R') items are left out (transitive
-    only). Some repos are monorepos with a ``pnpm-lock.yaml`` (importers block),
+    only). Some repos are monorepos with a ``pnpm-lock.yaml`` (importers in block
+    style of two indents, quoted with flow values, or all in flow style; some broken),
     some answer 404 / 500, some hold malformed or non-object JSON. The three
     root lockfiles are probed with HEAD-style statuses. Per-order collects are
     bounded by the line items of one order.
@@ -388,24 +389,38 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pkg_text = F.when(o % 23 == 0, F.lit("not json {")).when(o % 29 == 0, F.lit("[1, 2]")).otherwise(pkg)
     pkg_status = F.when(o % 17 == 0, F.lit(404)).when(o % 19 == 0, F.lit(500)).otherwise(F.lit(200))
 
-    def imp_block(ws: str, section: str, arr):
-        return F.concat(
-            F.lit(f"  {ws}:\n    {section}:\n"),
-            F.array_join(F.transform(arr, lambda x: F.concat(
-                F.lit("      part-"), x["l_partkey"].cast("string"), F.lit(":\n        specifier: ^1.0.0\n        version: 1.0.0"))), "\n"),
+    def importers(step: str, dep) -> Column:
+        """The two importers, a section each, in block style with ``step`` as indent."""
+
+        def one(ws: str, section: str, arr) -> Column:
+            return F.concat(F.lit(f"{step}{ws}:\n{2 * step}{section}:\n"), F.array_join(F.transform(arr, dep), "\n"))
+
+        return F.concat_ws("\n", one("'.'", "dependencies", runtime), one("packages/app", "devDependencies", dev))
+
+    def blocks(step: str):
+        return lambda x: F.concat(
+            F.lit(f"{3 * step}part-"), x["l_partkey"].cast("string"), F.lit(f":\n{4 * step}specifier: ^1.0.0\n{4 * step}version: 1.0.0")
         )
 
+    flow_dep = lambda x: F.concat(F.lit("part-"), x["l_partkey"].cast("string"), F.lit(": {specifier: ^1.0.0, version: 1.0.0}"))
+    quoted = lambda x: F.concat(F.lit("      'part-"), x["l_partkey"].cast("string"), F.lit("': {\"specifier\": ^1.0.0, version: 1.0.0}  # one"))
+    flow = F.concat(
+        F.lit("  \".\": {dependencies: {"), F.array_join(F.transform(runtime, flow_dep), ", "),
+        F.lit("}}\n  packages/app: {devDependencies: {"), F.array_join(F.transform(dev, flow_dep), ", "), F.lit("}}"),
+    )
+    style = F.floor(o / 26) % 4
     lock = F.concat_ws(
         "\n",
         F.lit("lockfileVersion: '9.0'"),
         F.lit(""),
         F.lit("importers:"),
         F.lit(""),
-        imp_block("'.'", "dependencies", runtime),
-        imp_block("packages/app", "devDependencies", dev),
+        F.when(style == 0, importers("  ", blocks("  "))).when(style == 1, importers("    ", blocks("    ")))
+        .when(style == 2, importers("  ", quoted)).otherwise(flow),
         F.lit(""),
         F.lit("packages:"),
         F.concat(F.lit("  part-"), first_part, F.lit("@1.0.0:\n    resolution: {integrity: sha512-x}")),
+        F.when(o % 5 == 0, F.lit("   stray: 1")),  # no open mapping has this indent: not valid
     )
     has_lock = monorepo & (o % 26 != 0)
     lock_status = F.when(has_lock | ((o % 17 == 0) & (o % 2 == 0)), F.lit(200)).otherwise(F.lit(404))

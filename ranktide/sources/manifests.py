@@ -1,9 +1,11 @@
 """Repository manifests: direct-dependency verdicts, lockfile presence, bench signals, locations.
 
 Input is a landed file table ``(owner, repo, repo_url, path, status, text)``
-(HTTP status per fetched path; text only for 200). Membership tests ("is the
-from-package a direct dependency of this repo?") are joins against an exploded
-``(repo_url, name)`` table, never arrays collected per repo.
+(HTTP status per fetched path; text only for 200). Files are parsed where they lie;
+one aggregate over the table makes a repository's state (``repositories``), from
+which verdicts, names, signals and locations are read off. Membership tests ("is
+the from-package a direct dependency of this repo?") are joins against an exploded
+``(repo_url, name)`` table.
 """
 
 from __future__ import annotations
@@ -11,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranktide.functions.util import let
 from ranktide.operators import lines as LN
+from ranktide.operators.folds import first_of_each
 
 # Fixed values.
 ROOT_LOCKFILES = ("pnpm-lock.yaml", "yarn.lock", "package-lock.json")
@@ -30,6 +34,61 @@ def by_repository(files: DataFrame) -> DataFrame:
     return files.withColumn("repo_url", F.concat(F.lit("https://github.com/"), F.col("owner"), F.lit("/"), F.col("repo")))
 
 
+PACKAGE, LOCKFILE = "package.json", "pnpm-lock.yaml"
+
+
+def _package(text: Column) -> Column:
+    """A ``package.json``'s parsed sections and whether it is a monorepo's; null if it is no JSON object.
+
+    Malformed text lands in the corrupt-record column. Duplicate keys are accepted
+    with the last value winning (VARIANT parsing would reject them).
+    """
+    ws_list = F.from_json(F.get_json_object(text, "$.workspaces"), "array<string>")
+    ws_pkgs = F.from_json(F.get_json_object(text, "$.workspaces.packages"), "array<string>")
+    mono = F.coalesce(F.size(ws_list) > 0, F.lit(False)) | F.coalesce(F.size(ws_pkgs) > 0, F.lit(False))
+
+    def parsed(raw: Column) -> Column:
+        sections = [F.from_json(raw[s], "map<string,string>").alias(s) for s in SECTIONS]
+        is_object = raw["_corrupt_record"].isNull() & text.rlike(r"\A[ \t\r\n]*\{")
+        return F.when(is_object, F.struct(F.struct(*sections).alias("pkg"), mono.alias("is_monorepo")))
+
+    return let(F.from_json(text, PKG_SCHEMA), parsed)
+
+
+def repositories(files: DataFrame, locations: bool = False) -> DataFrame:
+    """One row per repository: status and ok (of ``package.json``; a null status: not fetched), pkg, is_monorepo (null if
+    no object), has_root_lockfile (some / none and all definitely absent / NULL), importers (rows of the lockfile's
+    importers mapping) and, with ``locations``, dep_lines.
+
+    One scan and one exchange; texts are parsed before it and don't move.
+    """
+    path, status = F.col("path"), F.col("status")
+    served = (status == 200) & F.col("text").isNotNull()
+    pkg, lock, root = path == PACKAGE, path == LOCKFILE, path.isin(*ROOT_LOCKFILES)
+    parsed = [
+        F.when(pkg & served, _package(F.col("text"))).alias("found"),
+        F.when(lock & served, LN.lockfile_keys(F.col("text"))).alias("importers"),
+    ]
+    firsts = ["importers"]
+    if locations:
+        parsed.append(F.when(pkg & served, LN.declared_lines(F.col("text"))).alias("dep_lines"))
+        firsts.append("dep_lines")
+    rows = files.select(
+        "repo_url", F.when(pkg, F.coalesce(status, F.lit(0))).alias("status"), *parsed,
+        (root & (status == 200)).alias("__present"), (root & ~status.isin(200, 404)).alias("__unclear"), root.alias("__root"),
+    )
+    state = rows.groupBy("repo_url").agg(
+        F.max("status").alias("status"), F.first("found", ignorenulls=True).alias("found"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in firsts],
+        F.bool_or("__present").alias("__present"), F.bool_or("__unclear").alias("__unclear"), F.bool_or("__root").alias("__root"),
+    )
+    lockfile = F.when(F.col("__present"), F.lit(True)).when(F.col("__root") & ~F.col("__unclear"), F.lit(False))
+    return state.select(
+        "repo_url", "status", F.col("found").isNotNull().alias("ok"), "found.pkg", "found.is_monorepo",
+        lockfile.alias("has_root_lockfile"), F.col("__root").alias("probed"), *firsts,
+    )
+
+
 def man_root_lockfile(files: DataFrame) -> DataFrame:
     """Per repo: any root lockfile present -> true; none and all definitive 404 -> false; else NULL."""
     f = files.where(F.col("path").isin(*ROOT_LOCKFILES))
@@ -40,43 +99,33 @@ def man_root_lockfile(files: DataFrame) -> DataFrame:
     return g.select("repo_url", F.when(F.col("__any"), F.lit(True)).when(F.col("__unknown"), F.lit(None).cast("boolean")).otherwise(F.lit(False)).alias("has_root_lockfile"))
 
 
-def package_json(files: DataFrame) -> DataFrame:
-    """Root ``package.json`` per repo: status, text, object-ness, parsed sections, monorepo flag."""
-    p = files.where(F.col("path") == "package.json").select("repo_url", "status", "text")
-    # JSON objects only; malformed text lands in the corrupt-record column. Duplicate keys
-    # are accepted with the last value winning (VARIANT parsing would reject them).
-    p = p.withColumn("raw", F.from_json("text", PKG_SCHEMA))
-    is_object = F.col("raw._corrupt_record").isNull() & F.col("text").rlike(r"\A[ \t\r\n]*\{")
-    sections = [F.from_json(F.col(f"raw.{s}"), "map<string,string>").alias(s) for s in SECTIONS]
-    p = p.withColumn("pkg", F.struct(*sections))
-    ws_list = F.from_json(F.get_json_object("text", "$.workspaces"), "array<string>")
-    ws_pkgs = F.from_json(F.get_json_object("text", "$.workspaces.packages"), "array<string>")
-    mono = F.coalesce(F.size(ws_list) > 0, F.lit(False)) | F.coalesce(F.size(ws_pkgs) > 0, F.lit(False))
-    return p.select(
-        "repo_url", "status", "text",
-        ((F.col("status") == 200) & F.coalesce(is_object, F.lit(False))).alias("ok"),
-        F.when(is_object, F.col("pkg")).alias("pkg"),
-        F.when(is_object, mono).alias("is_monorepo"),
-    )
-
-
 def man_is_monorepo(files: DataFrame) -> DataFrame:
-    return package_json(files).where("ok").select("repo_url", "is_monorepo")
+    return repositories(files).where("ok").select("repo_url", "is_monorepo")
 
 
 def lockfile_importers(files: DataFrame) -> DataFrame:
     """(repo_url, workspace, section, dep, line_no) from each fetched pnpm lockfile."""
-    lf = files.where((F.col("path") == "pnpm-lock.yaml") & (F.col("status") == 200) & F.col("text").isNotNull())
-    return LN.man_lockfile_importers(LN.to_lines(lf, KEYS), KEYS)
+    lf = files.where((F.col("path") == LOCKFILE) & (F.col("status") == 200) & F.col("text").isNotNull())
+    return LN.man_lockfile_importers(lf, KEYS)
 
 
-def set_union_dep_names(pkg: DataFrame) -> DataFrame:
-    """Distinct runtime + dev dependency names of single-package repos: (repo_url, name)."""
+def set_union_dep_names(repos: DataFrame) -> DataFrame:
+    """Distinct runtime + dev dependency names per repository with a parsed ``package.json``: (repo_url, name)."""
     names = F.array_union(
         F.coalesce(F.map_keys("pkg.dependencies"), F.array().cast("array<string>")),
         F.coalesce(F.map_keys("pkg.devDependencies"), F.array().cast("array<string>")),
     )
-    return pkg.where("ok").select("repo_url", F.explode(names).alias("name"))
+    return repos.where("ok").select("repo_url", F.explode(names).alias("name"))
+
+
+def _verdict() -> Column:
+    return (
+        F.when(F.col("status").isNull(), F.lit("unknown"))
+        .when(F.col("status") == 404, F.when(F.col("has_root_lockfile") == False, F.lit("not_js")).otherwise(F.lit("unknown")))  # noqa: E712
+        .when(~F.col("ok"), F.lit("unknown"))
+        .when(F.col("is_monorepo"), F.when(F.coalesce(F.size("importers") > 0, F.lit(False)), F.lit("set")).otherwise(F.lit("monorepo")))
+        .otherwise(F.lit("set"))
+    )
 
 
 def man_direct_deps(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,28 +135,16 @@ def man_direct_deps(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     names: (repo_url, name) direct dependency names for verdict 'set' repos
     (lockfile importers for monorepos with a lockfile, else the two root sections).
     """
-    pkg = package_json(files)
-    lock = man_root_lockfile(files)
-    imp = lockfile_importers(files).select("repo_url", F.col("dep").alias("name")).distinct()
-    lock_repos = imp.select("repo_url").distinct().withColumn("has_lock_deps", F.lit(True))
-    repos = files.select("repo_url").distinct()
-    j = repos.join(pkg, "repo_url", "left").join(lock, "repo_url", "left").join(lock_repos, "repo_url", "left")
-    verdict = (
-        F.when(F.col("status").isNull(), F.lit("unknown"))
-        .when(F.col("status") == 404, F.when(F.col("has_root_lockfile") == False, F.lit("not_js")).otherwise(F.lit("unknown")))  # noqa: E712
-        .when(~F.col("ok"), F.lit("unknown"))
-        .when(F.col("is_monorepo"), F.when(F.coalesce(F.col("has_lock_deps"), F.lit(False)), F.lit("set")).otherwise(F.lit("monorepo")))
-        .otherwise(F.lit("set"))
-    )
-    verdicts = j.select("repo_url", verdict.alias("verdict"), F.col("is_monorepo"))
-    single = set_union_dep_names(pkg.where(~F.coalesce(F.col("is_monorepo"), F.lit(False))))
-    mono_names = imp.join(pkg.where(F.col("is_monorepo") & F.col("ok")).select("repo_url"), "repo_url", "left_semi")
-    return verdicts, single.unionByName(mono_names).distinct()
+    repos = repositories(files)
+    single = set_union_dep_names(repos.where(~F.coalesce(F.col("is_monorepo"), F.lit(False))))
+    deps = F.array_distinct(F.transform("importers", lambda x: x["dep"]))
+    mono = repos.where(F.col("is_monorepo") & F.col("ok")).select("repo_url", F.explode(deps).alias("name"))
+    return repos.select("repo_url", _verdict().alias("verdict"), "is_monorepo"), single.unionByName(mono)
 
 
 def man_bench_signal(files: DataFrame) -> DataFrame:
     """(repo_url, has_benchmarks, bench_signal); first rule that matches wins, unreachable -> (false, NULL)."""
-    pkg = package_json(files)
+    repos = repositories(files)
     scripts = F.col("pkg.scripts")
     by_name = F.get(F.filter(F.map_keys(scripts), lambda k: F.lower(k).contains("bench")), 0)
     by_cmd = F.get(
@@ -122,14 +159,14 @@ def man_bench_signal(files: DataFrame) -> DataFrame:
         .when(by_cmd.isNotNull(), F.concat(F.lit("script-cmd:"), by_cmd))
         .when(lib.isNotNull(), F.concat(F.lit("devDep:"), lib))
     )
-    out = pkg.select("repo_url", F.when(F.col("ok"), signal).alias("bench_signal"))
+    out = repos.select("repo_url", F.when(F.col("ok"), signal).alias("bench_signal"))
     return out.select("repo_url", F.col("bench_signal").isNotNull().alias("has_benchmarks"), "bench_signal")
 
 
 def man_dep_lines(files: DataFrame) -> DataFrame:
     """(repo_url, name, line) of every dependency declared in a root ``package.json``."""
     p = files.where((F.col("path") == "package.json") & (F.col("status") == 200) & F.col("text").isNotNull())
-    return LN.man_dep_lines(LN.to_lines(p, KEYS), KEYS)
+    return LN.man_dep_lines(p, KEYS)
 
 
 def man_dep_locations(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -140,23 +177,16 @@ def man_dep_locations(requests: DataFrame, files: DataFrame) -> DataFrame:
     packages: the root ``package.json`` line. Unreachable or unparseable
     manifests and names not found give no row.
     """
-    pkg = package_json(files).where("ok").select("repo_url", "is_monorepo")
-    req = requests.join(pkg, "repo_url")
-    imp = lockfile_importers(files)
-    ws_file = F.when(F.col("workspace").isin("", "."), F.lit("package.json")).otherwise(
-        F.concat(F.regexp_replace("workspace", "/+$", ""), F.lit("/package.json"))
-    )
-    mono = (
-        req.where(F.col("is_monorepo"))
-        .join(imp.select("repo_url", F.col("dep").alias("name"), ws_file.alias("file"), "line_no"), ["repo_url", "name"])
-        .groupBy("repo_url", "name", "file").agg(F.min("line_no").alias("pos"))
-        .select("repo_url", "name", "pos", F.struct("file", F.lit(None).cast("int").alias("line")).alias("loc"))
+    ws_file = lambda w: F.when(w.isin("", "."), F.lit(PACKAGE)).otherwise(
+        F.concat(F.regexp_replace(w, "/+$", ""), F.lit(f"/{PACKAGE}"))
     )
-    single = (
-        req.where(~F.col("is_monorepo"))
-        .join(man_dep_lines(files), ["repo_url", "name"])
-        .select("repo_url", "name", F.col("line").alias("pos"), F.struct(F.lit("package.json").alias("file"), F.col("line")).alias("loc"))
+    place = lambda name, file, line, pos: F.struct(
+        name.alias("name"), F.struct(file.alias("file"), line.alias("line")).alias("loc"), pos.alias("pos")
     )
-    both = mono.unionByName(single)
-    g = both.groupBy("repo_url", "name").agg(F.sort_array(F.collect_list(F.struct("pos", "loc"))).alias("__l"))
+    mono = F.transform("importers", lambda x: place(x["dep"], ws_file(x["workspace"]), F.lit(None).cast("int"), x["line_no"]))
+    single = F.transform("dep_lines", lambda x: place(x["name"], F.lit(PACKAGE), x["line_no"], x["line_no"]))
+    repos = repositories(files, locations=True).where("ok")
+    declared = first_of_each(F.when(F.col("is_monorepo"), mono).otherwise(single), "name", "loc")
+    found = requests.join(repos.select("repo_url", F.inline(declared)), ["repo_url", "name"])
+    g = found.groupBy("repo_url", "name").agg(F.sort_array(F.collect_list(F.struct("pos", "loc"))).alias("__l"))
     return g.select("repo_url", "name", F.transform("__l", lambda x: x["loc"]).alias("locations"))

@@ -181,3 +181,86 @@ def test_replacement_manifest_document(spark):
     assert (a.to_purls, a.axis, a.effort, a.manifest_line) == (["pkg:npm/better-num"], "perf", "minor-migration", 3)
     assert (b.to_purls, b.effort, b.manifest_line) == (["pkg:npm/<native>"], "drop-in", 8)
     assert b.evidence.citation_url.endswith("preferred.json#L8") and a.id == "e18e:preferred.json:is-number"
+
+
+LOCKS = {
+    "four": "importers:\n    .:\n        dependencies:\n            a: 1\n            'b c':\n                specifier: ^8\n    p/x:\n        devDependencies: {c: 1.0, \"d:e\": {v: 2}, bare}\n",
+    "mixed": "a: [1, {b: c}]\nimporters:\n  \".\":\n   dependencies:  # own indent\n       '@s/a': {specifier: ^1, version: 1.0.0(react@18)}\n  p/x: {devDependencies: {b: 1,\n    # a comment\n    c: 'it''s'}}\n",
+    "flow": "{lockfileVersion: '9', importers: {.: {dependencies: {a: {specifier: 1}, b: [x, y]}}, p: {optionalDependencies: {o: 1}, other: {z: 1}}}}",
+    "json": '{"importers": {".": {"dependencies": {"a":1,"b":{"k":[1,2]}}}}}',
+    "scalars": "note: |\n  importers:\n   .: x\nimporters:\n  .:\n    dependencies:\n      a: >-\n        text: x\n      b: 'over\n        lines: x'\n      c: plain\n        more\n      ? d\n      : 1\r\n",
+    "lists": "importers:\n  .:\n    dependencies:\n    - a: 1\n      b: 2\n    devDependencies:\n      k: 1\npackages:\n- x\n- y: 1\n",
+    "anchors": "importers:\n  .: &one\n    dependencies: &two\n      a: !!str 1\n      <<: *two\n",
+    "empty_section": "importers:\n  .:\n    dependencies: {}\n    devDependencies:\n  p:\n    dependencies:\n      a: 1\n",
+    # Not valid:
+    "indent": "importers:\n    .:\n        dependencies:\n            a: 1\n      b: 2\n",
+    "unclosed": "importers: {a: {dependencies: {b: 1}}\n",
+    "mismatch": "importers: {a: {dependencies: {b: 1]}}\n",
+    "two_values": "importers:\n  .:\n    dependencies:\n      a: b: c\n",
+    "two_documents": "importers:\n  .:\n    dependencies:\n      a: 1\n---\nx: 1\n",
+    "tab": "importers:\n\t.:\n\t\tdependencies: {a: 1}\n",
+    "open_quote": "importers:\n  .:\n    dependencies:\n      a: 'x\n",
+    # No lockfile:
+    "list": "- importers\n- a: 1\n", "text": "importers", "blank": "", "other": "importers: 1\n",
+}
+
+
+def test_lockfiles_in_any_style(spark):
+    f = _files(spark, [(k, "pnpm-lock.yaml", 200, v) for k, v in LOCKS.items()] + [("none", "pnpm-lock.yaml", 200, None)])
+    got = {}
+    for r in MF.lockfile_importers(f).collect():
+        got.setdefault(r.repo_url, []).append((r.workspace, r.section[0], r.dep, r.line_no))
+    assert got == {
+        "four": [(".", "d", "a", 4), (".", "d", "b c", 5), ("p/x", "d", "c", 8), ("p/x", "d", "d:e", 8), ("p/x", "d", "bare", 8)],
+        "mixed": [(".", "d", "@s/a", 5), ("p/x", "d", "b", 6), ("p/x", "d", "c", 8)],
+        "flow": [(".", "d", "a", 1), (".", "d", "b", 1), ("p", "o", "o", 1)],
+        "json": [(".", "d", "a", 1), (".", "d", "b", 1)],
+        "scalars": [(".", "d", "a", 7), (".", "d", "b", 9), (".", "d", "c", 11), (".", "d", "d", 13)],
+        "lists": [(".", "d", "k", 7)],
+        "anchors": [(".", "d", "a", 4)],
+        "empty_section": [("p", "d", "a", 7)],
+    }
+    # A broken lockfile leaves a monorepo's dependencies unknown.
+    mono = json.dumps({"workspaces": ["a"]})
+    both = f.unionByName(_files(spark, [(k, "package.json", 200, mono) for k in LOCKS]))
+    verdicts, names = MF.man_direct_deps(both)
+    assert {r.repo_url for r in verdicts.collect() if r.verdict == "set"} == set(got)
+    assert {r.name for r in names.collect() if r.repo_url == "mixed"} == {"@s/a", "b", "c"}
+
+
+def test_lockfile_chunks_change_nothing(spark):
+    from ranktide.operators.yaml_keys import yaml_keys
+
+    f = _files(spark, [(k, "p", 200, v) for k, v in LOCKS.items()])
+    pick = lambda keys, line: F.struct(F.array_join(keys, "/", "?").alias("k"), line.alias("n"))
+    out = f.select(*[yaml_keys(F.col("text"), "struct<k:string,n:int>", pick, chunk).alias(f"c{chunk}") for chunk in (1, 3, 256)])
+    assert all(r["c1"] == r["c3"] == r["c256"] for r in out.collect())
+
+
+def test_a_giant_manifest_is_folded_in_its_row(spark):
+    n = 20_000
+    text = '{\n  "dependencies": {\n' + ",\n".join(f'    "p{i % 15_000}": "1"' for i in range(n)) + "\n  }\n}"
+    f = _files(spark, [("r", "package.json", 200, text)])
+    out = MF.man_dep_lines(f)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["name"]: r["line"] for r in out.collect()}
+    assert got == {f"p{i}": i + 3 for i in range(15_000)}
+
+
+def test_one_scan_and_one_exchange_make_a_repositorys_state(spark, tmp_path):
+    rows = [("r", "package.json", 200, PKG), ("r", "yarn.lock", 404, None), ("m", "package.json", 200, json.dumps({"workspaces": ["a"]})),
+            ("m", "pnpm-lock.yaml", 200, LOCK), ("x", "yarn.lock", 500, None)]
+    _files(spark, rows).write.parquet(str(tmp_path / "files"))
+    verdicts, _ = MF.man_direct_deps(spark.read.parquet(str(tmp_path / "files")))
+    plan = verdicts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange ") <= 1 and plan.count("FileScan") == 1 and "Join" not in plan
+    assert {r.repo_url: r.verdict for r in verdicts.collect()} == {"r": "set", "m": "set", "x": "unknown"}
+
+
+def test_first_of_each(spark):
+    from ranktide.operators.folds import first_of_each
+
+    items = [("b", 1, "x"), ("a", 1, "y"), ("b", 1, "z"), (None, 1, "n"), ("b", 2, "q"), (None, 1, "m"), ("a", 1, "w")]
+    df = spark.createDataFrame([(items,), ([],), (None,)], "l array<struct<k:string,n:int,v:string>>")
+    got = [r[0] for r in df.select(first_of_each(F.col("l"), "k", "n")).collect()]
+    assert [x["v"] for x in got[0]] == ["x", "y", "n", "q"] and got[1] == [] and got[2] is None

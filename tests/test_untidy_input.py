@@ -51,8 +51,8 @@ def test_manifest_sections_are_read_one_by_one(spark, text, verdict, names):
 
 def test_header_lines_are_no_dependencies(spark):
     text = '{\n  "dependencies": {},\n  "devDependencies": {\n    "a": "1"\n  }\n}'
-    lines = LN.to_lines(spark.createDataFrame([(1, text)], "k int, text string"), ["k"])
-    assert "devDependencies" not in {r["name"] for r in LN.man_dep_lines(lines, ["k"]).collect()}
+    docs = spark.createDataFrame([(1, text)], "k int, text string")
+    assert "devDependencies" not in {r["name"] for r in LN.man_dep_lines(docs, ["k"]).collect()}
 
 
 def test_one_row_a_repository(spark):

@@ -96,7 +96,8 @@ SELECT {_FLAT_COLS} FROM (
   SELECT x.* FROM ({_flat_rows_sql(False)}) x
   JOIN (SELECT id AS did FROM (
           SELECT id, row_number() OVER (PARTITION BY sev_rank ORDER BY page_pos, id) AS prn
-          FROM (SELECT DISTINCT id, sev_rank, page_pos FROM flat_docs)) WHERE prn <= 100) d ON d.did = x.id
+          FROM (SELECT DISTINCT id, page_pos, CASE lower(severity) WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS sev_rank
+                FROM nested_flat WHERE lower(severity) IN ('critical', 'high', 'medium'))) WHERE prn <= 100) d ON d.did = x.id
   ORDER BY sev_rank, page_pos, id, vuln_pos LIMIT 400
 )"""
 

@@ -135,7 +135,7 @@ _LANDED = "2026-01-01"
                                    [MART_SQL_CORE, STATE_SQL_CORE, QF._REG_SQL, QF._PRIM_SQL, QF._TIER_SQL]))
 def aud_runner(spark, sf):
     """Every audit attached to the staging models and marts: (audit, model, violations)."""
-    # Every model is written once; all its audits read that.
+    # Every model is written once and read once by its audits.
     adv, proj, tr = (cut_lineage(f(spark, sf)) for f in (B.advisories, B.projects, B.transitions))
     mart = cut_lineage(M.mart_opportunities(adv, proj, DEFAULT_AS_OF))
     state = cut_lineage(M.mart_opportunity_state(mart, adv, tr, DEFAULT_AS_OF))
@@ -144,4 +144,8 @@ def aud_runner(spark, sf):
         F.concat(F.lit("pkg:npm/"), F.col("parent")).alias("parent_purl"), F.col("purl").alias("dependent_purl"), landed.alias("ingest_date")
     )
     repl = B.replacements(spark, sf).select("id", "from_purl", "axis", "effort", landed.alias("ingest_date"))
-    return A.run_audits(A.mart_audits(mart, state, proj, adv, tr, cut_lineage(tiered), cut_lineage(repl)))
+    models = {
+        "staging.advisories": adv, "staging.projects": proj, "staging.opportunity_transitions": tr, "staging.dependents": cut_lineage(tiered),
+        "staging.replacements": cut_lineage(repl), "marts.opportunities": mart, "marts.opportunity_state": state,
+    }
+    return A.run_audits(A.model_audits(models), models)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ranktide.catalog import sqlfn as Q
@@ -13,6 +15,7 @@ from ranktide.functions.util import ts_ntz
 from ranktide.operators import aggregates as AG
 from ranktide.operators import windows as W
 from ranktide.plans import fanout as FO
+from ranktide.session import checkpoint_dir
 from ranktide.sources import bridge as B
 from ranktide.sources import dependents as D
 from ranktide.sources import lookups as L
@@ -232,10 +235,14 @@ SELECT system, name, iso_week, CAST(len(payload) AS BIGINT) AS payload_size, wri
 WHERE rn = 1""", [_REG_SQL, _PRIM_SQL, _TIER_SQL]),
 )
 def cache_upsert(spark, sf):
-    """Live tier results written back for this week: insert-or-replace, newest written_at wins."""
-    t = _tiered(spark, sf)
-    new = D.new_cache_rows(t, CACHE_WEEK, ts_ntz("2024-02-01 00:00:00"))
-    u = D.cache_upsert(B.dependents_cache(spark, sf), new)
+    """Live tier results written back for this week: insert-or-replace, newest written_at wins.
+
+    The cache is a bucketed table: its rows so far are one write, this week's the next; the result is read back.
+    """
+    table = D.cache_table(spark, f"{checkpoint_dir(spark).rstrip('/')}/dependents-cache-{uuid.uuid4().hex}")
+    D.cache_upsert(table, B.dependents_cache(spark, sf))
+    D.cache_upsert(table, D.new_cache_rows(_tiered(spark, sf), CACHE_WEEK, ts_ntz("2024-02-01 00:00:00")))
+    u = table.read()
     return u.select("system", "name", "iso_week", F.size("payload").cast("bigint").alias("payload_size"), "written_at")
 
 

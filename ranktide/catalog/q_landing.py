@@ -30,6 +30,7 @@ from ranktide.session import DEFAULT_AS_OF, cut_lineage
 from ranktide.sources import advisories as ADV
 from ranktide.sources import bridge as B
 from ranktide.sources import landing as LD
+from ranktide.sources import versions as V
 from ranktide.sources import replacements as RP
 from ranktide.streaming.incremental import run_incremental
 
@@ -225,21 +226,19 @@ def inc_time_range(spark, sf):
 
 @register("mart_full_refresh", with_views(["advisories", "projects"], MART_FLAT_SELECT, [MART_SQL_CORE]))
 def mart_full_refresh(spark, sf):
-    """Mart rebuilt in full: a first build on a partial range, then a full rebuild over it, read back.
+    """All models rebuilt in full, audited and published together: a first build on a partial range, then one over all dates.
 
-    A build that violates the mart's audits never replaces the table.
+    A build that violates any audit never becomes visible.
     """
     root = LD.scratch_root(spark, "mart")
-    LD.land_partitioned(B.advisories(spark, sf), root, "advisories")
-    LD.land_partitioned(B.projects(spark, sf), root, "projects")
-    path = f"{root}/marts/opportunities"
+    sources = {"advisories": B.advisories, "projects": B.projects, "opportunity_transitions": B.transitions}
+    for name, source in sources.items():
+        LD.land_partitioned(source(spark, sf), root, name)
+    versions = V.Versions(spark, f"{root}/models")
     for end in ("1997-12-31", "2100-12-31"):
-        adv = LD.stage(spark, root, "advisories", "1900-01-01", end)
-        proj = LD.stage(spark, root, "projects", "1900-01-01", end)
-        mart = cut_lineage(M.mart_opportunities(adv, proj, DEFAULT_AS_OF))
-        A.assert_audits(A.mart_audits(mart, None, proj, None, None))
-        LD.write_full(_flat_mart(mart), path)
-    return spark.read.parquet(path)
+        staged = {n: LD.stage(spark, root, n, "1900-01-01", end) for n in sources}
+        V.write_audit_publish(versions, M.models(staged, DEFAULT_AS_OF), A.block)
+    return _flat_mart(V.read_model(versions, "marts.opportunities"))
 
 
 # ---- publishing -----------------------------------------------------------------------------

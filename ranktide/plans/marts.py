@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranktide.functions import scoring as S
 from ranktide.functions.util import as_col, ts_ntz
 from ranktide.operators import windows as W
-from ranktide.session import DEFAULT_AS_OF
+from ranktide.session import DEFAULT_AS_OF, cut_lineage
+from ranktide.sources.versions import BucketedTable
 
 VULN_KIND = "vulnerability-fix"
 
@@ -73,6 +77,48 @@ def agg_lifecycle(advisories: DataFrame) -> DataFrame:
     )
 
 
+LIFECYCLE = "project_purl string, id string, days array<int>"
+
+
+def lifecycle_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketedTable:
+    """The mergeable state of ``agg_lifecycle``: per (project, id) the ordered set of days that it was landed on."""
+    return BucketedTable(spark, path, LIFECYCLE, ["project_purl", "id"], buckets)
+
+
+def update_lifecycle(table: BucketedTable, landed: DataFrame, dates: Sequence[date]) -> int:
+    """Bring the state up to date after ``dates`` were landed, or landed again (with other rows, or none).
+
+    ``landed`` is read on these dates only. A key's days on other dates stay; on
+    these dates they become what is landed now. Buckets are written that hold a
+    key landed on them, or one that was before.
+    """
+    days = sorted({(d - date(1970, 1, 1)).days for d in dates})
+    if not days:
+        return table.versions.current()[0]
+    day = F.date_diff("ingest_date", F.lit("1970-01-01").cast("date"))
+    fresh = landed.where(F.col("ingest_date").isin(*sorted(set(dates)))).groupBy("project_purl", "id")
+    fresh = cut_lineage(fresh.agg(F.array_sort(F.collect_set(day)).alias("days")))  # at most as many as ``dates``
+    renewed = F.array(*[F.lit(d) for d in days])
+
+    def touched(rows: DataFrame) -> DataFrame:
+        return rows.where(F.arrays_overlap("days", renewed)).select(*table.key).unionByName(fresh.select(*table.key))
+
+    def combine(rows: DataFrame) -> DataFrame:
+        kept = rows.withColumn("days", F.array_except("days", renewed))
+        both = kept.unionByName(fresh).groupBy(*table.key).agg(F.array_sort(F.flatten(F.collect_list("days"))).alias("days"))
+        return both.where(F.size("days") > 0)
+
+    return table.update(touched, combine)
+
+
+def read_lifecycle(table: BucketedTable) -> DataFrame:
+    """What ``agg_lifecycle`` gives over all dates landed so far."""
+    on = lambda i: F.date_add(F.lit("1970-01-01").cast("date"), F.element_at("days", i))
+    return table.read().select(
+        "project_purl", "id", on(1).alias("first_seen"), on(-1).alias("last_seen"), F.size("days").cast("bigint").alias("partition_count")
+    )
+
+
 def join_lifecycle(opps: DataFrame, lifecycle: DataFrame) -> DataFrame:
     l = lifecycle.withColumnRenamed("project_purl", "l_purl").withColumnRenamed("id", "l_id")
     return opps.join(l, (opps.project_purl == l.l_purl) & (opps.id == l.l_id), "left")
@@ -85,10 +131,26 @@ def join_latest_transition(df: DataFrame, latest_transitions: DataFrame) -> Data
     return df.join(t, df.dedupe_key == t.t_key, "left")
 
 
-def mart_opportunity_state(opportunities: DataFrame, advisories: DataFrame, transitions: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """Lifecycle (first/last seen, partition count) + newest transition state per dedupe key."""
+def models(staged: dict[str, DataFrame], as_of: str = DEFAULT_AS_OF) -> dict:
+    """The staging models and the marts over them, in the order in which they are built; marts are functions of what was
+    built before."""
+    adv, proj, tr = "staging.advisories", "staging.projects", "staging.opportunity_transitions"
+    return {f"staging.{name}": df for name, df in staged.items()} | {
+        "marts.opportunities": lambda m: mart_opportunities(m[adv], m[proj], as_of),
+        "marts.opportunity_state": lambda m: mart_opportunity_state(m["marts.opportunities"], m[adv], m[tr], as_of),
+    }
+
+
+def mart_opportunity_state(
+    opportunities: DataFrame, advisories: DataFrame | None, transitions: DataFrame, as_of: str = DEFAULT_AS_OF,
+    lifecycle: DataFrame | None = None,
+) -> DataFrame:
+    """Lifecycle (first/last seen, partition count) + newest transition state per dedupe key.
+
+    ``lifecycle`` is that of a kept state (``read_lifecycle``); without it all advisories are aggregated.
+    """
     o = opportunities.select("id", "dedupe_key", "kind", "project_purl")
-    lc = agg_lifecycle(advisories.select("project_purl", "id", "ingest_date"))
+    lc = lifecycle if lifecycle is not None else agg_lifecycle(advisories.select("project_purl", "id", "ingest_date"))
     lt = W.win_latest_transition(transitions)
     j = join_latest_transition(join_lifecycle(o, lc), lt)
     return j.select(

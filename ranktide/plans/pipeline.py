@@ -83,7 +83,8 @@ def agg_by_project(findings: DataFrame) -> DataFrame:
 
 # ---- hydrate + eligibility --------------------------------------------------------------------
 
-def hydrate_projects(by_project: DataFrame, downloads: DataFrame, repo_meta: DataFrame, bench: DataFrame | None = None) -> DataFrame:
+def hydrate_projects(by_project: DataFrame, downloads: DataFrame, repo_meta: DataFrame, bench: DataFrame | None = None,
+                     ecosystem: str = "npm") -> DataFrame:
     """Attach downloads (by short name), repository metadata (by repo URL) and bench info.
 
     Unknown repo -> not archived, no merge time, no SHA. Bench info is read only
@@ -107,7 +108,7 @@ def hydrate_projects(by_project: DataFrame, downloads: DataFrame, repo_meta: Dat
         p = p.withColumn("__bh", F.lit(None).cast("boolean")).withColumn("__bs", F.lit(None).cast("string"))
     return p.select(
         F.col("project_purl").alias("purl"),
-        F.lit("npm").alias("ecosystem"),
+        F.lit(ecosystem).alias("ecosystem"),
         F.col("name"),
         F.col("repo_url"),
         F.lit(None).cast("bigint").alias("stars"),
@@ -294,7 +295,7 @@ def agg_selected_summary(all_briefs: DataFrame, selected: DataFrame) -> DataFram
 def rank_briefs(advisories: DataFrame, fan: DataFrame, downloads: DataFrame, repo_meta: DataFrame,
                 as_of: str = DEFAULT_AS_OF, floor: int = MIN_WEEKLY_DOWNLOADS, bench: DataFrame | None = None,
                 locations: DataFrame | None = None, max_opps: int = MAX_OPPS_PER_PROJECT,
-                stage: Callable[[DataFrame], DataFrame] = lambda d: d) -> dict[str, DataFrame]:
+                stage: Callable[[DataFrame], DataFrame] = lambda d: d, ecosystem: str = "npm") -> dict[str, DataFrame]:
     """Filtered advisories + verified fan-out pairs -> every intermediate of the ranking.
 
     ``stage`` is applied at the two natural boundaries (hydrated projects,
@@ -306,7 +307,7 @@ def rank_briefs(advisories: DataFrame, fan: DataFrame, downloads: DataFrame, rep
     ff = fan_findings(fan)
     findings = set_union_findings(vf, ff)
     by_project = agg_by_project(findings)
-    projects = stage(hydrate_projects(by_project, downloads, repo_meta, bench))
+    projects = stage(hydrate_projects(by_project, downloads, repo_meta, bench, ecosystem))
     ok = eligible_projects(projects, floor)
     ov = opp_vulnerability(vf, ok, as_of)
     orp = opp_replacement(ff, ok, as_of, locations)

@@ -1,10 +1,9 @@
 """Publishing briefs: a ``briefs`` table partitioned by ecosystem, read back with a fixed schema.
 
-Writing the run's selection with *dynamic* partition overwrite on
-``ecosystem`` replaces that ecosystem's documents in one operation: briefs
-selected again are overwritten and briefs not selected this run disappear
-(the sweep). An empty selection has no partition to overwrite, so that case
-writes an empty, schema-bearing file into the ecosystem folder explicitly.
+A run's selection replaces its ecosystem's folder in one write: briefs selected
+again are overwritten and briefs not selected this run disappear (the sweep). The
+write is one code path, also for an empty selection, which leaves an empty file
+with the schema.
 """
 
 from __future__ import annotations
@@ -35,13 +34,9 @@ FRONTMATTER_SCHEMA = (
 
 
 def snk_briefs(rendered: DataFrame, path: str, ecosystem: str = "npm") -> None:
-    """Write this run's briefs of ``ecosystem``: overwrite + sweep in one dynamic-overwrite write."""
-    out = rendered.where(F.col("ecosystem") == ecosystem).select(*[f.name for f in BRIEFS_SCHEMA.fields])
-    if out.isEmpty():  # a one-row probe, not a collect
-        empty = out.sparkSession.createDataFrame([], BRIEFS_SCHEMA).drop("ecosystem")
-        empty.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/ecosystem={ecosystem}")
-        return
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ecosystem").parquet(path)
+    """Write this run's briefs of ``ecosystem``: overwrite + sweep in one write of its folder."""
+    out = rendered.where(F.col("ecosystem") == ecosystem).select(*[f.name for f in BRIEFS_SCHEMA.fields if f.name != "ecosystem"])
+    out.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path.rstrip('/')}/ecosystem={ecosystem}")
 
 
 def src_briefs_read(spark: SparkSession, path: str) -> DataFrame:

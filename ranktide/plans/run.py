@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranktide.functions.strings import NPM_PREFIX, purl_name
+from ranktide.functions.strings import purl_name
 from ranktide.operators import filters as FL
 from ranktide.operators import windows as W
 from ranktide.plans import fanout as FO
@@ -70,10 +70,10 @@ def candidates(landed: Landed, options: Options) -> DataFrame:
 
 
 def filtered_advisories(landed: Landed, ecosystem: str = "npm") -> DataFrame:
-    """Unpatched advisories of one ecosystem without a patched sibling, whose range holds the latest version."""
-    flat = ADV.flt_sibling_patched(ADV.flatten(landed.advisories, only_unpatched=True))
-    flat = flat.where(F.col("project_purl").startswith(f"pkg:{ecosystem}/"))
-    return FL.flt_outdated(flat, L.src_latest_version(landed.registry))
+    """Unpatched advisories of one ecosystem without a patched sibling; of npm's those whose range holds the latest
+    version (the registry knows no other ecosystem's packages)."""
+    flat = ADV.flt_sibling_patched(ADV.flatten(landed.advisories, ecosystem=ecosystem, only_unpatched=True))
+    return FL.flt_outdated(flat, L.src_latest_version(landed.registry)) if ecosystem == "npm" else flat
 
 
 def run(
@@ -93,6 +93,7 @@ def run(
     out = P.rank_briefs(
         advisories, fan, landed.downloads, L.src_repo_meta(landed.repo_meta), options.as_of, options.min_weekly_downloads,
         bench=MF.man_bench_signal(files), locations=locations, stage=stage,
+        ecosystem=options.ecosystem,
     )
     out |= {"advisories": advisories, "fan": fan, "locations": locations}
     out["selected"] = P.top_axis_quota(out["briefs"], options.top_n)
@@ -105,7 +106,7 @@ def land(found: dict[str, DataFrame], landed: Landed, root: str, ingest_date: st
     """Land a run's projects, advisories, replacements and dependents as one snapshot date."""
     edges = W.win_dedupe_first(
         found["fan"].select(
-            F.concat(F.lit(NPM_PREFIX), purl_name("from_purl")).alias("parent_purl"), F.col("dep_purl").alias("dependent_purl"),
+            F.col("from_purl").alias("parent_purl"), F.col("dep_purl").alias("dependent_purl"),
             F.col("dep_name").alias("dependent_name"), F.col("dep_repo_url").alias("dependent_repo_url"),
             F.col("dep_lifetime_downloads").alias("dependent_lifetime_downloads"), "seq",
         ),

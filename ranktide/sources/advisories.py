@@ -9,7 +9,7 @@ so it needs no window or shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,10 +44,6 @@ NESTED_SCHEMA = T.StructType([
 SEVERITY_ORDER = ("critical", "high", "medium")
 
 
-def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(NESTED_SCHEMA).json(path)
-
-
 def cvss_pick(doc: Column | None = None) -> Column:
     """v4 score, else v3, else legacy; a score of 0 counts as missing."""
     def nz(c: Column) -> Column:
@@ -88,11 +84,12 @@ def flatten(
         F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.lower(F.col("severity"))).cast("int"),
         F.lit(len(SEVERITY_ORDER) + 1),
     )
-    d = docs.where(F.col("withdrawn_at").isNull() | (F.col("withdrawn_at") == ""))
-    d = d.where(F.lower(F.col("severity")).isin(*SEVERITY_ORDER))
+    d = docs.where(F.lower(F.col("severity")).isin(*SEVERITY_ORDER))
     d = d.withColumn("sev_rank", sev_rank)
     if per_page is not None:
         d = top_k_per_group(d, ["sev_rank"], [F.col(page_order).asc(), F.col("ghsa_id").asc()], per_page)
+    # A withdrawn document takes its place on the page.
+    d = d.where(F.col("withdrawn_at").isNull() | (F.col("withdrawn_at") == ""))
     d = d.withColumn("has_patched_sibling_doc", sibling_patched())
     x = d.select("*", F.posexplode_outer("vulnerabilities").alias("vuln_pos", "v"))
     fixed = x["v.first_patched_version"]

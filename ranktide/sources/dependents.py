@@ -10,11 +10,13 @@ before the shuffle), so a hot parent never ships all of its edges to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranktide.operators.filters import NPM_NAME_PATTERN
 from ranktide.operators.windows import top_k_per_group
+from ranktide.session import cut_lineage
+from ranktide.sources.versions import BucketedTable
 
 EDGE_COLS = ["parent", "name", "purl", "repo_url", "lifetime_downloads", "rank"]
 
@@ -24,6 +26,12 @@ DEFAULT_TOP_K = 5
 TIER_CACHE, TIER_PRIMARY, TIER_FALLBACK = 0, 1, 2
 # End of fixed values.
 
+CACHE_COLUMNS = ["system", "name", "iso_week", "payload", "written_at"]
+CACHE_DDL = (
+    "system string, name string, iso_week string, "
+    "payload array<struct<name:string,purl:string,repo_url:string,lifetime_downloads:bigint>>, written_at timestamp_ntz"
+)
+
 
 def _only(df: DataFrame, col: str, parents: DataFrame | None) -> DataFrame:
     """Restrict edges to the requested parents before any ranking.
@@ -103,14 +111,24 @@ def cache_lookup(cache: DataFrame, requests: DataFrame, week: str, system: str =
     return j.withColumn("hit", F.col("__cname").isNotNull()).drop("__cname")
 
 
-def cache_upsert(cache: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """Insert-or-replace on (system, name, iso_week): newest ``written_at`` wins.
+def cache_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketedTable:
+    """The cache as a table that persists, in buckets by (system, name)."""
+    return BucketedTable(spark, path, CACHE_DDL, ["system", "name"], buckets)
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """One row a (system, name, iso_week): the newest ``written_at`` wins."""
+    return top_k_per_group(rows, ["system", "name", "iso_week"], [F.col("written_at").desc()], 1)
+
+
+def cache_upsert(table: BucketedTable, new_rows: DataFrame) -> int:
+    """Insert-or-replace on (system, name, iso_week): newest ``written_at`` wins. The version that has them.
 
-    The caller writes the result to a *fresh* path partitioned by ``iso_week``
-    and swaps it in; never overwrite the path being read.
+    Only buckets with a new row are read and written. Two writers may run at once;
+    what one of them has published is merged into the other's.
     """
-    u = cache.unionByName(new_rows)
-    return top_k_per_group(u, ["system", "name", "iso_week"], [F.col("written_at").desc()], 1)
+    new = cut_lineage(new_rows.select(*CACHE_COLUMNS))  # a writer that has to begin again doesn't fetch again
+    return table.update(lambda rows: new.select("system", "name"), lambda rows: newest(rows.unionByName(new)))
 
 
 def cached_edges(cache_hits: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:

@@ -43,3 +43,26 @@ def test_options(landed):
     more = R.candidates(landed, replace(QP.OPTIONS, fanout_top_n=None))
     assert more.count() > R.candidates(landed, replace(QP.OPTIONS, fanout_top_n=5)).count() > 0
     assert more.select(F.max("dep_rank")).first()[0] <= QP.OPTIONS.dependents
+
+
+def test_another_ecosystem(spark, landed):
+    """Documents of another ecosystem give its briefs, labelled so; npm's registry has no say in them."""
+    package = F.transform("vulnerabilities", lambda v: v.withField("package", v["package"].withField("ecosystem", F.lit("PyPI"))))
+    other = replace(landed, advisories=landed.advisories.withColumn("vulnerabilities", package))
+    options = replace(QP.OPTIONS, ecosystem="pypi", include_replacements=False, min_weekly_downloads=0)
+    out = R.run(other, options)
+    found = out["advisories"]
+    assert found.count() > 0 and found.where(~F.col("project_purl").startswith("pkg:pypi/")).count() == 0
+    assert {r["ecosystem"] for r in out["projects"].select("ecosystem").distinct().collect()} == {"pypi"}
+    assert out["selected"].count() == options.top_n
+    assert R.run(other, replace(options, ecosystem="npm"))["selected"].count() == 0
+
+
+def test_withdrawn_documents_take_their_place_on_the_page(spark, landed):
+    from ranktide.sources import advisories as ADV
+
+    docs = landed.advisories
+    page = ADV.flatten(docs, per_page=5).select("id").distinct().count()
+    gone = docs.withColumn("withdrawn_at", F.lit("2001-01-01T00:00:00Z"))
+    assert ADV.flatten(gone, per_page=5).count() == 0
+    assert ADV.flatten(docs.withColumn("withdrawn_at", F.lit(None).cast("string")), per_page=5).select("id").distinct().count() >= page

@@ -97,7 +97,8 @@ def test_a_bad_mart_is_blocked(spark):
     projects = spark.createDataFrame([("p", "npm", "n", True, dt.date(2024, 1, 1))], "purl string, ecosystem string, name string, archived boolean, ingest_date date")
     fields = "id string, kind string, project_purl string, dedupe_key string, score double"
     good = spark.createDataFrame([("i", "k", "q", "q|i", 0.5)], fields)
-    assert all(n == 0 for *_, n in A.assert_audits(A.mart_audits(good, None, projects, None, None)))
+    models = lambda mart: {"marts.opportunities": mart, "staging.projects": projects}
+    assert all(n == 0 for *_, n in A.assert_audits(A.model_audits(models(good)), models(good)))
     for bad in [("i", "k", "q", "q|i", 1.5), ("i", None, "q", "q|i", 0.5), ("i", "k", "p", "p|i", 0.5)]:
         with pytest.raises(AssertionError):
-            A.assert_audits(A.mart_audits(spark.createDataFrame([bad], fields), None, projects, None, None))
+            A.block(models(spark.createDataFrame([bad], fields)))

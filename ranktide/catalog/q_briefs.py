@@ -9,6 +9,7 @@ from ranktide.catalog.q_pipeline import _CTES, _TITLE_SQL, _VIEWS, ranked
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.registry import register
 from ranktide.functions.dates import activity_label
+from ranktide.functions.rounding import round_one_place
 from ranktide.functions.util import r6, ts_ntz
 from ranktide.plans import briefs as BR
 from ranktide.plans import triage as TR
@@ -90,7 +91,7 @@ def fn_activity_label(spark, sf):
 
 @register(
     "fn_round_frontmatter",
-    _sql("SELECT project_purl, round_even(score, 1) AS total, round_even(impact, 1) AS impact, round_even(effort, 1) AS effort, "
+    _sql(f"SELECT project_purl, {Q.round_one_place('score')} AS total, {Q.round_one_place('impact')} AS impact, {Q.round_one_place('effort')} AS effort, "
          "CAST(round_even(conf, 0) AS INTEGER) AS confidence FROM briefx"),
 )
 def fn_round_frontmatter(spark, sf):
@@ -100,8 +101,8 @@ def fn_round_frontmatter(spark, sf):
 
     conf = S.confidence("last_pr_merged_at", ts_ntz(DEFAULT_AS_OF))
     return b.select(
-        "project_purl", F.bround("score", 1).alias("total"), F.bround("impact", 1).alias("impact"),
-        F.bround("effort", 1).alias("effort"), F.bround(conf, 0).cast("int").alias("confidence"),
+        "project_purl", round_one_place("score").alias("total"), round_one_place("impact").alias("impact"),
+        round_one_place("effort").alias("effort"), F.bround(conf, 0).cast("int").alias("confidence"),
     )
 
 
@@ -144,7 +145,7 @@ cites AS (SELECT project_purl, list({{'type': ctype, 'id': cid, 'url': url}} ORD
 _FRONT_HEAD = """'schema': 'ranktide-brief/1', 'title': b.name, 'slug': b.slug, 'date': '2001-11-10', 'run_at': '2001-11-10T00:00:00+00:00',
   'project': {'purl': b.project_purl, 'name': b.name, 'ecosystem': 'npm', 'repo_url': e.repo_url,
               'downloads_weekly': e.downloads_weekly, 'archived': coalesce(e.archived, FALSE)},
-  'score': {'total': round_even(b.score, 1), 'impact': round_even(b.impact, 1), 'effort': round_even(b.effort, 1),
+  'score': {'total': TOTAL, 'impact': IMPACT, 'effort': EFFORT,
             'confidence': round_even(b.conf, 0)::INTEGER},
   'maintainer_activity': {'label': CASE WHEN e.last_pr_merged_at IS NULL THEN 'unknown'
       ELSE 'last PR merged ' || trunc(AGE)::BIGINT || 'd ago' END,
@@ -155,7 +156,8 @@ _FRONT_SQL = f"""
 SELECT b.slug, CASE WHEN e.has_benchmarks IS NULL THEN to_json({{{_FRONT_HEAD}, {_FRONT_TAIL}}})
   ELSE to_json({{{_FRONT_HEAD}, 'benchmarks': {{'has': e.has_benchmarks, 'signal': e.bench_signal}}, {_FRONT_TAIL}}}) END::VARCHAR AS frontmatter
 FROM briefx b JOIN elig e ON e.purl = b.project_purl LEFT JOIN cites c ON c.project_purl = b.project_purl
-""".replace("AGE", Q.age_days("e.last_pr_merged_at"))
+""".replace("AGE", Q.age_days("e.last_pr_merged_at")).replace("TOTAL", Q.round_one_place("b.score")).replace(
+    "IMPACT", Q.round_one_place("b.impact")).replace("EFFORT", Q.round_one_place("b.effort"))
 
 _BODY_SQL = r"""
 SELECT b.slug, '# ' || b.name || E' — 2001-11-10 Improvement Brief\n\n'
@@ -204,15 +206,15 @@ def brief_body(spark, sf):
 
 _ROW_SQL = """
 trows AS (
-  SELECT slug, ecosystem, floor(round_even(score, 1) * 10.0 + 0.5) / 10.0 AS score, floor(round_even(impact, 1) * 10.0 + 0.5) / 10.0 AS impact,
-         floor(round_even(effort, 1) * 10.0 + 0.5) / 10.0 AS effort, CAST(floor(round_even(conf, 0) + 0.5) AS BIGINT) AS confidence,
+  SELECT slug, ecosystem, floor(TOTAL * 10.0 + 0.5) / 10.0 AS score, floor(IMPACT * 10.0 + 0.5) / 10.0 AS impact,
+         floor(EFFORT * 10.0 + 0.5) / 10.0 AS effort, CAST(floor(round_even(conf, 0) + 0.5) AS BIGINT) AS confidence,
          CAST(opp_count AS BIGINT) AS opps, coalesce(top_kind, '') AS top_kind,
          coalesce(strftime(last_pr_merged_at, '%Y-%m-%d'), '') AS last_pr_merged,
          CASE WHEN has_benchmarks = TRUE THEN 'yes' WHEN has_benchmarks = FALSE THEN 'no' ELSE '?' END AS bench,
          CASE WHEN coalesce(archived, FALSE) THEN 'yes' ELSE 'no' END AS archived,
          tags, '2001-11-10' AS date, coalesce(repo_url, '') AS repo_url
   FROM briefx
-)"""
+)""".replace("TOTAL", Q.round_one_place("score")).replace("IMPACT", Q.round_one_place("impact")).replace("EFFORT", Q.round_one_place("effort"))
 
 _ROW_OUT = "slug, ecosystem, score, impact, effort, confidence, opps, top_kind, last_pr_merged, bench, archived, array_to_string(tags, ',') AS tags, date, repo_url"
 

@@ -13,6 +13,7 @@ from ranktide.catalog import q_advisories as QA
 from ranktide.catalog import q_fanout as QF
 from ranktide.catalog import q_manifests as QM
 from ranktide.catalog import q_pipeline as QP
+from ranktide.catalog import sqlfn as Q
 from ranktide.catalog.bridge_sql import with_views
 from ranktide.catalog.q_briefs import _BRIEFX
 from ranktide.catalog.q_marts import MART_FLAT_SELECT, MART_SQL_CORE, _flat_mart
@@ -272,8 +273,8 @@ def snk_briefs(spark, sf):
 
 @register(
     "src_briefs_read",
-    _pub_sql("""
-SELECT s.slug, s.name AS title, round_even(s.score, 1) AS score_total, s.top_kind, array_to_string(x.tags, ',') AS tags
+    _pub_sql(f"""
+SELECT s.slug, s.name AS title, {Q.round_one_place('s.score')} AS score_total, s.top_kind, array_to_string(x.tags, ',') AS tags
 FROM selected_10 s JOIN briefx x ON x.project_purl = s.project_purl"""),
 )
 def src_briefs_read(spark, sf):

@@ -138,3 +138,12 @@ def uuid5(name: str) -> str:
         f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant}"
         f" || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))"
     )
+
+
+def round_one_place(x: str) -> str:
+    """To one decimal place by the double's exact value, ties to even: 10 x as 8 x + 2 x and that sum's rounding error."""
+    s, back = f"(abs({x}) * 8 + abs({x}) * 2)", f"((abs({x}) * 8 + abs({x}) * 2) - abs({x}) * 8)"
+    e = f"((abs({x}) * 8 - ({s} - {back})) + (abs({x}) * 2 - {back}))"
+    part = f"({s} - floor({s}))"
+    up = f"CASE WHEN {part} > 0.5::DOUBLE OR ({part} = 0.5::DOUBLE AND ({e} > 0 OR ({e} = 0 AND floor({s}) % 2 = 1))) THEN 1 ELSE 0 END"
+    return f"(sign({x}) * (floor({s}) + {up}) / 10.0::DOUBLE)"

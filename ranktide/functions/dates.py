@@ -21,8 +21,3 @@ def activity_label(last_pr_merged_at, as_of) -> Column:
     return F.when(as_col(last_pr_merged_at).isNull(), F.lit("unknown")).otherwise(
         F.concat(F.lit("last PR merged "), days.cast("int").cast("string"), F.lit("d ago"))
     )
-
-
-def round_half_even(x, places: int = 1) -> Column:
-    """Frontmatter rounding: half-to-even on the decimal value of the double."""
-    return F.bround(as_col(x), places)

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ranktide.functions import scoring as S
 from ranktide.functions.dates import activity_label
+from ranktide.functions.rounding import round_one_place
 from ranktide.functions.strings import ADVISORY_URL_BASE, MANIFEST_BLOB_BASE, NPM_PREFIX
-from ranktide.functions.util import as_col, let, ts_ntz
+from ranktide.functions.util import as_col, ts_ntz
+from ranktide.operators.folds import first_of_each
 from ranktide.session import DEFAULT_AS_OF
 
 # Fixed values.
@@ -76,14 +78,10 @@ def _opp_citations(o: Column) -> Column:
 def agg_citations(opportunities="opportunities") -> Column:
     """Ordered, first-wins de-duplicated citation list by (type, id).
 
-    Built inside the row: flatten per-opportunity citations, then keep an
-    element only if no earlier element has the same (type, id).
+    Built inside the row: flatten per-opportunity citations, then keep the first
+    of each (type, id), in order.
     """
-    def first_of_each(found: Column) -> Column:
-        keys = F.transform(found, lambda x: F.struct(x["type"], x["id"]))
-        return let(keys, lambda k: F.filter(found, lambda x, i: F.array_position(k, F.struct(x["type"], x["id"])) == i + 1))
-
-    return let(F.flatten(F.transform(as_col(opportunities), _opp_citations)), first_of_each)
+    return first_of_each(F.flatten(F.transform(as_col(opportunities), _opp_citations)), "type", "id")
 
 
 def _iso_utc(ts: Column) -> Column:
@@ -105,7 +103,7 @@ def brief_frontmatter(briefs: DataFrame, as_of: str = DEFAULT_AS_OF) -> Column:
             F.coalesce(F.col("archived"), F.lit(False)).alias("archived"),
         ).alias("project"),
         F.struct(
-            F.bround("score", 1).alias("total"), F.bround("impact", 1).alias("impact"), F.bround("effort", 1).alias("effort"),
+            round_one_place("score").alias("total"), round_one_place("impact").alias("impact"), round_one_place("effort").alias("effort"),
             F.bround(conf, 0).cast("int").alias("confidence"),
         ).alias("score"),
         F.struct(

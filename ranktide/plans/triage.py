@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.functions import scoring as S
+from ranktide.functions.rounding import round_one_place
 from ranktide.functions.util import ts_ntz
 from ranktide.plans.briefs import agg_tags
 from ranktide.session import DEFAULT_AS_OF
@@ -32,9 +33,9 @@ def prj_triage_row(briefs: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
         F.col("slug"),
         F.col("ecosystem"),
         # The published numbers are rounded half to even first, and these are shown.
-        _round1(F.bround("score", 1)).alias("score"),
-        _round1(F.bround("impact", 1)).alias("impact"),
-        _round1(F.bround("effort", 1)).alias("effort"),
+        _round1(round_one_place("score")).alias("score"),
+        _round1(round_one_place("impact")).alias("impact"),
+        _round1(round_one_place("effort")).alias("effort"),
         F.floor(F.bround(conf, 0) + F.lit(0.5)).cast("bigint").alias("confidence"),
         F.col("opp_count").cast("bigint").alias("opps"),
         F.coalesce(F.col("top_kind"), F.lit("")).alias("top_kind"),

@@ -60,3 +60,17 @@ def test_body_mentions_locations_and_titles(spark):
     assert "- **Found in**: [package.json#L4](https://github.com/o/r/blob/HEAD/package.json#L4)" in body
     assert "_no upstream patch — contribute one_ at [https://github.com/o/r](https://github.com/o/r)" in body
     assert "- **Suggested PR**: `deps: drop x dep (use native API)`" in body
+
+
+def test_many_citations_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from ranktide.operators.folds import first_of_each
+
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.struct(
+        F.lit("dependency-location").alias("type"), F.concat(F.lit("f"), (i % 15_000).cast("string")).alias("id"), i.cast("string").alias("url"))).alias("c"))
+    begin = time.monotonic()
+    (row,) = df.select(first_of_each(F.col("c"), "type", "id").alias("c")).collect()
+    assert [x["id"] for x in row["c"]] == [f"f{i}" for i in range(15_000)] and time.monotonic() - begin < 20

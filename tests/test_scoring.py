@@ -94,3 +94,25 @@ def test_band_and_replacement_severity(spark):
     assert all(r.x == r.e for r in df.select(S.effort_band_score("b").alias("x"), "e").collect())
     df2 = spark.createDataFrame([(True, "perf", 75.0), (False, "perf", 60.0), (False, "bloat", 45.0)], "n boolean, a string, e double")
     assert all(r.x == r.e for r in df2.select(S.replacement_severity("a", "n").alias("x"), "e").collect())
+
+
+def test_rounding_by_the_binary_value(spark):
+    import random
+
+    import duckdb
+
+    from ranktide.catalog import sqlfn as Q
+    from ranktide.functions.rounding import round_one_place
+
+    random.seed(9)
+    values = [random.uniform(0, 100) for _ in range(50_000)] + [i / 100 for i in range(10_000)] + [i / 8 for i in range(-400, 400)]
+    values += [round(random.uniform(0, 100), 2) for _ in range(40_000)] + [0.35, 0.25, 0.05, 0.15, 2.675, -0.35, 99.95, 1e15 + 0.25, 0.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, x double")
+    got = {r.i: r.y for r in df.select("i", round_one_place("x").alias("y")).collect()}
+    assert got.pop(-1) is None
+    assert all(got[i] == round(v, 1) for i, v in enumerate(values))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INT, x DOUBLE)")
+    some = values[-1500:]
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(some)))
+    assert all(y == round(some[i], 1) for i, y in con.execute(f"SELECT i, {Q.round_one_place('x')} FROM t").fetchall())

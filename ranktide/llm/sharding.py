@@ -22,6 +22,8 @@ named as an output column are replaced.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,22 +31,55 @@ from pyspark.sql import functions as F
 
 from ranktide.llm.common import documents, staged
 
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1 << 18  # the matrix has a column for each so many rows; a task draws one row of it
 SAMPLER_LIMIT = 10**9  # numpy's sampler takes populations below this
 
 
+def _log_factorials(a: int, b: int) -> float:
+    """log(a! / b!), without first making two large numbers that nearly cancel."""
+    if min(a, b) < 10**6:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    d = a - b
+    return (a + 0.5) * math.log1p(d / b) + d * (math.log(b) - 1) + (1 / a - 1 / b) / 12  # Stirling's series, term by term
+
+
+def _ratio_of_uniforms(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw by Stadlober's ratio of uniforms; no more good ones than bad, at most half of all drawn."""
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    share = good / total
+    spread = math.sqrt(n * share * (1 - share) * (total - n) / (total - 1) + 0.5)
+    # The width of a hat that covers every hypergeometric law.
+    width = 1.7155277699214135 * spread + 0.8989161620588988
+    # End of fixed values.
+    high = min(good, n)
+    while True:
+        u, v = rng.random(), rng.random()
+        w = n * share + 0.5 + width * (v - 0.5) / u if u else -1.0
+        if not 0 <= w < high + 1:
+            continue
+        k = int(w)
+        ratio = -(
+            _log_factorials(k, mode) + _log_factorials(good - k, good - mode)
+            + _log_factorials(n - k, n - mode) + _log_factorials(bad - n + k, bad - n + mode)
+        )
+        if 2 * math.log(u) <= ratio:
+            return k
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Of ``n`` rows drawn without replacement, how many of the ``good`` ones."""
+    """Of ``n`` rows drawn without replacement, how many of the ``good`` ones; the same law at every size."""
     low, high = max(0, n - bad), min(good, n)
     if low == high:
         return low
     total = good + bad
     if total < SAMPLER_LIMIT:
         return int(rng.hypergeometric(good, bad, n))
-    # Populations this large: the law is normal to within rounding.
-    share = good / total
-    sd = (n * share * (1 - share) * (total - n) / (total - 1)) ** 0.5
-    return int(min(high, max(low, round(rng.normal(n * share, sd)))))
+    if good > bad:  # count the others
+        return n - _hypergeometric(rng, bad, good, n)
+    if 2 * n > total:  # draw what stays behind
+        return good - _hypergeometric(rng, good, bad, total - n)
+    return _ratio_of_uniforms(rng, good, bad, n)
 
 
 def _draw(rng: np.random.Generator, columns: list[int], n: int) -> list[int]:

@@ -48,3 +48,28 @@ def test_uniform(spark):
         for r in sharding.shard_rows(spark.range(400).withColumnRenamed("id", "doc_id"), 4, seed).collect():
             where[r["shard"], r["doc_id"] < 100] += 1
     assert all(abs(where[s, True] - 150) < 60 for s in range(4))
+
+
+@pytest.mark.parametrize("good,bad,n", [
+    (4096, 2 * 10**9 - 4096, 400_000), (10, 2 * 10**9, 10**9), (10**6, 10**13, 10**6), (3 * 10**12, 5 * 10**12, 10**9), (7 * 10**9, 10**9, 6 * 10**9),
+])
+def test_large_populations_follow_the_law(good, bad, n):
+    rng, draws, total = np.random.default_rng(1), 6000, good + bad
+    got = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(draws)], float)
+    mean = n * good / total
+    var = mean * (bad / total) * ((total - n) / (total - 1))
+    assert got.min() >= max(0, n - bad) and got.max() <= min(good, n)
+    assert abs(got.mean() - mean) < 4 * (var / draws) ** 0.5
+    assert 0.9 < got.var() / var < 1.1
+
+
+@pytest.mark.parametrize("good,bad,n", [(30, 50, 20), (5, 900, 200), (400, 600, 500), (1, 3, 2)])
+def test_every_probability_is_the_laws(monkeypatch, good, bad, n):
+    from math import comb
+
+    monkeypatch.setattr(sharding, "SAMPLER_LIMIT", 0)
+    rng, draws = np.random.default_rng(2), 20_000
+    seen = Counter(sharding._hypergeometric(rng, good, bad, n) for _ in range(draws))
+    for k in range(max(0, n - bad), min(good, n) + 1):
+        p = comb(good, k) * comb(bad, n - k) / comb(good + bad, n)
+        assert abs(seen[k] - draws * p) < 5 * (draws * p * (1 - p)) ** 0.5 + 3

@@ -12,9 +12,11 @@ from ranktide.functions.dates import activity_label
 from ranktide.functions.rounding import round_one_place
 from ranktide.functions.util import r6, ts_ntz
 from ranktide.plans import briefs as BR
+from ranktide.plans import publish as PB
 from ranktide.plans import triage as TR
 from ranktide.session import DEFAULT_AS_OF
 from ranktide.sources import bridge as B
+from ranktide.sources import landing as LD
 
 _BRIEFX = f"""
 briefx AS (
@@ -220,7 +222,10 @@ _ROW_OUT = "slug, ecosystem, score, impact, effort, confidence, opps, top_kind,
 
 
 def _rows(spark, sf):
-    return TR.prj_triage_row(_briefs(spark, sf))
+    """All ranked briefs, published and read back: the listing knows nothing else of them."""
+    path = f"{LD.scratch_root(spark, 'listing')}/briefs"
+    PB.snk_briefs(BR.render(_briefs(spark, sf)), path)
+    return TR.published_rows(PB.src_briefs_read(spark, path))
 
 
 def _row_out(df):
@@ -282,4 +287,4 @@ FROM trows WHERE archived <> 'yes' AND score >= 0.0 ORDER BY score DESC, slug"""
 )
 def triage_listing(spark, sf):
     """Default listing: archived hidden, sorted by score, with the score band."""
-    return _row_out(TR.triage_listing(_briefs(spark, sf)))
+    return _row_out(TR.triage_listing(_rows(spark, sf)))

@@ -52,6 +52,7 @@ def src_briefs_read(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.col("fm.tags"), F.array().cast("array<string>")).alias("tags"),
         F.coalesce(F.col("fm.citations"), F.array().cast("array<struct<type:string,id:string,url:string>>")).alias("citations"),
         F.col("fm.benchmarks.has").alias("bench_has"),
+        "fm",
     )
 
 

@@ -48,6 +48,26 @@ def prj_triage_row(briefs: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     )
 
 
+def published_rows(published: DataFrame) -> DataFrame:
+    """The slim listing row of each published brief, from its frontmatter alone (``publish.src_briefs_read``)."""
+    fm, text = F.col("fm"), lambda c: F.coalesce(c, F.lit(""))
+    has = fm["benchmarks"]["has"]
+    return published.select(
+        F.col("slug"),
+        F.col("ecosystem"),
+        *[_round1(fm["score"][c]).alias(name) for c, name in (("total", "score"), ("impact", "impact"), ("effort", "effort"))],
+        fm["score"]["confidence"].cast("bigint").alias("confidence"),
+        fm["opportunities"]["count"].cast("bigint").alias("opps"),
+        text(F.col("top_kind")).alias("top_kind"),
+        text(F.substring(fm["maintainer_activity"]["last_pr_merged_at"], 1, 10)).alias("last_pr_merged"),
+        F.when(has, "yes").when(~has, "no").otherwise("?").alias("bench"),
+        F.when(F.coalesce(fm["project"]["archived"], F.lit(False)), "yes").otherwise("no").alias("archived"),
+        F.col("tags"),
+        fm["date"].alias("date"),
+        text(fm["project"]["repo_url"]).alias("repo_url"),
+    )
+
+
 def prj_score_band(score="score") -> Column:
     s = F.col(score) if isinstance(score, str) else score
     return F.when(s >= BAND_HIGH, "high").when(s >= BAND_MID, "mid").otherwise("low")
@@ -104,7 +124,6 @@ def agg_triage_facets(rows: DataFrame) -> DataFrame:
     )
 
 
-def triage_listing(briefs: DataFrame, f: TriageFilter = TriageFilter(), keys: Sequence[tuple[str, bool]] = (("score", True),),
-                   as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    rows = prj_triage_row(briefs, as_of)
+def triage_listing(rows: DataFrame, f: TriageFilter = TriageFilter(), keys: Sequence[tuple[str, bool]] = (("score", True),)) -> DataFrame:
+    """Filtered and sorted listing rows with their score band."""
     return sort_multi_key(flt_triage(rows, f), keys).withColumn("band", prj_score_band("score"))

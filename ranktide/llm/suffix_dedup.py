@@ -59,7 +59,7 @@ WINDOW = 400
 SHORT = 240  # bytes; nearly all passages of more than fifty words are longer
 SLICE = 512 << 10  # bytes of text whose anchors are found together
 SHARD_BYTES = 1 << 20
-ANCHOR_BYTES = 256 << 10  # of an anchor's different blocks in one shard
+ANCHOR_BYTES = 2 << 20  # of an anchor's different blocks in one shard
 RUN = 1024  # starts of one block at most
 
 
@@ -292,13 +292,17 @@ def suffix_array(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(text: bytes, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
-    """For each slot of the suffix array the common prefix with the slot before it, up to ``most``.
+    """For each slot of the order the common prefix with the slot before it, up to ``most``.
 
-    Kasai's scan: going one place on loses at most one byte. The places
-    ``begin``, ``begin + 1``, ... of all blocks are scanned in step.
+    Kasai's scan: going one place on loses at most one byte. The ``size`` places
+    ``begin``, ``begin + 1``, ... of each block are scanned in step. ``order`` (and each
+    place's ``rank`` in it) may leave out places between blocks: behind the last
+    place of a block nothing is known of the next one's neighbour, so it begins anew.
     """
     n = len(text)
-    out = np.zeros(n, np.int32)
+    out = np.zeros(len(order), np.int32)
+    last = np.zeros(n + 1, bool)
+    last[begin + size - 1] = True
     eights = np.ndarray((n + 64,), "<u8", text + b"\0" * 72, strides=(1,)).copy()
     words = np.arange(0, 64, 8)
     lanes = np.argsort(-size, kind="stable")
@@ -332,8 +336,9 @@ def common_prefixes(text: bytes, order: np.ndarray, rank: np.ndarray, begin: np.
             l[going] += more
             going = going[(more == 64) & (l[going] < most)]
         np.minimum(l, most, out=l)
-        have[:k] = l
         out[slot] = l
+        l[last[j]] = 0
+        have[:k] = l
     return out
 
 
@@ -359,12 +364,16 @@ def _search_shard(keep_first: bool):
         size = np.fromiter(map(len, pdf["block"]), np.int64, len(pdf))
         text = b"".join(pdf.pop("block"))
         begin = np.cumsum(size) - size
-        order, rank = suffix_array(text)
-        prefix = common_prefixes(text, order, rank, begin, size, window)
-        del order
         starts = size - (window - 1)
         owner = np.repeat(np.arange(len(size), dtype=np.int32), starts)
         place = np.arange(len(owner), dtype=np.int32) + np.repeat((begin - (np.cumsum(starts) - starts)).astype(np.int32), starts)
+        order, rank = suffix_array(text)
+        begins = np.zeros(len(text), bool)  # only places that begin a window are compared with each other
+        begins[place] = True
+        order = order[begins[order]]
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        prefix = common_prefixes(text, order, rank, begin, starts, window)
+        del order, begins
         cls = np.cumsum(prefix < window, dtype=np.int32)[rank[place]]  # equal windows are neighbours
         del rank, prefix
         n, shared = pdf["n"].to_numpy(), pdf["shared"].to_numpy()

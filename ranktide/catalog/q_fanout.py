@@ -178,9 +178,11 @@ _TIER_VIEWS = ["part", "dependents_cache", "sbom_edges", "repositories", "regist
 
 def _tiered(spark, sf, requests=None):
     req = requests if requests is not None else B.read(spark, sf, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("name"))
-    prim = D.src_dependents_sbom_join(B.sbom_edges(spark, sf), B.repositories(spark, sf), 10, 5)
-    fb = D.src_dependents_registry(B.registry_dependents(spark, sf), 5)
-    return D.join_tiered_source(req, B.dependents_cache(spark, sf), prim, fb, CACHE_WEEK, 5)
+    cache = B.dependents_cache(spark, sf)
+    missed = D.cache_misses(cache, req, CACHE_WEEK)
+    prim = D.src_dependents_sbom_join(B.sbom_edges(spark, sf), B.repositories(spark, sf), 10, 5, parents=missed)
+    fb = D.src_dependents_registry(B.registry_dependents(spark, sf), 5, parents=missed)
+    return D.join_tiered_source(req, cache, prim, fb, CACHE_WEEK, 5)
 
 
 @register(

@@ -62,9 +62,10 @@ def candidates(landed: Landed, options: Options) -> DataFrame:
     """Ranked replacements x their tiered dependents, before verification."""
     ranked = FO.top_fanout(landed.replacements, landed.downloads, options.fanout_top_n)
     names = ranked.select(purl_name("from_purl").alias("name"))
-    # The requested packages are applied to every source before its ranking.
-    primary = D.src_dependents_sbom_join(landed.sbom_edges, landed.repositories, options.min_stars, options.dependents, parents=names)
-    fallback = D.src_dependents_registry(landed.registry_dependents, options.dependents, parents=names)
+    # What the cache lacks of the requested packages is applied to every other source before its ranking.
+    missed = D.cache_misses(landed.dependents_cache, names, options.week)
+    primary = D.src_dependents_sbom_join(landed.sbom_edges, landed.repositories, options.min_stars, options.dependents, parents=missed)
+    fallback = D.src_dependents_registry(landed.registry_dependents, options.dependents, parents=missed)
     tiered = D.join_tiered_source(names, landed.dependents_cache, primary, fallback, options.week, options.dependents)
     return FO.join_fanout_dependents(ranked, tiered)
 

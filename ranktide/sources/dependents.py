@@ -111,6 +111,15 @@ def cache_lookup(cache: DataFrame, requests: DataFrame, week: str, system: str =
     return j.withColumn("hit", F.col("__cname").isNotNull()).drop("__cname")
 
 
+def cache_misses(cache: DataFrame, requests: DataFrame, week: str, system: str = "npm") -> DataFrame:
+    """The requested names without a row of this week: all that the other tiers are asked for.
+
+    Given to these as ``parents``, it keeps cached packages out of the SBOM join and of both rankings.
+    """
+    c = cache.where((F.col("system") == system) & (F.col("iso_week") == week)).select("name")
+    return requests.select("name").distinct().join(c, "name", "left_anti")
+
+
 def cache_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketedTable:
     """The cache as a table that persists, in buckets by (system, name)."""
     return BucketedTable(spark, path, CACHE_DDL, ["system", "name"], buckets)
@@ -144,8 +153,8 @@ def cached_edges(cache_hits: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
 def join_tiered_source(requests: DataFrame, cache: DataFrame, primary: DataFrame, fallback: DataFrame, week: str, k: int = DEFAULT_TOP_K) -> DataFrame:
     """Per requested package: cache hit, else primary if non-empty, else fallback.
 
-    A tier is all-or-nothing. The tiers are read once and united; the best
-    tier of a package is a minimum over its rows, at most k of each tier, to
+    A tier is all-or-nothing. The other tiers need only hold the cache's misses
+    (``cache_misses``). The tiers are read once and united; the best tier of a package is a minimum over its rows, at most k of each tier, to
     which a cache hit adds one that stands for an empty list.
     """
     req = requests.select("name").distinct()

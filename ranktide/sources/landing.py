@@ -138,8 +138,3 @@ def clear_dates(spark: SparkSession, path: str, source: str, dates: list[str]) -
     fields = [f for f in struct_type(source).fields if f.name in STAGED[source]]
     for d in dates:
         spark.createDataFrame([], T.StructType(fields)).coalesce(1).write.mode("overwrite").parquet(f"{path}/dt={d}")
-
-
-def write_full(df: DataFrame, path: str) -> None:
-    """Full-refresh mart: the whole table is rewritten on every run."""
-    df.write.mode("overwrite").parquet(path)

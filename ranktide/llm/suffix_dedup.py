@@ -22,7 +22,7 @@ the same text or another. How the repeats are found:
 4. The repeated starts go back to every text that holds the block.
 
 What moves are the anchors' hashes once, the blocks of repeated anchors, and the
-texts twice. Anchors lie packed, a row a slice of texts; their hashes go to buckets
+texts twice. Anchors lie packed, a row for some 8 MB of texts; their hashes go to buckets
 by range and flags come back, so only anchors met more than once become rows. No
 group holds more than ``ANCHOR_BYTES`` of an anchor's blocks beside a shard's bytes.
 
@@ -58,6 +58,7 @@ from ranktide.llm.common import documents, let_go, partitions, schema_of, staged
 WINDOW = 400
 SHORT = 240  # bytes; nearly all passages of more than fifty words are longer
 SLICE = 512 << 10  # bytes of text whose anchors are found together
+PACK = 8 << 20  # bytes of text whose blocks are one row
 SHARD_BYTES = 1 << 20
 ANCHOR_BYTES = 2 << 20  # of an anchor's different blocks in one shard
 RUN = 1024  # starts of one block at most
@@ -138,46 +139,69 @@ _BLOCKS = "w int, a long, c long, k1 long, k2 long, s int, e int, twice boolean"
 
 
 def _find_blocks(windows: tuple[int, ...]):
-    """Texts -> the blocks of each window length, packed: a row a slice of texts."""
+    """Texts -> the blocks of each window length, packed: a row for ``PACK`` bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         number = TaskContext.get().partitionId() << 32  # no two slices of a job have the same
 
-        def out(window: int, keys: list, places: list[int], texts: list[bytes]) -> pa.RecordBatch:
-            nonlocal number
+        def found(window: int, first: int, places: list[int], texts: list[bytes]) -> dict[str, np.ndarray]:
+            """The blocks of a slice; texts are numbered from ``first`` on."""
             owner, s, e, anchor, twice = blocks(texts, window)
             content = np.frombuffer(b"".join(
                 hashlib.blake2b(texts[o][a : b + window - 1], digest_size=8).digest()
                 for o, a, b in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True)
             ), np.int64)
-            order = np.argsort(anchor, kind="stable")
-            made = {
-                "a": anchor.view(np.int64), "c": content, "owner": owner, "s": np.array(places, np.int64)[owner] + s,
+            return {
+                "a": anchor.view(np.int64), "c": content, "owner": first + owner, "s": np.array(places, np.int64)[owner] + s,
                 "starts": e - s, "twice": twice,
             }
-            row = {f: pa.array([made[f][order].astype(t).tobytes()], pa.binary()) for f, t in _FIELDS.items()}
+
+        def row(window: int, keys: list, slices: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+            nonlocal number
+            made = {f: np.concatenate([x[f] for x in slices]) for f in _FIELDS}
+            order = np.argsort(made["a"].view(np.uint64), kind="stable")
             number += 1
-            named = pa.array([np.array(keys, np.int64).tobytes()], pa.binary())
-            return pa.RecordBatch.from_pydict({"slice": pa.array([number]), "w": pa.array([window], pa.int32()), "keys": named, **row})
+            return pa.RecordBatch.from_pydict({
+                "slice": pa.array([number]), "w": pa.array([window], pa.int32()),
+                "keys": pa.array([np.array(keys, np.int64).tobytes()], pa.binary()),
+                **{f: pa.array([made[f][order].astype(t).tobytes()], pa.binary()) for f, t in _FIELDS.items()},
+            })
+
+        class Held:
+            """What a window length has waiting: texts of a slice, blocks and keys of a row."""
+
+            def __init__(self) -> None:
+                self.places, self.texts, self.size = [], [], 0
+                self.keys, self.slices, self.packed = [], [], 0
+
+        held = {w: Held() for w in windows}
+
+        def end_slice(w: int, h: Held) -> None:
+            if h.texts:
+                h.slices.append(found(w, len(h.keys) - len(h.texts), h.places, h.texts))
+                h.packed += h.size
+                h.places, h.texts, h.size = [], [], 0
 
-        held = {w: ([], [], []) for w in windows}
-        sizes = dict.fromkeys(windows, 0)
         for b in batches:
             for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
                 raw = (t or "").encode()
-                for w in windows:
+                for w, h in held.items():
                     for at in range(0, len(raw) - w + 1, SLICE):
                         part = raw[at : at + SLICE + w - 1] if len(raw) > SLICE else raw
-                        for to, x in zip(held[w], ((k1, k2), at, part), strict=True):
-                            to.append(x)
-                        sizes[w] += len(part)
-                        if sizes[w] >= SLICE:
-                            yield out(w, *held[w])
-                            held[w], sizes[w] = ([], [], []), 0
-        for w in windows:
-            if held[w][0]:
-                yield out(w, *held[w])
+                        h.keys.append((k1, k2))
+                        h.places.append(at)
+                        h.texts.append(part)
+                        h.size += len(part)
+                        if h.size >= SLICE:
+                            end_slice(w, h)
+                        if h.packed >= PACK:
+                            yield row(w, h.keys, h.slices)
+                            held[w] = h = Held()
+        for w, h in held.items():
+            end_slice(w, h)
+            if h.slices:
+                yield row(w, h.keys, h.slices)
 
     return run
 
@@ -237,13 +261,13 @@ def _unpack_met(packed: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
 
 def find_blocks(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     """The blocks of all texts whose anchors are met more than once. ``rows``: k1, k2, text."""
-    packed = staged(rows.select("k1", "k2", "text").mapInArrow(_find_blocks(windows), _PACKED), "repeat-anchors", codec="lz4")
+    packed = staged(rows.select("k1", "k2", "text").mapInArrow(_find_blocks(windows), _PACKED), "repeat-anchors", codec="snappy")
     buckets = partitions(rows)
     sent = packed.select("slice", "w", "a", "twice").mapInArrow(
         _send_anchors(buckets), "slice long, w int, bucket int, names binary, again binary"
     )
     flags = sent.groupBy("w", "bucket").applyInPandas(_flag_anchors, "slice long, bucket int, met binary")
-    return staged(packed.groupBy("slice").cogroup(flags.groupBy("slice")).applyInPandas(_unpack_met, _BLOCKS), "repeat-blocks")
+    return staged(packed.groupBy("slice").cogroup(flags.groupBy("slice")).applyInPandas(_unpack_met, _BLOCKS), "repeat-blocks", codec="snappy")
 
 
 def _in_order(key: np.ndarray, at: np.ndarray, bits: int, places: int) -> tuple[np.ndarray, np.ndarray]:
@@ -513,7 +537,7 @@ def repeated_ranges(
     some = find_blocks(rows, windows)
     first = F.min(F.struct("k1", "k2", "s", "e")).alias("first")
     distinct = staged(
-        some.groupBy("w", "a", "c").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), first), "repeat-distinct"
+        some.groupBy("w", "a", "c").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), first), "repeat-distinct", codec="snappy"
     )
     size = (F.col("first.e") - F.col("first.s") + F.col("w") - 1).cast("long")
     by_anchor = distinct.groupBy("w", "a").agg(F.count("*").alias("different"), F.max("twice").alias("any"), F.sum(size).alias("held"))

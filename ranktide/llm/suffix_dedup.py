@@ -31,8 +31,10 @@ start in an earlier text, or earlier in the same one. A class of equal windows t
 keeps the one in the least text: of a block's occurrences the first, of blocks that
 share the window the one whose first occurrence comes first.
 
-Several window lengths can be searched in one run; each has anchors, blocks and
-shards of its own.
+Besides, blocks of a shorter window can be counted in the same run: bytes are told
+that lie in a block which stands elsewhere, too. Nothing is sorted for that, so a
+repeated string shows if it holds a whole block, as all do that are at least twice
+as long as the window. They are named by their content alone.
 
 Defined results: a null text is empty; a text shorter than the window keeps all;
 copies of a text longer than the window lose everything, each of them; overlaps
@@ -56,7 +58,7 @@ from pyspark.sql import functions as F
 from ranktide.llm.common import documents, let_go, partitions, schema_of, staged, text_keys
 
 WINDOW = 400
-SHORT = 240  # bytes; nearly all passages of more than fifty words are longer
+SHORT = 150  # bytes; 51 words in a row are longer
 SLICE = 512 << 10  # bytes of text whose anchors are found together
 PACK = 8 << 20  # bytes of text whose blocks are one row
 SHARD_BYTES = 1 << 20
@@ -138,7 +140,7 @@ _PACKED = "slice long, w int, keys binary, " + ", ".join(f"{k} binary" for k in
 _BLOCKS = "w int, a long, c long, k1 long, k2 long, s int, e int, twice boolean"
 
 
-def _find_blocks(windows: tuple[int, ...]):
+def _find_blocks(windows: tuple[int, ...], counted: tuple[int, ...]):
     """Texts -> the blocks of each window length, packed: a row for ``PACK`` bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +154,8 @@ def _find_blocks(windows: tuple[int, ...]):
                 hashlib.blake2b(texts[o][a : b + window - 1], digest_size=8).digest()
                 for o, a, b in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True)
             ), np.int64)
+            if window in counted:  # its content is a block's only name
+                anchor, content, twice = content, content[:0], np.zeros(len(s), bool)
             return {
                 "a": anchor.view(np.int64), "c": content, "owner": first + owner, "s": np.array(places, np.int64)[owner] + s,
                 "starts": e - s, "twice": twice,
@@ -161,11 +165,12 @@ def _find_blocks(windows: tuple[int, ...]):
             nonlocal number
             made = {f: np.concatenate([x[f] for x in slices]) for f in _FIELDS}
             order = np.argsort(made["a"].view(np.uint64), kind="stable")
+            made |= {f: v[order] for f, v in made.items() if len(v)}
             number += 1
             return pa.RecordBatch.from_pydict({
                 "slice": pa.array([number]), "w": pa.array([window], pa.int32()),
                 "keys": pa.array([np.array(keys, np.int64).tobytes()], pa.binary()),
-                **{f: pa.array([made[f][order].astype(t).tobytes()], pa.binary()) for f, t in _FIELDS.items()},
+                **{f: pa.array([made[f].astype(t).tobytes()], pa.binary()) for f, t in _FIELDS.items()},
             })
 
         class Held:
@@ -175,7 +180,7 @@ def _find_blocks(windows: tuple[int, ...]):
                 self.places, self.texts, self.size = [], [], 0
                 self.keys, self.slices, self.packed = [], [], 0
 
-        held = {w: Held() for w in windows}
+        held = {w: Held() for w in (*windows, *counted)}
 
         def end_slice(w: int, h: Held) -> None:
             if h.texts:
@@ -247,7 +252,7 @@ def _unpack_met(packed: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
     if not len(packed) or not len(flags):
         return pd.DataFrame(columns=columns)
     row = packed.iloc[0]
-    made = {f: np.frombuffer(row[f], t) for f, t in _FIELDS.items()}
+    made = {f: np.frombuffer(row[f] or row["a"], t) for f, t in _FIELDS.items()}  # counted blocks have one name
     anchor = made["a"].view(np.uint64)
     names = np.unique(anchor)
     met = np.frombuffer(b"".join(flags.sort_values("bucket")["met"]), np.bool_)
@@ -259,9 +264,9 @@ def _unpack_met(packed: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(made | {"w": row["w"], "k1": key[:, 0], "k2": key[:, 1], "e": made["s"] + made["starts"]})[columns]
 
 
-def find_blocks(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """The blocks of all texts whose anchors are met more than once. ``rows``: k1, k2, text."""
-    packed = staged(rows.select("k1", "k2", "text").mapInArrow(_find_blocks(windows), _PACKED), "repeat-anchors", codec="snappy")
+def find_blocks(rows: DataFrame, windows: tuple[int, ...], counted: tuple[int, ...]) -> DataFrame:
+    """The blocks of all texts whose anchors (of ``counted`` windows: contents) are met more than once. ``rows``: k1, k2, text."""
+    packed = staged(rows.select("k1", "k2", "text").mapInArrow(_find_blocks(windows, counted), _PACKED), "repeat-anchors", codec="snappy")
     buckets = partitions(rows)
     sent = packed.select("slice", "w", "a", "twice").mapInArrow(
         _send_anchors(buckets), "slice long, w int, bucket int, names binary, again binary"
@@ -528,13 +533,13 @@ _RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_re
 
 
 def repeated_ranges(
-    rows: DataFrame, *windows: int, keep_first: bool = False, shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES
+    rows: DataFrame, *windows: int, counted: tuple[int, ...] = (), keep_first: bool = False, shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES
 ) -> DataFrame:
     """k1, k2 (a text's key) and ``found``: its ranges of bytes (lo, hi) that are repeats of a window's length (w).
 
-    ``rows``: k1, k2, doc_id, text. With ``keep_first`` ranges are later copies only, in the order of the keys.
+    ``rows``: k1, k2, doc_id, text. Of ``counted`` windows, ranges are blocks that stand elsewhere. With ``keep_first`` ranges are later copies only, in the order of the keys.
     """
-    some = find_blocks(rows, windows)
+    some = find_blocks(rows, windows, counted)
     first = F.min(F.struct("k1", "k2", "s", "e")).alias("first")
     distinct = staged(
         some.groupBy("w", "a", "c").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), first), "repeat-distinct", codec="snappy"
@@ -592,9 +597,10 @@ def remove_repeats(
     longest_repeat, kept and spans.
 
     ``kept`` is the bytes left, or as text these without what a cut has left of a
-    character. With ``short``, n_repeated counts the bytes covered by strings of
-    that length that start anywhere else, too, n_repeats the runs of such bytes and
-    longest_repeat the longest run's; nothing more is removed for them. With
+    character. With ``short`` (another length than ``window``), n_repeated counts the
+    bytes in blocks of that window which stand elsewhere, too (each at least that
+    long), n_repeats the runs of such bytes and longest_repeat the longest run's;
+    nothing more is removed for them. With
     ``keep_first`` the copy in the row of the least doc_id (null last) stays, and all
     figures are of later copies; rows of one doc_id and text count as one.
     """
@@ -608,7 +614,7 @@ def remove_repeats(
     )
     keys = [F.col("_k1").alias("k1"), F.col("_k2").alias("k2")]
     found = repeated_ranges(
-        rows.select(*keys, F.col("_id").alias("doc_id"), F.col("_text").alias("text")), *{window, short} - {None},
+        rows.select(*keys, F.col("_id").alias("doc_id"), F.col("_text").alias("text")), window, counted=() if short is None else (short,),
         keep_first=keep_first, shard_bytes=shard_bytes, anchor_bytes=anchor_bytes,
     )
     by_key = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found").alias("_found"))

@@ -39,19 +39,31 @@ def texts_of(seed):
     return out
 
 
-def longest(text, others, window):
-    """Bytes covered by repeats of a window, their runs and the longest, of the text at a place."""
-    starts = Counter(t[i : i + window] for t in others for i in range(len(t) - window + 1))
-    gone = [False] * len(text)
-    for i in range(len(text) - window + 1):
-        if starts[text[i : i + window]] > 1:
-            gone[i : i + window] = [True] * window
-    runs = [len(list(g)) for k, g in groupby(gone) if k]
-    return sum(runs), len(runs), max(runs, default=0)
+def counted(texts, window, piece):
+    """Of each text: the bytes in blocks that stand elsewhere, their runs and the longest; a long text's pieces have blocks
+    of their own."""
+    found, seen = [], Counter()
+    for t in texts:
+        own = []
+        for at in range(0, len(t) - window + 1, piece):
+            part = t[at : at + piece + window - 1] if len(t) > piece else t
+            _, s, e, _, _ = sd.blocks([part], window)
+            own += [(at + a, at + b + window - 1) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        found.append(own)
+        seen.update(t[a:b] for a, b in own)
+    out = []
+    for t, own in zip(texts, found, strict=True):
+        gone = [False] * len(t)
+        for a, b in own:
+            if seen[t[a:b]] > 1:
+                gone[a:b] = [True] * (b - a)
+        runs = [len(list(g)) for k, g in groupby(gone) if k]
+        out.append((sum(runs), len(runs), max(runs, default=0)))
+    return out
 
 
 @pytest.mark.parametrize("seed,window,short,anchor,shard,piece", [
-    (1, 12, 7, 1 << 20, 4 << 20, 1 << 20), (2, 20, None, 30, 300, 64), (3, 16, 12, 60, 200, 50), (4, 40, 13, 100, 4 << 20, 1 << 20), (5, 24, 24, 200, 900, 100),
+    (1, 12, 7, 1 << 20, 4 << 20, 1 << 20), (2, 20, None, 30, 300, 64), (3, 16, 12, 60, 200, 50), (4, 40, 13, 100, 4 << 20, 1 << 20), (5, 25, 24, 200, 900, 100),
 ])
 def test_against_brute_force(spark, monkeypatch, seed, window, short, anchor, shard, piece):
     monkeypatch.setattr(sd, "SLICE", piece)
@@ -63,8 +75,9 @@ def test_against_brute_force(spark, monkeypatch, seed, window, short, anchor, sh
     want = brute(raw, window)
     assert len(out) == len(texts)
     if short:
-        for r in out:
-            assert (r["n_repeated"], r["n_repeats"], r["longest_repeat"]) == longest(raw[r["row"]], raw, short)
+        plain = counted(raw, short, piece)
+        assert all((r["n_repeated"], r["n_repeats"], r["longest_repeat"]) == plain[r["row"]] for r in out)
+        assert any(r["n_repeated"] for r in out)
     for r in out:
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["row"]]
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
@@ -115,3 +128,14 @@ def test_long_runs_and_empty_tables(spark):
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in sd.remove_repeats(df, "doc_id", window=13).collect()}
     assert got == {(1, 30000): 30000, (2, 14): 14, (None, 26): 0}
     assert sd.remove_repeats(df.where("false"), "doc_id").count() == 0
+
+
+def test_passages_of_fifty_words_show(spark):
+    random.seed(5)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=random.randint(4, 8)))
+    passage = " ".join(word() for _ in range(51))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"{text(60)} {passage} {text(i)}" if i < 5 else text(150)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sd.remove_repeats(docs, "doc_id", short=sd.SHORT).collect()
+    assert len(passage) < sd.WINDOW and all((r["n_repeated"] > 0) == (r["doc_id"] < 5) and not r["n_removed"] for r in found)

@@ -33,8 +33,8 @@ share the window the one whose first occurrence comes first.
 
 Besides, blocks of a shorter window can be counted in the same run: bytes are told
 that lie in a block which stands elsewhere, too. Nothing is sorted for that, so a
-repeated string shows if it holds a whole block, as all do that are at least twice
-as long as the window. They are named by their content alone.
+repeated string shows if it holds a whole block, as any of 3 window - 2 gram bytes
+does (322 for a window of 150). They are named by their content alone.
 
 Defined results: a null text is empty; a text shorter than the window keeps all;
 copies of a text longer than the window lose everything, each of them; overlaps

@@ -137,5 +137,5 @@ def test_passages_of_fifty_words_show(spark):
     text = lambda n: " ".join(word() for _ in range(n))
     rows = [(i, f"{text(60)} {passage} {text(i)}" if i < 5 else text(150)) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sd.remove_repeats(docs, "doc_id", short=sd.SHORT).collect()
+    found = sd.remove_repeats(docs, "doc_id", short=150).collect()
     assert len(passage) < sd.WINDOW and all((r["n_repeated"] > 0) == (r["doc_id"] < 5) and not r["n_removed"] for r in found)

@@ -120,7 +120,8 @@ def mart_state_incremental(spark, sf):
     for y in years:
         M.update_lifecycle(table, short, [d for d in dates if d.year == y])
     M.update_lifecycle(table, adv, [d for d in dates if d.year == years[0]] if years else [])
-    return M.mart_opportunity_state(_opps(spark, sf), None, B.transitions(spark, sf), DEFAULT_AS_OF, M.read_lifecycle(table))
+    opps = M.mart_opportunities(adv, B.projects(spark, sf), DEFAULT_AS_OF)
+    return M.mart_opportunity_state(opps, None, B.transitions(spark, sf), DEFAULT_AS_OF, M.read_lifecycle(table))
 
 
 # ---- scalar scoring functions over the whole projects / advisories views -----------------

@@ -92,18 +92,34 @@ class BucketedTable:
         """The table as of the newest version, or a given one."""
         return self._rows(self.versions.current(number)[1])
 
-    def update(self, touched: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame], DataFrame], tries: int = 20) -> int:
+    def clustered(self, rows: DataFrame) -> DataFrame:
+        """Rows brought together by bucket (``_bucket``): what is grouped by it and the key needs no other exchange to be written."""
+        return rows.withColumn("_bucket", self.bucket()).repartition("_bucket")
+
+    def _buckets(self, keys: DataFrame) -> list[int]:
+        return [r["b"] for r in keys.select(self.bucket().alias("b")).distinct().collect()]  # one row a bucket
+
+    def update(
+        self, touched: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame], DataFrame], tries: int = 20,
+        new: DataFrame | None = None,
+    ) -> int:
         """Write the buckets of the rows that ``touched(all rows)`` gives (key columns) as ``combine(their rows)`` makes them
-        and publish; begun again on a newer version if another writer came first. The new version's number."""
+        and publish; begun again on a newer version if another writer came first. The new version's number.
+
+        The keys of ``new`` are touched, too; ``touched`` is asked only about the buckets that hold none of them.
+        ``combine`` may give ``clustered`` rows."""
+        fresh = [] if new is None else self._buckets(new)
         for _ in range(tries):
             number, names = self.versions.current()
-            hit = touched(self._rows(names)).select(self.bucket().alias("b")).distinct()
-            some = [r["b"] for r in hit.collect()]  # one row a bucket
+            rest = None if new is None else [int(b) for b in names if int(b) not in fresh]
+            some = fresh + (self._buckets(touched(self._rows(names, rest))) if rest is None or rest else [])
             if not some:
                 return number
             folder = self.versions.new_folder()
-            new = combine(self._rows(names, some)).select(*self.schema.names).withColumn("_bucket", self.bucket())
-            new.repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+            rows = combine(self._rows(names, some))
+            if "_bucket" not in rows.columns:
+                rows = self.clustered(rows)
+            rows.select(*self.schema.names, "_bucket").write.partitionBy("_bucket").parquet(folder)
             left = self._written(folder)
             names = {b: f for b, f in names.items() if int(b) not in some} | dict.fromkeys(left, folder)
             if self.versions.publish(number + 1, names):

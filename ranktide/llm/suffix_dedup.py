@@ -58,7 +58,7 @@ from pyspark.sql import functions as F
 from ranktide.llm.common import documents, let_go, partitions, schema_of, staged, text_keys
 
 WINDOW = 400
-SHORT = 240  # bytes
+SHORT = 180  # bytes
 SLICE = 512 << 10  # bytes of text whose anchors are found together
 PACK = 8 << 20  # bytes of text whose blocks are one row
 SHARD_BYTES = 1 << 20

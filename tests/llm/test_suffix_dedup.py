@@ -139,3 +139,15 @@ def test_passages_of_fifty_words_show(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = sd.remove_repeats(docs, "doc_id", short=150).collect()
     assert len(passage) < sd.WINDOW and all((r["n_repeated"] > 0) == (r["doc_id"] < 5) and not r["n_removed"] for r in found)
+
+
+def test_the_query_shows_every_passage_of_412_bytes(spark, tmp_path):
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=random.randint(4, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(64) for _ in range(12)]
+    assert all(412 <= len(p) < 592 for p in passages)
+    rows = [(i, f"{text(40)} {passages[i // 2]} {text(i)}" if i < 24 else text(150)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["n_repeated"] for r in sd.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert sorted(i for i, n in found.items() if n) == list(range(24))

@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import time
 from collections import Counter
 from itertools import groupby
 
@@ -7,6 +9,7 @@ import numpy as np
 import pytest
 
 from ranktide.llm import suffix_dedup as sd
+from ranktide.llm.common import staged
 
 
 def brute(texts, window):
@@ -151,3 +154,16 @@ def test_the_query_shows_every_passage_of_412_bytes(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["n_repeated"] for r in sd.op1_suffix_dedup(spark, str(tmp_path)).collect()}
     assert sorted(i for i, n in found.items() if n) == list(range(24))
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {n for f in folders for _, _, names in os.walk(f) for n in names if n.startswith("shuffle_")}
+    df = spark.range(1000).repartition(3, "id")
+    before = held()
+    again = staged(df, "test-shuffle")
+    end = time.time() + 20
+    while held() - before and time.time() < end:  # files go in the background
+        time.sleep(0.2)
+    assert not held() - before
+    assert again.count() == df.count() == 1000

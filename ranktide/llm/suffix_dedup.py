@@ -55,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents, let_go, partitions, schema_of, staged, text_keys
+from ranktide.llm.common import documents, let_go, partitions, schema_of, small_batches, staged, text_keys
 
 WINDOW = 400
 SHORT = 180  # bytes
@@ -188,7 +188,7 @@ def _find_blocks(windows: tuple[int, ...], counted: tuple[int, ...]):
                 h.packed += h.size
                 h.places, h.texts, h.size = [], [], 0
 
-        for b in batches:
+        for b in small_batches(batches):
             for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
                 raw = (t or "").encode()
                 for w, h in held.items():
@@ -476,7 +476,7 @@ def _merge_runs(keep_first: bool):
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the blocks wanted of them -> the blocks' bytes."""
-    for b in batches:
+    for b in small_batches(batches):
         for k1, k2, text, want in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "want")), strict=True):
             raw = text.encode()
             yield pa.RecordBatch.from_pydict({
@@ -510,7 +510,7 @@ def _remove(keep: int, window: int, short: int | None, as_text: bool):
     spans_of = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             rows = []
             for text, found in zip(b.column("_text").to_pylist(), b.column("_found").to_pylist(), strict=True):
                 raw = (text or "").encode()

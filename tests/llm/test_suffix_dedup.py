@@ -6,10 +6,11 @@ from collections import Counter
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ranktide.llm import suffix_dedup as sd
-from ranktide.llm.common import staged
+from ranktide.llm.common import small_batches, staged
 
 
 def brute(texts, window):
@@ -167,3 +168,10 @@ def test_a_written_stage_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not held() - before
     assert again.count() == df.count() == 1000
+
+
+def test_few_texts_are_python_objects_at_a_time():
+    batch = lambda n: pa.RecordBatch.from_pydict({"text": pa.array([str(i) for i in range(n)], pa.string())})
+    got = list(small_batches(iter([batch(2500), batch(0), batch(1024)])))
+    assert [b.num_rows for b in got] == [1024, 1024, 452, 0, 1024]
+    assert [t for b in got[:3] for t in b.column("text").to_pylist()] == [str(i) for i in range(2500)]

@@ -62,3 +62,24 @@ def test_workspaces_are_found_however_the_key_is_spelled(spark):
     files = spark.createDataFrame([(r, "package.json", 200, t) for r, t in rows], "repo_url string, path string, status int, text string")
     got = {r.repo_url: r.is_monorepo for r in MF.man_is_monorepo(files).collect()}
     assert got == {"a": True, "b": True, "c": False, "d": False}
+
+
+def test_bench_signals_go_by_repository_without_their_sections(spark, tmp_path):
+    node = load_all()["man_bench_signal"].build(spark, _tables(spark, tmp_path))._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Aggregate":
+        node = node.children().apply(0)
+    assert "map<" not in node.child().schema().catalogString()
+
+
+def test_bench_signals_however_they_are_spelled(spark):
+    texts = {
+        "a": ('{"scripts": {"\\u0062ench": "x"}}', "script:bench"), "b": ('{"scripts": {"BenCH:all": "x"}}', "script:BenCH:all"),
+        "c": ('{"scripts": {"t": "VITEST  run bENch"}}', "script-cmd:t"), "d": ('{"scripts": {"t": "vitest; bench"}}', None),
+        "e": ('{"scripts": [], "dependencies": {"mitata": "1"}}', "devDep:mitata"), "f": ('{"devDependencies": {"\\u006ditata": "1"}}', "devDep:mitata"),
+        "g": ('{"dependencies": {"tinybench": "1"}, "devDependencies": {"benchmark": "1", "mitata": 2}}', "devDep:mitata"),
+        "h": ('{"dependencies": {"x": "tinybench", "Benchmark": "1"}}', None), "i": ('{"scripts": {"bench": "x"}', None), "j": ("[1]", None),
+    }
+    rows = [(r, "package.json", 200, t) for r, (t, _) in texts.items()] + [("k", "yarn.lock", 404, None), ("l", "package.json", 404, '{"scripts": {"bench": ""}}')]
+    got = MF.man_bench_signal(spark.createDataFrame(rows, "repo_url string, path string, status int, text string")).collect()
+    want = {r: s for r, (_, s) in texts.items()} | {"k": None, "l": None}
+    assert {r.repo_url: (r.has_benchmarks, r.bench_signal) for r in got} == {r: (s is not None, s) for r, s in want.items()}

@@ -3,16 +3,20 @@
 Vectors are kept in blocks. Beside its exact vectors a block has an
 approximation file: each component's cell on a grid of 2**BITS cells between
 the block's least and greatest value of that component. Cell borders bound any
-inner product from both sides, so a query first scans the cells alone. Vectors
-whose upper bound is below the k-th greatest lower bound are out; the rest are
-read exactly in descending order of the upper bound until the k-th score found
-exceeds the next bound, and no other vector can come in.
+inner product from both sides: both bounds are the product with the cells' left
+borders and a constant of the query and the block. So a query first scans the
+cells alone. Vectors whose upper bound is below the k-th best score that the
+query has so far (before that, the k-th greatest lower bound) are out; the rest
+are read exactly.
 
-The stated query set is gathered into blocks too. Every block of vectors meets
-every block of queries (an equi-join on the query block, salted so that the
-vectors' blocks spread), and gives at most k rows a query; the best k of those
-are the answer. So what moves is the blocks, once for each block of queries,
-and k rows a query and block.
+Blocks are dealt out to tasks in groups of about GROUP_BYTES, each block to one.
+A task holds its group, and all queries come past it, one small row each, so no
+block is copied, no query block is collected, and a task's memory is that of its
+group and of QUERIES queries at a time. It carries each query's best k from block
+to block and gives k rows a query at most; the best k of all groups are the
+answer. So what moves is each vector once, each query once a group (there are no
+more groups than the bytes or the cores ask for), and k rows a query and group.
+The products themselves are as many as there are queries times vectors.
 
 Components are compared as floor(scale * x). Defined results: vectors that are
 null or hold null or non-finite components, and rows without an id, take no
@@ -31,13 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import partitions, staged
+from ranktide.llm.common import staged
 
 BLOCK = 2048
 QUERIES = 1024
 BITS = 6
+GROUP_BYTES = 32 << 20
 EXACT = float(1 << 53)  # whole numbers below this are exact in float64
 _LIMIT = (1 << 63) - 1
+_TOP = float(1 << 63)
+_ASKED = pa.struct([("query_id", pa.int64()), ("place", pa.int32()), ("vector", pa.binary())])
 
 
 def usable(vector: str) -> Column:
@@ -45,23 +52,35 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.forall(F.col(vector), finite)
 
 
+def _narrow(exact: np.ndarray) -> str:
+    """The smallest type that holds these whole numbers."""
+    for kind in ("<i2", "<i4"):
+        if not exact.size or np.abs(exact).max() <= np.iinfo(kind).max:
+            return kind
+    return "<f8"
+
+
 def _blocks(scale: float, every: int):
-    """(id, vector) rows -> blocks: ids, exact components as float64, cells as bytes, and the grid."""
+    """(id, vector) rows -> blocks: ids, exact components, cells as bytes, the grid, and which of the vectors are queries."""
 
     def block(ids: list, vectors: list[np.ndarray], seq: int) -> pa.RecordBatch:
         exact = np.floor(scale * np.array(vectors, np.float64).reshape(len(ids), -1))
         low = exact.min(0) if exact.size else np.zeros(exact.shape[1])
         width = np.ceil((exact.max(0) - low + 1) / (1 << BITS)) if exact.size else low
         cells = ((exact - low) // np.maximum(width, 1)).astype(np.uint8)
-        asked = np.flatnonzero(np.array(ids) % every == 0)
+        kind = _narrow(exact)
+        exact = exact.astype(kind)
+        asked = [{"query_id": ids[p], "place": int(p), "vector": exact[p].tobytes()} for p in np.flatnonzero(np.array(ids) % every == 0)]
         return pa.RecordBatch.from_pydict({
             "block": pa.array([TaskContext.get().partitionId() << 32 | seq], pa.int64()),
             "dim": pa.array([exact.shape[1]], pa.int32()),
+            "kind": pa.array([kind]),
+            "bytes": pa.array([exact.nbytes + cells.nbytes + 8 * len(ids)], pa.int64()),
             "ids": pa.array([ids], pa.list_(pa.int64())),
             "exact": pa.array([exact.tobytes()], pa.binary()),
             "cells": pa.array([cells.tobytes()], pa.binary()),
             "grid": pa.array([np.stack([low, width]).tobytes()], pa.binary()),
-            "asked": pa.array([asked.tolist()], pa.list_(pa.int32())),
+            "asked": pa.array([asked], pa.list_(_ASKED)),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,87 +105,121 @@ def _blocks(scale: float, every: int):
     return run
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The queries of each block, one row each."""
-    for b in batches:
-        for i in range(b.num_rows):
-            places, dim = b.column("asked")[i].as_py(), b.column("dim")[i].as_py()
-            exact = np.frombuffer(b.column("exact")[i].as_py()).reshape(-1, dim) if dim else None
-            ids, home = b.column("ids")[i].as_py(), b.column("block")[i].as_py()
-            yield pa.RecordBatch.from_pydict({
-                "dim": pa.array([dim] * len(places), pa.int32()),
-                "query_id": pa.array([ids[p] for p in places], pa.int64()),
-                "home": pa.array([home] * len(places), pa.int64()),
-                "place": pa.array(places, pa.int32()),
-                "vector": pa.array([exact[p].tobytes() if dim else b"" for p in places], pa.binary()),
-            })
+class Best:
+    """The best k (score, id) that each of some queries has so far, in order: greater scores first, then smaller ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.n = k, np.zeros(queries, np.int64)
+        self.score, self.id = np.zeros((queries, k), np.int64), np.zeros((queries, k), np.int64)
+
+    def least(self) -> np.ndarray:
+        """What a score has to reach; no limit for queries with fewer than k."""
+        return np.where(self.n == self.k, self.score[:, -1].astype(np.float64), -np.inf)
+
+    def add(self, at: np.ndarray, score: np.ndarray, name: np.ndarray) -> None:
+        last, last_id = self.score[at, -1], self.id[at, -1]
+        better = (self.n[at] < self.k) | (score > last) | ((score == last) & (name < last_id))
+        at, score, name = at[better], score[better], name[better]
+        if not len(at):
+            return
+        some = np.unique(at)
+        row, col = np.nonzero(np.arange(self.k) < self.n[some, None])
+        at = np.concatenate([some[row], at])
+        score, name = np.concatenate([self.score[some[row], col], score]), np.concatenate([self.id[some[row], col], name])
+        order = np.lexsort((name, ~score, at))  # ~ turns the order of whole numbers round and can't overflow
+        at, score, name = at[order], score[order], name[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        first = rank < self.k
+        self.score[at[first], rank[first]], self.id[at[first], rank[first]] = score[first], name[first]
+        self.n[some] = np.minimum(np.bincount(at, minlength=len(self.n))[some], self.k)
 
 
 def search_block(query: np.ndarray, ids: np.ndarray, exact: np.ndarray, cells: np.ndarray, low: np.ndarray,
-                 width: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, list[int]]]:
-    """For each query (row) the places of the block's best k vectors and their scores; ``own``: its place here, or -1."""
-    left = low + cells * width
-    right = left + np.maximum(width, 1) - 1
-    more, less = np.maximum(query, 0), np.minimum(query, 0)
-    upper = more @ right.T + less @ left.T
-    lower = more @ left.T + less @ right.T
-    mine = np.flatnonzero(own >= 0)
-    upper[mine, own[mine]] = lower[mine, own[mine]] = -np.inf
-    # Beyond 53 bits sums in float64 are rounded: widen the bounds, and add whole numbers of any size.
-    size = max(np.abs(query).max(initial=0), 1) * max(np.abs(low).max(initial=0) + (width.max(initial=0) * (1 << BITS)), 1) * max(1, query.shape[1])
+                 width: np.ndarray, own: np.ndarray, best: Best) -> None:
+    """Add to ``best`` the block's vectors that are among the best k of each query (row); ``own``: its place here, or -1."""
+    dim, n, k = query.shape[1], len(ids), best.k
+    most = np.maximum(np.abs(low), np.abs(low + width * (1 << BITS)))
+    size = max(np.abs(query).max(initial=0), 1) * max(most.max(initial=0), 1) * max(1, dim)
+    # Beyond 53 bits sums in float64 are rounded: whole numbers of any size are added instead.
     plain = size < EXACT
-    if not plain:
-        upper += np.abs(upper) * 1e-9 + size * 1e-12
-        lower -= np.abs(lower) * 1e-9 + size * 1e-12
-
-    def scores(q: np.ndarray, at: np.ndarray) -> list[int]:
-        if plain:
-            return (exact[at] @ q).astype(np.int64).tolist()
-        whole = [int(x) for x in q]
-        return [max(-_LIMIT - 1, min(_LIMIT, sum(a * int(b) for a, b in zip(whole, v, strict=True)))) for v in exact[at]]
-
-    out = []
-    n = len(ids)
-    for i, q in enumerate(query):
-        others = n - (own[i] >= 0)
-        least = np.partition(lower[i], n - k)[n - k] if others >= k else -np.inf
-        left_in = np.flatnonzero((upper[i] >= least) & (upper[i] > -np.inf))
-        left_in = left_in[np.argsort(-upper[i, left_in], kind="stable")]
-        best: list[tuple[int, int, int]] = []
-        at = 0
-        while at < len(left_in) and (len(best) < k or -best[-1][0] <= upper[i, left_in[at]]):
-            some = left_in[at : at + 4 * k]
-            best += [(-s, int(ids[p]), int(p)) for s, p in zip(scores(q, some), some, strict=True)]
-            best = sorted(best)[:k]
-            at += len(some)
-        out.append((np.array([p for _, _, p in best], np.int64), [-s for s, _, _ in best]))
-    return out
+    kind = np.float32 if plain else np.float64
+    left = (low + cells * width).astype(kind)
+    bound = query.astype(kind) @ left.T
+    span = np.maximum(width, 1) - 1
+    slack = (np.abs(query) @ most) * (dim + 16) * np.finfo(kind).eps  # what rounding can make of it
+    above, below = np.maximum(query, 0) @ span + slack, np.minimum(query, 0) @ span - slack
+    mine = np.flatnonzero(own >= 0)
+    bound[mine, own[mine]] = -np.inf
+    least = best.least()
+    new = np.flatnonzero((best.n < k) & (n - (own >= 0) >= k))
+    if len(new):
+        kth = np.partition(bound[new], n - k, axis=1)[:, n - k] + below[new]
+        least[new] = np.where(np.isnan(kth), -np.inf, kth)
+    least = np.where(least <= -_TOP, -np.inf, np.minimum(least, _TOP))  # scores are held at these limits
+    reach = least - above
+    if plain:
+        reach = np.nextafter(reach.astype(kind), kind(-np.inf))
+    out = bound < reach[:, None]
+    out[mine, own[mine]] = True
+    at, place = np.divmod(np.flatnonzero(~out), n)
+    whole = query @ exact.T if plain and len(at) > out.size // 8 else None
+    step = max(1, (1 << 22) // max(1, dim))
+    for a in range(0, len(at), step):
+        q, p = at[a : a + step], place[a : a + step]
+        if whole is not None:
+            score = whole[q, p].astype(np.int64)
+        elif plain:
+            score = np.einsum("ij,ij->i", query[q], exact[p]).astype(np.int64)
+        else:
+            dot = lambda x, y: sum(int(u) * int(v) for u, v in zip(x, y, strict=True))
+            score = np.array([max(-_LIMIT - 1, min(_LIMIT, dot(query[i], exact[j]))) for i, j in zip(q, p, strict=True)], np.int64)
+        best.add(q, score, ids[p])
+
+
+def _answers(queries: pa.RecordBatch, held: list[dict], k: int) -> Iterator[pa.RecordBatch]:
+    """The best k of the held blocks for each of these queries."""
+    get = lambda c: queries.column(c).to_pylist()
+    names, homes, places = (np.array(get(c), np.int64) for c in ("query_id", "block", "place"))
+    vectors = [np.frombuffer(v, kind) for v, kind in zip(get("vector"), get("kind"), strict=True)]
+    for a in range(0, len(names), QUERIES):
+        query, home, place = np.array(vectors[a : a + QUERIES], np.float64), homes[a : a + QUERIES], places[a : a + QUERIES]
+        best = Best(len(query), k)
+        for b in held:
+            shape = (len(b["ids"]), query.shape[1])
+            exact = np.frombuffer(b["exact"], b["kind"]).reshape(shape).astype(np.float64)
+            low, width = np.frombuffer(b["grid"]).reshape(2, -1)
+            search_block(query, b["ids"], exact, np.frombuffer(b["cells"], np.uint8).reshape(shape), low, width,
+                         np.where(home == b["block"], place, -1), best)
+        row, col = np.nonzero(np.arange(k) < best.n[:, None])
+        yield pa.RecordBatch.from_pydict({
+            "query_id": pa.array(names[a : a + QUERIES][row], pa.int64()),
+            "home": pa.array(home[row], pa.int64()),
+            "place": pa.array(place[row], pa.int32()),
+            "vec_id": pa.array(best.id[row, col], pa.int64()),
+            "score": pa.array(best.score[row, col], pa.int64()),
+        })
 
 
 def _search(k: int):
+    """Rows in order of group, length and turn: a group's blocks of a length, which are held, and then the queries of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
         for b in batches:
-            for r in range(b.num_rows):
-                get = lambda c: b.column(c)[r].as_py()  # noqa: E731,B023
-                dim, queries, ids = get("dim"), get("queries"), np.array(get("ids"), np.int64)
-                shape = (len(ids), dim)
-                exact = np.frombuffer(get("exact")).reshape(shape)
-                cells = np.frombuffer(get("cells"), np.uint8).reshape(shape)
-                low, width = np.frombuffer(get("grid")).reshape(2, dim)
-                for a in range(0, len(queries), 256):
-                    some = queries[a : a + 256]
-                    query = np.stack([np.frombuffer(q["vector"]) for q in some])
-                    own = np.array([q["place"] if q["home"] == get("block") else -1 for q in some])
-                    found = search_block(query, ids, exact, cells, low, width, own, k)
-                    times = [len(s) for _, s in found]
-                    spread = lambda key: np.repeat([q[key] for q in some], times)  # noqa: E731,B023
-                    yield pa.RecordBatch.from_pydict({
-                        "query_id": pa.array(spread("query_id"), pa.int64()),
-                        "home": pa.array(spread("home"), pa.int64()),
-                        "place": pa.array(spread("place"), pa.int32()),
-                        "vec_id": pa.array(np.concatenate([ids[p] for p, _ in found]), pa.int64()),
-                        "score": pa.array([x for _, s in found for x in s], pa.int64()),
-                    })
+            turns = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "dim", "turn")], 1)
+            starts = [0, *(np.flatnonzero((turns[1:] != turns[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                if start == end:
+                    continue
+                group, dim, turn = turns[start].tolist()
+                part = b.slice(start, end - start)
+                if of != (group, dim):
+                    held, of = [], (group, dim)
+                if not turn:
+                    rows = part.select(["block", "kind", "ids", "exact", "cells", "grid"]).to_pylist()
+                    held += [r | {"ids": np.array(r["ids"], np.int64)} for r in rows]
+                elif held:
+                    yield from _answers(part, held, k)
 
     return run
 
@@ -179,29 +232,26 @@ def top_k(vectors: DataFrame, vec_id: str, vector: str, k: int = 10, every: int
     blocks = staged(
         rows.mapInArrow(
             _blocks(scale, every),
-            "block long, dim int, ids array<bigint>, exact binary, cells binary, grid binary, asked array<int>",
+            "block long, dim int, kind string, bytes long, ids array<bigint>, exact binary, cells binary, grid binary, "
+            "asked array<struct<query_id: bigint, place: int, vector: binary>>",
         ),
         "vector-blocks",
     )
-    asked = blocks.where(F.size("asked") > 0).mapInArrow(
-        _asked, "dim int, query_id long, home long, place int, vector binary"
+    size = blocks.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(size["n"], max(-(-(size["bytes"] or 0) // GROUP_BYTES), 2 * cores)))
+    held = blocks.select(
+        F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"), "dim", F.lit(0).alias("turn"), "block", "kind",
+        "ids", "exact", "cells", "grid",
     )
-    n = asked.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    parts, salts = -(-n // QUERIES), partitions(vectors)
-    which = F.pmod(F.xxhash64("home", "place"), F.lit(parts)).cast("int")
-    query_blocks = (
-        asked.groupBy("dim", which.alias("part"))
-        .agg(F.collect_list(F.struct("query_id", "home", "place", "vector")).alias("queries"))  # about QUERIES of them
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = blocks.where(F.size("asked") > 0).select("dim", "block", "kind", F.inline("asked")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "dim", F.lit(1).alias("turn"), "block", "kind",
+        "query_id", "place", "vector",
     )
-    pairs = (
-        blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        .join(query_blocks, ["dim", "part", "salt"])
+    met = held.unionByName(asked, allowMissingColumns=True).repartitionById(groups, F.col("group"))
+    found = met.sortWithinPartitions("group", "dim", "turn").mapInArrow(
+        _search(k), "query_id long, home long, place int, vec_id long, score long"
     )
-    found = pairs.mapInArrow(_search(k), "query_id long, home long, place int, vec_id long, score long")
     nth = F.row_number().over(Window.partitionBy("query_id", "home", "place").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

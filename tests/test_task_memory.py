@@ -68,3 +68,17 @@ def test_an_update_of_all_buckets_does_not_look_for_touched_rows(spark, tmp_path
     M.update_lifecycle(table, landed, [day(2)])
     assert len(read) == 1 and sorted(read[0]) == [0, 1]
     assert sorted(map(tuple, M.read_lifecycle(table).collect())) == sorted(map(tuple, M.agg_lifecycle(landed).collect()))
+
+
+def test_parts_are_not_broadcast(spark, tables):
+    """The driver would hold every part's hashed row; line items are brought together by part once, for the groups and the join."""
+    for name, keys in (("advisories", 1), ("projects", 1)):
+        if name == "projects":
+            spark.createDataFrame([(1, 9.5), (1, 9.5), (2, None)], "p_partkey long, p_retailprice double").write.mode("overwrite").parquet(f"{tables}/part.parquet")
+        got = getattr(B, name)(spark, tables)
+        plan = _plan(got)
+        assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(l_partkey") == keys, plan
+        li, pa = B.read(spark, tables, "lineitem"), B.read(spark, tables, "part")
+        group = [F.col("l_partkey"), F.col("l_linenumber") if name == "advisories" else F.year("l_shipdate")]
+        want = li.groupBy(*group).count().join(pa, F.col("l_partkey") == F.col("p_partkey")).count()
+        assert got.count() == want > 0

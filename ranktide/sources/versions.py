@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ranktide.session import shuffles_removed
+
 
 class Versions:
     def __init__(self, spark: SparkSession, path: str):
@@ -138,15 +140,18 @@ def write_audit_publish(
     """Write models to folders of a new version, run ``audit`` on what was written, and publish them together.
 
     ``audit`` raises to block: the version before stays what readers see. A model
-    may read the others as they were written: give it as a function of these.
+    may read the others as they were written: give it as a function of these. No
+    step's shuffle files outlive it, so the disk holds the models and one step's.
     """
     folders, written = {}, {}
     for name, model in models.items():
         folders[name] = f"{versions.new_folder()}/{name}"
         df = model(written) if callable(model) else model
-        df.write.parquet(folders[name])
+        with shuffles_removed(versions.spark):
+            df.write.option("compression", "zstd").parquet(folders[name])
         written[name] = versions.spark.read.schema(df.schema).parquet(folders[name])
-    audit(written)
+    with shuffles_removed(versions.spark):
+        audit(written)
     for _ in range(tries):
         number, names = versions.current()
         if versions.publish(number + 1, names | folders):

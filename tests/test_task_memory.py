@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from ranktide.plans import marts as M
 from ranktide.sources import bridge as B
+from ranktide.sources import landing as LD
 from ranktide.sources import versions as V
 
 
@@ -82,3 +84,43 @@ def test_parts_are_not_broadcast(spark, tables):
         group = [F.col("l_partkey"), F.col("l_linenumber") if name == "advisories" else F.year("l_shipdate")]
         want = li.groupBy(*group).count().join(pa, F.col("l_partkey") == F.col("p_partkey")).count()
         assert got.count() == want > 0
+
+
+def _shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {x for x in blocks.mkString("\n").split("\n") if x.startswith("shuffle_")}
+
+
+def test_a_build_leaves_no_shuffle_files(spark, tables, tmp_path):
+    before = _shuffle_files(spark)
+    adv = B.advisories(spark, tables)
+    LD.land_partitioned(adv, str(tmp_path / "land"), "advisories")
+    models = {"staging.advisories": LD.read_landed(spark, str(tmp_path / "land"), "advisories"), "n": lambda m: m["staging.advisories"].groupBy("id").count()}
+    _, written = V.write_audit_publish(V.Versions(spark, str(tmp_path / "models")), models, lambda m: m["n"].groupBy("count").count().collect())
+    until = time.time() + 20  # executors are told, not waited for
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert written["n"].count() == adv.select("id").distinct().count() > 0
+
+
+def test_advisories_are_spelled_where_they_are_written(spark, tables, tmp_path, monkeypatch):
+    plans, keep = [], LD._write_by_date
+    monkeypatch.setattr(LD, "_write_by_date", lambda df, *a: plans.append(_plan(df)) or keep(df, *a))
+    LD.land_partitioned(B.advisories(spark, tables), str(tmp_path / "whole"), "advisories")
+    LD.land_partitioned(B.advisory_keys(spark, tables), str(tmp_path / "keys"), "advisories", spell=B.advisory_columns())
+    whole, keys = (LD.read_landed(spark, str(tmp_path / x), "advisories") for x in ("whole", "keys"))
+    assert whole.schema == keys.schema and keys.count() > 0
+    assert sorted(map(str, whole.collect())) == sorted(map(str, keys.collect()))
+    spelled = [p.index("ADV-") < p.index("REBALANCE") for p in plans]
+    assert spelled == [False, True] and "ADV-" not in plans[1][plans[1].index("REBALANCE"):]
+
+
+def test_lifecycles_are_exchanged_once(spark):
+    day = lambda d: dt.date(2024, 1, d) if d else None
+    rows = [("p", "i", day(1)), ("p", "i", day(1)), ("p", "i", day(3)), ("p", None, day(2)), (None, "i", day(2)), ("q", "i", None), (None, None, day(4)), (None, None, day(5))]
+    got = M.agg_lifecycle(spark.createDataFrame(rows, "project_purl string, id string, ingest_date date"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("p", "i", day(1), day(3), 2), ("p", None, day(2), day(2), 1), (None, "i", day(2), day(2), 1), ("q", "i", None, None, 0), (None, None, day(4), day(5), 2),
+    }
+    assert _plan(got).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
